@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard_join import op10_ngram_jaccard_join
+from .language_crf import op8_language_id
 from .quality_rules import op3_quality_rules
 from .secret_scan import op1_secret_scans
 from .suffix_tree import op6_lm_scoring
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op6_lm_scoring": op6_lm_scoring,
+    "op8_language_id": op8_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
