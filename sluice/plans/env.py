@@ -7,8 +7,9 @@ import time
 import traceback
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import EVENT_TIME
 from ..schema import Schema
@@ -19,6 +20,17 @@ from ..types import DataType
 from .table import Query, Table
 
 
+def instant(spark: SparkSession, name: str, kind: T.DataType) -> Column:
+    """The column; a time without zone becomes the instant that it is in UTC."""
+    c = F.col(f"`{name}`")
+    if not isinstance(kind, T.TimestampNTZType):
+        return c
+    c = c.cast("timestamp")
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        c = F.from_utc_timestamp(c, F.current_timezone())
+    return c.alias(name)
+
+
 class JobHandle:
     """A running query: a batch job in a thread, or a streaming query."""
 
@@ -157,6 +169,7 @@ class TableEnvironment:
     def table_from_dataframe(self, df: DataFrame, name: str | None = None, time_col: str | None = None, delay: str = "0 microseconds") -> Table:
         """Any DataFrame whose column types have a logical type."""
         table_id = name or self._new_id("source_dataframe")
+        df = df.select(*(instant(self.spark, f.name, f.dataType) for f in df.schema.fields))
         schema = Schema.from_spark(df.schema)
         return self._register(Table(self, table_id, schema, self._stamped(df, time_col, delay)))
 

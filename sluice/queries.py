@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import avg, col, count, lit, max, min, neg, sum
 from .operators import EVENT_TIME, rows
 from .operators.aggregates import Part
-from .operators.windows import WINDOW_ID  # noqa: F401  (part of the operators' contract)
 from .plans import Table, TableEnvironment
+from .plans.env import instant
 from .time import Duration, Interval, TimePolicy, Window
 from .types import DataTypes, TimeFormats
 
@@ -251,11 +252,11 @@ def tumble_keyless(spark, sf_dir):
 
 @query(f"""with w as (select user_id, {US} // {6 * H} as k, count(*) as n, cast(sum(cents) as bigint) as total, max(cents) as hi from {EV} group by all),
   d as (select user_id, unnest(generate_series(0, max(k))) as k from w group by user_id)
-  select d.user_id, coalesce(n, 0) as n, coalesce(total, 0) as total, hi, d.k * {6 * H} + {6 * H} - 1 + epoch_us(timestamp '2024-01-01') as t_us
+  select d.user_id, coalesce(n, 0) as n, coalesce(total, 0) as total, coalesce(hi, -1) as hi, d.k * {6 * H} + {6 * H} - 1 + epoch_us(timestamp '2024-01-01') as t_us
   from d left join w on d.user_id = w.user_id and d.k = w.k""")
 def tumble_dense(spark, sf_dir):
     env = timed(spark, emit_empty=True)
-    return with_time(events(env, sf_dir).group_by("user_id", window=Window.createTBWindow(Duration.hours(6))).select("user_id", count().alias("n"), sum("cents").alias("total"), max("cents").alias("hi")))
+    return with_time(events(env, sf_dir).group_by("user_id", window=Window.createTBWindow(Duration.hours(6))).select("user_id", count().alias("n"), sum("cents").alias("total"), max("cents").alias("hi"))).fillna(-1, ["hi"])
 
 
 @query(f"""select event_type, count(*) as n, epoch_us(time_bucket(interval 12 hour, ts, timestamp '2024-01-01 03:00:00')) + {12 * H} - 1 as t_us
@@ -432,8 +433,8 @@ def nx_q20(spark, sf_dir):
 # -- building blocks ---------------------------------------------------------
 def _event_rows(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", "user_id", "event_type", cents("value").alias("cents"), F.col("ts").alias(EVENT_TIME)
-    )
+        "event_id", "user_id", "event_type", cents("value").alias("cents"), "ts"
+    ).withColumn(EVENT_TIME, instant(spark, "ts", T.TimestampNTZType())).drop("ts")
 
 
 @query(f"select event_id, cents * 3 as tripled from {EV} where cents % 2 = 0")
@@ -505,11 +506,11 @@ def split_merge(spark, sf_dir):
     return rows.merge(a.select("event_id", F.lit(0).alias("branch")), b.select("event_id", F.lit(1).alias("branch")))
 
 
-@query("select cast(c_custkey as decimal(20, 0)) as id, cast(c_nationkey as bigint) as nation, true as flag from customer")
+@query("select cast(c_custkey as varchar) as id, cast(c_nationkey as bigint) as nation, true as flag from customer")
 def typed_literals(spark, sf_dir):
     env = plain(spark)
     df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("decimal(20,0)").alias("id"), F.col("c_nationkey").alias("n"))
-    return env.table_from_dataframe(df).select("id", (col("n") + lit(0, DataTypes.BIGINT)).alias("nation"), lit(True).alias("flag")).dataframe()
+    return env.table_from_dataframe(df).select("id", (col("n") + lit(0, DataTypes.BIGINT)).alias("nation"), lit(True).alias("flag")).dataframe().withColumn("id", F.col("id").cast("string"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
