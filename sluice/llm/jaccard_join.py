@@ -462,10 +462,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near duplicates: of each component the smallest doc_id stays."""
+    """docs without near duplicates: of each component the smallest doc_id stays.
+
+    Rows that repeat a kept id stay, as they are the same document; rows with
+    a null id stay, as nothing tells them apart.
+    """
     found = jaccard_components(docs, size, similarity)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

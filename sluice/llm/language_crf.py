@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textcore import Words, byte_view, slices, split_code
 
@@ -202,29 +203,44 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return model
 
 
-def _predict(model):
+def _predict(model, text_at: int, kept: list[int], names: list[str]):
+    """Kept columns of each batch, then language and score of its text column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = model.value
         for batch in batches:
-            column = batch.column(2)
-            buf, offsets = byte_view(column)
-            letter = has_letter(buf, offsets)
+            column = batch.column(text_at)
+            letter = has_letter(*byte_view(column))
             for lo, hi, mean, _, _ in crf.label(column):
                 n = hi - lo
                 if crf.languages:
                     best, ok = mean.argmax(axis=1), letter[lo:hi]
-                    names = [crf.languages[b] if o else "und" for b, o in zip(best, ok)]
+                    found = [crf.languages[b] if o else "und" for b, o in zip(best, ok)]
                     score = np.where(ok, np.clip(mean.max(axis=1), 0.0, 1.0), 0.0)
                 else:
-                    names, score = ["und"] * n, np.zeros(n)
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(names, pa.string()), pa.array(score)],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
+                    found, score = ["und"] * n, np.zeros(n)
+                part = [batch.column(i).slice(lo, n) for i in kept]
+                yield pa.record_batch([*part, pa.array(found, pa.string()), pa.array(score)], names=names)
 
     return run
 
 
+def annotate(docs: DataFrame, model: Crf, text: str = "text", lang_name: str = "lang_pred", score_name: str = "lang_score", drop_text: bool = False) -> DataFrame:
+    """docs with two more columns, the language and its score; see identify.
+
+    Existing columns of these names are replaced.  Rows stay where they are:
+    no shuffle, and no column needs to identify a row.
+    """
+    rows = docs.drop(lang_name, score_name)
+    at = rows.columns.index(text)
+    kept = [i for i in range(len(rows.columns)) if not (drop_text and i == at)]
+    schema = T.StructType([
+        *(rows.schema.fields[i] for i in kept), T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType()),
+    ])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_predict(shared, at, kept, schema.names), schema)
+
+
 def identify(docs: DataFrame, model: Crf, held_out: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
@@ -233,11 +249,9 @@ def identify(docs: DataFrame, model: Crf, held_out: Column | None = None, text:
     are read whole.  Repeated rows stay, other columns are ignored, an empty
     table gives an empty table, and a model without languages says `und`.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.lit(None).cast("boolean") if held_out is None else held_out
     rows = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return annotate(rows, model, "text", "lang_pred", "score", drop_text=True)
 
 
 def _label_words(model):
