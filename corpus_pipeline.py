@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.jaccard_join import keep_one
-from sluice.llm.language_crf import fit, identify
+from sluice.llm.language_crf import annotate, fit
 from sluice.llm.mixing import mix_sources
 from sluice.llm.packing import pack_documents
 from sluice.llm.secret_scan import redact
@@ -28,9 +28,9 @@ TOKEN_BUDGET = 0.6
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language stay; lang becomes the predicted one."""
-    found = identify(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    labels = found.groupBy("doc_id").agg(F.max("lang_pred").alias("__lang"))
-    return docs.join(labels, "doc_id").withColumn("lang", F.col("__lang")).select(*COLUMNS)
+    found = annotate(docs, fit(docs), lang_name="__lang", score_name="__score")
+    kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.col("__lang")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
