@@ -163,11 +163,15 @@ class Crf:
         buf, offsets = byte_view(column)
         for lo, hi in slices(offsets, SLICE):
             w = Words(lowered(buf[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo], IS_BREAK)
-            emission, _ = self.emissions(w)
-            p, _ = self.marginals(emission, w.first)
             text = w.text_of()
+            if self.languages:
+                p, _ = self.marginals(self.emissions(w)[0], w.first)
+            else:
+                p = np.zeros((len(text), 0))
             size = np.maximum(np.diff(w.first), 1)
-            mean = np.stack([np.bincount(text, weights=p[:, c], minlength=hi - lo) / size for c in range(len(self.languages))], axis=1)
+            mean = np.zeros((hi - lo, len(self.languages)))
+            for c in range(len(self.languages)):
+                mean[:, c] = np.bincount(text, weights=p[:, c], minlength=hi - lo) / size
             yield lo, hi, mean, p, w
 
 
@@ -259,9 +263,8 @@ def _label_words(model):
         crf = model.value
         for batch in batches:
             for lo, hi, _, p, w in crf.label(batch.column(1)):
-                best = p.argmax(axis=1) if len(crf.languages) else np.zeros(0, np.int64)
                 base = w.offsets[:-1][w.text_of()]
-                inner = pa.array([crf.languages[b] for b in best], pa.string())
+                inner = pa.array([crf.languages[b] for b in p.argmax(axis=1)] if crf.languages else ["und"] * len(p), pa.string())
                 cut = pa.array(w.first.astype(np.int32))
                 yield pa.record_batch(
                     [

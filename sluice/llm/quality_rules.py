@@ -79,7 +79,8 @@ def _dup_lines(t: Texts) -> np.ndarray:
     start, end, text = start[has_word], end[has_word], text[has_word]
     code = w.span_code(start, end)
     order = np.lexsort((code, text))
-    same = np.r_[False, (code[order][1:] == code[order][:-1]) & (text[order][1:] == text[order][:-1])]
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (code[order][1:] == code[order][:-1]) & (text[order][1:] == text[order][:-1])
     return np.bincount(text[order][same], minlength=t.n)
 
 

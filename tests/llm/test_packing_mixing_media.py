@@ -1,0 +1,203 @@
+"""Packing, mixing and media columns; and the pipeline."""
+
+import hashlib
+import io
+import wave
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.llm import audio_features, mixing, packing
+from sluice.llm.queries import QUERIES
+
+EDGE = [(1, None), (2, ""), (3, "word"), (4, "word"), (5, "many words " * 6000), (6, "á <|endoftext|> it's 3 ’s x\x1cy")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    df = spark.createDataFrame(EDGE, "doc_id long, text string")
+    for name in ("start", "cls", "media", "offset", "mix_topic", "__x"):
+        df = df.withColumn(name, F.lit("other"))
+    return df.withColumn("lang", F.when(F.col("doc_id") > 2, "en")).withColumn("source", F.lit(None).cast("string"))
+
+
+def check_packing(rows, texts, context=4096):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert set(pieces) == set(texts)
+    for k, text in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        at = 0
+        for p in sorted(pieces[k], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids)
+            assert p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    total = padding = 0
+    for found in sequences.values():
+        at = 0
+        for p in sorted(found, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= context
+        total += at
+        padding += 0 if at & (at - 1) == 0 else context - at
+    return padding / total
+
+
+def test_packing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    assert check_packing(QUERIES["op7_packing"](spark, sf_dir).collect(), texts) < 0.03
+
+
+def test_packing_on_edges(edge):
+    rows = packing.pack_documents(edge, with_ids=True).collect()
+    check_packing(rows, dict(EDGE))
+    assert all(zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    assert packing.pack_documents(edge.limit(0)).count() == 0
+    assert packing.pack_documents(edge.union(edge)).count() == 2 * len(rows)
+    with pytest.raises(ValueError):
+        packing.pack_documents(edge, unit=7)
+
+
+def test_column_generation_is_near_the_bound():
+    rng = np.random.default_rng(0)
+    counts = np.zeros(65, dtype=np.int64)
+    np.add.at(counts, rng.integers(1, 65, 20_000), 1)
+    chosen = packing.plan(counts, 64)
+    covered = sum(p * n for p, n in chosen)
+    assert (covered == counts).all() and all((p * np.arange(65)).sum() <= 64 for p, _ in chosen)
+    used = sum(n for _, n in chosen)
+    relaxed = sum(x for _, x in packing.solve(counts, 64))
+    lower = (counts * np.arange(65)).sum() / 64
+    assert used >= relaxed - 1e-6 >= lower - 1e-6 and used <= relaxed * 1.01 + 2
+
+
+def test_knapsack_by_enumeration():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        price = np.r_[0, rng.random(9)]
+        pattern = packing.knapsack(price, 9)
+        best = np.zeros(10)
+        for w in range(1, 10):
+            best[w] = max(best[w - 1], max(price[c] + best[w - c] for c in range(1, w + 1)))
+        assert (pattern * np.arange(10)).sum() <= 9 and pattern @ price == pytest.approx(best[9])
+
+
+def test_mixing_meets_targets(spark, sf_dir):
+    rows = QUERIES["op5_mixing_sources"](spark, sf_dir).toPandas()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    total = rows.tokens.sum()
+    assert (rows.tokens * rows.weight).sum() == pytest.approx(total, rel=1e-4)
+    weighted = (rows.tokens * rows.weight).groupby(rows.topic).sum() / total
+    wanted = rows.groupby("topic").tokens.sum() ** 0.5
+    assert np.allclose(weighted, wanted / wanted.sum(), atol=1e-4)
+    assert (rows.tokens * rows.probability).sum() / total <= mixing.BUDGET + 1e-6
+    assert rows.probability.between(0, 1).all()
+
+
+def test_raking_against_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    cells = [(s, lang, t, int(n)) for s in "abc" for lang in "xy" for t in "pq" if (n := rng.integers(0, 100))]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.9, "q": 0.1}}
+    got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(df, targets, sweeps=12).collect()}
+    w = {c[:3]: float(c[3]) for c in cells}
+    for _ in range(12):
+        for i, d in enumerate(("source", "lang", "topic")):
+            sums = defaultdict(float)
+            for k, v in w.items():
+                sums[k[i]] += v
+            w = {k: v * targets[d][k[i]] / sums[k[i]] for k, v in w.items()}
+    for k, v in w.items():
+        assert got[k] == pytest.approx(v, abs=1e-5)
+
+
+def test_mixing_on_edges(edge):
+    rows = {r["doc_id"]: r for r in mixing.mix_sources(edge).collect()}
+    assert len(rows) == len(EDGE) and rows[1]["mix_probability"] == 0 and not rows[1]["mix_kept"] and rows[3]["mix_topic"] != "other"
+    assert mixing.mix_sources(edge.limit(0)).count() == 0
+    everything = mixing.mix_sources(edge.where("doc_id > 2"), budget=1.0).collect()
+    assert all(r["mix_probability"] > 0 for r in everything)
+
+
+def test_mixing_is_native(spark, sf_dir):
+    plan = QUERIES["op5_mixing_sources"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan += QUERIES["op1_secret_scans"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_media_round_trip(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    digests = {r["doc_id"]: r for r in QUERIES["op9_media_columns"](spark, sf_dir).collect()}
+    for r in audio_features.media_columns(docs).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        with wave.open(io.BytesIO(r["media"])) as f:  # a reader of its own
+            assert (f.getnchannels(), f.getsampwidth(), f.getframerate()) == (1, 1, 16_000)
+            assert f.readframes(f.getnframes()) == payload
+        d = digests[r["doc_id"]]
+        assert (d["n_bytes"], d["payload_bytes"], d["media_bytes"]) == (len(raw), len(payload), len(r["media"]))
+        assert d["payload_sha256"] == hashlib.sha256(payload).hexdigest() and d["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert d["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and d["feature"] == r["feature"]
+        spans, tensors = audio_features.read_tensors(bytes(r["clips"]))
+        assert tensors.shape[1:] == (64, 20) and len(spans) == len(tensors) and (spans[:, 1] > spans[:, 0]).all()
+
+
+def test_media_on_edges(edge):
+    rows = {r["doc_id"]: r for r in audio_features.media_columns(edge, audio_features.DIGEST).collect()}
+    assert rows[1]["payload_bytes"] == 64 and rows[1]["feature"] == rows[2]["feature"] and rows[3]["feature"] == rows[4]["feature"]
+    assert audio_features.media_columns(edge.limit(0), audio_features.DIGEST).count() == 0
+
+
+def test_resampler_and_segments():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=1000).astype(np.float32)
+    r = audio_features.Resampler(16_000, 10_000)
+    # up-sample, filter, down-sample: the plain way
+    wide = np.zeros(len(x) * r.up + r.taps * r.up, dtype=np.float64)
+    wide[: len(x) * r.up : r.up] = x
+    h = np.zeros(r.taps * r.up)
+    for p in range(r.up):
+        h[p :: r.up] = r.phases[p][::-1]
+    plain = np.convolve(wide, h)[:: r.down][: r.size(len(x))]
+    assert np.allclose(r(x), plain, atol=1e-4)
+    energy = np.array([0, 0, 5, 5, 2.6, 5, 0, 0, 2.6, 0], dtype=float)
+    assert audio_features.segments(energy) == [(2, 6)]
+    assert audio_features.segments(np.zeros(5)) == []
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["language_id", "ngram_jaccard_join", "secret_scans", "mixing_sources", "packing"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == list(p.COLUMNS)
+        sizes.append(docs.count())
+    assert sizes[1] == sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2] and 0 < sizes[4] < sizes[3]
+    packed = p.run(spark, sf_dir)
+    assert packed.select("doc_id").distinct().count() == sizes[4]
+
+
+def test_pipeline_on_edges(spark, edge):
+    import corpus_pipeline as p
+
+    docs = edge.withColumn("n_chars", F.length("text").cast("long")).select(*p.COLUMNS)
+    for source in (docs, docs.limit(0)):
+        df = source
+        for _, stage in p.STAGES:
+            df = stage(spark, df, "")
+        assert df.count() >= 0
