@@ -76,11 +76,10 @@ def _with_targets(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] |
             share = F.pow(F.sum("tokens").over(each).cast("double"), F.lit(temper))
         out = out.withColumn(f"t_{d}", share).withColumn(f"__n_{d}", F.count(F.lit(1)).over(each))
     # each value's share comes once for each of its cells, hence the division
-    sums = out.agg(*(F.sum(F.col(f"t_{d}") / F.col(f"__n_{d}")).alias(f"__all_{d}") for d in DIMENSIONS))
-    out = out.join(F.broadcast(sums))  # one row
+    sums = out.agg(*(F.sum(F.col(f"t_{d}") / F.col(f"__n_{d}")).alias(d) for d in DIMENSIONS)).head()
     for d in DIMENSIONS:
-        out = out.withColumn(f"t_{d}", F.when(F.col(f"__all_{d}") > 0, F.col(f"t_{d}") / F.col(f"__all_{d}")).otherwise(0.0))
-    return out.drop(*(f"__{x}_{d}" for x in ("n", "all") for d in DIMENSIONS))
+        out = out.withColumn(f"t_{d}", F.col(f"t_{d}") / F.lit(sums[d]) if sums[d] else F.lit(0.0))
+    return out.drop(*(f"__n_{d}" for d in DIMENSIONS))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
@@ -141,7 +140,8 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
     Equal ids share a draw; nulls are values of their own; texts without a word
     have probability 0.  Existing mix_ columns are replaced.
     """
-    cells = cut(calibrate(rake(cell_table(docs, text), targets, temper), budget))
+    counted = cut(cell_table(docs, text))  # the texts are read for the cells once
+    cells = cut(calibrate(rake(counted, targets, temper), budget))
     total = cells.agg(F.sum("tokens")).head()[0] or 0
     small = cells.count() <= BROADCAST_CELLS
     side = cells.select(
