@@ -32,7 +32,9 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     Without keys the times are bucketed by the interval's width: a left row
     meets the at most two buckets that its interval touches, so that the join
     stays a hash or merge join.  With keys the bucket would only add rows.
-    The result's event time is the later one.
+    The result's event time is the later one.  On streams Spark keeps a
+    watermark only for a column of one side, so time windows may follow an
+    interval that lies wholly after or wholly before the left time.
     """
     l, r, same = _sides(left, right, on)
     lo, up = interval.lower.us, interval.upper.us
@@ -45,7 +47,12 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
         bucket = lambda time, us: F.floor((F.unix_micros(time) + F.lit(us)) / F.lit(width)).cast("long")
         l = l.withColumn("__bucket", F.explode(F.sequence(bucket(_LEFT, lo), bucket(_LEFT, up))))  # noqa: E741
         joined = l.join(r.withColumn("__bucket", bucket(_RIGHT, 0)), "__bucket").where(within).drop("__bucket")
-    joined = joined.withColumn(EVENT_TIME, F.greatest(_LEFT, _RIGHT))
+    if joined.isStreaming and lo >= 0:  # the right time is the later one, and keeps its watermark
+        joined = joined.withColumn(EVENT_TIME, F.col(_RIGHT))
+    elif joined.isStreaming and up <= 0:
+        joined = joined.withColumn(EVENT_TIME, F.col(_LEFT))
+    else:
+        joined = joined.withColumn(EVENT_TIME, F.greatest(_LEFT, _RIGHT))
     return joined.drop(_LEFT, _RIGHT, *(f"__right_{k}" for k in on))
 
 

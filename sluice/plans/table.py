@@ -155,8 +155,6 @@ class Table:
             df = joins.window_join(self.df, other.df, on, attachment, self.env.baseline)
         else:
             df = joins.equi_join(self.df, other.df, on)
-        if df.isStreaming:  # the later of two times has lost its watermark
-            df = df.withWatermark(EVENT_TIME, "0 microseconds")
         out = self._next(df.select(*(f"`{c}`" for c in schema.names), EVENT_TIME), schema)
         return out.where(where) if where is not None else out
 

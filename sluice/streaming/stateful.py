@@ -28,12 +28,14 @@ class KeyedFold(StatefulProcessor):
 
     def __init__(self, step: Callable[[dict, object], tuple[object, list[dict]]], initial: object, columns: list[str], order: list[str] | None = None, ttl_ms: int | None = None):
         self.step, self.initial, self.columns, self.order, self.ttl_ms = step, initial, columns, order or [], ttl_ms
+        self.inputs: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "value string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows), ignore_index=True)
+        frame.columns = self.inputs  # names that begin with an underscore arrive changed
         if self.order:
             frame = frame.sort_values(self.order, kind="stable")
         state = json.loads(self.state.get()[0]) if self.state.exists() else self.initial
@@ -50,6 +52,7 @@ class KeyedFold(StatefulProcessor):
 
 def apply_keyed(df: DataFrame, keys: list[str], processor: KeyedFold, schema: str, mode: str = "append") -> DataFrame:
     """The processor over a stream's keys."""
+    processor.inputs = df.columns
     spark = df.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
