@@ -15,7 +15,7 @@ from ..operators import EVENT_TIME
 from ..schema import Schema
 from ..sources.files import InputFileConfiguration, read_files
 from ..sources.kafka import KafkaSource
-from ..time import TimePolicy, baseline_micros
+from ..time import Duration, TimePolicy, baseline_micros
 from ..types import DataType
 from .table import Query, Table
 
@@ -102,12 +102,14 @@ class TableEnvironment:
     emit_empty         time windows without rows, from window 0, appear too
     truncate_avg       AVG of whole numbers divides towards zero
     streaming          sources are read as streams
+    allowed_lateness   streams: how much longer than a source's delay windows
+                       and joins wait for late rows
     """
 
     def __init__(
         self, spark: SparkSession | None = None, par: int | None = None, policy: TimePolicy = TimePolicy.NO_POLICY,
         time_baseline: tuple[str, DataType] | None = None, *, aggregates: str = "final", emit_empty: bool = False,
-        truncate_avg: bool = False, streaming: bool = False, include_dir: object = None,
+        truncate_avg: bool = False, streaming: bool = False, allowed_lateness: Duration | None = None, include_dir: object = None,
     ):
         if par is not None and par < 1:
             raise ValueError("par is positive")
@@ -118,6 +120,7 @@ class TableEnvironment:
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.policy, self.aggregates, self.emit_empty = policy, aggregates, emit_empty
         self.truncate_avg, self.streaming = truncate_avg, streaming
+        self.lateness = allowed_lateness or Duration(0)
         self.baseline = baseline_micros(time_baseline) if time_baseline else 0
         if par is not None:
             self.spark.conf.set("spark.sql.shuffle.partitions", par)
@@ -141,7 +144,7 @@ class TableEnvironment:
             table.dataframe().createOrReplaceTempView(table.table_id.replace(" ", "_").replace("-", "_"))
         return table
 
-    def _stamped(self, df: DataFrame, time_col: str | None, watermark: str) -> DataFrame:
+    def _stamped(self, df: DataFrame, time_col: str | None, delay: Duration | None) -> DataFrame:
         if self.policy is TimePolicy.EVENT_TIME:
             if time_col is None:
                 raise ValueError("under event time a source names its time column")
@@ -152,21 +155,23 @@ class TableEnvironment:
             df = df.withColumn(EVENT_TIME, F.current_timestamp())
         else:
             df = df.withColumn(EVENT_TIME, F.timestamp_micros(F.lit(0)))
-        return df.withWatermark(EVENT_TIME, watermark) if df.isStreaming and self.policy is not TimePolicy.NO_POLICY else df
+        if not df.isStreaming or self.policy is TimePolicy.NO_POLICY:
+            return df
+        return df.withWatermark(EVENT_TIME, f"{(delay.us if delay else 0) + self.lateness.us} microseconds")
 
     def table_from_file(self, config: InputFileConfiguration, name: str | None = None) -> Table:
         table_id = name or self._new_id("source_stream_file")
-        df = self._stamped(read_files(self.spark, config, self.streaming), config.time_col, config.watermark)
+        df = self._stamped(read_files(self.spark, config, self.streaming), config.time_col, config.delay)
         self._sources[table_id] = config
         return self._register(Table(self, table_id, config.schema, df))
 
-    def table_from_kafka(self, source: KafkaSource, name: str | None = None, time_col: str | None = None, delay: str = "0 microseconds") -> Table:
+    def table_from_kafka(self, source: KafkaSource, name: str | None = None, time_col: str | None = None, delay: Duration | None = None) -> Table:
         table_id = name or self._new_id("source_stream_kafka")
         df = source.read(self.spark, self.streaming)
         self._sources[table_id] = source
         return self._register(Table(self, table_id, Schema.from_spark(df.schema), self._stamped(df, time_col, delay)))
 
-    def table_from_dataframe(self, df: DataFrame, name: str | None = None, time_col: str | None = None, delay: str = "0 microseconds") -> Table:
+    def table_from_dataframe(self, df: DataFrame, name: str | None = None, time_col: str | None = None, delay: Duration | None = None) -> Table:
         """Any DataFrame whose column types have a logical type."""
         table_id = name or self._new_id("source_dataframe")
         df = df.select(*(instant(self.spark, f.name, f.dataType) for f in df.schema.fields))

@@ -18,7 +18,7 @@ from ..operators.aggregates import distinct_aggregates, parts_of, result
 from ..operators.running import running_aggregate
 from ..operators.windows import stream_window_aggregate, window_aggregate
 from ..schema import Schema
-from ..time import Interval, TimePolicy, Window, WindowType
+from ..time import Duration, Interval, TimePolicy, Window, WindowType
 from ..types import DataType
 
 if TYPE_CHECKING:
@@ -118,7 +118,12 @@ class Table:
                 self.env.need_time("a time window")
         return GroupedTable(self, keys, window)
 
-    def distinct(self) -> Table:
+    def distinct(self, within: Duration | None = None) -> Table:
+        """Rows once each.  On streams `within` bounds the state: copies that
+        come later than that after the first may pass again."""
+        if within is not None and self.df.isStreaming:
+            self.env.need_time("distinct within a time")
+            return self._next(self.df.dropDuplicatesWithinWatermark(self.schema.names), self.schema)
         return self._next(sets.distinct(self.df), self.schema)
 
     # -- two inputs --------------------------------------------------------
@@ -174,11 +179,21 @@ class Table:
     def union(self, other: Table) -> Table:
         return self._next(sets.union(self.df, self._aligned(other).df), self.schema)
 
+    def _common(self, other: Table, all_copies: bool) -> Table:
+        left, right = self.df, self._aligned(other).df
+        if left.isStreaming or right.isStreaming:
+            from ..streaming.stateful import Intersect
+
+            df = Intersect.of(left, right, all_copies, self.schema.names)
+        else:
+            df = (sets.intersect_all if all_copies else sets.intersect)(left, right)
+        return self._next(df, self.schema)
+
     def intersect(self, other: Table) -> Table:
-        return self._next(sets.intersect(self.df, self._aligned(other).df), self.schema)
+        return self._common(other, False)
 
     def intersect_all(self, other: Table) -> Table:
-        return self._next(sets.intersect_all(self.df, self._aligned(other).df), self.schema)
+        return self._common(other, True)
 
 
 class Query(Table):

@@ -80,10 +80,6 @@ class InputFileConfiguration:
             if self.schema[self.time_col] is not DataType.ISO8601:
                 raise TypeError("a time column has type ISO8601")
 
-    @property
-    def watermark(self) -> str:
-        return f"{self.delay.us if self.delay else 0} microseconds"
-
 
 def read_files(spark: SparkSession, config: InputFileConfiguration, streaming: bool = False) -> DataFrame:
     """The source's rows in its schema's types.

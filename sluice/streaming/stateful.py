@@ -73,14 +73,20 @@ class _IntersectStep:
 
 
 class Intersect:
-    """Intersection of two streams with the same columns."""
+    """Intersection of two streams with the same columns.
+
+    `keys` are the columns that make rows equal, by default all; a row that is
+    emitted is the one that completed the pair.  State stays for ever unless a
+    ttl is given.
+    """
 
     @staticmethod
-    def of(left: DataFrame, right: DataFrame, all_copies: bool = False) -> DataFrame:
+    def of(left: DataFrame, right: DataFrame, all_copies: bool = False, keys: list[str] | None = None, ttl_ms: int | None = None) -> DataFrame:
         columns = left.columns
         both = left.withColumn("__side", F.lit(0)).unionByName(right.select(*columns).withColumn("__side", F.lit(1)))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
-        return apply_keyed(both, columns, KeyedFold(_IntersectStep(columns, all_copies), [0, 0, 0], columns), schema)
+        fold = KeyedFold(_IntersectStep(columns, all_copies), [0, 0, 0], columns, ttl_ms=ttl_ms)
+        return apply_keyed(both, keys or columns, fold, schema)
 
 
 class _CountStep:

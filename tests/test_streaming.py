@@ -190,3 +190,71 @@ def test_wrong_branch_is_an_error(spark):
     a, b = blocks.split(spark.range(3), F.col("id").cast("int"), 2)
     with pytest.raises(Exception, match="branch outside"):
         a.count() + b.collect().__len__()
+
+
+def _thirds(i):
+    return (i, "abc"[i % 3]) if i % 5 else None
+
+
+def test_generated_rows(spark):
+    from sluice.sources import generated, register
+
+    register(spark, "thirds", _thirds, "i long, letter string")
+    expected = sorted(_thirds(i) for i in range(50) if i % 5)
+    assert sorted(tuple(r) for r in generated(spark, "thirds", 50).collect()) == expected
+    table = name()
+    q = generated(spark, "thirds", 50, streaming=True, per_batch=20).writeStream.format("memory").queryName(table).start()
+    for _ in range(4):
+        q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table(table).collect()) == expected
+
+
+def test_sinks_and_monitor(spark, tmp_path):
+    from sluice.sinks import to_batches, to_function
+    from sluice.streaming import Monitor
+
+    seen = []
+    to_batches(spark.range(5), lambda df, n: seen.append((n, df.count())))
+    assert seen == [(0, 5)]
+    to_function(spark.range(5), lambda frame: None)
+    monitor = Monitor().start(spark)
+    q = to_batches(raw(spark, csv(tmp_path / "in", ROWS)), lambda df, n: seen.append((n, df.count())), str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    import time
+
+    for _ in range(50):
+        if str(q.id) in monitor.ended:
+            break
+        time.sleep(0.1)
+    monitor.stop(spark)
+    assert seen[-1] == (0, len(ROWS)) and monitor.figures[str(q.id)]["rows_in"] == len(ROWS)
+
+
+def test_allowed_lateness_keeps_rows(spark, tmp_path):
+    folder = csv(tmp_path / "in", [("a", 1, 100)])
+    env = TableEnvironment(spark, policy=TimePolicy.EVENT_TIME, time_baseline=BASE, streaming=True, allowed_lateness=Duration.seconds(60))
+    t = env.table_from_file(InputFileConfiguration(folder, FileFormat.CSV, SCHEMA, order=True, time_col="t"))
+    table = name()
+    q = t.group_by("k", window=Window.createTBWindow(Duration.seconds(10))).select("k", sum("v").alias("s")).dataframe().writeStream.format("memory").queryName(table).start()
+    q.processAllAvailable()
+    csv(folder, [("a", 4, 50)])
+    q.processAllAvailable()
+    csv(folder, [("end", 0, 10_000)])
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["s"] for r in spark.table(table).collect()) == [1, 4]
+
+
+def test_intersect_of_streaming_tables(spark, tmp_path):
+    folder, other = csv(tmp_path / "l", [("a", 1, 1), ("b", 2, 2)]), csv(tmp_path / "r", [("a", 1, 9), ("c", 2, 2)])
+    env, left = make(spark, folder, True)
+    right = env.table_from_file(InputFileConfiguration(other, FileFormat.CSV, SCHEMA, order=True, time_col="t"), "right")
+    found = left.select("k", "v").intersect(right.select("k", "v")).dataframe()
+    assert [tuple(r) for r in run_available(found, name(), checkpoint=str(tmp_path / "c")).collect()] == [("a", 1)]
+
+
+def test_distinct_within_a_time(spark, tmp_path):
+    env, t = make(spark, csv(tmp_path / "in", [("a", 1, 1), ("a", 1, 1), ("b", 2, 2)]), True, Duration.seconds(5))
+    assert len(run_available(t.distinct(within=Duration.seconds(5)).dataframe(), name()).collect()) == 2
