@@ -185,38 +185,76 @@ def _keys(similarity: float, size: int):
     return run
 
 
-def _buckets():
+_BUCKET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+
+
+def _pairs(key: np.ndarray, name: np.ndarray) -> pa.RecordBatch | None:
+    """All pairs within each bucket of sorted small buckets, once each."""
+    left, right = [], []
+    for step in range(1, SMALL_BUCKET):
+        i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        left.append(name[i])
+        right.append(name[i + step])
+    if not left:
+        return None
+    a, b = np.concatenate(left), np.concatenate(right)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    once = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+    return pa.record_batch([pa.array(low[once]), pa.array(high[once]), pa.nulls(int(once.sum()), pa.int64())], schema=_BUCKET)
+
+
+def _members(key: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(name), pa.nulls(len(name), pa.int64()), pa.array(key)], schema=_BUCKET)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (key, class) rows to pairs of small buckets and rows of large ones.
 
     A pair row has b set; a row of a large bucket has b null and a bucket key.
+    Between batches at most SMALL_BUCKET rows are kept, however large a bucket.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["key"]):
-            key, name = table.column("key").to_numpy(), table.column("class_id").to_numpy()
-            new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
-            key, name = key[new], name[new]
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            count = np.diff(np.r_[at, len(key)])
-            left, right = [], []
-            for step in range(1, SMALL_BUCKET):
-                i = np.flatnonzero((key[step:] == key[:-step]) & np.repeat(count <= SMALL_BUCKET, count)[step:])
-                left.append(name[i])
-                right.append(name[i + step])
-            a, b = np.concatenate(left), np.concatenate(right)
-            if len(a):
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                order = np.lexsort((high, low))
-                low, high = low[order], high[order]
-                once = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
-                low, high = low[once], high[once]
-                yield pa.record_batch([pa.array(low), pa.array(high), pa.nulls(len(low), pa.int64())], schema=schema)
-            big = np.repeat(count > SMALL_BUCKET, count)
-            if big.any():
-                yield pa.record_batch([pa.array(name[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(key[big])], schema=schema)
-
-    return run
+    held_key = held_name = np.zeros(0, dtype=np.int64)
+    passing: int | None = None  # the large bucket that the last batch ended in
+    for batch in batches:
+        key = np.concatenate([held_key, batch.column(0).to_numpy()])
+        name = np.concatenate([held_name, batch.column(1).to_numpy()])
+        if not len(key):
+            continue
+        if passing is not None:
+            n = int(np.searchsorted(key, passing, side="right"))
+            if n:
+                yield _members(key[:n], name[:n])
+                key, name = key[n:], name[n:]
+            if not len(key):
+                held_key, held_name = key, name
+                continue
+            passing = None
+        new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
+        key, name = key[new], name[new]
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[at, len(key)])
+        each = np.repeat(count, count)
+        end = int(at[-1])  # the last bucket may go on in the next batch
+        big = each > SMALL_BUCKET
+        if big.any():
+            yield _members(key[big], name[big])
+        small = ~big
+        small[end:] = False
+        pairs = _pairs(key[small], name[small])
+        if pairs is not None:
+            yield pairs
+        if big[-1]:
+            passing = int(key[-1])
+            held_key, held_name = key[:0], name[:0]
+        else:
+            held_key, held_name = key[end:], name[end:]
+    pairs = _pairs(held_key, held_name)
+    if pairs is not None:
+        yield pairs
 
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -412,7 +450,7 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
     )
     keys = docs.select(F.col(text).alias("text")).mapInArrow(_keys(similarity, size), "key long, class_id long")
     dealt = keys.repartition("key").sortWithinPartitions("key", "class_id")
-    found = cut(dealt.mapInArrow(_buckets(), "a long, b long, key long"))
+    found = cut(dealt.mapInArrow(_buckets, "a long, b long, key long"))
 
     side = one.select("class_id", "n_shingles", "sketch")
     pairs = found.where("b is not null").select("a", "b").distinct()

@@ -27,7 +27,7 @@ TRAIN_PER_LANGUAGE = 250
 BUCKETS = 1 << 16
 PREFIXES, SUFFIXES, INNER = (2, 3), (2, 3, 4), 3
 EPOCHS, BATCH_TEXTS, RATE = 3, 40, 0.4
-SLICE = 6 << 20
+FEATURE_BYTES, CHAIN_BYTES = 1 << 19, 2 << 20
 
 #: A word is a run of ASCII letters and non-ASCII bytes.
 IS_BREAK = np.ones(256, dtype=bool)
@@ -159,20 +159,39 @@ class Crf:
                 self.moves += RATE * g / np.sqrt(move_squares)
 
     def label(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
-        """(rows, mean language probabilities by text, by word, words) of each slice."""
+        """(rows, mean language probabilities by text, by word, words) of each slice.
+
+        Features are made slice by slice; the chain then runs over CHAIN_BYTES
+        of text together, as its cost is in steps more than in words.
+        """
         buf, offsets = byte_view(column)
-        for lo, hi in slices(offsets, SLICE):
+        held: list[tuple[int, int, Words, np.ndarray]] = []
+        for lo, hi in slices(offsets, FEATURE_BYTES):
             w = Words(lowered(buf[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo], IS_BREAK)
-            text = w.text_of()
-            if self.languages:
-                p, _ = self.marginals(self.emissions(w)[0], w.first)
-            else:
-                p = np.zeros((len(text), 0))
+            emission = self.emissions(w)[0] if self.languages else np.zeros((len(w.start), 0), dtype=np.float32)
+            w.forget()
+            held.append((lo, hi, w, emission))
+            if offsets[hi] - offsets[held[0][0]] >= CHAIN_BYTES:
+                yield from self._chained(held)
+                held = []
+        if held:
+            yield from self._chained(held)
+
+    def _chained(self, held: list[tuple[int, int, Words, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
+        k = len(self.languages)
+        begin = np.r_[0, np.cumsum([len(e) for *_, e in held])]
+        if k:
+            first = np.concatenate([w.first[:-1] + b for (_, _, w, _), b in zip(held, begin)] + [begin[-1:]])
+            p, _ = self.marginals(np.concatenate([e for *_, e in held]), first)
+        else:
+            p = np.zeros((begin[-1], 0))
+        for (lo, hi, w, _), b in zip(held, begin):
+            own, text = p[b : b + len(w.start)], w.text_of()
             size = np.maximum(np.diff(w.first), 1)
-            mean = np.zeros((hi - lo, len(self.languages)))
-            for c in range(len(self.languages)):
-                mean[:, c] = np.bincount(text, weights=p[:, c], minlength=hi - lo) / size
-            yield lo, hi, mean, p, w
+            mean = np.zeros((hi - lo, k))
+            for c in range(k):
+                mean[:, c] = np.bincount(text, weights=own[:, c], minlength=hi - lo) / size
+            yield lo, hi, mean, own, w
 
 
 def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

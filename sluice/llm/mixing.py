@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .textcore import cut
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Sweeps at most, sweeps between two writes of the cell table, error that ends them.
-SWEEPS, BETWEEN, TOLERANCE = 12, 3, 1e-6
+#: Sweeps, sweeps between two writes of the cell table, rounds that deal out what full cells can't take.
+SWEEPS, BETWEEN, WATER_ROUNDS = 12, 3, 6
 #: Cells up to this number are sent to all tasks for the last join; beyond it, the join shuffles.
 BROADCAST_CELLS = 50_000
 #: Share of all tokens to keep, and the exponent that tempers the present shares to default targets.
@@ -95,13 +95,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
                 marginal = F.sum("weight").over(Window.partitionBy(d))
                 fitted = fitted.withColumn("weight", F.when(marginal > 0, F.col("weight") * F.col(f"t_{d}") / marginal).otherwise(0.0))
         fitted = cut(fitted)
-        gap = fitted.groupBy(DIMENSIONS[0]).agg(F.abs(F.sum("weight") - F.first(f"t_{DIMENSIONS[0]}")).alias("gap"))
-        if (gap.agg(F.max("gap")).head()[0] or 0.0) <= TOLERANCE:
-            break
     return fitted
 
 
-def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = 6) -> DataFrame:
+def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = WATER_ROUNDS) -> DataFrame:
     """Adds `probability`: of keeping a document of the cell, at most 1.
 
     A cell wants scale * weight tokens; where that is more than it has it gives
@@ -127,8 +124,9 @@ def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = 6) -> Data
 
 
 def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) fixed by the id and the seed."""
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) fixed by the id and the seed: 52 bits of an md5."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temper: float = TEMPER, seed: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -162,5 +160,5 @@ def op5_mixing_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"),
-        F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"),
+        F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"),
     )

@@ -1,4 +1,4 @@
-"""Queries of the training-data operators, by name."""
+"""Queries of the training-data operators, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from .jaccard_join import op10_ngram_jaccard_join
 from .language_crf import op8_language_id
 from .license_scan import op2_license_scans
 from .mixing import op5_mixing_sources
+from .oracles import ORACLE_SQL
 from .packing import op7_packing
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -26,6 +27,4 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-#: None of the ten has a method that plain SQL can express; they are held
-#: against brute force in tests/llm instead.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

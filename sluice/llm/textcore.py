@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once (a longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -128,6 +128,10 @@ class Words:
     def code(self) -> np.ndarray:
         return self.span_code(self.start, self.end)
 
+    def forget(self) -> None:
+        """Drops the prefix sums; they come back when a hash is asked for."""
+        self._sums = None
+
     def text_of(self) -> np.ndarray:
         """Index of the text that each word belongs to."""
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))

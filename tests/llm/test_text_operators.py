@@ -85,6 +85,26 @@ def test_chunks_of_large_buckets(spark, monkeypatch):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(found)
 
 
+def test_buckets_across_batches():
+    """Small buckets give all their pairs and large ones all their rows, wherever batches end."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    sizes = [1, 2, 24, 25, 60, 3, 1, 300, 5]
+    rows = sorted((k, int(n)) for k, size in enumerate(sizes) for n in rng.choice(10_000, size, replace=False))
+    rows = sorted(rows + rows[::7])  # repeated rows
+    for step in (1, 3, 24, 25, 26, 100, 1000):
+        batches = [pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step])], names=["key", "class_id"]) for i in range(0, len(rows), step)]
+        out = [r for b in jaccard_join._buckets(iter(batches)) for r in b.to_pylist()]
+        by = {k: sorted({n for key, n in rows if key == k}) for k in range(len(sizes))}
+        pairs = {p for k in by if len(by[k]) <= 24 for p in itertools.combinations(by[k], 2)}
+        assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == pairs
+        large = {(r["key"], r["a"]) for r in out if r["b"] is None}
+        assert large == {(k, n) for k in by if len(by[k]) > 24 for n in by[k]}
+
+
 def test_prefix_of_blocks_meets_for_every_linked_pair():
     """The pigeonhole lemma, by trial: linked sets share a key."""
     import numpy as np
