@@ -136,11 +136,12 @@ class TableEnvironment:
         self._numbers[kind] = self._numbers.get(kind, 0) + 1
         return f"{kind}_{self._numbers[kind]}"
 
-    def _register(self, table: Table) -> Table:
+    def _register(self, table: Table, named: bool) -> Table:
+        """Tables with a name of their own are SQL views too."""
         if table.table_id in self._tables:
             raise ValueError(f"the name {table.table_id!r} is taken")
         self._tables[table.table_id] = table
-        if not table.df.isStreaming:
+        if named and not table.df.isStreaming:
             table.dataframe().createOrReplaceTempView(table.table_id.replace(" ", "_").replace("-", "_"))
         return table
 
@@ -163,20 +164,20 @@ class TableEnvironment:
         table_id = name or self._new_id("source_stream_file")
         df = self._stamped(read_files(self.spark, config, self.streaming), config.time_col, config.delay)
         self._sources[table_id] = config
-        return self._register(Table(self, table_id, config.schema, df))
+        return self._register(Table(self, table_id, config.schema, df), name is not None)
 
     def table_from_kafka(self, source: KafkaSource, name: str | None = None, time_col: str | None = None, delay: Duration | None = None) -> Table:
         table_id = name or self._new_id("source_stream_kafka")
         df = source.read(self.spark, self.streaming)
         self._sources[table_id] = source
-        return self._register(Table(self, table_id, Schema.from_spark(df.schema), self._stamped(df, time_col, delay)))
+        return self._register(Table(self, table_id, Schema.from_spark(df.schema), self._stamped(df, time_col, delay)), name is not None)
 
     def table_from_dataframe(self, df: DataFrame, name: str | None = None, time_col: str | None = None, delay: Duration | None = None) -> Table:
         """Any DataFrame whose column types have a logical type."""
         table_id = name or self._new_id("source_dataframe")
         df = df.select(*(instant(self.spark, f.name, f.dataType) for f in df.schema.fields))
         schema = Schema.from_spark(df.schema)
-        return self._register(Table(self, table_id, schema, self._stamped(df, time_col, delay)))
+        return self._register(Table(self, table_id, schema, self._stamped(df, time_col, delay)), name is not None)
 
     def get_table(self, name: str) -> Table:
         if name not in self._tables:
@@ -190,7 +191,7 @@ class TableEnvironment:
 
     def create_query(self, query: Query, name: str | None, kind: str = "query") -> Query:
         query = Query(self, name or self._new_id(kind), query.schema, query.df)
-        return self._register(query)  # type: ignore[return-value]
+        return self._register(query, name is not None)  # type: ignore[return-value]
 
     def execute(self, query: Table, output_dir: str | Path = ".", sync: bool = False, output_mode: str = "append", checkpoint: str | None = None) -> JobHandle:
         """Writes the query's rows as CSV with a header to <output_dir>/<name>_output.

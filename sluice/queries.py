@@ -24,6 +24,23 @@ EVENTS_BASE = "2024-01-01T00:00:00.000Z"
 ORDERS_BASE = "1995-01-01T00:00:00.000Z"
 H = 3_600_000_000
 
+#: Declared schemas of the driver's tables: sources declare what they hold, so nothing is inferred.
+TABLES = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -47,7 +64,7 @@ def timed(spark: SparkSession, base: str = EVENTS_BASE, **options) -> TableEnvir
 
 
 def table(env: TableEnvironment, sf_dir: str, name: str, *columns: str, time_col: str | None = None) -> Table:
-    df = env.spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read(env.spark, sf_dir, name)
     return env.table_from_dataframe(df.select(*columns) if columns else df, time_col=time_col)
 
 
@@ -62,7 +79,7 @@ def cents(name: str) -> object:
 
 def events(env: TableEnvironment, sf_dir: str, *columns: str) -> Table:
     """events with the value in whole cents."""
-    df = env.spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    df = read(env.spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", cents("value").alias("cents")
     )
     return env.table_from_dataframe(df.select(*columns) if columns else df, time_col="ts" if env.policy is TimePolicy.EVENT_TIME else None)
@@ -128,7 +145,7 @@ def agg_all(spark, sf_dir):
 @query("select l_returnflag, l_linestatus, count(*) as n, min(l_quantity) as lo, max(l_extendedprice) as hi, cast(sum(cast(l_quantity as bigint)) as bigint) as qty from lineitem group by all")
 def agg_keyed(spark, sf_dir):
     env = plain(spark)
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
+    df = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
     return env.table_from_dataframe(df).group_by("l_returnflag", "l_linestatus").select(
         "l_returnflag", "l_linestatus", count().alias("n"), min("l_quantity").alias("lo"), max("l_extendedprice").alias("hi"), sum("q").alias("qty")
     ).dataframe()
@@ -385,6 +402,22 @@ def nx_q5(spark, sf_dir):
     return counts.join(most, ["hits"], Interval(Duration.hours(0), Duration.hours(0))).select("user_id", "hits").dataframe()
 
 
+@query("select l_orderkey, l_extendedprice * 0.87 as price_eur, l_suppkey, epoch_us(l_shipdate) as shipped from lineitem")
+def nx_q1(spark, sf_dir):
+    t = table(timed(spark, ORDERS_BASE), sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_suppkey", "l_shipdate", time_col="l_shipdate")
+    q = t.select("l_orderkey", (col("l_extendedprice") * 0.87).alias("price_eur"), "l_suppkey", "l_shipdate")
+    return q.dataframe().withColumn("shipped", F.unix_micros("l_shipdate")).drop("l_shipdate")
+
+
+@query("select l_partkey, l_extendedprice from lineitem where l_partkey in (7, 20, 101, 119, 187)")
+def nx_q2(spark, sf_dir):
+    t = table(plain(spark), sf_dir, "lineitem", "l_partkey", "l_extendedprice")
+    condition = col("l_partkey") == 7
+    for k in (20, 101, 119, 187):
+        condition = condition | (col("l_partkey") == k)
+    return t.where(condition).select("l_partkey", "l_extendedprice").dataframe()
+
+
 @query("select c_name, c_mktsegment, o_orderkey from customer join orders on c_custkey = o_custkey where (c_mktsegment = 'BUILDING' or c_mktsegment = 'MACHINERY') and o_orderstatus = 'O'")
 def nx_q3(spark, sf_dir):
     env = plain(spark)
@@ -432,7 +465,7 @@ def nx_q20(spark, sf_dir):
 
 # -- building blocks ---------------------------------------------------------
 def _event_rows(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return read(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", cents("value").alias("cents"), "ts"
     ).withColumn(EVENT_TIME, instant(spark, "ts", T.TimestampNTZType())).drop("ts")
 
@@ -445,7 +478,7 @@ def map_filter(spark, sf_dir):
 
 @query("select doc_id, unnest(string_split(lang || ' ' || source || ' ' || cast(n_chars as varchar), ' ')) as piece from documents")
 def flat_map(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return rows.flat_map(docs, F.split(F.concat_ws(" ", "lang", "source", "n_chars"), " "), name="piece").select("doc_id", "piece")
 
 
@@ -509,7 +542,7 @@ def split_merge(spark, sf_dir):
 @query("select cast(c_custkey as varchar) as id, cast(c_nationkey as bigint) as nation, true as flag from customer")
 def typed_literals(spark, sf_dir):
     env = plain(spark)
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("decimal(20,0)").alias("id"), F.col("c_nationkey").alias("n"))
+    df = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("decimal(20,0)").alias("id"), F.col("c_nationkey").alias("n"))
     return env.table_from_dataframe(df).select("id", (col("n") + lit(0, DataTypes.BIGINT)).alias("nation"), lit(True).alias("flag")).dataframe().withColumn("id", F.col("id").cast("string"))
 
 
