@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import byte_view
+from .textcore import byte_view, map_batches
 
 #: Payload bytes come in multiples of this.
 ALIGN = 64
@@ -218,7 +218,7 @@ def media_columns(docs: DataFrame, wanted: tuple[str, ...] = tuple(FIELDS), text
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{c} {FIELDS[c]}" for c in wanted)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_describe(tuple(wanted)), schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(map_batches, _describe(tuple(wanted)), schema)
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textcore import cut, mix, runs, windows, word_slices
+from .textcore import cut, map_batches, mix, runs, windows, word_slices
 
 EDGE, RATIO = 8, 4
 #: Buckets up to this size are compared at once, larger ones by chunks.
@@ -437,7 +437,7 @@ def _deal(rows: DataFrame) -> DataFrame:
 def shingle_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, n_shingles, sketch); class_id null where a text has no word."""
     out = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, class_id long, n_shingles long, sketch binary"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_classes(similarity, size), out)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(map_batches, _classes(similarity, size), out)
 
 
 def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -448,20 +448,20 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
     one = classes.where("class_id is not null").groupBy("class_id").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")
     )
-    keys = docs.select(F.col(text).alias("text")).mapInArrow(_keys(similarity, size), "key long, class_id long")
+    keys = docs.select(F.col(text).alias("text")).transform(map_batches, _keys(similarity, size), "key long, class_id long")
     dealt = keys.repartition("key").sortWithinPartitions("key", "class_id")
-    found = cut(dealt.mapInArrow(_buckets, "a long, b long, key long"))
+    found = cut(dealt.transform(map_batches, _buckets, "a long, b long, key long"))
 
     side = one.select("class_id", "n_shingles", "sketch")
     pairs = found.where("b is not null").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(side.toDF(c, f"n_{c}", f"s_{c}"), c)
-    close = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_pair_filter(similarity), "a long, b long")
+    close = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").transform(map_batches, _pair_filter(similarity), "a long, b long")
 
     large = found.where("b is null").select(F.col("key").alias("grp"), F.col("a").alias("class_id"))
     counts = large.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("pieces"))
     wide = large.join(counts, "grp").join(side, "class_id")
-    coarse_links = cut(close.union(_deal(wide).mapInArrow(_chunks(similarity, False), "a long, b long")))
+    coarse_links = cut(close.union(_deal(wide).transform(map_batches, _chunks(similarity, False), "a long, b long")))
 
     coarse = components(coarse_links)
     group = one.join(coarse.select(F.col("node").alias("class_id"), F.col("label").alias("grp")), "class_id")
@@ -470,10 +470,10 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
     )
     group = group.join(load, "grp")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(group, "doc_id").mapInArrow(
-        _payload(size), "grp long, pieces long, class_id long, n_shingles long, sketch binary, shingles binary"
+    rows = texts.join(group, "doc_id").transform(
+        map_batches, _payload(size), "grp long, pieces long, class_id long, n_shingles long, sketch binary, shingles binary"
     )
-    return _deal(rows).mapInArrow(_chunks(similarity, True), "a long, b long")
+    return _deal(rows).transform(map_batches, _chunks(similarity, True), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

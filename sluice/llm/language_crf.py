@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcore import Words, byte_view, slices, split_code
+from .textcore import Words, byte_view, map_batches, slices, split_code
 
-#: Training rows of each language at most (drawn by a hash of the id).
-TRAIN_PER_LANGUAGE = 250
+#: Training rows of each language at most (drawn by a hash of the id), of texts
+#: up to TRAIN_CHARS long, for the LANGUAGES most frequent values.
+TRAIN_PER_LANGUAGE, TRAIN_CHARS, LANGUAGES = 250, 20_000, 64
 BUCKETS = 1 << 16
 PREFIXES, SUFFIXES, INNER = (2, 3), (2, 3, 4), 3
 EPOCHS, BATCH_TEXTS, RATE = 3, 40, 0.4
@@ -204,9 +205,10 @@ def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> Crf:
-    """A model from at most per_language rows of each non-null language value."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("l")).count().collect()}
+    """A model from at most per_language rows of each frequent non-null language value."""
+    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) <= TRAIN_CHARS))
+    frequent = rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
+    counts = {r[0]: r[1] for r in frequent.collect()}
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(8)), F.lit(1_000_000))
     share = F.lit(0)
     for value, n in sorted(counts.items()):
@@ -261,7 +263,7 @@ def annotate(docs: DataFrame, model: Crf, text: str = "text", lang_name: str = "
         *(rows.schema.fields[i] for i in kept), T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType()),
     ])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared, at, kept, schema.names), schema)
+    return rows.transform(map_batches, _predict(shared, at, kept, schema.names), schema)
 
 
 def identify(docs: DataFrame, model: Crf, held_out: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -303,7 +305,7 @@ def label_words(docs: DataFrame, model: Crf, text: str = "text", doc_id: str = "
     kind = docs.schema[doc_id].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_label_words(shared), f"doc_id {kind}, word_start array<int>, word_end array<int>, word_lang array<string>")
+    return rows.transform(map_batches, _label_words(shared), f"doc_id {kind}, word_start array<int>, word_end array<int>, word_lang array<string>")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

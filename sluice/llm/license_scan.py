@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import byte_view
+from .textcore import byte_view, map_batches
 
 #: The base phrases and their labels.
 BASE_PHRASES = {
@@ -222,8 +222,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     other columns are ignored, an empty table gives an empty table.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _scan, f"doc_id {kind}, n_words long, base_starts array<long>, base_labels array<string>, labels array<string>, score double"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(
+        map_batches, _scan, f"doc_id {kind}, n_words long, base_starts array<long>, base_labels array<string>, labels array<string>, score double"
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcore import Words, byte_view, cut, slices
+from .textcore import Words, byte_view, cut, map_batches, slices
 
 CONTEXT = 4096
 UNIT = 8
@@ -288,7 +288,7 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, cls int" + ", ids array<int>" * with_ids
-    pieces = cut(rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), context, unit, with_ids), schema))
+    pieces = cut(rows.transform(map_batches, _pieces(tokenizer or default_tokenizer(), context, unit, with_ids), schema))
     parts = pieces.groupBy(F.spark_partition_id().alias("part"), "cls").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for c, n in parts.groupBy("cls").agg(F.sum("n")).collect():  # at most `capacity` rows
@@ -296,10 +296,10 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     tables = docs.sparkSession.sparkContext.broadcast(_tables(plan(counts, capacity)))
     before = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", "cls", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.mapInArrow(_ranked(capacity), f"{schema}, nth long").withColumn("part", F.spark_partition_id())
+    ranked = pieces.transform(map_batches, _ranked(capacity), f"{schema}, nth long").withColumn("part", F.spark_partition_id())
     ranked = ranked.join(offsets, ["part", "cls"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    placed = ranked.mapInArrow(_placed(tables), f"{fields}, sequence_id long")
+    placed = ranked.transform(map_batches, _placed(tables), f"{fields}, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("cls"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import IS_SPACE, Words, mix, split_code, windows, word_slices
+from .textcore import IS_SPACE, Words, map_batches, mix, split_code, windows, word_slices
 
-#: Labelled rows that training reads at most (drawn by a hash of the id).
-TRAIN_ROWS = 4000
+#: Labelled rows that training reads at most (drawn by a hash of the id), and
+#: the longest text among them.
+TRAIN_ROWS, TRAIN_CHARS = 4000, 50_000
 BUCKETS = 1 << 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.001, 0.01
@@ -122,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     order = F.xxhash64(F.col("id").cast("string"), F.lit(4))
     # the ids are chosen before the texts are touched
     chosen = mark.join(docs.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi").orderBy(order, "id").limit(rows)
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    short = docs.where(F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS)
+    found = short.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     found = found.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
     found = sorted(found, key=lambda r: (hash_order(r["id"]), r["id"]))
     return train([r["text"] for r in found], [int(r["y"]) for r in found])
@@ -158,7 +160,7 @@ def score_quality(docs: DataFrame, model: Model, held_out: Column | None = None,
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.lit(None).cast("boolean") if held_out is None else held_out
     rows = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, score double")
+    return rows.transform(map_batches, _score(shared), f"doc_id {kind}, held_out boolean, score double")
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

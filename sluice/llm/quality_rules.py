@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import IS_SPACE, Words, byte_view, slices, windows
+from .textcore import IS_SPACE, Words, byte_view, map_batches, slices, windows
 
-#: Rows of the sample from which the order of rules is estimated.
-SAMPLE_ROWS = 400
+#: Rows of the sample from which the order of rules is estimated, and the
+#: longest text in it (rules judge all texts whole; only their order is estimated).
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 50_000
 
 #: The symbols that n_symbols counts.
 SYMBOLS = b"#*$%&|<>"
@@ -153,7 +154,7 @@ def rank_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list
 
 def plan(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, rules: tuple[Rule, ...] = RULES) -> list[str]:
     """Names of the rules in cascade order, from at most sample_rows rows."""
-    sample = [r[0] for r in docs.select(F.col(text)).limit(sample_rows).collect()]
+    sample = [r[0] for r in docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(text)).limit(sample_rows).collect()]
     return [name for name, _, _ in rank_rules(sample, rules)]
 
 
@@ -216,7 +217,7 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tu
     order = plan(docs, text, sample_rows, rules)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = f"doc_id {kind}, {SCHEMA}" if counts else f"doc_id {kind}, kept boolean, rejected_by string"
-    return rows.mapInArrow(_judge(order, rules, counts), out)
+    return rows.transform(map_batches, _judge(order, rules, counts), out)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, cut, mix, split_code, word_slices
+from .textcore import Words, cut, map_batches, mix, split_code, word_slices
 
 DEPTH = 5
-MIN_SHARE = 2e-5
+MIN_SHARE = 5e-6
 HEAD = 1 << 19
 #: Weight of the shorter context's distribution, in observations.
 PRIOR = 6.0
@@ -226,7 +226,7 @@ def build_tree(depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, co
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, key, n): counts of words (kind 0) and of symbol strings (kind 1) over all rows."""
-    return docs.select(F.col(text).alias("text")).mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).transform(map_batches, _count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def learn_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> Tree:
@@ -308,8 +308,8 @@ def lm_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str
     context = docs.sparkSession.sparkContext
     tree = context.broadcast(learn_tree(counts))
     head = context.broadcast((known, np.log10((c + 0.1) / floor), float(np.log10((ends + 0.1) / floor))))
-    scored = cut(rows.mapInArrow(
-        _score(tree, head, floor),
+    scored = cut(rows.transform(
+        map_batches, _score(tree, head, floor),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, name long, words array<long>, times array<int>",
     ))
     tail = scored.select("name", F.explode(F.arrays_zip("words", "times")).alias("w")).select("name", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

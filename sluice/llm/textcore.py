@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
@@ -165,6 +166,22 @@ def split_code(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+#: Arrow batches that Spark hands to Python, in bytes; its own default is as below.
+BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def map_batches(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow with batches bounded by bytes.
+
+    Texts differ in length by orders of magnitude, so rows don't bound memory.
+    A session that sets the limit itself keeps its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY).rstrip("b") == str(_BATCH_DEFAULT):
+        conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def ensure_checkpoint_dir(df: DataFrame) -> None:
     """Keep the cluster's checkpoint folder; set one only where none is set."""
     context = df.sparkSession.sparkContext
