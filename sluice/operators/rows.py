@@ -124,6 +124,26 @@ def route_broadcast(df: DataFrame, largest: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= largest else df
 
 
+def with_storage(df: DataFrame, func: Callable[[Frame, dict, dict], Frame], schema: str) -> DataFrame:
+    """func(batch, storage, context) on pandas batches.
+
+    `storage` is a dict that lives as long as the task, `context` tells its
+    partition and attempt.  A task that is repeated begins with an empty
+    storage, so results must not depend on what other tasks stored.
+    """
+
+    def run(batches: Iterator[Frame]) -> Iterator[Frame]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        context = {"partition": task.partitionId(), "attempt": task.attemptNumber()}
+        storage: dict = {}
+        for batch in batches:
+            yield func(batch, storage, context)
+
+    return df.mapInPandas(run, schema)
+
+
 # -- windows -----------------------------------------------------------------
 def keyed_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, func: Callable[[Frame], dict], schema: str) -> DataFrame:
     """A function on each whole window of a key, which it gets as a pandas frame in time order.

@@ -186,6 +186,17 @@ def test_pipes(spark):
     assert sorted(graph.run()) == [4, 8]
 
 
+def _numbered_rows(batch, storage, context):
+    first = storage.get("n", 0)
+    storage["n"] = first + len(batch)
+    return batch.assign(n=range(first, first + len(batch)), part=context["partition"])
+
+
+def test_storage_lives_with_the_task(spark):
+    found = blocks.with_storage(spark.range(0, 40, 1, 2), _numbered_rows, "id long, n long, part int").collect()
+    assert {r["part"] for r in found} == {0, 1} and sorted(r["n"] for r in found if r["part"] == 1) == list(range(20))
+
+
 def test_wrong_branch_is_an_error(spark):
     a, b = blocks.split(spark.range(3), F.col("id").cast("int"), 2)
     with pytest.raises(Exception, match="branch outside"):
