@@ -486,7 +486,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     whole numbers.  component_id is the smallest doc_id reachable by links.
     Repeated rows give repeated rows; other columns of docs are ignored; an
     empty table gives an empty table.  Rows with a null doc_id keep a null
-    id and take part, but do not name a component.
+    id and never name a component; a set that only such rows have is linked
+    with nothing.
     """
     classes = cut(shingle_classes(docs, size, similarity, text, doc_id))
     links = cut(class_links(docs, classes, size, similarity, text, doc_id))
@@ -502,8 +503,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: of each component the smallest doc_id stays.
 
-    Rows that repeat a kept id stay, as they are the same document; rows with
-    a null id stay, as nothing tells them apart.
+    All rows of an id stay or go together, and they go if one of them would;
+    rows with a null id stay, as nothing tells them apart.
     """
     found = jaccard_components(docs, size, similarity)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
