@@ -2,12 +2,16 @@
 
 The tree predicts a text symbol by symbol (UTF-8 bytes of the lower-cased
 words, one space between words, an end symbol).  Its contexts are the symbol
-strings of up to DEPTH symbols whose share of the training symbols is at least
-MIN_SHARE, so there are at most DEPTH / MIN_SHARE of them whatever the corpus
-holds, and of these the ones that pass a divergence test against the next
-shorter context (with their suffixes).  Next-symbol distributions are smoothed
-towards the shorter context's.  Scoring finds each position's longest suffix
-state by walking the tree with one array step per depth.
+strings of up to DEPTH symbols seen at least MIN_COUNT times, so they grow with
+the corpus, and of these the ones that pass a divergence test against the next
+shorter context (with their suffixes; contexts of up to CORE symbols all stay).
+Next-symbol distributions are smoothed towards the shorter context's.
+
+Contexts longer than CORE are built by tasks, group by group of the last GROUP
+symbols, and stay a distributed table of one row a group.  Scoring takes the
+groups in parts of at most PART_ENTRIES probabilities (a group is never cut),
+broadcasts one part after the other, and each position is scored in the pass
+that holds its group.  One pass is enough while the tree fits a part.
 
 Word counts cover the whole corpus and are never collected: words with a share
 of at least 1 / HEAD of all training tokens (at most HEAD of them) are sent to
@@ -23,15 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, cut, map_batches, mix, split_code, word_slices
+from .textcore import Words, cut, map_batches, mix, runs, split_code, word_slices
 
-DEPTH = 5
-MIN_SHARE = 5e-6
+#: Longest context; 8 is the most that a 64-bit key holds with the next symbol.
+DEPTH = 6
+#: Times that a context must have been seen, whatever the size of the corpus.
+MIN_COUNT = 16
+#: Contexts up to CORE symbols go with every part; groups are named by GROUP symbols.
+CORE, GROUP = 2, 3
+#: Probabilities of one broadcast part (12 bytes each in a task).
+PART_ENTRIES = 1 << 22
 HEAD = 1 << 19
 #: Weight of the shorter context's distribution, in observations.
 PRIOR = 6.0
 #: Distinct keys that a task counts before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 21
 BITS = 7
 END_WORD = np.int64(-0x6A09E667F3BCC909)
 
@@ -107,9 +117,6 @@ class _Counter:
         if len(keys):
             self.parts.append(np.unique(keys, return_counts=True))
             self.size += len(self.parts[-1][0])
-            if self.size > 2 * HELD and len(self.parts) > 1:
-                self.parts = [self.merged()]
-                self.size = len(self.parts[0][0])
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
@@ -119,6 +126,14 @@ class _Counter:
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
+    def full(self) -> bool:
+        """Whether more than HELD distinct keys are held; merges when that many have come in."""
+        if self.size > 2 * HELD and len(self.parts) > 1:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
+            return self.size > HELD
+        return self.size > 2 * HELD
+
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         out = self.merged()
         self.parts, self.size = [], 0
@@ -143,14 +158,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[0].add(np.r_[_word_codes(w), np.full(len(first) - 1, END_WORD)])
             held[1].add(grams(symbols, first))
             for kind in (0, 1):
-                if held[kind].size > HELD:
+                if held[kind].full():
                     yield rows(kind)
     for kind in (0, 1):
         yield rows(kind)
 
 
 class Tree:
-    """child[node, older symbol] (0: none; the root is 1) and log10 p[node, symbol]."""
+    """The dense form of a small tree: child[node, older symbol] (0: none; the root is 1) and log10 p[node, symbol]."""
 
     def __init__(self, child: np.ndarray, logp: np.ndarray):
         self.child, self.logp = child.astype(np.int32), logp.astype(np.float32)
@@ -229,23 +244,219 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).transform(map_batches, _count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def learn_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> Tree:
-    """The tree of the symbol-string counts; at most depth / min_share + 1 contexts reach the driver."""
+def _turned(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Contexts of packed strings, the nearest symbol in the highest of depth * BITS bits."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    for k in range(1, depth + 1):
+        out |= ((keys >> (BITS * k)) & ((1 << BITS) - 1)) << (BITS * (depth - k))
+    return out
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
+class Level:
+    """Contexts of one depth: entries (context << BITS | symbol, probability), sorted,
+    and of each context its first entry, total and whether it stays."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, shorter: tuple[np.ndarray, np.ndarray], min_count: int):
+        keys, n = _summed(keys, n)
+        name = keys >> BITS
+        first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(keys)])
+        total = np.add.reduceat(n, first) if len(first) else n
+        often = total >= min_count
+        keep = np.repeat(often, size)
+        self.keys, n, self.total, self.size = keys[keep], n[keep], total[often], size[often]
+        self.first = np.r_[0, np.cumsum(self.size)][:-1].astype(np.int64)
+        self.name = self.keys[self.first] >> BITS
+        # a context seen often enough has all its suffixes, with the same next symbols
+        base = shorter[1][np.searchsorted(shorter[0], ((self.keys >> (2 * BITS)) << BITS) | (self.keys & ((1 << BITS) - 1)))] if len(self.keys) else np.zeros(0)
+        all_of = np.repeat(self.total, self.size)
+        self.p = (n + PRIOR * base) / (all_of + PRIOR)
+        gain = np.add.reduceat(n * np.log(n / all_of / base), self.first) if len(self.first) else np.zeros(0)
+        self.stays = gain >= 0.5 * self.size * np.log(np.maximum(self.total, 2))
+
+
+def _state(name: np.ndarray, d: int, depth: int) -> np.ndarray:
+    """A context's name: its symbols, the nearest highest, and its depth."""
+    return (name << (BITS * (depth - d) + 4)) | d
+
+
+class Part:
+    """States (sorted names, log10 weight of the shorter one) and their entries
+    (state number << BITS | symbol, log10 probability)."""
+
+    def __init__(self, states: np.ndarray, back: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, logp: np.ndarray, depth: int):
+        order = np.argsort(states, kind="stable")
+        self.depth, self.states, self.back = depth, states[order], back[order]
+        number = np.empty(len(states), dtype=np.int64)
+        number[order] = np.arange(len(states))
+        entries = (np.repeat(number, sizes) << BITS) | symbols
+        by = np.argsort(entries, kind="stable")
+        self.entries, self.logp = entries[by], logp[by]
+        self.deepest = int((self.states & 15).max())
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each packed string."""
+        out = np.zeros(len(keys))
+        turned = _turned(keys, self.depth)
+        order = np.argsort(turned, kind="stable")
+        turned, symbol = turned[order], keys[order] & ((1 << BITS) - 1)
+        left, sought = np.arange(len(keys)), np.zeros(len(keys), dtype=bool)
+        for d in range(self.deepest, -1, -1):
+            name = _state(turned[left] >> (BITS * (self.depth - d)), d, self.depth)
+            at = np.minimum(np.searchsorted(self.states, name), len(self.states) - 1)
+            is_state = self.states[at] == name
+            at, on = at[is_state], left[is_state]
+            entry = (at << BITS) | symbol[on]
+            spot = np.minimum(np.searchsorted(self.entries, entry), len(self.entries) - 1)
+            seen = self.entries[spot] == entry
+            out[on] += np.where(seen, self.logp[spot], self.back[at])
+            sought[on[seen]] = True
+            left = left[~sought[left]]
+            if not len(left):
+                break
+        result = np.empty(len(keys))
+        result[order] = out
+        return result
+
+    def score(self, symbols: np.ndarray, shares: np.ndarray, first: np.ndarray, owner: np.ndarray | None, nth: int) -> np.ndarray:
+        """Each text's sum of log10 probabilities over the positions that part nth owns."""
+        if len(first) < 2:
+            return np.zeros(0)
+        keys, at = np.unique(grams(symbols, first, self.depth), return_inverse=True)
+        if owner is None:
+            p = self.logs(keys)[at] + shares
+        else:
+            own = owner[(keys >> BITS) & ((1 << (BITS * GROUP)) - 1)] == nth
+            p = np.zeros(len(keys))
+            p[own] = self.logs(keys[own])
+            p = p[at] + np.where(own[at], shares, 0.0)
+        return np.add.reduceat(p, first[:-1])
+
+
+def _rows_of(levels: list[tuple[int, Level, np.ndarray]], depth: int) -> tuple[np.ndarray, ...]:
+    """(states, back, sizes, symbols, logp) of the contexts of some levels that a mask picks."""
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for d, level, mask in levels:
+        inside = np.repeat(mask, level.size)
+        for held, x in zip(out, (
+            _state(level.name[mask], d, depth), np.log10(PRIOR / (level.total[mask] + PRIOR)), level.size[mask],
+            level.keys[inside] & ((1 << BITS) - 1), np.log10(level.p[inside]),
+        )):
+            held.append(x)
+    kinds = (np.int64, np.float32, np.int32, np.uint8, np.float32)
+    return tuple(np.concatenate([np.zeros(0), *x]).astype(k) if k != np.int64 else np.concatenate([np.zeros(0, np.int64), *x]) for x, k in zip(out, kinds))
+
+
+def _grow(core, depth: int, min_count: int):
+    """Strings sorted by group to one row of states a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shorter_core = core.value
+        for table in runs(batches, ["g"]):
+            of = table.column("g").to_numpy()
+            edges = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)]
+            keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                turned, symbol, shorter = _turned(keys[lo:hi], depth), keys[lo:hi] & ((1 << BITS) - 1), shorter_core
+                levels: list[tuple[int, Level]] = []
+                for d in range(GROUP, depth + 1):
+                    level = Level(((turned >> (BITS * (depth - d))) << BITS) | symbol, n[lo:hi], shorter, min_count)
+                    if not len(level.name):
+                        break
+                    levels.append((d, level))
+                    shorter = level.keys, level.p
+                for (_, level), (_, longer) in zip(levels[-2::-1], levels[:0:-1]):
+                    level.stays |= np.isin(level.name, longer.name[longer.stays] >> BITS)
+                found = _rows_of([(d, level, level.stays) for d, level in levels], depth)
+                if len(found[0]):
+                    row = [pa.array([int(of[lo])], pa.int64()), pa.array([len(found[3])], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in found)]
+                    yield pa.record_batch(row, names=["g", "n", "states", "back", "sizes", "symbols", "logp"])
+
+    return run
+
+
+class Forest:
+    """The whole tree: its core here, its groups in a distributed table, and the part of each group."""
+
+    def __init__(self, core: tuple[np.ndarray, ...], groups: DataFrame, depth: int):
+        self.core, self.groups, self.depth = core, groups, depth
+        sizes = groups.select("g", "n").toPandas().sort_values("g")
+        name, upto = sizes["g"].to_numpy(dtype=np.int64), 0
+        part, nth = np.zeros(len(name), dtype=np.int32), 0
+        for i, n in enumerate(sizes["n"].tolist()):
+            if upto and upto + n > PART_ENTRIES:
+                nth, upto = nth + 1, 0
+            part[i] = nth
+            upto += n
+        self.name, self.of, self.parts = name, part, nth + 1
+
+    def owner(self) -> np.ndarray | None:
+        """The part of every group, 0 for groups without states; None if there is one part."""
+        if self.parts == 1:
+            return None
+        out = np.zeros(1 << (BITS * GROUP), dtype=np.int32)
+        out[self.name] = self.of
+        return out
+
+    def part(self, nth: int) -> Part:
+        own = self.name[self.of == nth]
+        rows = self.groups.where(F.col("g").between(int(own[0]), int(own[-1]))).drop("n").toPandas() if len(own) else None
+        kinds = {"states": np.int64, "back": np.float32, "sizes": np.int32, "symbols": np.uint8, "logp": np.float32}
+        found = [
+            np.concatenate([mine, np.frombuffer(b"".join(rows[c]), dtype=k)]) if rows is not None else mine
+            for mine, (c, k) in zip(self.core, kinds.items())
+        ]
+        return Part(*found, depth=self.depth)
+
+
+def learn_tree(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT) -> Forest:
+    """The tree of the symbol-string counts.
+
+    Only strings of CORE + 1 symbols and the sizes of the groups reach the
+    driver, both bounded by the alphabet, and then one part at a time.
+    """
     found = counts.where("kind = 1")
-    total = found.agg(F.sum("n")).head()[0] or 0
-    cut_depth = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    rows = found.select(cut_depth.alias("d"), "key", "n").select(
-        "d",
-        F.expr(f"cast(key >> {BITS} as bigint) & (shiftleft(1L, {BITS} * d) - 1)").alias("context"),
-        F.expr(f"key & {(1 << BITS) - 1}").alias("symbol"),
-        "n",
-    ).groupBy("d", "context", "symbol").agg(F.sum("n").alias("n"))
-    large = rows.groupBy("d", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= F.lit(min_share * total))
-    kept = rows.join(large.drop("all"), ["d", "context"]).toPandas()
-    return build_tree(*(kept[c].to_numpy(dtype=np.int64) for c in ("d", "context", "symbol", "n")), depth=depth)
-
-
-def _score(tree, head, floor: float):
+    short = found.groupBy(F.expr(f"key & {(1 << (BITS * (CORE + 1))) - 1}").alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    keys, n = short["key"].to_numpy(dtype=np.int64), short["n"].to_numpy(dtype=np.int64)
+    symbol, wide = keys & ((1 << BITS) - 1), 1 << BITS
+    root = np.bincount(symbol, weights=n, minlength=wide) + 0.5
+    root /= root.sum()
+    turned, shorter = _turned(keys, CORE), (np.arange(wide), root)
+    levels = []
+    for d in range(1, CORE + 1):
+        level = Level(((turned >> (BITS * (CORE - d))) << BITS) | symbol, n, shorter, min_count)
+        levels.append((d, level, np.ones(len(level.name), dtype=bool)))
+        shorter = level.keys, level.p
+    own = _rows_of(levels, depth)
+    first = (np.zeros(1, np.int64), np.zeros(1, np.float32), np.full(1, wide, np.int32), np.arange(wide, dtype=np.uint8), np.log10(root).astype(np.float32))
+    core = tuple(np.concatenate([a, b]) for a, b in zip(first, own))
+    shared = counts.sparkSession.sparkContext.broadcast(shorter)
+    group = F.expr(f"(key >> {BITS}) & {(1 << (BITS * GROUP)) - 1}").alias("g")
+    dealt = found.select(group, "key", "n").repartition("g").sortWithinPartitions("g")
+    schema = "g long, n long, states binary, back binary, sizes binary, symbols binary, logp binary"
+    return Forest(core, cut(dealt.transform(map_batches, _grow(shared, depth, min_count), schema)), depth)
+
+
+def _score_part(tree, owner, nth: int):
+    """(text) to (name, part): what part nth adds to the scores of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, w in word_slices(batch.column(0), lower=True):
+                score = tree.value.score(*symbol_stream(w), owner.value, nth)
+                yield pa.record_batch([pa.array(text_names(w)), pa.array(score)], names=["name", "part"])
+
+    return run
+
+
+def _score(tree, owner, head, floor: float):
     """(doc_id, held_out, text) to scores, and the words that head doesn't hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +465,7 @@ def _score(tree, head, floor: float):
             for lo, hi, w in word_slices(batch.column(2), lower=True):
                 n = hi - lo
                 symbols, shares, first = symbol_stream(w)
-                score = model.score(symbols, shares, first)
+                score = model.score(symbols, shares, first, owner.value, 0)
                 code, text_of = _word_codes(w), w.text_of()
                 spot = np.searchsorted(known, code)
                 spot[spot == len(known)] = 0
@@ -306,12 +517,22 @@ def lm_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str
     known, c = frequent["word"].to_numpy(dtype=np.int64)[order], frequent["c"].to_numpy(dtype=np.float64)[order]
     ends = words.where(F.col("word") == int(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
     context = docs.sparkSession.sparkContext
-    tree = context.broadcast(learn_tree(counts))
+    tree = learn_tree(counts)
+    owner, part = context.broadcast(tree.owner()), context.broadcast(tree.part(0))
     head = context.broadcast((known, np.log10((c + 0.1) / floor), float(np.log10((ends + 0.1) / floor))))
     scored = cut(rows.transform(
-        map_batches, _score(tree, head, floor),
+        map_batches, _score(part, owner, head, floor),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, name long, words array<long>, times array<int>",
     ))
+    more = None
+    for nth in range(1, tree.parts):
+        part.unpersist()
+        part = context.broadcast(tree.part(nth))
+        added = cut(rows.select("text").transform(map_batches, _score_part(part, owner, nth), "name long, part double").groupBy("name").agg(F.max("part").alias("part")))
+        more = added if more is None else more.union(added)
+    if more is not None:
+        sums = more.groupBy("name").agg(F.sum("part").alias("part"))
+        scored = scored.join(sums, "name").withColumn("score", F.col("score") + F.col("part")).drop("part")
     tail = scored.select("name", F.explode(F.arrays_zip("words", "times")).alias("w")).select("name", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     # a text's rare words come once for each of its copies, hence the division
     tails = tail.join(words, "word", "left").groupBy("name").agg(

@@ -331,6 +331,38 @@ def test_tree_is_a_distribution_over_texts():
         assert states[i] == best
 
 
+def test_contexts_do_not_need_a_share_of_the_corpus(spark):
+    """40 sightings teach a context, longer than 5 symbols, however large the corpus is."""
+    rng = random.Random(4)
+    plain = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(5000))
+    texts = [(i, plain) for i in range(300)] + [(1000 + i, "jqqqqqv") for i in range(40)] + [(2000 + i, "kqqqqqw") for i in range(40)]
+    asked = [(5000, "jqqqqqv"), (5001, "jqqqqqw")]
+    df = spark.createDataFrame(texts + asked, "doc_id long, text string")
+    got = rows(suffix_tree.lm_scores(df, F.col("doc_id") >= 5000).where("held_out"))
+    assert got[5000]["train_tokens"] > 1_000_000
+    assert got[5000]["score"] > got[5001]["score"] + 0.5
+
+
+def test_parts_of_the_tree_give_the_same_scores(spark, texts, monkeypatch):
+    """Scores of a tree in many parts equal those of one part, and every state is a distribution."""
+    import numpy as np
+
+    df = spark.createDataFrame(list(texts.items())[:80], "doc_id long, text string")
+    held = suffix_tree.split_code() % 10 == 0
+    whole = rows(suffix_tree.lm_scores(df, held))
+    counts = suffix_tree.cut(suffix_tree.corpus_counts(df))
+    tree = suffix_tree.learn_tree(counts)
+    part = tree.part(0)
+    assert tree.parts == 1 and part.deepest == suffix_tree.DEPTH
+    sample = [r[0] for r in counts.where("kind = 1").select("key").orderBy("key").limit(200).collect()]
+    keys = ((np.array(sample) >> 7) << 7)[:, None] | np.arange(128)
+    assert np.allclose((10.0 ** part.logs(keys.ravel())).reshape(keys.shape).sum(axis=1), 1, atol=1e-4)
+    monkeypatch.setattr(suffix_tree, "PART_ENTRIES", len(part.entries) // 4)
+    assert suffix_tree.learn_tree(counts).parts > 2
+    for k, r in rows(suffix_tree.lm_scores(df, held)).items():
+        assert r["score"] == pytest.approx(whole[k]["score"], rel=1e-9)
+
+
 def test_scores_on_edges(edge, empty):
     got = rows(suffix_tree.lm_scores(edge, F.col("doc_id") == 6))
     expected, n = brute.unigrams(dict(EDGE), lambda k: k == 6)
