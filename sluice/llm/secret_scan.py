@@ -30,14 +30,20 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 #: Bits per symbol from which a window counts, by class of the candidate.
-CLASSES = (("hex", "^[0-9a-f]+$", 2.9), ("upper", "^[A-Z0-9]+$", 3.3), ("mixed", "", 3.6))
-#: Harmless forms: UUIDs, words or numbers joined by marks, placeholders, repeated symbols.
-ALLOWED = (
+CLASSES = (("hex", "^[0-9a-f]+$", 2.9), ("upper", "^[A-Z0-9]+=*$", 3.3), ("mixed", "", 3.6))
+#: Harmless forms of a whole piece: UUIDs, words or numbers joined by marks.
+FORMS = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[-+/_=]*([A-Za-z]+|[0-9]+)([-+/_=]+([A-Za-z]+|[0-9]+))*[-+/_=]*$",
-    r"(?i)(example|sample|placeholder|changeme|dummy|x{4,})",
+)
+#: Harmless stretches, cut out of a run: a part between marks that names a placeholder; repeated symbols.
+STRETCHES = (
+    r"(?i:(?<![a-z0-9])[a-z0-9]*(?:example|sample|placeholder|changeme|dummy)[a-z0-9]*)",
+    r"(?i:x{4,})",
     r"(.)\1{5,}",
 )
+ALLOWED = FORMS + STRETCHES
+MARKS = "-+/_="
 
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -108,21 +114,39 @@ def with_secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `secret_spans`: array of (start, rank, end, kind), by start, then kind.
 
     A null or empty text has an empty array.  Base spans of different kinds may
-    overlap each other; an entropy span that touches a base span is left out.
+    overlap each other.  Base spans and harmless stretches are cut out of a
+    candidate run and each piece that is left is scanned, so an entropy span
+    touches no base span, and a run's other secrets are still found.
     An existing column of that name is replaced; others pass through.
     """
     whole = "coalesce(__text, '')"
-    allowed = " OR ".join(f"substring({whole}, c.start + 1, c.end - c.start) RLIKE {_quoted(p)}" for p in ALLOWED)
+    part = lambda a, b: f"substring({whole}, {a} + 1, {b} - {a})"
+    harmless = _found(part("c.start", "c.end"), "|".join(STRETCHES), 3)
+    pieces = f"""
+      element_at(transform(array(array_sort(concat(
+        transform(filter(__base, b -> b.start < c.end AND c.start < b.end),
+          b -> named_struct('a', greatest(b.start, c.start), 'b', least(b.end, c.end))),
+        transform({harmless}, h -> named_struct('a', c.start + h.start, 'b', c.start + h.end))))), k ->
+      aggregate(concat(k, array(named_struct('a', c.end, 'b', c.end))),
+        named_struct('at', c.start, 'out', cast(array() as array<struct<a:int,b:int>>)),
+        (s, h) -> named_struct('at', greatest(s.at, h.b), 'out',
+          if(h.a > s.at, concat(s.out, array(named_struct('a', s.at, 'b', h.a))), s.out)), s -> s.out)), 1)"""
+    # marks at a cut belong to neither side
+    trimmed = f"""transform({pieces}, p -> named_struct(
+      'start', if(p.a > c.start, p.b - length(trim(LEADING '{MARKS}' FROM {part('p.a', 'p.b')})), p.a),
+      'end', if(p.b < c.end, p.a + length(trim(TRAILING '{MARKS}' FROM {part('p.a', 'p.b')})), p.b)))"""
+    allowed = " OR ".join(f"{part('c.start', 'c.end')} RLIKE {_quoted(p)}" for p in FORMS)
     base = docs.drop("secret_spans").withColumn("__text", F.col(text)).withColumn(
         "__base",
         F.expr(f"concat({_found(whole, ASSIGN, 0, MIN_ASSIGNED)}, {_found(whole, ACCESS, 1)}, {_found(whole, HEX, 2)})"),
     ).withColumn("__candidates", F.expr(_found(whole, CANDIDATE, 3)))
     clear = base.withColumn("__candidates", F.expr(
-        f"filter(__candidates, c -> NOT exists(__base, b -> b.start < c.end AND c.start < b.end) AND NOT ({allowed}))"
+        f"filter(flatten(transform(__candidates, c -> {trimmed})), c -> c.end - c.start >= {WINDOW}"
+        f" AND {part('c.start', 'c.end')} RLIKE '[0-9]' AND NOT ({allowed}))"
     ))
     scanned = clear.withColumn("__entropy", F.expr(
         "flatten(transform(__candidates, c -> transform("
-        + _windows(f"substring({whole}, c.start + 1, c.end - c.start)")
+        + _windows(part("c.start", "c.end"))
         + ", r -> named_struct('start', c.start + r.a, 'rank', 3, 'end', c.start + r.b))))"
     ))
     kinds = "array(" + ", ".join(map(_quoted, KINDS)) + ")"
