@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 
 from .textcore import Words, byte_view, map_batches, slices, split_code
 
-#: Training rows of each language at most (drawn by a hash of the id), of texts
-#: up to TRAIN_CHARS long, for the LANGUAGES most frequent values.
-TRAIN_PER_LANGUAGE, TRAIN_CHARS, LANGUAGES = 250, 20_000, 64
+#: Training rows of each language at most, the first by a hash; of all languages
+#: together TRAIN_ROWS (but LEAST_ROWS of each), so that many languages have fewer
+#: rows each.  Texts up to TRAIN_CHARS long come first; where a language has too
+#: few of them, longer ones teach by their first TRAIN_CHARS.
+TRAIN_PER_LANGUAGE, TRAIN_CHARS, TRAIN_ROWS, LEAST_ROWS = 250, 20_000, 16_000, 8
 BUCKETS = 1 << 16
 PREFIXES, SUFFIXES, INNER = (2, 3), (2, 3, 4), 3
 EPOCHS, BATCH_TEXTS, RATE = 3, 40, 0.4
@@ -167,12 +169,13 @@ class Crf:
         """
         buf, offsets = byte_view(column)
         held: list[tuple[int, int, Words, np.ndarray]] = []
-        for lo, hi in slices(offsets, FEATURE_BYTES):
+        many = max(1, len(self.languages) // 16)
+        for lo, hi in slices(offsets, FEATURE_BYTES // many):
             w = Words(lowered(buf[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo], IS_BREAK)
             emission = self.emissions(w)[0] if self.languages else np.zeros((len(w.start), 0), dtype=np.float32)
             w.forget()
             held.append((lo, hi, w, emission))
-            if offsets[hi] - offsets[held[0][0]] >= CHAIN_BYTES:
+            if offsets[hi] - offsets[held[0][0]] >= CHAIN_BYTES // many:
                 yield from self._chained(held)
                 held = []
         if held:
@@ -204,24 +207,52 @@ def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _least_levels(counts: list, wanted: int) -> dict[tuple[str, bool], int]:
+    """(language, long) to the level from which rows are drawn: enough for `wanted` of a
+    language, all of them if it has fewer, and long texts for what short ones leave."""
+    by: dict[str, dict[bool, dict[int, int]]] = {}
+    for value, long, level, n in counts:
+        by.setdefault(value, {}).setdefault(long, {})[level] = n
+    out = {}
+    for value, kinds in by.items():
+        left = wanted
+        for long in (False, True):
+            got = 0
+            for level in sorted(kinds.get(long, {}), reverse=True):
+                if got >= left:
+                    break
+                got += kinds[long][level]
+                out[value, long] = level
+            left -= min(got, left)
+    return out
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> Crf:
-    """A model from at most per_language rows of each frequent non-null language value."""
-    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) <= TRAIN_CHARS))
-    frequent = rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
-    counts = {r[0]: r[1] for r in frequent.collect()}
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(8)), F.lit(1_000_000))
-    share = F.lit(0)
-    for value, n in sorted(counts.items()):
-        # two times what is wanted, so that chance leaves enough; the rest is cut below
-        share = F.when(F.col(lang) == value, int(min(1.0, 2 * per_language / n) * 1_000_000)).otherwise(share)
-    found = sorted(rows.where(draw < share).select(draw, F.col(doc_id).cast("string"), lang, text).collect(), key=lambda r: (r[0], r[1] or "", r[3]))
-    languages = sorted(counts)
-    taken, texts, labels = dict.fromkeys(languages, 0), [], []
-    for r in found:
-        if taken[r[2]] < per_language:
-            taken[r[2]] += 1
-            texts.append(r[3])
-            labels.append(languages.index(r[2]))
+    """A model of every non-null language value that has a text, from at most per_language rows of each."""
+    code = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text), F.lit(8))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("l"), (F.length(text) > TRAIN_CHARS).alias("long"), code.alias("draw"),
+        F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t"),
+    ).withColumn("level", F.expr("64 - if(draw = 0, 0, length(bin(draw)))"))
+    # one row in two has at least level 1, one in four level 2, and so on
+    counts = [tuple(r) for r in rows.groupBy("l", "long", "level").count().collect()]
+    languages = sorted({r[0] for r in counts})
+    wanted = min(per_language, max(LEAST_ROWS, TRAIN_ROWS // max(len(languages), 1)))
+    alike: dict[tuple[bool, int], list[str]] = {}
+    for (value, long), level in _least_levels(counts, wanted).items():
+        alike.setdefault((long, level), []).append(value)
+    chosen = F.lit(False)
+    for (long, level), values in sorted(alike.items()):
+        chosen = chosen | ((F.col("long") == long) & (F.col("level") >= level) & F.col("l").isin(values))
+    # equal rows have equal draws; one of them teaches
+    drawn = rows.where(chosen).select("l", "long", "draw", "id", F.substring("t", 1, TRAIN_CHARS).alias("t")).distinct()
+    taken, found = dict.fromkeys(languages, 0), []
+    for r in sorted(drawn.collect(), key=lambda r: (r["long"], r["draw"], r["id"] or "", r["t"])):
+        if taken[r["l"]] < wanted:
+            taken[r["l"]] += 1
+            found.append(r)
+    found.sort(key=lambda r: (r["draw"], r["id"] or "", r["t"]))
+    texts, labels = [r["t"] for r in found], [languages.index(r["l"]) for r in found]
     model = Crf(languages)
     if len(languages) > 1:
         model.learn(texts, np.array(labels))

@@ -441,6 +441,21 @@ def test_language_on_edges(spark, edge, empty, sf_dir):
     assert same.columns[-2:] == ["lang_pred", "lang_score"] and same.count() == len(EDGE)
 
 
+def test_every_language_is_learned(spark):
+    """The 70th language, and one that has only long texts, have their training rows."""
+    rng = random.Random(3)
+    word = lambda i: "".join(chr(97 + (i * 7 + rng.randrange(3)) % 26) for _ in range(4)) + chr(97 + i % 26) + chr(97 + i // 26)
+    data = [(f"l{i:02}", " ".join(word(i) for _ in range(30))) for i in range(70) for _ in range(6 if i < 69 else 3)]
+    data += [("long", "омнибус летит далеко " * 1100)] * 2
+    df = spark.createDataFrame([(k, text, lang) for k, (lang, text) in enumerate(data)], "doc_id long, text string, lang string")
+    model = language_crf.fit(df)
+    assert model.languages == sorted({lang for lang, _ in data})
+    got = rows(language_crf.identify(df.where("lang IN ('l69', 'long')"), model))
+    assert all(r["lang_pred"] == data[k][0] for k, r in got.items())
+    levels = language_crf._least_levels([("a", False, 0, 10**9), ("a", False, 9, 300), ("b", False, 0, 3), ("b", True, 1, 9), ("b", True, 0, 9)], 10)
+    assert levels == {("a", False): 9, ("b", False): 0, ("b", True): 1}
+
+
 def test_code_switched_words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_crf.fit(docs)
