@@ -26,8 +26,8 @@ CONTEXT = 4096
 UNIT = 8
 END = 2
 GAP = 5e-4
-#: Distinct words whose ids a worker keeps.
-CACHE = 1 << 20
+#: Distinct words whose ids a worker keeps, and their bytes together.
+CACHE, CACHE_BYTES = 1 << 18, 16 << 20
 
 
 def default_tokenizer() -> str:
@@ -58,39 +58,40 @@ class WordTokenizer:
         return cls.loaded[path]
 
     def clear(self) -> None:
-        self.codes = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
+        self.number: dict[bytes, int] = {}
+        self.held = 0
+        self.begin = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, w: Words, words: np.ndarray, codes: np.ndarray) -> None:
-        if len(self.codes) + len(codes) > CACHE:
-            self.clear()
-        raw = w.buf.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[words].tolist(), w.end[words].tolist())]
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [x.decode("utf-8", "replace") for x in words]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        at = len(self.ids) + np.r_[0, np.cumsum(size)][:-1]
         self.ids = np.r_[self.ids, np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(size.sum()))]
-        codes, at, size = np.r_[self.codes, codes], np.r_[self.at, at], np.r_[self.size, size]
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.at, self.size = codes[order], at[order], size[order]
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(size)]
+        self.held += sum(map(len, words))
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts with END after each, first id of each text plus the end)."""
-        code = w.code
-        distinct, example, inverse = np.unique(code, return_index=True, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.codes, distinct), max(len(self.codes) - 1, 0))
-        known = self.codes[spot] == distinct if len(self.codes) else np.zeros(len(distinct), dtype=bool)
-        if not known.all():
-            before = len(self.codes)
-            fresh = ~known
-            if before + fresh.sum() > CACHE:
-                self.clear()
-                fresh = np.ones(len(distinct), dtype=bool)
-            self._learn(w, example[fresh], distinct[fresh])
-            spot = np.searchsorted(self.codes, distinct)
-        at, size = self.at[spot][inverse], self.size[spot][inverse]
+        """(ids of all texts with END after each, first id of each text plus the end).
+
+        Hashes only bring equal words of the slice together; words are looked
+        up by their bytes, and unlike words of one hash are kept apart.
+        """
+        _, example, inverse = np.unique(w.code, return_index=True, return_inverse=True)
+        unlike = np.flatnonzero(~w.same(np.arange(len(inverse)), example[inverse]))
+        inverse[unlike] = len(example) + np.arange(len(unlike))
+        example = np.r_[example, unlike]
+        raw = w.buf.tobytes()
+        words = [raw[a:b] for a, b in zip(w.start[example].tolist(), w.end[example].tolist())]
+        new = dict.fromkeys(x for x in words if x not in self.number)
+        if len(self.number) + len(new) > CACHE or self.held > CACHE_BYTES:
+            self.clear()
+            new = dict.fromkeys(words)
+        if new:
+            self._learn(list(new))
+        spot = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        at, size = self.begin[spot][inverse], (self.begin[spot + 1] - self.begin[spot])[inverse]
         # one more id after each text's last word
         n_texts = len(w.offsets) - 1
         upto = np.r_[0, np.cumsum(size)]

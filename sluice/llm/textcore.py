@@ -9,6 +9,7 @@ whole texts, at least one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,6 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 #: White space as the word rules of these operators define it: 0x20, 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -39,23 +39,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Random 64-bit value of each byte, for polynomial hashes.
-BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-
-
-class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
-
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n + 1:
-            size = max(n + 1, SLICE_BYTES + 1)
-            cls.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE)], dtype=np.uint64)
-            cls.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _INVERSE)], dtype=np.uint64)
-        return cls.up, cls.down
+#: Spans up to this many bytes are hashed together, longer ones by BLAKE2.
+LONG_SPAN = 96
+_LANE, _SEED = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
+#: The bytes of an 8-byte chunk that belong to a span of 0 to 8 more bytes.
+_PART = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,30 +96,69 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self._sums: np.ndarray | None = None
+        self._chunks: np.ndarray | None = None
 
     @property
-    def sums(self) -> np.ndarray:
-        """Prefix sums of the polynomial hash over bytes."""
-        if self._sums is None:
-            up, _ = _Powers.get(len(self.buf))
-            out = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-            np.cumsum(BYTE_CODE[self.buf] * up[: len(self.buf)], dtype=np.uint64, out=out[1:])
-            self._sums = out
-        return self._sums
+    def chunks(self) -> np.ndarray:
+        """The 8 bytes from each position on, as a number (a view; zeros follow the end)."""
+        if self._chunks is None:
+            padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+            self._chunks = np.ndarray((len(self.buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+        return self._chunks
 
     def span_code(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes start..end, the same wherever they stand."""
-        _, down = _Powers.get(len(self.buf))
-        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
+        """Hash of the bytes start..end, the same wherever they stand.
+
+        Chunks of 8 bytes go one after the other into two lanes that are no
+        linear function of them, so equal hashes can't be put together from
+        parts; a span of at most 8 bytes shares its hash with none of its length.
+        """
+        size = end - start
+        out = mix(size.astype(np.uint64) * _BASE + _SEED)
+        left = np.flatnonzero(size <= LONG_SPAN)
+        chunk = self.chunks[start[left]] & _PART[np.minimum(size[left], 8)]
+        out[left] = mix(out[left] ^ chunk)
+        several = size[left] > 8
+        left, lane = left[several], chunk[several] * _LANE
+        for at in range(8, LONG_SPAN, 8):
+            if not len(left):
+                break
+            chunk = self.chunks[start[left] + at] & _PART[np.minimum(size[left] - at, 8)]
+            out[left] = mix(out[left] ^ chunk)
+            lane = (lane ^ (lane >> np.uint64(29)) ^ chunk) * _LANE
+            done = size[left] <= at + 8
+            out[left[done]] = mix(out[left[done]] + (lane[done] ^ (lane[done] >> np.uint64(32))))
+            left, lane = left[~done], lane[~done]
+        long = np.flatnonzero(size > LONG_SPAN)
+        if len(long):
+            raw = memoryview(np.ascontiguousarray(self.buf))
+            digests = [blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist())]
+            out[long] = np.frombuffer(b"".join(digests), dtype="<u8")
+        return out
 
     @property
     def code(self) -> np.ndarray:
         return self.span_code(self.start, self.end)
 
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether words i and j have the same bytes."""
+        a, b, size = self.start[i], self.start[j], self.end[i] - self.start[i]
+        out = size == self.end[j] - b
+        left = np.flatnonzero(out & (a != b))
+        for at in range(0, LONG_SPAN, 8):
+            if not len(left):
+                return out
+            part = _PART[np.minimum(size[left] - at, 8)]
+            equal = ((self.chunks[a[left] + at] ^ self.chunks[b[left] + at]) & part) == 0
+            out[left[~equal]] = False
+            left = left[equal & (size[left] > at + 8)]
+        for k in left.tolist():
+            out[k] = np.array_equal(self.buf[a[k] : a[k] + size[k]], self.buf[b[k] : b[k] + size[k]])
+        return out
+
     def forget(self) -> None:
-        """Drops the prefix sums; they come back when a hash is asked for."""
-        self._sums = None
+        """Drops what is kept for hashing; it comes back when a hash is asked for."""
+        self._chunks = None
 
     def text_of(self) -> np.ndarray:
         """Index of the text that each word belongs to."""
@@ -166,34 +193,52 @@ def split_code(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
-#: Arrow batches that Spark hands to Python, in bytes; its own default is as below.
-BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+#: Arrow batches that Spark hands to Python, in bytes.
+BATCH_BYTES, _BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def map_batches(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow with batches bounded by bytes.
 
     Texts differ in length by orders of magnitude, so rows don't bound memory.
-    A session that sets the limit itself keeps its own.
+    The limit is a setting of the session: it is made where the session has
+    none, and one that is there stays, whatever its value.
     """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_KEY).rstrip("b") == str(_BATCH_DEFAULT):
-        conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+    spark = df.sparkSession
+    if not spark._jsparkSession.conf().contains(_BATCH_KEY) and not spark.sparkContext.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Keep the cluster's checkpoint folder; set one only where none is set."""
+    """Keep the cluster's checkpoint folder; set one only where none is set.
+
+    Without a setting, Spark in one process takes a folder of its own machine;
+    a cluster shares no such folder, so there the setting is missed.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="sluice-checkpoint-")
         context.setCheckpointDir(folder)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add that df has not, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df)

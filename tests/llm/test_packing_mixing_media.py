@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,21 @@ def test_packing_on_edges(edge):
         packing.pack_documents(edge, unit=7)
 
 
+def test_packing_tells_words_of_one_hash_apart(monkeypatch):
+    """Ids follow the words' bytes even where all hashes are equal, and a full cache begins anew."""
+    from sluice.llm import textcore
+
+    texts = ["alpha beta gamma alpha", "delta " * 30, "z" * 200 + " " + "z" * 199 + "y", None, "beta"]
+    monkeypatch.setattr(textcore.Words, "code", property(lambda w: np.zeros(len(w.start), dtype=np.uint64)))
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer())
+    for cache in (1 << 18, 2):
+        monkeypatch.setattr(packing, "CACHE", cache)
+        for _, _, w in textcore.word_slices(pa.array(texts, pa.string()), lower=False):
+            ids, first = tokenizer.encode(w)
+            for i, t in enumerate(texts):
+                assert ids[first[i] : first[i + 1]].tolist() == [*tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(0)
     counts = np.zeros(65, dtype=np.int64)

@@ -36,10 +36,58 @@ def empty(edge):
     return edge.limit(0)
 
 
+def thue_morse(n):
+    """Two texts of 2**n letters that every polynomial hash modulo 2**64 confuses."""
+    text = "a"
+    for _ in range(n):
+        text += text.translate({97: 98, 98: 97})
+    return text, text.translate({97: 98, 98: 97})
+
+
 def rows(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def test_hashes_of_spans():
+    """Different words have different hashes, equal ones equal hashes, at every length and place."""
+    import numpy as np
+
+    from sluice.llm import textcore
+
+    rng = random.Random(1)
+    words = {"".join(rng.choices("ab", k=rng.randint(1, 20))) for _ in range(50_000)}
+    words |= {"".join(rng.choices("abcdefgh", k=rng.randint(1, 300))) for _ in range(5000)}
+    for n in range(3, 13):
+        words |= set(thue_morse(n))
+    words = sorted(words)
+    shuffled = rng.sample(words, len(words))
+    for text in (" ".join(words), "  " + "\t".join(shuffled)):
+        found = list(textcore.word_slices(pa.array([text, *words[:50]], pa.string()), lower=False))
+        code = {w.buf[a:b].tobytes().decode(): c for _, _, w in found for a, b, c in zip(w.start.tolist(), w.end.tolist(), w.code.tolist())}
+        assert len(set(code.values())) == len(code) == len(words)
+        known = code if text == " ".join(words) else known
+        assert code == known
+    w = textcore.Words(np.frombuffer(b"ab ab abc " + b"x" * 200 + b" " + b"x" * 200 + b" " + b"x" * 199 + b"y", np.uint8), np.array([0, 612]))
+    i, j = np.array([0, 0, 3, 3, 2]), np.array([1, 2, 4, 5, 2])
+    assert w.same(i, j).tolist() == [True, False, True, False, True]
+
+
+def test_confusable_texts_stay_apart(spark):
+    """op3, op6 and op10 on texts that differ although simple hashes agree."""
+    a, b = thue_morse(11)
+    assert len(a) == 2048
+    cases = [(1, a), (2, b), (3, f"{a}\n{b}\n{a}"), (4, f"{a} x y {b} x y"), (5, f"{a} {b} c d e f"), (6, f"{b} {a} c d e f")]
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    full = rows(quality_rules.judge(df, counts=True))
+    for k, text in cases:
+        assert tuple(full[k][n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute.quality_counts(text)
+    got = rows(jaccard_join.jaccard_components(df))
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(dict(cases))
+    expected, n = brute.unigrams(dict(cases), lambda k: k == 2)
+    for k, r in rows(suffix_tree.lm_scores(df, F.col("doc_id") == 2)).items():
+        assert (r["n_tokens"], r["n_known"]) == expected[k][:2] and r["base_score"] == pytest.approx(expected[k][2], rel=1e-9)
+
+
 def test_components(spark, sf_dir, texts):
     got = rows(QUERIES["op10_ngram_jaccard_join"](spark, sf_dir))
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(texts)
