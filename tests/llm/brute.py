@@ -56,6 +56,34 @@ def base_secrets(text):
     return sorted(found)
 
 
+def all_secrets(text):
+    """Base spans and entropy spans, symbol by symbol."""
+    t = text or ""
+    base = base_secrets(t)
+    gone = [any(a <= i < b for a, _, b, _ in base) for i in range(len(t))] if base else [False] * len(t)
+    masked = "".join("\x01" if g else c for g, c in zip(gone, t))
+    harmless = r"(?i:(?<![a-z0-9])[a-z0-9]*(?:example|sample|placeholder|changeme|dummy)[a-z0-9]*)|(?i:x{4,})|(.)\1{5,}"
+    masked = re.sub(harmless, lambda m: "\x01" * len(m[0]), masked, flags=re.A)
+    masked = re.sub("(?<=\x01)[-+/_=]+|[-+/_=]+(?=\x01)", lambda m: "\x01" * len(m[0]), masked)
+    out = list(base)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", masked):
+        run = m[0]
+        uuid = re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run)
+        if not re.search("[0-9]", run) or uuid or not re.search("[A-Za-z][0-9]|[0-9][A-Za-z]", run):
+            continue
+        bits = 2.9 if re.fullmatch("[0-9a-f]+", run) else 3.3 if re.fullmatch("[A-Z0-9]+=*", run) else 3.6
+        merged = []
+        for i in range(len(run) - 19):
+            c = Counter(run[i : i + 20])
+            if -sum(n / 20 * math.log2(n / 20) for n in c.values()) >= bits - 1e-9:
+                if merged and merged[-1][1] >= i:
+                    merged[-1][1] = i + 20
+                else:
+                    merged.append([i, i + 20])
+        out += [(m.start() + a, 3, m.start() + b, "entropy") for a, b in merged]
+    return sorted(out)
+
+
 def secrets_sha(found):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in found).encode()).hexdigest()
 
