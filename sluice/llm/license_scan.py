@@ -2,15 +2,18 @@
 
 One automaton finds notice phrases and the words of an identifier tag in one
 pass over a text's normalised words.  After a tag the raw text holds a licence
-expression (AND, OR, WITH, brackets, trailing +), which a shunting-yard parser
-turns into postfix and evaluates: to the set of licences that it names and to
-whether terms that are all permissive can be chosen.
+expression (and, or, with, brackets, trailing +) of any length: its tokens are
+read while they can continue it, and a shunting-yard parser turns the longest
+well-formed part into postfix, which is evaluated to the licences that bind in
+any case, those that are one option of several, the exceptions granted, and
+whether all-permissive terms can be chosen.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +33,54 @@ NOTICE_PHRASES = {
     "mit license": "mit",
     "permission is hereby granted free of charge": "mit",
     "licensed under the apache license": "apache-2",
+    "apache software license": "apache-2",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl-2",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
     "redistribution and use in source and binary forms": "bsd",
     "bsd license": "bsd",
+    "isc license": "isc",
+    "permission to use copy modify and or distribute this software": "isc",
+    "boost software license": "bsl",
+    "zlib license": "zlib",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "sil open font license": "ofl",
+    "do what the fuck you want to public license": "wtfpl",
     "creative commons attribution": "cc-by",
+    "creative commons zero": "cc0",
     "cc by sa": "cc-by-sa",
+    "cc by nd": "cc-by-nd",
     "cc by 4 0": "cc-by",
+    "cc by 3 0": "cc-by",
     "cc0 1 0": "cc0",
+    "open data commons open database license": "odbl",
     "released into the public domain": "public-domain",
+    "dedicated to the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
+    "proprietary and confidential": "proprietary",
 }
-#: Words of an identifier tag; an expression follows in the raw text.
-TAG_PHRASE = "spdx license identifier"
-TAG = re.compile(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]{1,400})")
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
-#: Labels by the start of a licence identifier, longest first.
+#: Words of an identifier tag as it stands in the text; an expression follows.
+TAG_PHRASE, TAG = "spdx license identifier", b"spdx-license-identifier"
+COLON = re.compile(rb"[ \t]*:[ \t]*")
+TOKEN = re.compile(rb"[ \t]*([()]|[A-Za-z0-9.+:-]+)")
+#: Labels by the start of a licence identifier; any other is OTHER.
 IDENTIFIERS = {
-    "mit": "mit", "apache-2": "apache-2", "bsd": "bsd", "isc": "isc", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl",
-    "mpl-2": "mpl-2", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0": "cc0", "unlicense": "public-domain",
+    "mit": "mit", "apache-2": "apache-2", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl",
+    "mpl-2": "mpl-2", "epl": "epl", "eupl": "eupl", "cddl": "cddl", "bsl": "bsl", "zlib": "zlib", "artistic": "artistic", "psf": "psf", "ofl": "ofl",
+    "wtfpl": "wtfpl", "odbl": "odbl", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0": "cc0",
+    "unlicense": "public-domain",
 }
-PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "cc0", "public-domain"}
+#: Exceptions after "with", by the start of their identifier.
+EXCEPTIONS = ("classpath-exception", "gcc-exception", "llvm-exception", "autoconf-exception", "bison-exception", "font-exception", "linux-syscall-note")
+OTHER = "other"
+PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "bsl", "zlib", "psf", "wtfpl", "cc-by", "cc0", "public-domain"}
 #: How sure one find makes us: a phrase, a parsed tag.
 PHRASE_WEIGHT, TAG_WEIGHT = 0.6, 0.9
 
@@ -63,81 +91,125 @@ _WORD_BYTES = bytes(
 BINDS = {"WITH": 3, "AND": 2, "OR": 1}
 
 
+def tokens_of(raw: bytes, at: int = 0, end: int | None = None) -> list[str]:
+    """The longest well-formed licence expression of raw[at:end] at its start, as tokens.
+
+    Operators are in capitals or in small letters; a small one counts only
+    before a bracket or a known identifier, as it may be a word of the prose.
+    One pass: the end of the last well-formed part is kept.
+    """
+    found: list[str] = []
+    good = depth = 0
+    operand_next, prose = True, False
+    while m := TOKEN.match(raw, at, len(raw) if end is None else end):
+        token, at = m[1].decode("ascii"), m.end()
+        upper = token.upper() if token in ("and", "or", "with") else token
+        if upper in BINDS:
+            if operand_next:
+                break
+            operand_next, prose = True, upper != token
+            token = upper
+        elif token == "(":
+            if not operand_next or (found and found[-1] == "WITH"):
+                break
+            depth, prose = depth + 1, False
+        elif token == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        else:
+            known = exception_of(token) if found and found[-1] == "WITH" else label_of(token)
+            if not operand_next or (prose and known == OTHER):
+                break
+            operand_next = False
+        found.append(token)
+        if not operand_next and not depth:
+            good = len(found)
+    return found[:good]
+
+
 def to_postfix(tokens: list[str]) -> list[str]:
-    """Shunting-yard: operators (capitals only) after their operands.  ValueError if malformed."""
+    """Shunting-yard over a well-formed expression: operators after their operands."""
     out: list[str] = []
     held: list[str] = []
-    operand_next = True
     for token in tokens:
         if token in BINDS:
-            if operand_next:
-                raise ValueError(f"operand expected before {token}")
             while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[token]:
                 out.append(held.pop())
             held.append(token)
-            operand_next = True
         elif token == "(":
-            if not operand_next:
-                raise ValueError("operator expected before (")
             held.append(token)
         elif token == ")":
-            if operand_next:
-                raise ValueError("operand expected before )")
-            while held and held[-1] != "(":
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                raise ValueError("bracket without start")
             held.pop()
         else:
-            if not operand_next:
-                raise ValueError(f"operator expected before {token}")
             out.append(token)
-            operand_next = False
-    if operand_next or "(" in held:
-        raise ValueError("incomplete expression")
     return out + held[::-1]
 
 
+def _known(identifier: str, names) -> str | None:
+    low = identifier.lower().rstrip("+.")
+    return max((k for k in names if low == k or low.startswith(k + "-") or low.startswith(k + ".")), key=len, default=None)
+
+
 def label_of(identifier: str) -> str:
-    low = identifier.lower().rstrip("+")
-    best = max((k for k in IDENTIFIERS if low == k or low.startswith(k + "-") or low.startswith(k + ".")), key=len, default=None)
-    return IDENTIFIERS[best] if best else low
+    return IDENTIFIERS.get(_known(identifier, IDENTIFIERS), OTHER)
 
 
-def evaluate(expression: str) -> tuple[set[str], bool]:
-    """(labels named, whether all-permissive terms can be chosen)."""
-    stack: list[tuple[set[str], bool]] = []
-    for token in to_postfix(TOKEN.findall(expression)):
+def exception_of(identifier: str) -> str:
+    return _known(identifier, EXCEPTIONS) or OTHER
+
+
+@dataclass(frozen=True)
+class Terms:
+    """What an expression comes to: licences that bind in any case, options, exceptions, a permissive choice."""
+
+    binding: frozenset[str]
+    options: frozenset[str] = frozenset()
+    exceptions: frozenset[str] = frozenset()
+    permissive: bool = False
+
+    def both(self, o: Terms) -> Terms:
+        binding = self.binding | o.binding
+        return Terms(binding, (self.options | o.options) - binding, self.exceptions | o.exceptions, self.permissive and o.permissive)
+
+    def either(self, o: Terms) -> Terms:
+        binding = self.binding & o.binding
+        options = (self.binding | o.binding | self.options | o.options) - binding
+        return Terms(binding, options, self.exceptions | o.exceptions, self.permissive or o.permissive)
+
+    def labels(self) -> set[str]:
+        """Binding licences by name, others as option:, exceptions as exception:, and the choice."""
+        return {
+            *self.binding, *(f"option:{x}" for x in self.options), *(f"exception:{x}" for x in self.exceptions),
+            "choice:permissive" if self.permissive else "choice:restricted",
+        }
+
+
+def evaluate(tokens: list[str]) -> Terms | None:
+    """The terms of an expression's tokens; None without tokens."""
+    stack: list[Terms | str] = []
+    for token in to_postfix(tokens):
         if token in BINDS:
             right, left = stack.pop(), stack.pop()
-            if token == "WITH":  # an exception adds permissions and is no licence
-                stack.append(left)
-            elif token == "AND":
-                stack.append((left[0] | right[0], left[1] and right[1]))
+            left = left if isinstance(left, Terms) else _licence(left)
+            if token == "WITH":  # grants more than the licence, and is none itself
+                stack.append(replace(left, exceptions=left.exceptions | {exception_of(str(right))}))
             else:
-                stack.append((left[0] | right[0], left[1] or right[1]))
+                right = right if isinstance(right, Terms) else _licence(right)
+                stack.append(left.both(right) if token == "AND" else left.either(right))
         else:
-            label = label_of(token)
-            stack.append(({label}, label in PERMISSIVE))
-    return stack.pop()
-
-
-def longest_expression(rest: str) -> tuple[set[str], bool] | None:
-    """Value of the longest well-formed expression at the start of `rest`."""
-    tokens, at = [], 0
-    for m in TOKEN.finditer(rest):
-        if rest[at : m.start()].strip():
-            break
-        tokens.append(m[0])
-        at = m.end()
-    # an identifier right after an operand ends the expression
-    for end in range(len(tokens), 0, -1):
-        try:
-            to_postfix(tokens[:end])
-        except ValueError:
-            continue
-        return evaluate(" ".join(tokens[:end]))
-    return None
+            stack.append(token)
+    if not stack:
+        return None
+    top = stack.pop()
+    return top if isinstance(top, Terms) else _licence(top)
+
+
+def _licence(identifier: str) -> Terms:
+    label = label_of(identifier)
+    return Terms(frozenset({label}), permissive=label in PERMISSIVE)
 
 
 def _automaton():
@@ -159,37 +231,40 @@ def _automaton():
 
 def scan_text(raw: bytes, automaton) -> tuple[int, list[int], set[str], set[str], float]:
     """(words, starts of base places, base labels, all labels, score) of a text's bytes."""
-    words = raw.translate(_WORD_BYTES).split()
+    flat = raw.translate(_WORD_BYTES)
+    words = flat.split()
     norm = f" {b' '.join(words).decode('latin-1')} "
     starts: list[int] = []
+    tags: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
     doubt = 1.0
-    tagged = False
     at = nth = 0
     for end, (size, found) in automaton.iter(norm):
         start = end - size + 1
         for kind, label in found:
-            if kind == "base":
+            if kind != "own":
                 # words before `start`; matches come by their end, so count from either side
                 nth += norm.count(" ", at, start) if start >= at else -norm.count(" ", start, at)
                 at = start
+            if kind == "tag":
+                tags.append(nth)
+                continue
+            if kind == "base":
                 starts.append(nth)
                 base.add(label)
-                labels.add(label)
-                doubt *= 1 - PHRASE_WEIGHT
-            elif kind == "own":
-                labels.add(label)
-                doubt *= 1 - PHRASE_WEIGHT
-            else:
-                tagged = True
-    if tagged:
-        for m in TAG.finditer(raw.decode("utf-8", "replace")):
-            value = longest_expression(m[1])
-            if value is not None:
-                labels |= value[0]
-                labels.add("choice:permissive" if value[1] else "choice:restricted")
-                doubt *= 1 - TAG_WEIGHT
+            labels.add(label)
+            doubt *= 1 - PHRASE_WEIGHT
+    if tags:
+        spans = [m.span() for m in re.finditer(rb"[^ ]+", flat)]
+        for nth, after in zip(tags, [*tags[1:], None]):
+            a, b = spans[nth][0], spans[nth + 2][1]
+            colon = COLON.match(raw, b) if raw[a:b].lower() == TAG else None
+            if colon:  # the next tag ends the expression at the latest
+                terms = evaluate(tokens_of(raw, colon.end(), spans[after][0] if after is not None else None))
+                if terms is not None:
+                    labels |= terms.labels()
+                    doubt *= 1 - TAG_WEIGHT
     return len(words), starts, base, labels, 1.0 - doubt
 
 
@@ -218,7 +293,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     base_starts lists the first word of every place of a base phrase; score is
     1 minus the product of the doubts that the finds leave, 0 without a find.
     A null or empty text has no words and no labels.  A malformed expression
-    counts as far as it is well formed, else not at all.  Repeated rows stay,
+    counts as far as it is well formed, else not at all; identifiers that are
+    not known are labelled `other`.  An expression ends with its line.  Repeated rows stay,
     other columns are ignored, an empty table gives an empty table.
     """
     kind = docs.schema[doc_id].dataType.simpleString()

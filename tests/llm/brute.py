@@ -113,6 +113,42 @@ def base_licenses(text, phrases):
     return len(w), sorted(places), sorted(labels)
 
 
+def licence_terms(tokens, label_of, exception_of, permissive):
+    """(binding, options, exceptions, permissive) by recursive descent."""
+    at = 0
+
+    def chain(word, inner, join):
+        nonlocal at
+        out = inner()
+        while at < len(tokens) and tokens[at] == word:
+            at += 1
+            out = join(out, inner())
+        return out
+
+    def simple():
+        nonlocal at
+        if tokens[at] == "(":
+            at += 1
+            out = any_of()
+            assert tokens[at] == ")"
+            at += 1
+            return out
+        label, extra = label_of(tokens[at]), set()
+        at += 1
+        if at < len(tokens) and tokens[at] == "WITH":
+            extra = {exception_of(tokens[at + 1])}
+            at += 2
+        return {label}, set(), extra, label in permissive
+
+    both = lambda a, b: (a[0] | b[0], (a[1] | b[1]) - a[0] - b[0], a[2] | b[2], a[3] and b[3])
+    either = lambda a, b: (a[0] & b[0], (a[0] | b[0] | a[1] | b[1]) - (a[0] & b[0]), a[2] | b[2], a[3] or b[3])
+    all_of = lambda: chain("AND", simple, both)
+    any_of = lambda: chain("OR", all_of, either)
+    out = any_of()
+    assert at == len(tokens)
+    return out
+
+
 def unigrams(texts, held_out):
     """{id: (tokens, known, base score)} and the number of training tokens."""
     tokens = {k: [*SPACE_WORDS.findall(lowered(t)), None] for k, t in texts.items()}

@@ -288,17 +288,80 @@ def test_licenses(spark, sf_dir, texts):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def licence_labels(expression):
+    found = license_scan.evaluate(license_scan.tokens_of(expression.encode()))
+    return found and found.labels()
+
+
 def test_license_expressions():
     assert license_scan.to_postfix("A OR B AND C".split()) == ["A", "B", "C", "AND", "OR"]
     assert license_scan.to_postfix(["(", "A", "OR", "B", ")", "AND", "C", "WITH", "E"]) == ["A", "B", "OR", "C", "E", "WITH", "AND"]
-    assert license_scan.evaluate("(MIT OR GPL-2.0-only) AND Apache-2.0") == ({"mit", "gpl", "apache-2"}, True)
-    assert license_scan.evaluate("MIT AND GPL-3.0-or-later") == ({"mit", "gpl"}, False)
-    assert license_scan.evaluate("GPL-2.0-only WITH Classpath-exception-2.0") == ({"gpl"}, False)
-    assert license_scan.longest_expression("MIT OR Apache-2.0 and then") == ({"mit", "apache-2"}, True)
-    assert license_scan.longest_expression("OR MIT") is None
-    for bad in ("A OR", "( A", "A )", "A B", ""):
-        with pytest.raises(ValueError):
-            license_scan.to_postfix(license_scan.TOKEN.findall(bad))
+    assert licence_labels("(MIT OR GPL-2.0-only) AND Apache-2.0") == {"option:mit", "option:gpl", "apache-2", "choice:permissive"}
+    assert licence_labels("MIT AND GPL-3.0-or-later") == {"mit", "gpl", "choice:restricted"}
+    assert licence_labels("(MIT AND BSD-3-Clause) OR (MIT AND ISC)") == {"mit", "option:bsd", "option:isc", "choice:permissive"}
+    assert licence_labels("GPL-2.0+ WITH Classpath-exception-2.0 or MIT.") == {"option:gpl", "option:mit", "exception:classpath-exception", "choice:permissive"}
+    assert licence_labels("MIT OR Apache-2.0 and then") == {"option:mit", "option:apache-2", "choice:permissive"}
+    assert licence_labels("MIT with all its words") == {"mit", "choice:permissive"}
+    assert licence_labels("LicenseRef-Own") == {"other", "choice:restricted"}
+    assert licence_labels("MIT OR (GPL-2.0") == {"mit", "choice:permissive"} and licence_labels("MIT GPL-2.0") == {"mit", "choice:permissive"}
+    for nothing in ("OR MIT", "( MIT", ") MIT", "", "()", "\n MIT"):
+        assert licence_labels(nothing) is None
+
+
+def test_license_expressions_of_any_length():
+    """The end of a long expression counts, and the work is in proportion to its length."""
+    import time
+
+    long = " AND ".join(["(MIT OR Apache-2.0)"] * 60) + " AND GPL-3.0-only"
+    assert len(long) > 1200
+    found = license_scan.scan_text(f"x\nSPDX-License-Identifier: {long}\nSPDX-License-Identifier: Zlib".encode(), license_scan._automaton())
+    assert found[3] == {"option:mit", "option:apache-2", "gpl", "choice:restricted", "zlib", "choice:permissive"}
+    began = time.time()
+    many = license_scan.scan_text(b"SPDX-License-Identifier: MIT AND " * 30_000 + b"ISC " + b"(" * 200_000, license_scan._automaton())
+    assert many[3] == {"mit", "isc", "choice:permissive"} and time.time() - began < 10
+    huge = license_scan.scan_text(b"SPDX-License-Identifier: " + b"(" * 50_000 + b"MIT" + b")" * 50_000 + b" AND ISC" * 50_000, license_scan._automaton())
+    assert huge[3] == {"mit", "isc", "choice:permissive"} and time.time() - began < 20
+
+
+def test_license_expressions_by_recursive_descent():
+    rng = random.Random(6)
+    names = ["MIT", "GPL-2.0-only", "Apache-2.0", "CC-BY-NC-4.0", "LicenseRef-x", "ISC"]
+
+    def make(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return [rng.choice(names)] + (["WITH", rng.choice(["LLVM-exception", "Own-exception"])] if rng.random() < 0.2 else [])
+        if kind < 0.5:
+            return ["(", *make(depth - 1), ")"]
+        return [*make(depth - 1), rng.choice(["AND", "OR"]), *make(depth - 1)]
+
+    for _ in range(300):
+        tokens = make(4)
+        assert license_scan.tokens_of(" ".join(tokens).encode()) == tokens
+        binding, options, exceptions, free = brute.licence_terms(tokens, license_scan.label_of, license_scan.exception_of, license_scan.PERMISSIVE)
+        t = license_scan.evaluate(tokens)
+        assert (t.binding, t.options, t.exceptions, t.permissive) == (binding, options, exceptions, free)
+
+
+def test_license_labels(spark, sf_dir, texts):
+    """The query's labels and score against a search of all phrases and tags."""
+    import re
+
+    for k, r in rows(QUERIES["op2_license_scans"](spark, sf_dir)).items():
+        labels, doubt = set(), 1.0
+        w = brute.LICENSE_WORDS.findall(brute.lowered(texts[k]))
+        joined = f" {' '.join(w)} "
+        for phrases in (license_scan.BASE_PHRASES, license_scan.NOTICE_PHRASES):
+            for phrase, label in phrases.items():
+                n = len(re.findall(f"(?=(?= {phrase} ))", joined))
+                labels |= {label} if n else set()
+                doubt *= 0.4**n
+        for m in re.finditer(r"(?i)(?<![A-Za-z0-9])spdx-license-identifier[ \t]*:", texts[k] or ""):
+            rest = (texts[k][m.end() :].split("\n")[0]).encode()
+            if found := license_scan.evaluate(license_scan.tokens_of(rest.strip())):
+                labels |= found.labels()
+                doubt *= 0.1
+        assert r["labels"] == ",".join(sorted(labels)) and r["score"] == pytest.approx(1 - doubt)
 
 
 def test_licenses_on_edges(edge, empty):
