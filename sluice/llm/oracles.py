@@ -20,12 +20,14 @@ def quality_rules() -> str:
               where regexp_matches(l, '{_WORD}') group by doc_id),
     c as (select d.doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
             {gone('[#*$%&|<>]')} as n_symbols, coalesce(lines.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words,
-            {gone('[A-Z]')} as capitals, {gone('[a-z]')} as small, {gone(chr(92) + 'n')} + 1 as n_lines
+            {gone('[A-Z]')} as capitals, {gone('[a-z]')} as small, {gone('[0-9]')} as digits, {gone(chr(92) + 'n')} + 1 as n_lines,
+            len(regexp_extract_all(t, '(?m)^[-*]')) as n_bullets,
+            len(regexp_extract_all(t, '(?m)[.][.][.]$')) as n_ellipses
           from d left join covered using (doc_id) left join lines using (doc_id)),
     f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
       not (base_failed or 4 * n_symbols > n_words or capitals > small or 10 * n_dup_lines > 6 * n_lines
-           or word_chars < 2 * n_words or word_chars > 25 * n_words) as kept
+           or 2 * digits > word_chars or 10 * n_bullets > 9 * n_lines or 10 * n_ellipses > 3 * n_lines or word_chars < 2 * n_words or word_chars > 25 * n_words) as kept
     from f"""
 
 

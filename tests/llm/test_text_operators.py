@@ -393,7 +393,7 @@ def test_quality_rules(spark, sf_dir, texts):
 def test_quality_rules_do_not_depend_on_order(edge, empty):
     import itertools
 
-    column = pa.array([t for _, t in EDGE] + ["### *** word word " * 40, "AAA BBB CCC DDD " * 20], pa.string())
+    column = pa.array([t for _, t in EDGE] + ["### *** word word " * 40, "AAA BBB CCC DDD " * 20, "- a line\n" * 80, "so it goes...\n" * 60, "12 34 " * 90], pa.string())
     buf, offsets = quality_rules.byte_view(column)
     kept = set()
     for order in itertools.islice(itertools.permutations(quality_rules.RULES), 0, 720, 37):
@@ -409,9 +409,38 @@ def test_quality_rules_do_not_depend_on_order(edge, empty):
 
 
 def test_rules_are_ranked_by_rejections_per_cost():
-    ranked = quality_rules.rank_rules(["few words"] * 50 + ["some words that go on " * 40] * 50)
-    worth = [share / cost for _, cost, share in ranked]
-    assert worth == sorted(worth, reverse=True) and {n for n, _, _ in ranked} == {r.name for r in quality_rules.RULES}
+    """By hand: two rules share a count, which the second then has for nothing."""
+    import numpy as np
+
+    R = quality_rules.Rule
+    rules = (R("a", ("x",), lambda x: x > 1), R("b", ("y",), lambda y: y > 1), R("c", ("x", "z"), lambda x, z: x > z))
+    seconds = {"x": 1.0, "y": 0.1, "z": 0.2}
+    verdict = np.array([[1, 1, 0], [1, 0, 1], [0, 0, 1], [0, 0, 0]], dtype=bool)
+    found = quality_rules.rank_rules(seconds, verdict, rules)
+    assert [(n, round(c, 5), h) for n, c, h in found] == [("b", 0.1, 1), ("c", 1.2, 2), ("a", 0.0, 0)]
+    assert [n for n, _, _ in quality_rules.rank_rules(seconds, verdict, rules, given=("x",))] == ["a", "c", "b"]
+    assert [n for n, _, _ in quality_rules.rank_rules({}, np.zeros((0, 3), dtype=bool), rules)] == ["a", "b", "c"]
+
+
+def test_rejected_texts_cost_no_more():
+    """Counts that later rules need are made for the texts that are left only."""
+    texts = pa.array(["few words"] * 40 + ["some words that go on " * 40, "other words that stay here " * 30], pa.string())
+    buf, offsets = quality_rules.byte_view(texts)
+    seen = []
+    rule = quality_rules.Rule("dear", ("n_small",), lambda n: seen.append(len(n)) or n < 0)
+    first = next(r for r in quality_rules.RULES if r.name == "few_words")
+    got = quality_rules.cascade(quality_rules.Texts(buf[: offsets[40]], offsets[:41]), [first, rule])
+    assert set(got) == {"few_words"} and seen == []
+    many = pa.array(["a b " * 12] * 200 + ["some words that go on " * 40], pa.string())
+    quality_rules.cascade(quality_rules.Texts(*quality_rules.byte_view(many)), [first, rule])
+    assert seen == [1]
+
+
+def test_rules_are_planned_from_a_draw(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(20)
+    names = quality_rules.plan(docs)
+    assert sorted(names) == sorted(r.name for r in quality_rules.RULES)
+    assert [*quality_rules.plan(docs.limit(0))] == [r.name for r in quality_rules.RULES]
 
 
 def test_classifier_on_held_out_rows(spark):
