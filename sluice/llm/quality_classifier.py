@@ -5,24 +5,27 @@ are hashed tokens and token pairs, and the shapes of tokens (capitals, digits,
 marks, repetition of the token before) and of token pairs; each weighs
 count / sqrt(features).  Training is follow-the-regularised-leader
 (proximal, with L1 and L2) over a bounded sample of labelled rows, one text at
-a time.  Scoring is a sparse dot product: weights gathered by hash and summed
-by text.
+a time.  The rows' whole texts are turned into sparse features where they are
+and written; the driver reads them one partition after the other, so no text
+is too long to learn from.  Scoring is a sparse dot product: weights gathered
+by hash and summed by text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import IS_SPACE, Words, map_batches, mix, split_code, windows, word_slices
+from .textcore import IS_SPACE, Words, cut, map_batches, mix, split_code, windows, word_slices
 
-#: Labelled rows that training reads at most (drawn by a hash of the id), and
-#: the longest text among them.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 50_000
+#: Labelled rows that training reads at most, drawn by a hash of the id; whole texts.
+TRAIN_ROWS = 4000
+#: Partitions of their features; one at a time is in the driver.
+TRAIN_PARTS = 16
 BUCKETS = 1 << 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.001, 0.01
@@ -83,25 +86,27 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(dot / size + self.bias, -30, 30)))
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal, one update a text, in the given order.
+def sparse(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of each text."""
+    bucket, text = hashed(words)
+    key, count = np.unique(text * np.int64(BUCKETS) + bucket, return_counts=True)
+    cut_at = np.searchsorted(key, np.arange(len(words.offsets)) * np.int64(BUCKETS))
+    key %= BUCKETS
+    return [(key[a:b].astype(np.int32), count[a:b].astype(np.int32)) for a, b in zip(cut_at[:-1], cut_at[1:])]
+
+
+def learn(rows: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal, one update a text, in the order of rows(), which begins each epoch anew.
 
     The bias is one more feature of weight 1 without L1.  Without rows, or with
     one label only, the model still gives scores in (0, 1).
     """
-    z, n, w = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    rows = []
-    for lo, hi, words in word_slices(pa.array(texts, pa.string()), lower=False):
-        bucket, text = hashed(words)
-        order = np.argsort(text, kind="stable")
-        cut = np.searchsorted(text[order], np.arange(hi - lo + 1))
-        for i in range(hi - lo):
-            found, count = np.unique(bucket[order[cut[i] : cut[i + 1]]], return_counts=True)
-            rows.append((np.r_[found, BUCKETS], np.r_[count / np.sqrt(max(count.sum(), 1)), 1.0], labels[lo + i]))
+    z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     free = np.full(BUCKETS + 1, L1)
     free[BUCKETS] = 0.0
     for _ in range(epochs):
-        for at, x, y in rows:
+        for found, count, y in rows():
+            at, x = np.r_[found, BUCKETS], np.r_[count / np.sqrt(max(int(count.sum()), 1)), 1.0]
             zi, ni = z[at], n[at]
             wi = np.where(np.abs(zi) <= free[at], 0.0, -(zi - np.sign(zi) * free[at]) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1.0 / (1.0 + np.exp(-np.clip(wi @ x, -30, 30)))
@@ -113,28 +118,49 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> M
     return Model(w[:BUCKETS], w[BUCKETS])
 
 
+def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> Model:
+    """A model of texts at hand, in the given order."""
+    found = [x for _, _, w in word_slices(pa.array(texts, pa.string()), lower=False) for x in sparse(w)]
+    return learn(lambda: [(*x, y) for x, y in zip(found, labels)], epochs)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(draw, id, label, text) to (draw, id, label, buckets, counts)."""
+    for batch in batches:
+        for lo, hi, w in word_slices(batch.column(3), lower=False):
+            found = sparse(w)
+            yield pa.record_batch(
+                [
+                    *(batch.column(i).slice(lo, hi - lo) for i in range(3)),
+                    pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary()),
+                ],
+                names=["draw", "id", "y", "buckets", "counts"],
+            )
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
     """A model of at most `rows` documents that labels mark with 0 or 1.
 
     Of contradicting labels of one id the larger counts, of several texts of
-    one id the smallest.
+    one id the smallest; rows without an id teach nothing.  Texts of any
+    length are read whole.
     """
-    mark = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(4))
+    mark = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    draw = F.xxhash64(F.col("id").cast("string"), F.lit(4))
     # the ids are chosen before the texts are touched
-    chosen = mark.join(docs.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi").orderBy(order, "id").limit(rows)
-    short = docs.where(F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS)
-    found = short.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    found = found.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
-    found = sorted(found, key=lambda r: (hash_order(r["id"]), r["id"]))
-    return train([r["text"] for r in found], [int(r["y"]) for r in found])
-
-
-def hash_order(doc_id: object) -> int:
-    """A fixed shuffle of ids for the order of training."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(str(doc_id))
+    chosen = mark.join(docs.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi").select(draw.alias("draw"), "id", "y").orderBy("draw", "id").limit(rows)
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select(
+        "draw", F.col("id").cast("string").alias("id"), "y", "text"
+    )
+    once = found.groupBy("draw", "id", "y").agg(F.min("text").alias("text"))
+    made = once.transform(map_batches, _features, "draw long, id string, y int, buckets binary, counts binary")
+    dealt = cut(made.repartitionByRange(TRAIN_PARTS, "draw", "id").sortWithinPartitions("draw", "id"))
+
+    def again() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for r in dealt.toLocalIterator():
+            yield np.frombuffer(r["buckets"], dtype=np.int32), np.frombuffer(r["counts"], dtype=np.int32), r["y"]
+
+    return learn(again)
 
 
 def _score(model):

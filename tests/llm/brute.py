@@ -160,3 +160,40 @@ def unigrams(texts, held_out):
 
 def remainder(doc_id, n):
     return zlib.crc32(str(doc_id).encode()) % n
+
+
+def quality_features(text):
+    """Counts of tokens, token pairs, shapes and shape pairs, by name instead of hash."""
+    tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", (text or "").encode())
+    shapes = []
+    for i, t in enumerate(tokens):
+        capital, digit = re.compile(rb"[A-Z]"), re.compile(rb"[0-9]")
+        mark = not re.match(rb"[0-9A-Za-z\x80-\xff]", t)
+        shapes.append((bool(capital.match(t)), bool(capital.match(t[-1:])), bool(digit.match(t)), mark, i > 0 and tokens[i - 1] == t))
+    found = Counter(("token", t) for t in tokens)
+    found.update(("pair", a, b) for a, b in zip(tokens, tokens[1:]))
+    found.update(("shape", x) for x in shapes)
+    found.update(("shapes", a, b) for a, b in zip(shapes, shapes[1:]))
+    size = math.sqrt(max(sum(found.values()), 1))
+    return {k: n / size for k, n in found.items()} | {"bias": 1.0}
+
+
+def ftrl_scores(train, asked, epochs=3, alpha=1.0, beta=1.0, l1=0.001, l2=0.01):
+    """Scores of the asked texts after follow-the-regularised-leader over (text, label) rows in order."""
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        free = 0.0 if k == "bias" else l1
+        return 0.0 if abs(z[k]) <= free else -(z[k] - math.copysign(free, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    chance = lambda x: 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+    rows = [(quality_features(t), y) for t, y in train]
+    for _ in range(epochs):
+        for x, y in rows:
+            p, w = chance(x), {k: weight(k) for k in x}
+            for k, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    return [chance(quality_features(t)) for t in asked]

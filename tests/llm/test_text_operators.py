@@ -453,6 +453,42 @@ def test_classifier_on_held_out_rows(spark):
     assert sum(r["predicted"] == y for r, y in held) / len(held) > 0.93
 
 
+def test_classifier_by_plain_updates(spark, monkeypatch):
+    """The query, over a folder of its own, against dictionaries of named features."""
+    rng = random.Random(8)
+    good, bad = "soft hills and a Green river, 3 days".split(), "BUY now !!! *** now now 99$".split()
+    docs = [(k, " ".join(rng.choices(good if k % 3 else bad, k=rng.randint(3, 12)))) for k in range(60)] + [(70, None), (71, ""), (72, "word\u00e9 word\u00e9")]
+    labels = [(k, int(k % 3 > 0), 0) for k in range(0, 60)] + [(70, 1, 0), (999, 1, 0)]
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = rows(QUERIES["op4_quality_classifier"](spark, folder))
+        order = [r["doc_id"] for r in spark.createDataFrame(docs, "doc_id long, text string").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4))).collect()]
+    texts, quality = dict(docs), {k: q for k, q, _ in labels}
+    train = [(texts[k], quality[k]) for k in order if k in quality and brute.remainder(k, 5) != 0]
+    asked = sorted(texts)
+    for k, score in zip(asked, brute.ftrl_scores(train, [texts[k] for k in asked])):
+        assert got[k]["score"] == pytest.approx(score, abs=2e-5)
+        assert got[k]["held_out"] == (brute.remainder(k, 5) == 0) and got[k]["predicted"] == (got[k]["score"] >= 0.3)
+
+
+def test_classifier_learns_from_long_texts(spark):
+    """Labelled texts of any length keep their places among the rows, and are read to their end."""
+    long = "plain words " * 60_000
+    docs = [(k, long + ("Good end here" if k % 2 else "BAD!! *** end")) for k in range(8)]
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    model = quality_classifier.fit(df, labels)
+    alone = quality_classifier.train([t for _, t in docs[:0]], [])
+    assert abs(model.weights).sum() > abs(alone.weights).sum()
+    asked = spark.createDataFrame([(1, "Good end here"), (2, "BAD!! *** end")], "doc_id long, text string")
+    got = rows(quality_classifier.score_quality(asked, model))
+    assert got[1]["score"] > got[2]["score"]
+    nobody = quality_classifier.fit(df.withColumn("doc_id", F.lit(None).cast("long")), labels.withColumn("doc_id", F.lit(None).cast("long")))
+    assert not nobody.weights.any()
+
+
 def test_classifier_on_edges(spark, edge, empty):
     model = quality_classifier.train(["good plain words here"] * 5 + ["BAD!! *** BAD!!"] * 5, [1] * 5 + [0] * 5)
     got = rows(quality_classifier.score_quality(edge, model))
