@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcore import Words, byte_view, cut, map_batches, slices
+from .textcore import Words, byte_view, cut, map_batches, same_spans, slices
 
 CONTEXT = 4096
 UNIT = 8
 END = 2
 GAP = 5e-4
-#: Distinct words whose ids a worker keeps, and their bytes together.
-CACHE, CACHE_BYTES = 1 << 18, 16 << 20
+#: Distinct words whose ids a worker keeps in each of two generations, and their bytes together;
+#: words that wait to be sorted into a generation.
+CACHE, CACHE_BYTES, RECENT = 1 << 19, 16 << 20, 1 << 16
+#: New words that are tokenized as one text, with a special token between them.
+JOINED = 256
 
 
 def default_tokenizer() -> str:
@@ -36,11 +39,49 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known:
+    """Words, sorted by hash, with their bytes and their ids."""
+
+    def __init__(self, code, size, raw, count, ids):
+        order = np.argsort(code, kind="stable")
+        begin, at = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(count)]
+        self.code, self.size, self.begin = code[order], size[order], begin[:-1][order]
+        self.count, self.at, self.ids = count[order], at[:-1][order], ids
+        self.raw = Words(raw, np.array([0, len(raw)]))
+
+    @classmethod
+    def none(cls) -> _Known:
+        nothing = np.zeros(0, np.int64)
+        return cls(np.zeros(0, np.uint64), nothing, np.zeros(0, np.uint8), nothing, np.zeros(0, np.uint32))
+
+    def with_more(self, o: _Known) -> _Known:
+        """Both together; what each keeps in the order of its bytes and ids goes on that way."""
+        parts = []
+        for x in (self, o):
+            by = np.argsort(x.begin, kind="stable")
+            parts.append((x.code[by], x.size[by], x.raw.buf, x.count[by], x.ids))
+        # words without bytes don't exist, so the order of bytes is the order in which words came
+        return _Known(*(np.concatenate(c) for c in zip(*parts)))
+
+    def find(self, w: Words, words: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The place of each word of w, -1 for a word that isn't known."""
+        if not len(self.code):
+            return np.full(len(words), -1, dtype=np.int64)
+        spot = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        size = w.end[words] - w.start[words]
+        hit = np.flatnonzero((self.code[spot] == code) & (self.size[spot] == size))
+        alike = same_spans(w, w.start[words[hit]], self.raw, self.begin[spot[hit]], size[hit])
+        out = np.full(len(words), -1, dtype=np.int64)
+        out[hit[alike]] = spot[hit[alike]]
+        return out
+
+
 class WordTokenizer:
     """Ids of whole texts, each distinct white-space word tokenized once.
 
     The tokenizer drops white space and never joins over it, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn.  Known words are kept in two generations:
+    a full one becomes the old one, from which words still in use come back.
     """
 
     loaded: dict[str, WordTokenizer] = {}
@@ -49,7 +90,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        special = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        self.mark = min(special, default=None)
+        self.between = special.get(self.mark, "")
+        self.kept = [_Known.none()] * 3  # recent words, the present generation, the one before
 
     @classmethod
     def get(cls, path: str) -> WordTokenizer:
@@ -57,41 +101,68 @@ class WordTokenizer:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.held = 0
-        self.begin = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [x.decode("utf-8", "replace") for x in words]
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.ids = np.r_[self.ids, np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(size.sum()))]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(size)]
-        self.held += sum(map(len, words))
+        return size, np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(size.sum()))
+
+    def _tokenized(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, ids): many words at once, cut where the special token stands again."""
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
+        if not self.between or any(self.between in x for x in words):
+            return self._each(words)
+        joined = [self.between.join(words[i : i + JOINED]) + self.between for i in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not keep its special token apart")
+        return np.diff(np.r_[-1, ends]) - 1, ids[ids != self.mark]
+
+    def _keep(self, new: _Known) -> None:
+        recent, main, old = self.kept
+        recent = recent.with_more(new)
+        if len(recent.code) > RECENT or len(recent.raw.buf) > CACHE_BYTES:
+            main, recent = main.with_more(recent), _Known.none()
+        if len(main.code) > CACHE or len(main.raw.buf) > CACHE_BYTES:
+            main, old = _Known.none(), main
+        self.kept = [recent, main, old]
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with END after each, first id of each text plus the end).
 
-        Hashes only bring equal words of the slice together; words are looked
-        up by their bytes, and unlike words of one hash are kept apart.
+        Hashes only find words; their bytes are compared wherever a hash brings
+        two of them together, and unlike words of one hash are kept apart.
         """
-        _, example, inverse = np.unique(w.code, return_index=True, return_inverse=True)
+        code = w.code
+        distinct, example, inverse = np.unique(code, return_index=True, return_inverse=True)
         unlike = np.flatnonzero(~w.same(np.arange(len(inverse)), example[inverse]))
         inverse[unlike] = len(example) + np.arange(len(unlike))
-        example = np.r_[example, unlike]
-        raw = w.buf.tobytes()
-        words = [raw[a:b] for a, b in zip(w.start[example].tolist(), w.end[example].tolist())]
-        new = dict.fromkeys(x for x in words if x not in self.number)
-        if len(self.number) + len(new) > CACHE or self.held > CACHE_BYTES:
-            self.clear()
-            new = dict.fromkeys(words)
-        if new:
-            self._learn(list(new))
-        spot = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        at, size = self.begin[spot][inverse], (self.begin[spot + 1] - self.begin[spot])[inverse]
+        example, distinct = np.r_[example, unlike], np.r_[distinct, code[unlike]]
+        n = len(example)
+        at, size, pools, upto = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+        left = np.arange(n)
+        for known in self.kept:
+            place = known.find(w, example[left], distinct[left])
+            hit = place >= 0
+            at[left[hit]], size[left[hit]] = known.at[place[hit]] + upto, known.count[place[hit]]
+            pools.append(known.ids)
+            upto += len(known.ids)
+            left = left[~hit]
+        if len(left):
+            start, end = w.start[example[left]], w.end[example[left]]
+            raw = w.buf.tobytes()
+            count, ids = self._tokenized(raw, start, end)
+            at[left], size[left] = upto + np.r_[0, np.cumsum(count)][:-1], count
+            pools.append(ids)
+            once = np.flatnonzero(left < n - len(unlike))  # of the words of one hash the first is kept
+            length = end - start
+            spread = np.repeat(start - np.r_[0, np.cumsum(length)][:-1], length) + np.arange(length.sum())
+            if len(once) == len(left):
+                self._keep(_Known(distinct[left], length, w.buf[spread], count, ids))
+        # the ids of this slice's words, in the order of `example`
+        ids = _gathered(pools, at, size)
+        at = np.r_[0, np.cumsum(size)][:-1][inverse]
+        size = size[inverse]
         # one more id after each text's last word
         n_texts = len(w.offsets) - 1
         upto = np.r_[0, np.cumsum(size)]
@@ -100,10 +171,23 @@ class WordTokenizer:
         begin = upto[:-1] + w.text_of()
         source = np.repeat(at - upto[:-1], size) + np.arange(upto[-1])
         target = np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])
-        out[target] = self.ids[source]
+        out[target] = ids[source]
         return out, first
 
 
+def _gathered(pools: list[np.ndarray], at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ids at at .. at + size of the pools, which stand one after the other."""
+    out = np.zeros(int(size.sum()), dtype=np.uint32)
+    upto, low = np.r_[0, np.cumsum(size)][:-1], 0
+    for pool in pools:
+        own = np.flatnonzero((at >= low) & (at < low + len(pool)) & (size > 0))
+        n = size[own]
+        step = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
+        out[np.repeat(upto[own], n) + step] = pool[np.repeat(at[own] - low, n) + step]
+        low += len(pool)
+    return out
+
+
 def _pieces(path: str, context: int, unit: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls"] + ["ids"] * with_ids
 

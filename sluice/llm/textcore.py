@@ -142,18 +142,9 @@ class Words:
 
     def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether words i and j have the same bytes."""
-        a, b, size = self.start[i], self.start[j], self.end[i] - self.start[i]
-        out = size == self.end[j] - b
-        left = np.flatnonzero(out & (a != b))
-        for at in range(0, LONG_SPAN, 8):
-            if not len(left):
-                return out
-            part = _PART[np.minimum(size[left] - at, 8)]
-            equal = ((self.chunks[a[left] + at] ^ self.chunks[b[left] + at]) & part) == 0
-            out[left[~equal]] = False
-            left = left[equal & (size[left] > at + 8)]
-        for k in left.tolist():
-            out[k] = np.array_equal(self.buf[a[k] : a[k] + size[k]], self.buf[b[k] : b[k] + size[k]])
+        out = self.end[i] - self.start[i] == self.end[j] - self.start[j]
+        left = np.flatnonzero(out & (i != j))
+        out[left] = same_spans(self, self.start[i[left]], self, self.start[j[left]], (self.end[i] - self.start[i])[left])
         return out
 
     def forget(self) -> None:
@@ -165,6 +156,22 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
 
+def same_spans(x: Words, a: np.ndarray, y: Words, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of x from a on are those of y from b on, `size` of them."""
+    out = np.ones(len(a), dtype=bool)
+    left = np.arange(len(a))
+    for at in range(0, LONG_SPAN, 8):
+        if not len(left):
+            return out
+        part = _PART[np.clip(size[left] - at, 0, 8)]
+        equal = ((x.chunks[a[left] + at] ^ y.chunks[b[left] + at]) & part) == 0
+        out[left[~equal]] = False
+        left = left[equal & (size[left] > at + 8)]
+    for k in left.tolist():
+        out[k] = np.array_equal(x.buf[a[k] : a[k] + size[k]], y.buf[b[k] : b[k] + size[k]])
+    return out
+
+
 def word_slices(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for slices of a text column."""
     buf, offsets = byte_view(column)

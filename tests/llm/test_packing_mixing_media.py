@@ -74,10 +74,11 @@ def test_packing_tells_words_of_one_hash_apart(monkeypatch):
     """Ids follow the words' bytes even where all hashes are equal, and a full cache begins anew."""
     from sluice.llm import textcore
 
-    texts = ["alpha beta gamma alpha", "delta " * 30, "z" * 200 + " " + "z" * 199 + "y", None, "beta"]
+    texts = ["alpha beta gamma alpha", "delta " * 30, "z" * 200 + " " + "z" * 199 + "y", None, "beta", "a<|startoftext|>b <|startoftext|> c"]
     monkeypatch.setattr(textcore.Words, "code", property(lambda w: np.zeros(len(w.start), dtype=np.uint64)))
     tokenizer = packing.WordTokenizer(packing.default_tokenizer())
-    for cache in (1 << 18, 2):
+    for recent, cache in ((1 << 18, 1 << 18), (2, 1 << 18), (2, 2), (1, 4)):
+        monkeypatch.setattr(packing, "RECENT", recent)
         monkeypatch.setattr(packing, "CACHE", cache)
         for _, _, w in textcore.word_slices(pa.array(texts, pa.string()), lower=False):
             ids, first = tokenizer.encode(w)
@@ -85,6 +86,23 @@ def test_packing_tells_words_of_one_hash_apart(monkeypatch):
                 assert ids[first[i] : first[i + 1]].tolist() == [*tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
 
 
+def test_packing_keeps_the_words_in_use(monkeypatch):
+    """However small the kept generations are, ids are those of the whole text."""
+    from sluice.llm import textcore
+
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(400)] + ["é" * 60, "x" * 150]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 60)) for _ in range(60)]
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "RECENT", 40)
+    monkeypatch.setattr(packing, "CACHE", 90)
+    buf, offsets = textcore.byte_view(pa.array(texts, pa.string()))
+    for lo, hi in textcore.slices(offsets, 700):
+        ids, first = tokenizer.encode(textcore.Words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+        for i in range(lo, hi):
+            assert ids[first[i - lo] : first[i - lo + 1]].tolist() == [*tokenizer.tokenizer.encode(texts[i], add_special_tokens=False).ids, 2]
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(0)
     counts = np.zeros(65, dtype=np.int64)
