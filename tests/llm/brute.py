@@ -197,3 +197,23 @@ def ftrl_scores(train, asked, epochs=3, alpha=1.0, beta=1.0, l1=0.001, l2=0.01):
                 z[k] += g - sigma * w[k]
                 n[k] += g * g
     return [chance(quality_features(t)) for t in asked]
+
+
+def language_scores(text, words, emission, moves, languages):
+    """Mean probability of each language over the words, by forward-backward in logarithms, word by word.
+
+    words(text) gives the words, emission(word) a weight for each language.
+    """
+    found = [emission(w) for w in words(text)]
+    k = range(len(languages))
+    lse = lambda x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+    ahead, behind = [], [[0.0 for _ in k]]
+    for e in found:
+        ahead.append([e[j] + (lse([ahead[-1][i] + moves[i][j] for i in k]) if ahead else 0.0) for j in k])
+    for e in found[:0:-1]:
+        behind.insert(0, [lse([moves[i][j] + e[j] + behind[0][j] for j in k]) for i in k])
+    total = [0.0 for _ in k]
+    for a, b in zip(ahead, behind):
+        z = lse([x + y for x, y in zip(a, b)])
+        total = [t + math.exp(x + y - z) for t, x, y in zip(total, a, b)]
+    return [t / max(len(found), 1) for t in total]

@@ -628,6 +628,72 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(expected, total, atol=1e-5)
 
 
+def test_blocks_give_the_whole_chain():
+    """Marginals and expected transitions do not depend on where long chains are cut."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    crf = language_crf.Crf(["a", "b", "c"])
+    crf.moves = rng.normal(size=(3, 3))
+    first = np.r_[0, np.cumsum([0, 1, 7, 40, 3, 0, 100, 8, 16])]
+    emission = rng.normal(size=(first[-1], 3)).astype(np.float32)
+    whole = crf.marginals(emission, first, pairs=True, block=10**6)
+    for block in (1, 2, 7, 8, 39):
+        got = crf.marginals(emission, first, pairs=True, block=block)
+        assert np.allclose(got[0], whole[0], atol=1e-9) and np.allclose(got[1], whole[1], atol=1e-9)
+
+
+def test_switched_chains_hold_every_word_once():
+    import numpy as np
+
+    text_of = np.repeat(np.arange(30), np.arange(30) * 4)
+    order, first = language_crf.in_pieces(text_of, 30, np.random.default_rng(1))
+    assert sorted(order.tolist()) == list(range(len(text_of)))
+    assert first[0] == 0 and first[-1] == len(text_of) and (np.diff(first) > 0).all()
+    chained = text_of[order]
+    assert any(len(set(chained[a:b].tolist())) > 1 for a, b in zip(first[:-1], first[1:]))
+    assert len(language_crf.in_pieces(np.zeros(0, dtype=np.int64), 3, np.random.default_rng(1))[0]) == 0
+
+
+def test_language_query_by_plain_forward_backward(spark, sf_dir, texts, tmp_path):
+    """The query's predictions against word-by-word sums in logarithms with the weights that it learned."""
+    import re
+
+    import numpy as np
+
+    from sluice.llm.textcore import Words
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    docs.unionByName(spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "12 34", "en", "s", 5)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language_crf.fit(table.where(language_crf.split_code() % 4 != 2))
+    got = rows(QUERIES["op8_language_id"](spark, str(tmp_path)))
+
+    def emission(word):
+        raw = language_crf.lowered(np.frombuffer(word, np.uint8))
+        single, inner, _, _ = language_crf.features(Words(raw, np.array([0, len(raw)]), language_crf.IS_BREAK), 0, 1)
+        out = sum(model.weights[b[0]].astype(float) for b in single)
+        return (out + model.weights[inner].mean(axis=0) if len(inner) else out).tolist()
+
+    words = lambda t: re.findall(rb"[A-Za-z\x80-\xff]+", (t or "").encode())
+    for k, text in [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        mean = brute.language_scores(text, words, emission, model.moves.tolist(), model.languages)
+        assert got[k]["lang_pred"] == model.languages[int(np.argmax(mean))] and got[k]["score"] == pytest.approx(max(mean), abs=1e-4)
+        assert got[k]["held_out"] == (brute.remainder(k, 4) == 2)
+
+
+def test_passages_come_from_anywhere():
+    raw = " ".join(f"w{i}" for i in range(5000)).encode()
+    found = [language_crf.passage(raw, d * 0x1234567 + 11, 300) for d in range(300)]
+    assert all(len(p) <= 300 and set(p.split()) <= set(raw.split()) for p in found)
+    places = sorted(raw.index(p) for p in found)
+    assert places[10] < len(raw) / 5 and places[-10] > len(raw) * 4 / 5
+    assert language_crf.passage(b"short", 5, 300) == b"short" and len(language_crf.passage(b"x" * 999, -3, 300)) == 300
+
+
 def test_language_on_edges(spark, edge, empty, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_crf.fit(docs, per_language=20)
@@ -636,7 +702,9 @@ def test_language_on_edges(spark, edge, empty, sf_dir):
     assert language_crf.identify(empty, model).count() == 0
     assert rows(language_crf.identify(edge, language_crf.fit(empty)))[4]["lang_pred"] == "und"
     same = language_crf.annotate(edge, model)
-    assert same.columns[-2:] == ["lang_pred", "lang_score"] and same.count() == len(EDGE)
+    assert same.columns[-3:] == ["lang_pred", "lang_score", "lang_known"] and same.count() == len(EDGE)
+    nobody = edge.withColumn("doc_id", F.lit(None).cast("long"))
+    assert language_crf.identify(nobody.union(nobody), language_crf.fit(nobody)).count() == 2 * len(EDGE)
 
 
 def test_every_language_is_learned(spark):
@@ -650,8 +718,21 @@ def test_every_language_is_learned(spark):
     assert model.languages == sorted({lang for lang, _ in data})
     got = rows(language_crf.identify(df.where("lang IN ('l69', 'long')"), model))
     assert all(r["lang_pred"] == data[k][0] for k, r in got.items())
-    levels = language_crf._least_levels([("a", False, 0, 10**9), ("a", False, 9, 300), ("b", False, 0, 3), ("b", True, 1, 9), ("b", True, 0, 9)], 10)
-    assert levels == {("a", False): 9, ("b", False): 0, ("b", True): 1}
+    levels = language_crf._least_levels([("a", 0, 10**12), ("a", 9, 300), ("b", 0, 3), ("c", 1, 9), ("c", 0, 9)], 10)
+    assert levels == {"a": 9, "b": 0, "c": 0}
+
+
+def test_unknown_languages_are_unfamiliar(spark):
+    """Text of the learned languages is familiar; foreign text and junk are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_crf.fit(docs)
+    clean = language_crf.annotate(docs, model).where("lang_pred <> 'und'")
+    assert clean.where("lang_known < 0.7").count() == 0
+    rng = random.Random(1)
+    junk = ["Быстрая коричневая лиса прыгает через ленивую собаку каждый день", "Szybki brązowy lis przeskakuje nad leniwym psem każdego dnia", "這是一個測試文件", "qzxv wkjq pzzt vvxk qqwz xkcd jjqz"]
+    junk += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60))]
+    got = language_crf.annotate(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).collect()
+    assert all(r["lang_known"] < 0.5 for r in got)
 
 
 def test_code_switched_words(spark, sf_dir):
