@@ -17,14 +17,20 @@ one class, named by a hash of the set, and all later work is on classes.
     A set with too few non-empty blocks (tiny sets) adds a key by a second
     hash, and at last one for its band.
 4.  Join.  Rows (block key, class) are dealt by key and sorted.  In small
-    buckets all pairs, in large ones chunk against chunk, are compared by size
-    and by the Hamming distance of their sketches; what passes is a candidate
-    link.  Of a large bucket only a spanning forest of candidates leaves.
-5.  Verify.  Candidate links make coarse groups.  The shingles of each group's
-    classes meet in chunks of bounded size; exact intersections decide, and a
-    spanning forest of true links leaves.  Classes that are already connected
-    need no further comparison, so a group of n near copies costs about n
-    comparisons, while every other pair of a group is compared.
+    buckets all pairs are compared by size and by the Hamming distance of their
+    sketches; what passes is a candidate link.
+5.  Contract.  Classes of large buckets first meet in chunks of a few of their
+    buckets, where exact intersections decide.  That joins the near copies,
+    which fill such buckets, to components with work in proportion to their
+    number.  Then the members of each large bucket that are in different
+    components are compared by sketch, chunk against chunk: a bucket of one
+    component is done, and the chunks of its largest component only meet the
+    members outside it.  Of each pair of chunks a spanning forest of candidate
+    links leaves.
+6.  Verify.  Candidate links make coarse groups.  The shingles of the classes
+    of a group that is not yet one component meet in the same way, in chunks of
+    bounded size; exact intersections decide, and a spanning forest of true
+    links leaves.  Every pair of a group is compared unless it is connected.
 
 No bucket or group is capped, sampled or dropped, and no step holds more than
 two chunks of a group in memory.
@@ -37,19 +43,22 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textcore import cut, map_batches, mix, runs, windows, word_slices
+from .textcore import cut, map_batches, mix, runs, spread_join, windows, word_slices
 
 EDGE, RATIO = 8, 4
 #: Buckets up to this size are compared at once, larger ones by chunks.
 SMALL_BUCKET = 24
 #: Members of a chunk of a large bucket; bytes of shingles in a chunk of a group.
 CHUNK_ROWS, CHUNK_BYTES = 2048, 4 << 20
-#: Bytes kept of each shingle hash for exact intersections.
-KEEP_BYTES = 5
+#: Large buckets in which each class is linked first; members from which a component is set apart in dealing.
+FIRST_BUCKETS, APART = 3, 256
+#: Bytes of a shingle hash; classes that a task remembers to skip copies of.
+HASH_BYTES, REMEMBERED = 8, 1 << 20
 
 
 def band_of(n: int) -> int:
@@ -157,11 +166,11 @@ def _classes(similarity: float, size: int):
         for batch in batches:
             n = batch.num_rows
             names, sizes, sketches = [None] * n, [0] * n, [None] * n
-            for row, s in shingle_sets(batch.column(1), size):
+            for row, s in shingle_sets(batch.column(2), size):
                 names[row], sizes[row], sketches[row] = set_code(s), len(s), bit_sketch(s)
             yield pa.record_batch(
-                [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "class_id", "n_shingles", "sketch"],
+                [*batch.columns[:2], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_code", "class_id", "n_shingles", "sketch"],
             )
 
     return run
@@ -175,6 +184,8 @@ def _keys(similarity: float, size: int):
             for _, s in shingle_sets(batch.column(0), size):
                 name = set_code(s)
                 if name not in seen:  # a copy in this task has the same rows
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(name)
                     found = block_keys(s, rule)
                     keys.append(found)
@@ -266,6 +277,13 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64) if hasattr(np, "bitwise_count") else _ONES[x].sum(axis=-1, dtype=np.int64)
 
 
+def _sketch_rows(sketches: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    """The sketches of some rows, all of one size, folded to `width` bytes."""
+    off = np.frombuffer(sketches.buffers()[1], dtype=np.int32)[sketches.offset :][: len(sketches) + 1]
+    data, at = np.frombuffer(sketches.buffers()[2], dtype=np.uint8), off[rows].astype(np.int64)
+    return fold(data[at[:, None] + np.arange(int(off[rows[0] + 1] - at[0]))], width)
+
+
 def _pair_filter(similarity: float):
     """Candidate pairs whose sizes and sketches allow a link."""
 
@@ -276,11 +294,15 @@ def _pair_filter(similarity: float):
             low, high = np.minimum(na, nb), np.maximum(na, nb)
             keep = low * rule.den >= high * rule.num
             limit = (na + nb) * (rule.den - rule.num) // (rule.den + rule.num)
-            sa, sb = batch.column(4), batch.column(5)
-            for i in np.flatnonzero(keep):
-                x, y = (np.frombuffer(s[int(i)].as_py(), dtype=np.uint8) for s in (sa, sb))
-                width = min(len(x), len(y))
-                keep[i] = hamming(fold(x, width), fold(y, width)) <= limit[i]
+            wide = [pa.compute.binary_length(batch.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5)]
+            left = np.flatnonzero(keep)
+            shape = wide[0][left] * (1 << 32) + wide[1][left]
+            for s in np.unique(shape):  # pairs of sketches of the same two widths
+                rows = left[shape == s]
+                width = int(min(s >> 32, s & 0xFFFFFFFF))
+                for lo in range(0, len(rows), max(1, CHUNK_BYTES // width)):
+                    some = rows[lo : lo + max(1, CHUNK_BYTES // width)]
+                    keep[some] = hamming(*(_sketch_rows(batch.column(i), some, width) for i in (4, 5))) <= limit[some]
             yield pa.record_batch([c.filter(pa.array(keep)) for c in (batch.column(0), batch.column(1))], names=["a", "b"])
 
     return run
@@ -305,15 +327,19 @@ class Forest:
         return i != j
 
 
-def spanning(n: int, near, check=None) -> list[tuple[int, int]]:
+def spanning(n: int, near, check=None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph on 0..n-1.
 
     near(i, others) tells which of `others` may link with i; check(i, j)
     decides (None: near decides).  Each i is held against all others outside
-    its present tree, so that no connection is missed.
+    its present tree, so that no connection is missed.  Members with one value
+    in `known` are connected to begin with.
     """
     forest, links = Forest(n), []
-    tree = np.arange(n)  # the root of each member, kept in step with the forest
+    if known is not None:
+        _, first, group = np.unique(known, return_index=True, return_inverse=True)
+        forest.up = [int(min(i, first[g])) for i, g in enumerate(group)]
+    tree = np.array(forest.up)  # the root of each member, kept in step with the forest
     for i in range(n):
         others = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
         if not len(others):
@@ -350,7 +376,7 @@ def _sketch_near(rule: Rule, size: np.ndarray, sketch: list[np.ndarray]):
 def _chunks(similarity: float, exact: bool):
     """Rows of (group, chunk pair), sorted, to the links of a spanning forest.
 
-    With exact, `shingles` holds the members' shingles and intersections
+    Members with equal `comp` are connected already.  With exact, `shingles` holds the members' shingles and intersections
     decide; else the sketches do.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -359,7 +385,7 @@ def _chunks(similarity: float, exact: bool):
         rule = Rule(similarity)
         for table in runs(batches, ["grp", "i", "j"]):
             grp, ci, cj = (table.column(k).to_numpy() for k in ("grp", "i", "j"))
-            name, size = table.column("class_id").to_numpy(), table.column("n_shingles").to_numpy()
+            name, size, comp = (table.column(k).to_numpy() for k in ("class_id", "n_shingles", "comp"))
             bits = table.column("sketch").combine_chunks()
             data = table.column("shingles").combine_chunks() if exact else None
             new = np.r_[True, (grp[1:] != grp[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])]
@@ -368,24 +394,20 @@ def _chunks(similarity: float, exact: bool):
             for lo, hi in zip(edge[:-1], edge[1:]):
                 _, row = np.unique(name[lo:hi], return_index=True)
                 row += lo
-                if len(row) < 2:
+                if len(row) < 2 or (comp[row] == comp[row[0]]).all():
                     continue
                 near = _sketch_near(rule, size[row], [np.frombuffer(bits[int(r)].as_py(), np.uint8) for r in row])
                 check = None
                 if exact:
-                    sets: dict[int, np.ndarray] = {}
-
-                    def of(i: int, row=row, sets=sets) -> np.ndarray:
-                        if i not in sets:
-                            sets[i] = unpack(data[int(row[i])].as_py())
-                        return sets[i]
+                    def of(i: int, row=row) -> np.ndarray:
+                        return np.frombuffer(data[int(row[i])].as_buffer(), dtype="<u8")
 
                     def check(i: int, j: int, of=of, row=row) -> bool:
                         x, y = of(i), of(j)
                         both = np.sort(np.concatenate((x, y)), kind="stable")
                         return rule.linked(int((both[1:] == both[:-1]).sum()), int(size[row[i]]), int(size[row[j]]))
 
-                for i, j in spanning(len(row), near, check):
+                for i, j in spanning(len(row), near, check, comp[row]):
                     a.append(int(name[row[i]]))
                     b.append(int(name[row[j]]))
             if a:
@@ -394,19 +416,8 @@ def _chunks(similarity: float, exact: bool):
     return run
 
 
-def pack(s: np.ndarray) -> bytes:
-    """The low KEEP_BYTES bytes of each shingle hash."""
-    return np.ascontiguousarray(s.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEEP_BYTES].tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // KEEP_BYTES, 8), dtype=np.uint8)
-    wide[:, :KEEP_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEEP_BYTES)
-    return np.sort(wide.view("<u8").ravel())
-
-
-def _payload(size: int):
-    """(grp, pieces, class, text) rows to rows with the class's shingles."""
+def _payload(size: int, names: list[str]):
+    """Rows with a class and a text to rows with the class's shingles in the text's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,29 +426,72 @@ def _payload(size: int):
             for row, s in shingle_sets(batch.column("text"), size):
                 if set_code(s) == wanted[row]:
                     rows.append(row)
-                    data.append(pack(s))
-            kept = batch.select(["grp", "pieces", "class_id", "n_shingles", "sketch"]).take(pa.array(rows, pa.int64()))
-            yield pa.record_batch([*kept.columns, pa.array(data, pa.binary())], names=["grp", "pieces", "class_id", "n_shingles", "sketch", "shingles"])
+                    data.append(s.astype("<u8").tobytes())
+            kept = batch.select(names).take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([*kept.columns, pa.array(data, pa.binary())], names=[*names, "shingles"])
 
     return run
 
 
-def _deal(rows: DataFrame) -> DataFrame:
-    """Each row to all chunk pairs that its chunk takes part in, dealt and sorted."""
-    mine = F.pmod(F.xxhash64("class_id"), F.col("pieces"))
-    return (
-        rows.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-        .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-        .drop("mine", "other", "pieces")
-        .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+def _pieces(rows: str, shingles: str | None) -> str:
+    """SQL for the chunks of so many rows with so many shingles together."""
+    by_rows = f"ceil({rows} / {CHUNK_ROWS})"
+    return f"cast(greatest({by_rows}, ceil({shingles} * {HASH_BYTES} / {CHUNK_BYTES})) as bigint)" if shingles else f"cast({by_rows} as bigint)"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+
+def _loads(rows: DataFrame, by_bytes: bool) -> DataFrame:
+    """(grp, main, pm, po) of the groups with more than one component: the largest component if it
+    is to be set apart (else null), its number of chunks and that of the others."""
+    comps = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    loads = comps.groupBy("grp").agg(
+        F.max(F.struct("n", "w", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("comps")
+    ).where("comps > 1").withColumn("apart", F.col("top.n") >= APART)
+    w = lambda of, other: f"if(apart, {of}, {other})" if by_bytes else None
+    return loads.select(
+        "grp", F.expr("if(apart, top.comp, null)").alias("main"),
+        F.expr(_pieces("if(apart, top.n, 0)", w("top.w", "0"))).alias("pm"), F.expr(_pieces("if(apart, n - top.n, n)", w("w - top.w", "w"))).alias("po"),
     )
 
 
+def _deal(rows: DataFrame) -> DataFrame:
+    """Each row, with its group's load, to all chunk pairs that its chunk takes part in, dealt and sorted.
+
+    Chunks of the main component have negative numbers and meet those of the
+    others; those of the others meet each other as well.
+    """
+    upto = lambda n: f"if({n} > 0, sequence(cast(0 as bigint), {n} - 1), cast(array() as array<bigint>))"
+    ours = F.expr("main IS NOT NULL AND comp = main")
+    mine = F.pmod(F.xxhash64("class_id"), F.when(ours, F.col("pm")).otherwise(F.col("po")))
+    pairs = F.when(ours, F.expr(f"transform({upto('po')}, x -> named_struct('i', -mine - 1, 'j', x))")).otherwise(F.expr(
+        f"concat(transform({upto('pm')}, x -> named_struct('i', -x - 1, 'j', mine)),"
+        f" transform({upto('po')}, x -> named_struct('i', least(x, mine), 'j', greatest(x, mine))))"
+    ))
+    return _dealt(rows.withColumn("mine", mine).withColumn("pair", F.explode(pairs)).select(
+        *(c for c in rows.columns if c not in ("main", "pm", "po")), "pair.i", "pair.j"
+    ))
+
+
 def shingle_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, n_shingles, sketch); class_id null where a text has no word."""
-    out = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, class_id long, n_shingles long, sketch binary"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(map_batches, _classes(similarity, size), out)
+    """(doc_id, text_code, class_id, n_shingles, sketch); class_id null where a text has no word."""
+    out = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_code long, class_id long, n_shingles long, sketch binary"
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_code"), F.col(text).alias("text"))
+    return rows.transform(map_batches, _classes(similarity, size), out)
+
+
+def with_texts(docs: DataFrame, group: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """group, with a text for each row: that of a document of its class.
+
+    A class is found by the smallest id of its rows, or, if none of them has
+    one, by the hash of a text of theirs.
+    """
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    nameless = texts.where("doc_id IS NULL").groupBy(F.xxhash64("text").alias("text_code")).agg(F.first("text").alias("text"))
+    named = group.where("doc_id IS NOT NULL").drop("text_code").join(texts, "doc_id").drop("doc_id")
+    return named.unionByName(group.where("doc_id IS NULL").drop("doc_id").join(nameless, "text_code").drop("text_code"))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -445,35 +499,48 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
 
     `classes` is shingle_classes(docs), already written, as it is read thrice.
     """
-    one = classes.where("class_id is not null").groupBy("class_id").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")
-    )
+    one = cut(classes.where("class_id is not null").groupBy("class_id").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), F.min("text_code").alias("text_code")
+    ))
     keys = docs.select(F.col(text).alias("text")).transform(map_batches, _keys(similarity, size), "key long, class_id long")
     dealt = keys.repartition("key").sortWithinPartitions("key", "class_id")
     found = cut(dealt.transform(map_batches, _buckets, "a long, b long, key long"))
 
+    links = "a long, b long"
     side = one.select("class_id", "n_shingles", "sketch")
     pairs = found.where("b is not null").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(side.toDF(c, f"n_{c}", f"s_{c}"), c)
-    close = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").transform(map_batches, _pair_filter(similarity), "a long, b long")
+    close = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").transform(map_batches, _pair_filter(similarity), links)
 
-    large = found.where("b is null").select(F.col("key").alias("grp"), F.col("a").alias("class_id"))
-    counts = large.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("pieces"))
-    wide = large.join(counts, "grp").join(side, "class_id")
-    coarse_links = cut(close.union(_deal(wide).transform(map_batches, _chunks(similarity, False), "a long, b long")))
+    def shingled(group: DataFrame) -> DataFrame:
+        names = [c for c in group.columns if c not in ("doc_id", "text_code")]
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in group.select(*names).schema.fields)
+        return with_texts(docs, group, text, doc_id).transform(map_batches, _payload(size, names), f"{kinds}, shingles binary")
 
-    coarse = components(coarse_links)
+    large = found.where("b is null").select(F.col("key").alias("grp"), F.col("a").alias("class_id"))
+    first = None
+    if not large.isEmpty():
+        # some buckets of each class, the same ones for classes that share them
+        few = large.groupBy("class_id").agg(F.array_distinct(F.array(*(
+            F.min_by("grp", F.xxhash64("grp", F.lit(k))) for k in range(FIRST_BUCKETS)
+        ))).alias("few"))
+        some = few.select("class_id", F.explode("few").alias("grp")).join(one, "class_id")
+        load = some.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).select("grp", F.expr(_pieces("n", "w")).alias("pieces"))
+        chunk = F.pmod(F.xxhash64("class_id", "grp"), F.col("pieces"))
+        placed = some.join(load, "grp").select("grp", chunk.alias("i"), chunk.alias("j"), "class_id", F.col("class_id").alias("comp"), "n_shingles", "sketch", "doc_id", "text_code")
+        first = cut(_dealt(shingled(placed)).transform(map_batches, _chunks(similarity, True), links))
+        known = components(first).select(F.col("node").alias("class_id"), F.col("label").alias("comp"))
+        comp = lambda rows: rows.join(known, "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
+        light = cut(comp(large.join(one.select("class_id", "n_shingles"), "class_id")))
+        rest = light.join(cut(_loads(light, False)), "grp").join(one.select("class_id", "sketch"), "class_id")
+        close = close.union(_deal(rest).transform(map_batches, _chunks(similarity, False), links)).union(first)
+    coarse = components(cut(close))
     group = one.join(coarse.select(F.col("node").alias("class_id"), F.col("label").alias("grp")), "class_id")
-    load = group.groupBy("grp").agg(
-        F.greatest(F.ceil(F.sum("n_shingles") * KEEP_BYTES / CHUNK_BYTES), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS)).alias("pieces")
-    )
-    group = group.join(load, "grp")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(group, "doc_id").transform(
-        map_batches, _payload(size), "grp long, pieces long, class_id long, n_shingles long, sketch binary, shingles binary"
-    )
-    return _deal(rows).transform(map_batches, _chunks(similarity, True), "a long, b long")
+    group = cut(comp(group) if first is not None else group.withColumn("comp", F.col("class_id")))
+    rows = shingled(group.join(cut(_loads(group, True)), "grp"))
+    exact = _deal(rows).transform(map_batches, _chunks(similarity, True), links)
+    return exact if first is None else exact.union(first)
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -485,18 +552,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     component.  Two texts link when common >= similarity * union, compared in
     whole numbers.  component_id is the smallest doc_id reachable by links.
     Repeated rows give repeated rows; other columns of docs are ignored; an
-    empty table gives an empty table.  Rows with a null doc_id keep a null
-    id and never name a component; a set that only such rows have is linked
-    with nothing.
+    empty table gives an empty table.  Rows with a null doc_id link like all
+    others, but never name a component; where a component has no other rows
+    its component_id is null.
     """
     classes = cut(shingle_classes(docs, size, similarity, text, doc_id))
     links = cut(class_links(docs, classes, size, similarity, text, doc_id))
     labels = components(links).select(F.col("node").alias("class_id"), F.col("label").alias("root"))
-    names = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    known = names.join(labels, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class_id", "component_id")
-    return classes.select("doc_id", "n_shingles", "class_id").join(named, "class_id", "left").select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id")
+    names = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    known = cut(names.join(labels, "class_id", "left").withColumn("root", F.coalesce("root", "class_id")))
+    roots = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(known.select("class_id", "root", "n"), roots.drop("n"), "root", roots.select(F.col("root"), "n")).drop("root", "n")
+    counts = known.select("class_id", "n")
+    return spread_join(classes.select("doc_id", "n_shingles", "class_id"), named, "class_id", counts).select(
+        "doc_id", "n_shingles", "class_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 

@@ -29,6 +29,8 @@ GAP = 5e-4
 #: Distinct words whose ids a worker keeps in each of two generations, and their bytes together;
 #: words that wait to be sorted into a generation.
 CACHE, CACHE_BYTES, RECENT = 1 << 19, 16 << 20, 1 << 16
+#: Rows (partition and class) up to which the ranks before each partition are sent to all tasks.
+BROADCAST_ROWS = 200_000
 #: New words that are tokenized as one text, with a special token between them.
 JOINED = 256
 
@@ -374,13 +376,15 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, cls int" + ", ids array<int>" * with_ids
     pieces = cut(rows.transform(map_batches, _pieces(tokenizer or default_tokenizer(), context, unit, with_ids), schema))
-    parts = pieces.groupBy(F.spark_partition_id().alias("part"), "cls").agg(F.count(F.lit(1)).alias("n"))
+    parts = cut(pieces.groupBy(F.spark_partition_id().alias("part"), "cls").agg(F.count(F.lit(1)).alias("n")))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for c, n in parts.groupBy("cls").agg(F.sum("n")).collect():  # at most `capacity` rows
         counts[c] = n
     tables = docs.sparkSession.sparkContext.broadcast(_tables(plan(counts, capacity)))
     before = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", "cls", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if parts.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     ranked = pieces.transform(map_batches, _ranked(capacity), f"{schema}, nth long").withColumn("part", F.spark_partition_id())
     ranked = ranked.join(offsets, ["part", "cls"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields)

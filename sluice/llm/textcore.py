@@ -247,9 +247,37 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
+    """Write the rows to the shared checkpoint folder and go on from there.
+
+    The rows come back without the size that was estimated for them: estimates
+    of joins multiply, and in a loop they grow to numbers of millions of digits.
+    """
     ensure_checkpoint_dir(df)
-    return df.checkpoint(eager=True)
+    kept, spark = df.checkpoint(eager=True)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
+#: A key with at least 1 / HOT of all rows is joined apart from the others.
+HOT = 64
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows with side's columns, nulls where it has no row of the key; side has each key once.
+
+    counts has (key, n), the rows of each key.  The at most HOT keys that have
+    a share of 1 / HOT or more never meet in one task: their rows of side, as
+    few, are sent to all.  Null keys stay where they are.
+    """
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("n") * HOT >= total).select(key).collect()] if total else []
+    cold = rows.where(F.col(key).isNotNull() & ~F.col(key).isin(hot)) if hot else rows.where(F.col(key).isNotNull())
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields if f.name != key]
+    out = cold.join(side, key, "left").select(*rows.columns, *(c for c in side.columns if c != key))
+    out = out.union(rows.where(F.col(key).isNull()).select(*rows.columns, *none))
+    if hot:
+        few = rows.where(F.col(key).isin(hot)).join(F.broadcast(side.where(F.col(key).isin(hot))), key, "left")
+        out = out.union(few.select(*out.columns))
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -131,6 +131,73 @@ def test_chunks_of_large_buckets(spark, monkeypatch):
     df = spark.createDataFrame(list(found.items()), "doc_id long, text string")
     got = rows(jaccard_join.jaccard_components(df))
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(found)
+    monkeypatch.setattr(jaccard_join, "APART", 5)
+    got = rows(jaccard_join.jaccard_components(df))
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(found)
+
+
+def test_groups_next_to_a_large_component(spark, monkeypatch):
+    """A large family, its far relatives and strangers that share its passage, in small chunks."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 9)
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 6000)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(80)]
+    found = {}
+    for k in range(150):
+        text = list(base)
+        for _ in range(rng.randint(0, 1) if k < 100 else rng.randint(0, 4)):
+            text[rng.randrange(80)] = f"z{rng.randrange(1000)}"
+        found[k] = " ".join(text if k < 130 else text[:60] + [f"q{rng.randrange(10_000)}" for _ in range(rng.randint(10, 40))])
+    for apart in (256, 20, 1):
+        monkeypatch.setattr(jaccard_join, "APART", apart)
+        got = rows(jaccard_join.jaccard_components(spark.createDataFrame(list(found.items()), "doc_id long, text string")))
+        assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(found)
+
+
+def test_rows_of_a_group_grow_in_proportion(spark, monkeypatch):
+    """Four times the near copies are dealt to tasks about four times, not sixteen."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 16)
+    sent = []
+    plain = jaccard_join._dealt
+
+    def counted(rows):
+        sent.append(rows.count())
+        return plain(rows)
+
+    monkeypatch.setattr(jaccard_join, "_dealt", counted)
+    base = [f"w{i}" for i in range(90)]
+    totals = []
+    for n in (100, 400):
+        sent.clear()
+        df = spark.createDataFrame([(k, " ".join([*base[: k % 90], f"z{k}", *base[k % 90 + 1 :]])) for k in range(n)], "doc_id long, text string")
+        assert {r["component_id"] for r in jaccard_join.jaccard_components(df).collect()} == {0}
+        totals.append(sum(sent))
+    assert totals[1] < 5 * totals[0]
+
+
+def test_rows_without_an_id_link_like_others(spark):
+    """A row with a null id bridges two texts, and names nothing."""
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join([*w[:55], *"vwxyz"]), " ".join(["k", "l", "m", "n", *w[4:55], *"vwxyz"])
+    texts = {1: a, 2: b, 3: c}
+    assert {k: v[1] for k, v in brute.components(texts).items()} == {1: 1, 2: 1, 3: 1}
+    assert {k: v[1] for k, v in brute.components({1: a, 3: c}).items()} == {1: 1, 3: 3}
+    df = spark.createDataFrame([(1, a), (None, b), (None, b), (3, c), (None, "some text of its own here"), (None, None), (None, "q w e r t y")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    n = len(brute.shingles(a))
+    assert got == sorted([(1, n, 1), (None, n, 1), (None, n, 1), (3, n, 1), (None, 2, None), (None, 0, None), (None, 2, None)], key=str)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in jaccard_join.keep_one(df).collect()) == [(False, 1)] + [(True, 0)] * 5
+
+
+def test_joins_keep_hot_and_null_keys(spark):
+    from sluice.llm.textcore import spread_join
+
+    df = spark.createDataFrame([(i, 7 if i < 500 else None if i < 600 else i) for i in range(1000)], "i int, k long")
+    side = spark.createDataFrame([(k, k * 2) for k in (7, 700, 900)], "k long, v long")
+    counts = df.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n")
+    got = {r["i"]: r["v"] for r in spread_join(df, side, "k", counts).collect()}
+    assert got == {i: 14 if i < 500 else {700: 1400, 900: 1800}.get(i) for i in range(1000)}
+    assert spread_join(df.limit(0), side, "k", counts.limit(0)).columns == ["i", "k", "v"]
 
 
 def test_buckets_across_batches():
