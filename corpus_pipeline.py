@@ -20,16 +20,21 @@ from sluice.llm.secret_scan import redact
 from sluice.llm.textcore import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if no language is recognised or the mean word probability is below this.
-LEAST_LANGUAGE_SCORE = 0.35
+#: A document goes if it has no letter or if fewer of its trigrams are known from the learned languages.
+LEAST_FAMILIAR = 0.6
 #: Share of tokens that the mixing stage aims to keep.
 TOKEN_BUDGET = 0.6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language stay; lang becomes the predicted one."""
-    found = annotate(docs, fit(docs), lang_name="__lang", score_name="__score")
-    kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_LANGUAGE_SCORE))
+    """Documents in a language that the labelled ones teach stay; lang becomes the predicted one.
+
+    Texts without a letter (null and empty ones too) go, and texts in other
+    languages or junk.  Nothing is learned from a table without labels: then
+    all go.
+    """
+    found = annotate(docs.select(*COLUMNS), fit(docs), lang_name="__lang", score_name="__score", known_name="__known")
+    kept = found.where((F.col("__lang") != "und") & (F.col("__known") >= LEAST_FAMILIAR))
     return kept.withColumn("lang", F.col("__lang")).select(*COLUMNS)
 
 
@@ -49,8 +54,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in packed sequences."""
-    return pack_documents(docs)
+    """Pieces of the documents in packed sequences, with their token ids."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [
@@ -66,11 +71,26 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.
+
+    Only that stage's folder stays, as the result is read from it; the others
+    are removed as soon as the next one is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ensure_checkpoint_dir(docs)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        last = path
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark's file system has it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
