@@ -165,30 +165,31 @@ DIGEST = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_byt
 
 
 def describe(raw: bytes, wanted: tuple[str, ...]) -> dict[str, object]:
-    """The wanted fields of one text's bytes."""
+    """The wanted fields of one text's bytes.
+
+    What is told of the payload comes from the stored media, what is told of
+    the bands from the stored tensors: both are read back.
+    """
     payload = raw + b"\0" * (-len(raw) % ALIGN or (0 if raw else ALIGN))
     media = to_wav(payload)
     rate, stored = from_wav(media)
     if rate != STORED_RATE:
         raise ValueError("unexpected rate")
     samples = (np.frombuffer(stored, dtype=np.uint8).astype(np.float32) - 128) / 128
-    bands = log_mel(_RESAMPLE(samples))
-    energy = bands.mean(axis=1, dtype=np.float64)
-    found = segments(energy)
+    clips = clip_tensors(log_mel(_RESAMPLE(samples)))
+    spans, tensors = read_tensors(clips)
+    frames = round(spans[-1, 1] * FEATURE_RATE / HOP)
+    bands = tensors.reshape(-1, BANDS)[:frames]
+    found = segments(bands.mean(axis=1, dtype=np.float64))
     active = sum(b - a for a, b in found)
     mean = bands.mean(axis=0, dtype=np.float64)
     out: dict[str, object] = {
         "n_bytes": len(raw), "payload_bytes": len(stored), "payload_sha256": hashlib.sha256(stored).hexdigest(),
         "tail_crc32": zlib.crc32(stored[-ALIGN:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
         "feature": f"frames={len(bands)};segments={len(found)};active={active};mel=" + ",".join(f"{v:.2f}" for v in mean),
+        "media": media, "clips": clips, "segments": [{"start_s": time_of(a), "end_s": time_of(b)} for a, b in found],
     }
-    if "media" in wanted:
-        out["media"] = media
-    if "segments" in wanted:
-        out["segments"] = [{"start_s": time_of(a), "end_s": time_of(b)} for a, b in found]
-    if "clips" in wanted:
-        out["clips"] = clip_tensors(bands)
-    return out
+    return {k: out[k] for k in wanted}
 
 
 def _describe(wanted: tuple[str, ...]):
@@ -222,4 +223,11 @@ def media_columns(docs: DataFrame, wanted: tuple[str, ...] = tuple(FIELDS), text
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
-    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), DIGEST)
+    """The digests of the stored media, and those of the tensors and time spans beside them."""
+    found = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.sha2("clips", 256).alias("clips_sha256"), F.size("segments").cast("long").alias("n_segments"),
+        F.coalesce(F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["end_s"] - x["start_s"]), F.lit(0.0)).alias("active_s"),
+    )

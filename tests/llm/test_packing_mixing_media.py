@@ -185,6 +185,8 @@ def test_media_round_trip(spark, sf_dir):
         assert d["payload_sha256"] == hashlib.sha256(payload).hexdigest() and d["tail_crc32"] == zlib.crc32(payload[-64:])
         assert d["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and d["feature"] == r["feature"]
         spans, tensors = audio_features.read_tensors(bytes(r["clips"]))
+        assert d["clips_sha256"] == hashlib.sha256(bytes(r["clips"])).hexdigest() and d["n_segments"] == len(r["segments"])
+        assert d["active_s"] == pytest.approx(sum(x["end_s"] - x["start_s"] for x in r["segments"]))
         assert tensors.shape[1:] == (64, 20) and len(spans) == len(tensors) and (spans[:, 1] > spans[:, 0]).all()
 
 
@@ -211,6 +213,28 @@ def test_resampler_and_segments():
     assert audio_features.segments(np.zeros(5)) == []
 
 
+def test_log_mel_by_direct_sums():
+    """Frames, window, Fourier sums and triangles written out."""
+    rng = np.random.default_rng(2)
+    for n in (1, 256, 257, 700):
+        x = rng.normal(size=n).astype(np.float32)
+        frames = max(1, -(-max(n - 256, 0) // 128) + 1)
+        padded = np.concatenate([x, np.zeros((frames - 1) * 128 + 256 - n)]) if (frames - 1) * 128 + 256 > n else x
+        top = 2595 * np.log10(1 + 5000 / 700)
+        edges = [700 * (10 ** (top * i / 21 / 2595) - 1) for i in range(22)]
+        got = audio_features.log_mel(x)
+        assert got.shape == (frames, 20)
+        k, t = np.arange(129)[:, None], np.arange(256)[None]
+        wave_table = np.exp(-2j * np.pi * k * t / 256)
+        for f in range(frames):
+            part = padded[f * 128 : f * 128 + 256] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255))
+            power = np.abs((wave_table * part).sum(axis=1)) ** 2
+            for b in range(20):
+                a, c, e = edges[b : b + 3]
+                weight = [max(0.0, min((hz - a) / (c - a), (e - hz) / (e - c))) for hz in np.arange(129) * 10_000 / 256]
+                assert got[f, b] == pytest.approx(np.log10((power * weight).sum() + 1e-6), abs=2e-3)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
