@@ -1,11 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token weights of the cells (source, language, topic) are raked until their
-marginals meet the targets; documents are then kept with the probability that
-their cell's weight calls for.  Everything is DataFrame or SQL expressions.
-Documents are aggregated to cells first, so a source that holds a third of
-them is as light as any other in the loop, and the raking works on the cell
-table only, however many documents there are.
+marginals meet the targets within TOLERANCE; documents are then kept with the
+probability that their cell's weight calls for.  Everything is DataFrame or SQL
+expressions.  Documents are aggregated to cells first, so a source that holds a
+third of them is as light as any other in the loop, and the raking works on the
+cell table only, however many documents there are.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcore import cut
+from .textcore import cut, fresh
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Sweeps, sweeps between two writes of the cell table, rounds that deal out what full cells can't take.
-SWEEPS, BETWEEN, WATER_ROUNDS = 12, 3, 6
+#: Sweeps between two writes of the cell table and tests of the marginals; sweeps at most, for
+#: targets that the cells can't meet; the largest difference of a marginal share from its target.
+BETWEEN, SWEEPS, TOLERANCE = 4, 60, 1e-9
 #: Cells up to this number are sent to all tasks for the last join; beyond it, the join shuffles.
 BROADCAST_CELLS = 50_000
 #: Share of all tokens to keep, and the exponent that tempers the present shares to default targets.
@@ -46,20 +47,23 @@ def topic_of(text: Column, tokens: Column) -> Column:
     )
 
 
-def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __source, __lang, __topic (null counts as one value) and __tokens."""
-    named = docs.withColumn("__tokens", token_count(F.col(text)))
-    return (
-        named.withColumn("__topic", topic_of(F.col(text), F.col("__tokens")))
-        .withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(NONE)))
-        .withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit(NONE)))
-    )
-
+def counted(docs: DataFrame, names: list[str], text: str = "text", topic: Column | None = None) -> DataFrame:
+    """docs with the columns `names`: source, lang and topic (null counts as one value) and tokens.
 
-def cell_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(source, lang, topic, tokens, n_docs) of all documents."""
-    return with_cells(docs, text).groupBy(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS)).agg(
-        F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")
+    `topic` is any expression that names a document's topic, by default topic_of.
+    """
+    source, lang, topics, tokens = names
+    out = docs.withColumn(tokens, token_count(F.col(text)))
+    return out.withColumns({
+        topics: F.coalesce(topic.cast("string"), F.lit(NONE)) if topic is not None else topic_of(F.col(text), F.col(tokens)),
+        source: F.coalesce(F.col("source").cast("string"), F.lit(NONE)), lang: F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
+    })
+
+
+def cell_table(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(source, lang, topic, tokens, n_docs) of rows with the columns `names`."""
+    return rows.groupBy(*(F.col(n).alias(d) for d, n in zip(DIMENSIONS, names))).agg(
+        F.sum(names[3]).alias("tokens"), F.count(F.lit(1)).alias("n_docs")
     )
 
 
@@ -82,39 +86,59 @@ def _with_targets(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] |
     return out.drop(*(f"__n_{d}" for d in DIMENSIONS))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
+def missed(cells: DataFrame) -> DataFrame:
+    """(dimension, value, target, share, missed) of the raked cells: how far each marginal is off."""
+    out = None
+    total = F.sum("weight").over(Window.partitionBy())
+    for d in DIMENSIONS:
+        shares = cells.groupBy(F.col(d).alias("value")).agg(F.first(f"t_{d}").alias("target"), F.sum("weight").alias("weight"))
+        part = shares.select(
+            F.lit(d).alias("dimension"), "value", "target", F.when(total > 0, F.col("weight") / total).otherwise(0.0).alias("share")
+        ).withColumn("missed", F.abs(F.col("share") - F.col("target")))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with t_<dimension> and `weight`, the raked share of tokens.
 
-    A target that no cell can serve is spread over the others in proportion.
-    Cells without tokens, or with a target of 0, get weight 0.
+    Sweeps end when every marginal is within `tolerance` of its target, or when
+    BETWEEN sweeps bring the worst one no nearer: then the cells can't serve all
+    targets together, and missed() tells by how much.  A target that no cell
+    can serve is spread over the others in proportion.  Cells without tokens, or
+    with a target of 0, get weight 0.
     """
     fitted = cut(_with_targets(cells, targets, temper).withColumn("weight", F.col("tokens").cast("double")))
+    last = float("inf")
     for done in range(0, sweeps, BETWEEN):
         for _ in range(min(BETWEEN, sweeps - done)):
             for d in DIMENSIONS:
                 marginal = F.sum("weight").over(Window.partitionBy(d))
                 fitted = fitted.withColumn("weight", F.when(marginal > 0, F.col("weight") * F.col(f"t_{d}") / marginal).otherwise(0.0))
         fitted = cut(fitted)
+        worst = missed(fitted).agg(F.max("missed")).head()[0] or 0.0
+        if worst <= tolerance or worst > last * (1 - 1e-6):
+            break
+        last = worst
     return fitted
 
 
-def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = WATER_ROUNDS) -> DataFrame:
+def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Adds `probability`: of keeping a document of the cell, at most 1.
 
     A cell wants scale * weight tokens; where that is more than it has it gives
-    all, and the scale rises for the others, so that the expected tokens come
-    to `budget` of all if the cells with weight can give as much.
+    all, and the scale rises for the others until none of them is short, so
+    that the expected tokens come to `budget` of all if the cells with weight
+    can give as much.
     """
     total = cells.agg(F.sum("tokens").alias("n"), F.sum("weight").alias("w")).head()
     n, w = float(total["n"] or 0), float(total["w"] or 0)
     scale = budget * n / w if w else 0.0
-    for _ in range(rounds):
+    while scale > 0:  # each round but the last finds another short cell
         short = F.col("weight") * scale >= F.col("tokens")
         part = cells.agg(F.sum(F.when(short, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(short, 0.0).otherwise(F.col("weight"))).alias("rest")).head()
         rest = float(part["rest"] or 0)
-        if rest <= 0:
-            break
-        new = max(budget * n - float(part["full"] or 0), 0.0) / rest
+        new = max(budget * n - float(part["full"] or 0), 0.0) / rest if rest > 0 else 0.0
         if new <= scale * (1 + 1e-12):
             break
         scale = new
@@ -129,36 +153,52 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temper: float = TEMPER, seed: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
+MIXED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept")
 
-    targets gives shares by value for any of source, lang and topic; a missing
-    dimension is tempered: its present token shares to the power `temper`.
-    mix_weight is the raked weight of a token of the cell (1 on average).
-    Equal ids share a draw; nulls are values of their own; texts without a word
-    have probability 0.  Existing mix_ columns are replaced.
-    """
-    counted = cut(cell_table(docs, text))  # the texts are read for the cells once
-    cells = cut(calibrate(rake(counted, targets, temper), budget))
+
+def with_weights(rows: DataFrame, names: list[str], targets: Mapping[str, Mapping[str, float]] | None, budget: float, temper: float, seed: int, doc_id: str) -> DataFrame:
+    """rows, which have the columns `names` (see counted), with those of MIXED."""
+    cells = cut(calibrate(rake(cut(cell_table(rows, names)), targets, temper), budget))
     total = cells.agg(F.sum("tokens")).head()[0] or 0
     small = cells.count() <= BROADCAST_CELLS
+    keys = fresh(rows, *(f"__cell_{d}" for d in DIMENSIONS))
     side = cells.select(
-        *(F.col(d).alias(f"__{d}") for d in DIMENSIONS),
+        *(F.col(d).alias(k) for d, k in zip(DIMENSIONS, keys)),
         F.when(F.col("tokens") > 0, F.col("weight") * float(total) / F.col("tokens")).otherwise(0.0).alias("mix_weight"),
         F.col("probability").alias("mix_probability"),
     )
-    rows = with_cells(docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept"), text)
-    joined = rows.join(F.broadcast(side) if small else side, [f"__{d}" for d in DIMENSIONS], "left")
-    return (
-        joined.withColumn("mix_topic", F.col("__topic")).withColumn("mix_tokens", F.col("__tokens"))
-        .withColumn("mix_kept", draw(F.col(doc_id), seed) < F.col("mix_probability"))
-        .drop("__tokens", *(f"__{d}" for d in DIMENSIONS))
-    )
+    same = [F.col(n) == F.col(k) for n, k in zip(names, keys)]
+    joined = rows.join(F.broadcast(side) if small else side, same[0] & same[1] & same[2], "left")
+    return joined.withColumns({
+        "mix_topic": F.col(names[2]), "mix_tokens": F.col(names[3]), "mix_kept": draw(F.col(doc_id), seed) < F.col("mix_probability"),
+    }).drop(*keys)
+
+
+def mix_sources(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temper: float = TEMPER, seed: int = 5,
+    text: str = "text", doc_id: str = "doc_id", topic: Column | None = None,
+) -> DataFrame:
+    """docs with mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
+
+    targets gives shares by value for any of source, lang and topic; a missing
+    dimension is tempered: its present token shares to the power `temper`.
+    `topic` is an expression over docs that names a document's topic (default:
+    its form, see topic_of).  mix_weight is the raked weight of a token of the
+    cell (1 on average).  Equal ids, null ones too, share a draw; nulls are
+    values of their own; texts without a word have probability 0.  Existing
+    columns of MIXED are replaced, all others pass, whatever their names.
+    """
+    rest = docs.drop(*MIXED)
+    names = fresh(rest, "__source", "__lang", "__topic", "__tokens")
+    found = with_weights(counted(rest, names, text, topic), names, targets, budget, temper, seed, doc_id)
+    return found.select(*rest.columns, *MIXED)
 
 
 def op5_mixing_sources(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs).select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    names = ["c_source", "c_lang", "c_topic", "c_tokens"]
+    rows = cut(counted(docs, names).drop("text"))  # the texts are read once, and only their counts kept
+    return with_weights(rows, names, None, BUDGET, TEMPER, 5, "doc_id").select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"),
         F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"),
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .mixing import BUDGET, DIMENSIONS, NONE, SWEEPS, TEMPER, WATER_ROUNDS
+from .mixing import BUDGET, DIMENSIONS, NONE, TEMPER
+
+#: The raking of the tables at hand has settled after so many sweeps, the budget after so many rounds.
+SWEEPS, WATER_ROUNDS = 24, 12
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -144,9 +144,9 @@ def test_raking_against_plain_loop(spark):
     cells = [(s, lang, t, int(n)) for s in "abc" for lang in "xy" for t in "pq" if (n := rng.integers(0, 100))]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.9, "q": 0.1}}
-    got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(df, targets, sweeps=12).collect()}
+    got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(df, targets).collect()}
     w = {c[:3]: float(c[3]) for c in cells}
-    for _ in range(12):
+    for _ in range(60):
         for i, d in enumerate(("source", "lang", "topic")):
             sums = defaultdict(float)
             for k, v in w.items():
@@ -162,6 +162,28 @@ def test_mixing_on_edges(edge):
     assert mixing.mix_sources(edge.limit(0)).count() == 0
     everything = mixing.mix_sources(edge.where("doc_id > 2"), budget=1.0).collect()
     assert all(r["mix_probability"] > 0 for r in everything)
+    clash = edge.where("doc_id > 2")
+    for i, n in enumerate(("__tokens", "__topic", "__source", "__lang", "__cell_source", "weight", "probability", "tokens", "t_source")):
+        clash = clash.withColumn(n, F.lit(i))
+    out = mixing.mix_sources(clash.union(clash).withColumn("doc_id", F.lit(None).cast("long")), topic=F.col("__tokens"))
+    assert out.columns == [c for c in clash.columns if c not in mixing.MIXED] + list(mixing.MIXED)
+    found = out.collect()
+    assert len(found) == 8 and all(r["__tokens"] == 0 and r["t_source"] == 8 and r["mix_topic"] == "0" for r in found)
+    assert len({r["mix_kept"] for r in found if r["mix_probability"] == found[0]["mix_probability"]}) == 1
+
+
+def test_raking_ends_at_its_tolerance_or_tells(spark):
+    """Marginals meet their targets; where cells can't serve them, missed() says by how much."""
+    near = [("a", "x", "p", 900), ("a", "y", "p", 1), ("b", "x", "p", 1), ("b", "y", "p", 5000)]
+    df = spark.createDataFrame(near, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}}
+    assert mixing.missed(mixing.rake(df, targets)).agg(F.max("missed")).first()[0] <= mixing.TOLERANCE
+    apart = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], df.schema)
+    off = {(r["dimension"], r["value"]): r["missed"] for r in mixing.missed(mixing.rake(apart, targets)).collect()}
+    assert max(off.values()) == pytest.approx(0.2, abs=1e-6)
+    full = mixing.calibrate(mixing.rake(spark.createDataFrame([(f"s{i}", "x", "p", 2**i) for i in range(14)], df.schema), {"source": {f"s{i}": 1 for i in range(14)}}), 0.7)
+    given = full.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
+    assert given == pytest.approx(0.7 * (2**14 - 1), rel=1e-9)
 
 
 def test_mixing_is_native(spark, sf_dir):
