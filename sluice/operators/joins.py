@@ -6,14 +6,21 @@ the left side's other columns, then the right side's.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..time import Interval, Window
 from . import EVENT_TIME
 from .windows import WINDOW_ID, assign, window_end
 
 _LEFT, _RIGHT = "__left_time", "__right_time"
+#: Widest interval for which keyed joins meet by time bucket too: a key's rows then spread over
+#: its times; a wider one would mostly copy rows.
+BUCKETED_US = 2 * 86_400_000_000
 
 
 def _sides(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, Column | None]:
@@ -29,9 +36,11 @@ def _sides(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame,
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: Interval) -> DataFrame:
     """Pairs of equal keys with right time in [left time + lower, left time + upper].
 
-    Without keys the times are bucketed by the interval's width: a left row
-    meets the at most two buckets that its interval touches, so that the join
-    stays a hash or merge join.  With keys the bucket would only add rows.
+    The times are bucketed by the interval's width: a left row meets the at most
+    two buckets that its interval touches.  Without keys that makes a hash or
+    merge join; with keys (and an interval up to BUCKETED_US) it keeps the rows
+    of a hot key apart by time, so that they are neither all in one task nor all
+    paired before their times are compared.
     The result's event time is the later one.  On streams Spark keeps a
     watermark only for a column of one side, so time windows may follow an
     interval that lies wholly after or wholly before the left time.
@@ -40,13 +49,16 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     lo, up = interval.lower.us, interval.upper.us
     shift = lambda us: f"{_LEFT} + make_dt_interval(0, 0, 0, cast({us} / 1e6 as decimal(18, 6)))"
     within = F.expr(f"{_RIGHT} >= {shift(lo)} AND {_RIGHT} <= {shift(up)}")
-    if same is not None or left.isStreaming or right.isStreaming:
+    streaming = left.isStreaming or right.isStreaming
+    if streaming or (same is not None and up - lo > BUCKETED_US):
         joined = l.join(r, within if same is None else same & within)
     else:
         width = max(up - lo, 1)
         bucket = lambda time, us: F.floor((F.unix_micros(time) + F.lit(us)) / F.lit(width)).cast("long")
         l = l.withColumn("__bucket", F.explode(F.sequence(bucket(_LEFT, lo), bucket(_LEFT, up))))  # noqa: E741
-        joined = l.join(r.withColumn("__bucket", bucket(_RIGHT, 0)), "__bucket").where(within).drop("__bucket")
+        meet = F.col("__bucket") == F.col("__right_bucket")
+        joined = l.join(r.withColumn("__right_bucket", bucket(_RIGHT, 0)), meet if same is None else same & meet).where(within)
+        joined = joined.drop("__bucket", "__right_bucket")
     if joined.isStreaming and lo >= 0:  # the right time is the later one, and keeps its watermark
         joined = joined.withColumn(EVENT_TIME, F.col(_RIGHT))
     elif joined.isStreaming and up <= 0:
@@ -77,6 +89,28 @@ def window_join(left: DataFrame, right: DataFrame, on: list[str], window: Window
     return joined.withColumn(EVENT_TIME, time).drop(_LEFT, _RIGHT, WINDOW_ID, "__right_window", *(f"__right_{k}" for k in on))
 
 
+def mapped(joined: DataFrame, func: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """func on every joined row, in Arrow batches; rows for which it gives None go."""
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [x for x in map(func, batch.to_dict("records")) if x is not None]
+            yield pd.DataFrame(out, columns=names)
+
+    return joined.mapInPandas(run, schema)
+
+
+def interval_join_with(left: DataFrame, right: DataFrame, on: list[str], interval: Interval, func: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """interval_join, with a function that makes a row of each pair, or none."""
+    return mapped(interval_join(left, right, on, interval), func, schema)
+
+
+def window_join_with(left: DataFrame, right: DataFrame, on: list[str], window: Window, baseline: int, func: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """window_join, with a function that makes a row of each pair, or none."""
+    return mapped(window_join(left, right, on, window, baseline), func, schema)
+
+
 def equi_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Plain inner join without a time bound (an extension)."""
     l, r, same = _sides(left, right, on)

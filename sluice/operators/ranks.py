@@ -8,7 +8,7 @@ within their bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import EVENT_TIME
@@ -18,18 +18,11 @@ from .aggregates import Part
 BUCKET_US = 3_600_000_000
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
 def with_running(df: DataFrame, keys: list[str], order: list[str], parts: list[Part], bucket_us: int = BUCKET_US) -> DataFrame:
     """df with each part's running value over (event time, order), the row included.
 
-    Rows before in time come first; ties follow `order`, so give columns that
-    make it total.  Null keys form one group.
+    Rows before in time come first, those without a time at the very first; ties
+    follow `order`, so give columns that make it total.  Null keys form one group.
     """
     bucket = "__bucket"
     rows = df.withColumn(bucket, F.floor(F.unix_micros(EVENT_TIME) / F.lit(bucket_us)))
@@ -42,7 +35,7 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], parts: list[P
     )
     inside = Window.partitionBy(*by, bucket).orderBy(EVENT_TIME, *(f"`{c}`" for c in order)).rowsBetween(Window.unboundedPreceding, 0)
     near = rows.select("*", *(p.from_rows.over(inside).alias(p.name) for p in parts))
-    match = F.col(bucket) == F.col("__b")
+    match = F.col(bucket).eqNullSafe(F.col("__b"))
     for i, k in enumerate(keys):
         match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{i}"))
     joined = near.join(before, match)

@@ -6,17 +6,22 @@ columns should be, and most of these take columns as well.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce as _fold
+from math import gcd
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..time import Window
 from . import EVENT_TIME
 from .aggregates import Part
-from .windows import WINDOW_ID, assign, time_window_parts, window_ids
+from .ranks import with_index
+from .windows import POSITION, WINDOW_ID, assign, window_ids, with_position
 
 Frame = pd.DataFrame
 
@@ -55,44 +60,58 @@ def flat_map(df: DataFrame, func: Callable[[Frame], Frame] | Column, schema: str
     return df.mapInPandas(lambda batches: (func(b) for b in batches), schema)
 
 
-def reduce_rows(df: DataFrame, keys: list[str], order: list[str], step: Callable[[dict, dict], dict], initial: dict, schema: str) -> DataFrame:
-    """Rolling fold by key: the state after each row, which begins as `initial`.
-
-    `step(row, state)` returns the new state.  Rows of a key are folded in
-    order by one task, batch after batch, so a fold that can be said as
-    COUNT, SUM, MIN or MAX should use ranks.with_running, which splits keys.
-    """
-    names = [part.split()[0] for part in schema.split(",")]
-    columns = df.columns
+def _folded(df: DataFrame, keys: list[str], step: Callable[[dict, dict], dict], initial: dict, schema: str, every: bool) -> DataFrame:
+    """Folds rows that are sorted by key: the state after each row, or after the last of each key."""
+    names, columns = T.StructType.fromDDL(schema).names, df.columns
 
     def run(batches: Iterator[Frame]) -> Iterator[Frame]:
-        last: tuple | None = None
-        state = dict(initial)
+        last, state, row = None, dict(initial), None
         for batch in batches:
             out = []
             for values in batch[columns].itertuples(index=False, name=None):
-                row = dict(zip(columns, values))
-                key = tuple(row[k] for k in keys)
+                before, row = row, dict(zip(columns, values))
+                # a null key arrives as a value that isn't equal to itself
+                key = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
                 if key != last:
+                    if not every and last is not None:
+                        out.append({**{k: before[k] for k in keys}, **state})
                     last, state = key, dict(initial)
                 state = step(row, state)
-                out.append({**{k: row[k] for k in keys}, **state})
+                if every:
+                    out.append({**{k: row[k] for k in keys}, **state})
             yield pd.DataFrame(out, columns=names)
+        if not every and row is not None:
+            yield pd.DataFrame([{**{k: row[k] for k in keys}, **state}], columns=names)
+
+    return df.mapInPandas(run, schema)
 
+
+def reduce_rows(df: DataFrame, keys: list[str], order: list[str], step: Callable[[dict, dict], dict], initial: dict, schema: str) -> DataFrame:
+    """Rolling fold by key: the state after each row, which begins as `initial`.
+
+    `step(row, state)` returns the new state.  Null keys are one key.  Rows of a
+    key are folded in order by one task, batch after batch (without keys: all
+    rows, as each state needs the one before), so a fold that can be said as
+    COUNT, SUM, MIN or MAX should use ranks.with_running, which splits keys.
+    """
     # sorted within partitions that hold whole keys: state never spans tasks
     dealt = df.repartition(*keys) if keys else df.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return _folded(dealt.sortWithinPartitions(*keys, *order), keys, step, initial, schema, True)
 
 
-def split(df: DataFrame, route: Column, n: int, names: list[str] | None = None) -> list[DataFrame]:
+def split(df: DataFrame, route: Column, n: int, keep: bool = False) -> list[DataFrame]:
     """n branches: `route` is a branch number or an array of them (empty: no branch).
 
-    A number outside 0..n-1 is an error of the query that meets it.
+    A number outside 0..n-1 is an error of the query that meets it.  Each
+    branch runs what stands before it; with `keep` that is done once, and its
+    rows stay in the executors' memory and disks (lost ones are made again).
     """
     kind = df.select(route.alias("r")).schema["r"].dataType.typeName()
     routes = route if kind == "array" else F.array(route)
     outside = F.exists(routes, lambda i: (i < 0) | (i >= n))
     checked = df.withColumn("__route", F.when(outside, F.raise_error(F.lit(f"branch outside 0..{n - 1}"))).otherwise(routes))
+    if keep and not df.isStreaming:
+        checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     return [checked.where(F.array_contains("__route", i)).drop("__route") for i in range(n)]
 
 
@@ -128,7 +147,8 @@ def with_storage(df: DataFrame, func: Callable[[Frame, dict, dict], Frame], sche
     """func(batch, storage, context) on pandas batches.
 
     `storage` is a dict that lives as long as the task, `context` tells its
-    partition and attempt.  A task that is repeated begins with an empty
+    partition and attempt and, where df has event times, the latest one so far
+    (`timestamp`) and that of the batches before (`watermark`).  A task that is repeated begins with an empty
     storage, so results must not depend on what other tasks stored.
     """
 
@@ -138,68 +158,101 @@ def with_storage(df: DataFrame, func: Callable[[Frame, dict, dict], Frame], sche
         task = TaskContext.get()
         context = {"partition": task.partitionId(), "attempt": task.attemptNumber()}
         storage: dict = {}
+        context["timestamp"] = context["watermark"] = None
         for batch in batches:
+            context["watermark"] = context["timestamp"]
+            latest = batch[EVENT_TIME].max() if EVENT_TIME in batch and len(batch) else None
+            if latest is not None and not pd.isna(latest) and (context["timestamp"] is None or latest > context["timestamp"]):
+                context["timestamp"] = latest
             yield func(batch, storage, context)
 
     return df.mapInPandas(run, schema)
 
 
 # -- windows -----------------------------------------------------------------
-def keyed_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, func: Callable[[Frame], dict], schema: str) -> DataFrame:
-    """A function on each whole window of a key, which it gets as a pandas frame in time order.
+# Time windows count microseconds from the baseline, count windows the rows of a
+# key in the order of time and `order` (default: all columns).
+def _in_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, order: list[str] | None) -> DataFrame:
+    return assign(with_position(df, keys, window, baseline, order), window, baseline, position=POSITION)
+
+
+def keyed_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, func: Callable[[Frame], dict], schema: str, order: list[str] | None = None) -> DataFrame:
+    """A function on each whole window of a key, which it gets as a pandas frame in order.
 
     `schema` has the keys, window_id long, and the function's fields.  One
-    window's rows meet in one task; sums and the like belong into
-    paned_windows or two_phase_windows.
+    window's rows meet in one task; fold_windows takes them one by one, and
+    sums and the like belong into paned_windows or two_phase_windows.
     """
-    names = [p.split()[0] for p in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
 
     def run(group: tuple, frame: Frame) -> Frame:
         *values, k = group
-        got = func(frame.sort_values(EVENT_TIME, kind="stable").drop(columns=[WINDOW_ID]))
+        got = func(frame.sort_values([POSITION, EVENT_TIME], kind="stable").drop(columns=[WINDOW_ID, POSITION]))
         return pd.DataFrame([dict(zip(keys, values)) | {"window_id": k} | got])[names]
 
-    return assign(df, window, baseline).groupBy(*keys, WINDOW_ID).applyInPandas(run, schema)
+    return _in_windows(df, keys, window, baseline, order).groupBy(*keys, WINDOW_ID).applyInPandas(run, schema)
 
 
 #: The same windows of one key in parallel: Spark deals by (key, window) anyway.
 parallel_windows = keyed_windows
 
 
-def paned_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, parts: list[Part]) -> DataFrame:
+def fold_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, step: Callable[[dict, dict], dict], initial: dict, schema: str, order: list[str] | None = None) -> DataFrame:
+    """Incremental windows: step(row, state) -> state over the rows of each window, in order.
+
+    `schema` has the keys, window_id long, and the state's fields.  A window of
+    any size needs the memory of its state only.
+    """
+    rows = _in_windows(df, keys, window, baseline, order).withColumnRenamed(WINDOW_ID, "window_id")
+    ties = [c for c in df.columns if c not in (*keys, EVENT_TIME)] if order is None else order
+    sorted_rows = rows.repartition(*keys, "window_id").sortWithinPartitions(*keys, "window_id", POSITION, *ties)
+    return _folded(sorted_rows, [*keys, "window_id"], step, initial, schema, False)
+
+
+def paned_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, parts: list[Part], order: list[str] | None = None) -> DataFrame:
     """Panes of gcd(size, slide) first, windows from panes; size above slide only."""
     if window.size <= window.slide:
         raise ValueError("panes are for windows that overlap")
-    return time_window_parts(df, keys, window, baseline, parts).withColumnRenamed(WINDOW_ID, "window_id")
+    pane = gcd(window.size, window.slide)
+    placed = with_position(df, keys, window, baseline, order).withColumn("__pane", F.floor(F.col(POSITION) / F.lit(pane)).cast("long"))
+    totals = placed.groupBy(*keys, "__pane").agg(*(p.from_rows.alias(p.name) for p in parts))
+    spread = totals.withColumn("window_id", F.explode(window_ids(F.col("__pane") * pane, window.size, window.slide)))
+    return spread.groupBy(*keys, "window_id").agg(*(p.combined() for p in parts))
 
 
-def two_phase_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, parts: list[Part], pieces: int = 16) -> DataFrame:
-    """Each window in `pieces` parts by time, then the parts together: for windows too large for one task."""
-    salted = assign(df, window, baseline).withColumn("__piece", F.pmod(F.unix_micros(EVENT_TIME), F.lit(pieces)))
+def two_phase_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, parts: list[Part], pieces: int = 16, order: list[str] | None = None) -> DataFrame:
+    """Each window in `pieces` parts by position, then the parts together: for windows too large for one task."""
+    salted = _in_windows(df, keys, window, baseline, order).withColumn("__piece", F.pmod(F.col(POSITION), F.lit(pieces)))
     first = salted.groupBy(*keys, WINDOW_ID, "__piece").agg(*(p.from_rows.alias(p.name) for p in parts))
     return first.groupBy(*keys, WINDOW_ID).agg(*(p.combined() for p in parts)).withColumnRenamed(WINDOW_ID, "window_id")
 
 
+#: Rows or parts that tree_windows folds in one array.
+TREE_ROWS = 1024
+
+
 def tree_windows(
     df: DataFrame, keys: list[str], window: Window, baseline: int, lift: Column, combine: Callable[[Column, Column], Column], quantum: int | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Windows of any associative `combine` over lifted rows, in time order.
+    """Windows of any associative `combine` over lifted rows, in order.
 
-    Rows of one quantum (by default gcd(size, slide)) are combined first, then
-    quanta by window: both are folds over arrays, whose elements a quantum's
-    rows or a window's quanta bound.  Result: keys, window_id, value.
+    Rows of one quantum (by default gcd(size, slide)) are combined first, at most
+    TREE_ROWS at a time and then those results, and then quanta by window.
+    Result: keys, window_id, value.
     """
-    from math import gcd
-
     q = quantum or gcd(window.size, window.slide)
-    t = F.greatest(F.unix_micros(EVENT_TIME) - F.lit(baseline), F.lit(0))
-    rows = df.select(*keys, F.floor(t / F.lit(q)).cast("long").alias("__q"), F.struct(F.unix_micros(EVENT_TIME).alias("t"), lift.alias("v")).alias("x"))
+    ties = [c for c in df.columns if c not in (*keys, EVENT_TIME)] if order is None else order
+    placed = with_position(df, keys, window, baseline, order).withColumn("__q", F.floor(F.col(POSITION) / F.lit(q)).cast("long"))
+    nth = with_index(placed, [*keys, "__q"], [POSITION, *ties], "__nth")
+    rows = nth.select(*keys, "__q", F.floor(F.col("__nth") / TREE_ROWS).alias("__part"), F.struct(F.col("__nth").alias("t"), lift.alias("v")).alias("x"))
 
     def fold(items: Column) -> Column:
         values = F.transform(F.array_sort(items), lambda x: x["v"])
         return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), combine)
 
-    quanta = rows.groupBy(*keys, "__q").agg(fold(F.collect_list("x")).alias("v"))
+    some = rows.groupBy(*keys, "__q", "__part").agg(fold(F.collect_list("x")).alias("v"))
+    quanta = some.groupBy(*keys, "__q").agg(fold(F.collect_list(F.struct(F.col("__part").alias("t"), F.col("v")))).alias("v"))
     spread = quanta.withColumn("window_id", F.explode(window_ids(F.col("__q") * q, window.size, window.slide)))
     pieces = spread.groupBy(*keys, "window_id").agg(F.collect_list(F.struct(F.col("__q").alias("t"), F.col("v"))).alias("x"))
     return pieces.select(*keys, "window_id", fold(F.col("x")).alias("value"))
@@ -243,6 +296,8 @@ class PipeGraph:
     def __init__(self) -> None:
         self.pipes: list[Pipe] = []
         self._results: list[object] | None = None
+        self._thread: threading.Thread | None = None
+        self._error: BaseException | None = None
 
     def add_source(self, df: DataFrame) -> Pipe:
         self.pipes.append(Pipe(df))
@@ -258,9 +313,28 @@ class PipeGraph:
         return pipe
 
     def start(self) -> None:
-        self._results = [sink(df) for p in self._all(self.pipes) for df, sink in p.sinks]
+        """Begins to work off the sinks, in a thread of its own, and returns at once."""
+        if self._thread is not None:
+            raise RuntimeError("the graph has been started")
+
+        def work() -> None:
+            try:
+                self._results = [sink(df) for p in self._all(self.pipes) for df, sink in p.sinks]
+            except BaseException as e:  # noqa: BLE001  raised by wait_end()
+                self._error = e
+
+        self._thread = threading.Thread(target=work, daemon=True)
+        self._thread.start()
+
+    def is_running(self) -> bool:
+        return self._thread is not None and self._thread.is_alive()
 
     def wait_end(self) -> list[object]:
+        """What the sinks returned, once all are done; raises what one raised."""
+        if self._thread is not None:
+            self._thread.join()
+        if self._error is not None:
+            raise self._error
         return self._results or []
 
     def run(self) -> list[object]:

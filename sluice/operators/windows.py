@@ -35,9 +35,22 @@ def window_ids(position: Column, size: int, slide: int, negative: bool = False)
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
-def assign(df: DataFrame, window: Window, baseline: int, negative: bool = False) -> DataFrame:
-    """df with one row per row and time window, the window's number in WINDOW_ID."""
-    t = micros_since(baseline)
+POSITION = "__position"
+
+
+def with_position(df: DataFrame, keys: list[str], window: Window, baseline: int, order: list[str] | None = None) -> DataFrame:
+    """df with what windows count in POSITION: microseconds since the baseline (a row without a
+    time is at 0), or for count windows the row's number within its key, by time and `order`
+    (default: all columns)."""
+    if window.kind is WindowType.TIME:
+        return df.withColumn(POSITION, F.coalesce(micros_since(baseline), F.lit(0)))
+    ties = [c for c in df.columns if c not in (*keys, EVENT_TIME)] if order is None else order
+    return with_index(df, keys, ties, POSITION)
+
+
+def assign(df: DataFrame, window: Window, baseline: int, negative: bool = False, position: str | None = None) -> DataFrame:
+    """df with one row per row and window, the window's number in WINDOW_ID; by time, or by the column `position`."""
+    t = F.col(position) if position else micros_since(baseline)
     if window.size == window.slide:
         return df.withColumn(WINDOW_ID, F.floor(t / F.lit(window.slide)).cast("long"))
     if window.slide > window.size:  # at most one window, none in the gaps
@@ -82,14 +95,24 @@ def count_window_parts(df: DataFrame, keys: list[str], window: Window, order: li
     )
 
 
+#: Windows that densify makes in one array.
+DENSE_BLOCK = 10_000
+
+
 def densify(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds a row for every window from 0 to a key's last that has none."""
     by = [f"`{k}`" for k in keys]
     span = df.groupBy(*by).agg(F.max(WINDOW_ID).alias("__last"))
-    every = span.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), "__last")).alias(WINDOW_ID)) if keys else span.where(
-        "__last is not null"
-    ).select(F.explode(F.sequence(F.lit(0).cast("long"), "__last")).alias(WINDOW_ID))
-    return every.join(df, [*keys, WINDOW_ID], "left")
+    # block by block, so that no array is longer than a block or the number of blocks
+    blocks = span.where("__last is not null").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__last") / DENSE_BLOCK))))
+    every = blocks.select(*by, F.explode(F.sequence(
+        F.col("__block") * DENSE_BLOCK, F.least(F.col("__last"), F.col("__block") * DENSE_BLOCK + (DENSE_BLOCK - 1))
+    )).alias(WINDOW_ID))
+    match = F.col(WINDOW_ID) == F.col("__own")
+    for i, k in enumerate(keys):
+        match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{i}"))
+    found = df.withColumnsRenamed({**{k: f"__key_{i}" for i, k in enumerate(keys)}, WINDOW_ID: "__own"})
+    return every.join(found, match, "left").drop("__own", *(f"__key_{i}" for i in range(len(keys))))
 
 
 def window_aggregate(
@@ -113,8 +136,12 @@ def window_aggregate(
     return found.select(*(f"`{k}`" for k in keys), *(result(a, schema, truncate_avg) for a in aggregates), WINDOW_ID, EVENT_TIME)
 
 
-def stream_window_aggregate(df: DataFrame, schema: Schema, keys: list[str], window: Window, baseline: int, aggregates: list[Aggregate]) -> DataFrame:
-    """The same on a stream: Spark's own window function, which keeps the watermark."""
+def stream_window_aggregate(df: DataFrame, schema: Schema, keys: list[str], window: Window, baseline: int, aggregates: list[Aggregate], truncate_avg: bool = False) -> DataFrame:
+    """The same on a stream: Spark's own window function, which keeps the watermark.
+
+    Spark keeps no watermark through a change of the time, so rows before the
+    baseline can't be moved to it: windows that begin before it are left out.
+    """
     if window.kind is WindowType.COUNT:
         raise TypeError("count windows on streams are made by streaming.CountWindows")
     if window.slide > window.size:
@@ -122,7 +149,9 @@ def stream_window_aggregate(df: DataFrame, schema: Schema, keys: list[str], wind
         t = micros_since(baseline)
         df = df.where(t < F.floor(t / F.lit(window.slide)) * window.slide + window.size)
     spark_window = F.window(EVENT_TIME, f"{max(window.slide, window.size) if window.slide > window.size else window.size} microseconds", f"{window.slide} microseconds", f"{baseline % window.slide} microseconds")
-    found = df.groupBy(spark_window.alias("__w"), *(f"`{k}`" for k in keys)).agg(*(a.column(schema).alias(a.default_name) for a in aggregates))
+    parts = parts_of(aggregates, schema)
+    found = df.groupBy(spark_window.alias("__w"), *(f"`{k}`" for k in keys)).agg(*(p.from_rows.alias(p.name) for p in parts))
     found = found.where(F.col("__w.start") >= F.timestamp_micros(F.lit(baseline)))
     early = f" - interval {window.slide - window.size} microseconds" if window.slide > window.size else ""
-    return found.withColumn(EVENT_TIME, F.expr(f"window_time(__w){early}")).drop("__w")
+    found = found.withColumn(EVENT_TIME, F.expr(f"window_time(__w){early}"))
+    return found.select(*(f"`{k}`" for k in keys), *(result(a, schema, truncate_avg) for a in aggregates), EVENT_TIME)

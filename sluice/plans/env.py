@@ -230,8 +230,15 @@ class TableEnvironment:
 
 
 def formatted(table: Table) -> DataFrame:
-    """The visible rows with times as text in milliseconds."""
+    """The visible rows with times as UTC text in milliseconds, whatever the session's zone."""
+
+    def text(name: str) -> Column:
+        micros = F.unix_micros(f"`{name}`")
+        # a time without zone, counted from the epoch, prints as it is
+        whole = F.expr(f"cast(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(floor(unix_micros(`{name}`) / 1000000) as decimal(18, 6))) as string)")
+        milli = F.lpad(F.pmod(F.floor(micros / 1000), F.lit(1000)).cast("string"), 3, "0")
+        return F.concat(F.translate(F.substring(whole, 1, 19), " ", "T"), F.lit("."), milli, F.lit("Z"))
+
     return table.dataframe().select(*(
-        F.date_format(f"`{n}`", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(n) if t is DataType.ISO8601 else F.col(f"`{n}`")
-        for n, t in table.schema.items()
+        text(n).alias(n) if t is DataType.ISO8601 else F.col(f"`{n}`") for n, t in table.schema.items()
     ))

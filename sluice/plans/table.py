@@ -244,12 +244,12 @@ class GroupedTable:
     def _grouped(self, keys: list[str], found: list[Aggregate]) -> DataFrame:
         t, env = self.table, self.table.env
         order = [n for n in t.schema.names if n not in keys]
-        if t.df.isStreaming:
-            if self.window is not None:
-                return stream_window_aggregate(t.df, t.schema, keys, self.window, env.baseline, found)
-            return t.df.groupBy(*(f"`{k}`" for k in keys)).agg(
-                *(a.column(t.schema).alias(a.default_name) for a in found), F.max(EVENT_TIME).alias(EVENT_TIME)
-            )
+        if t.df.isStreaming and env.aggregates == "running":
+            raise TypeError("running aggregates on streams are made by streaming.p_reduce")
+        if t.df.isStreaming and self.window is not None:
+            if env.emit_empty:
+                raise TypeError("windows without rows are for batches: a stream does not know which ones are to come")
+            return stream_window_aggregate(t.df, t.schema, keys, self.window, env.baseline, found, env.truncate_avg)
         if self.window is not None:
             return window_aggregate(
                 t.df, t.schema, keys, self.window, env.baseline, found, order=order,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import avg, col, count, lit, max, min, neg, sum
-from .operators import EVENT_TIME, rows
+from .operators import EVENT_TIME, joins, ranks, rows
 from .operators.aggregates import Part
 from .plans import Table, TableEnvironment
 from .plans.env import instant
@@ -447,7 +447,8 @@ def nx_q9(spark, sf_dir):
     return with_time(joined.group_by("orderkey", window=Window.createTBWindow(Duration.days(180))).select("orderkey", max("l_extendedprice").alias("best")))
 
 
-@query(None)
+# one ingress time for a batch, so one window
+@query("select user_id, count(*) as processed from events group by user_id")
 def nx_q12(spark, sf_dir):
     env = TableEnvironment(spark, policy=TimePolicy.INGRESS_TIME)
     return events(env, sf_dir, "user_id", "cents").group_by("user_id", window=Window.createTBWindow(Duration.seconds(1))).select("user_id", count().alias("processed")).dataframe()
@@ -531,6 +532,88 @@ def tree_window(spark, sf_dir):
     return rows.tree_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createTBWindow(Duration.hours(24), Duration.hours(6)), 1_704_067_200_000_000, F.col("cents") - 1, lambda a, b: a + b)
 
 
+# -- count windows of the building blocks; rows without a time or a key ----------
+def _cb_rows_sql(size: int, slide: int, values: str, source: str = EV, by: str = "ts, event_id") -> str:
+    return f"""select user_id, k as window_id, {values} from (select *, row_number() over (partition by user_id order by {by}) - 1 as i from {source}) e,
+      lateral (select unnest(generate_series(greatest(0, cast(floor((i - {size}) / {slide}.0) + 1 as bigint)), i // {slide})) as k) g group by user_id, k"""
+
+
+@query(_cb_rows_sql(10, 10, 'arg_min(event_id, i) as first_id, arg_max(event_id, i) as last_id, median(cents) as "median"'))
+def kw_cb(spark, sf_dir):
+    return rows.keyed_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createCBWindow(10), 0, _first_last, "user_id long, window_id long, first_id long, last_id long, median decimal(20,1)", ["event_id"]).withColumn("median", F.col("median").cast("double"))
+
+
+def _sum_step(row: dict, state: dict) -> dict:
+    return {"n": state["n"] + 1, "total": state["total"] + row["cents"], "last_id": row["event_id"]}
+
+
+@query(_cb_rows_sql(12, 5, "count(*) as n, cast(sum(cents) as bigint) as total, arg_max(event_id, i) as last_id"))
+def kw_cb_incremental(spark, sf_dir):
+    w = Window.createCBWindow(12, 5)
+    return rows.fold_windows(_event_rows(spark, sf_dir), ["user_id"], w, 0, _sum_step, {"n": 0, "total": 0, "last_id": -1}, "user_id long, window_id long, n long, total long, last_id long", ["event_id"])
+
+
+@query(f"""select user_id, k as window_id, count(*) as n, cast(sum(cents) as bigint) as total, arg_max(event_id, ts) as last_id from (select *, {US} as t from {EV}) e,
+  lateral (select unnest(generate_series(greatest(0, cast(floor((t - {48 * H}) / {24 * H}.0) + 1 as bigint)), cast(floor(t / {24 * H}.0) as bigint))) as k) g group by user_id, k""")
+def kw_tb_incremental(spark, sf_dir):
+    w = Window.createTBWindow(Duration.hours(48), Duration.hours(24))
+    return rows.fold_windows(_event_rows(spark, sf_dir), ["user_id"], w, 1_704_067_200_000_000, _sum_step, {"n": 0, "total": 0, "last_id": -1}, "user_id long, window_id long, n long, total long, last_id long", ["event_id"])
+
+
+_PART_VALUES = "count(*) as n, cast(sum(cents) as bigint) as total, max(cents) as hi"
+
+
+@query(_cb_rows_sql(12, 4, _PART_VALUES))
+def paw_cb(spark, sf_dir):
+    return rows.paned_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createCBWindow(12, 4), 0, _PARTS(), ["event_id"])
+
+
+@query(_cb_rows_sql(20, 20, _PART_VALUES))
+def mrw_cb(spark, sf_dir):
+    return rows.two_phase_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createCBWindow(20), 0, _PARTS(), order=["event_id"])
+
+
+@query(_cb_rows_sql(12, 3, "string_agg(cast(event_id as varchar), '-' order by i) as value"))
+def fat_cb(spark, sf_dir):
+    w = Window.createCBWindow(12, 3)
+    return rows.tree_windows(_event_rows(spark, sf_dir), ["user_id"], w, 0, F.col("event_id").cast("string"), lambda a, b: F.concat(a, F.lit("-"), b), order=["event_id"])
+
+
+def _gaps(spark, sf_dir) -> DataFrame:
+    """Events of which some have no time and some no user."""
+    df = _event_rows(spark, sf_dir)
+    return df.withColumn(EVENT_TIME, F.when(F.col("event_id") % 7 != 0, F.col(EVENT_TIME))).withColumn("user_id", F.when(F.col("event_id") % 5 != 0, F.col("user_id")))
+
+
+GAPS = f"(select event_id, event_type, cents, case when event_id % 7 <> 0 then ts end as ts, case when event_id % 5 <> 0 then user_id end as user_id from {EV})"
+
+
+@query(f"select event_id, user_id, cast(sum(cents) over w as bigint) as total, count(*) over w as n from {GAPS} window w as (partition by user_id order by ts nulls first, event_id rows unbounded preceding)")
+def running_nulls(spark, sf_dir):
+    parts = [Part("total", F.sum("cents"), "sum"), Part("n", F.count(F.lit(1)), "sum")]
+    return ranks.with_running(_gaps(spark, sf_dir), ["user_id"], ["event_id"], parts).select("event_id", "user_id", "total", "n")
+
+
+@query(_cb_rows_sql(12, 5, _PART_VALUES, GAPS, "ts nulls first, event_id"))
+def cb_nulls(spark, sf_dir):
+    return rows.paned_windows(_gaps(spark, sf_dir), ["user_id"], Window.createCBWindow(12, 5), 0, _PARTS(), ["event_id"])
+
+
+@query(f"select user_id, event_id, sum(cents) over (partition by user_id order by ts nulls first, event_id rows unbounded preceding) % 100000 as balance from {GAPS}")
+def fold_nulls(spark, sf_dir):
+    step = lambda row, state: {"event_id": row["event_id"], "balance": (state["balance"] + row["cents"]) % 100_000}
+    return rows.reduce_rows(_gaps(spark, sf_dir), ["user_id"], [EVENT_TIME, "event_id"], step, {"event_id": 0, "balance": 0}, "user_id long, event_id long, balance decimal(20,0)").withColumn("balance", F.col("balance").cast("long"))
+
+
+@query(f"select a.event_id as a_id, b.event_id as b_id, b.cents - a.cents as gain {PAIR.format('click', 'purchase')} and a.user_id = b.user_id and b.ts between a.ts - interval 2 hour and a.ts + interval 6 hour and b.cents > a.cents")
+def join_with_function(spark, sf_dir):
+    pick = lambda r: {"a_id": r["a_id"], "b_id": r["b_id"], "gain": r["b_cents"] - r["a_cents"]} if r["b_cents"] > r["a_cents"] else None
+    df = _event_rows(spark, sf_dir)
+    a = df.where("event_type = 'click'").select("user_id", F.col("event_id").alias("a_id"), F.col("cents").alias("a_cents"), EVENT_TIME)
+    b = df.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b_id"), F.col("cents").alias("b_cents"), EVENT_TIME)
+    return joins.interval_join_with(a, b, ["user_id"], Interval(Duration.hours(-2), Duration.hours(6)), pick, "a_id long, b_id long, gain long")
+
+
 @query(f"select event_id, 0 as branch from {EV} where cents % 3 in (0, 2) union all select event_id, 1 as branch from {EV} where cents % 3 = 2")
 def split_merge(spark, sf_dir):
     df = _event_rows(spark, sf_dir)

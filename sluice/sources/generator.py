@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..time import Duration
+
 
 class _Range(InputPartition):
     def __init__(self, first: int, end: int):
@@ -85,7 +87,17 @@ def register(spark: SparkSession, name: str, make: Callable[[int], tuple | None]
     spark.dataSource.register(Source)
 
 
-def generated(spark: SparkSession, name: str, total: int, streaming: bool = False, parts: int = 4, per_batch: int | None = None) -> DataFrame:
-    """Rows 0 .. total - 1 of a registered source."""
+def generated(
+    spark: SparkSession, name: str, total: int, streaming: bool = False, parts: int = 4, per_batch: int | None = None,
+    time_col: str | None = None, delay: Duration | None = None,
+) -> DataFrame:
+    """Rows 0 .. total - 1 of a registered source.
+
+    With time_col, a stream's watermark follows the latest time of that column,
+    `delay` behind it.
+    """
     reader = (spark.readStream if streaming else spark.read).format(name).option("total", total).option("parts", parts)
-    return (reader.option("per_batch", per_batch) if per_batch else reader).load()
+    rows = (reader.option("per_batch", per_batch) if per_batch else reader).load()
+    if streaming and time_col is not None:
+        rows = rows.withWatermark(time_col, f"{delay.us if delay else 0} microseconds")
+    return rows

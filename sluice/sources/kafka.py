@@ -36,7 +36,8 @@ class KafkaSource:
     idle_timeout: Duration | None = None
     extra: Mapping[str, str] = field(default_factory=dict)
 
-    def options(self) -> dict[str, str]:
+    def options(self, streaming: bool = True) -> dict[str, str]:
+        """Spark's options; a batch has no latest offset to begin with, so it reads from the earliest."""
         import json
 
         if not self.topics:
@@ -45,7 +46,7 @@ class KafkaSource:
         if isinstance(self.offsets, str):
             if self.offsets not in ("earliest", "latest"):
                 raise ValueError("offsets are earliest, latest or a mapping")
-            out["startingOffsets"] = self.offsets
+            out["startingOffsets"] = self.offsets if streaming else "earliest"
         else:
             out["startingOffsets"] = json.dumps({t: {str(p): o for p, o in x.items()} for t, x in self.offsets.items()})
         if self.group_id:
@@ -58,7 +59,7 @@ class KafkaSource:
 
     def read(self, spark: SparkSession, streaming: bool = True) -> DataFrame:
         """Rows of the schema parsed from JSON values, or key, value and timestamp."""
-        raw = (spark.readStream if streaming else spark.read).format("kafka").options(**self.options()).load()
+        raw = (spark.readStream if streaming else spark.read).format("kafka").options(**self.options(streaming)).load()
         if self.schema is None:
             return raw.selectExpr("cast(key as string) key", "cast(value as string) value", "timestamp")
         return raw.select(F.from_json(F.col("value").cast("string"), self.schema.spark).alias("v")).select("v.*")

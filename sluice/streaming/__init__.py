@@ -1,7 +1,7 @@
 """Stateful operators on streams, for what Spark's own streaming refuses."""
 
 from .monitor import Monitor
-from .stateful import CountWindows, Intersect, KeyedFold, apply_keyed
+from .stateful import CountWindows, Intersect, KeyedFold, apply_keyed, p_keyed_windows, p_reduce
 from .run import run_available, sink_metrics
 
-__all__ = ["CountWindows", "Intersect", "KeyedFold", "Monitor", "apply_keyed", "run_available", "sink_metrics"]
+__all__ = ["CountWindows", "Intersect", "KeyedFold", "Monitor", "apply_keyed", "p_keyed_windows", "p_reduce", "run_available", "sink_metrics"]

@@ -13,8 +13,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..time import Duration, Window, WindowType
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -142,7 +145,7 @@ def p_map(df: DataFrame, keys: list[str], func: Callable[[dict, object], tuple[d
         out, state = func(row, state)
         return state, [out]
 
-    return apply_keyed(df, keys, KeyedFold(step, initial, [p.split()[0] for p in schema.split(",")]), schema)
+    return apply_keyed(df, keys, KeyedFold(step, initial, T.StructType.fromDDL(schema).names), schema)
 
 
 def p_flat_map(df: DataFrame, keys: list[str], func: Callable[[dict, object], tuple[list[dict], object]], initial: object, schema: str) -> DataFrame:
@@ -151,7 +154,7 @@ def p_flat_map(df: DataFrame, keys: list[str], func: Callable[[dict, object], tu
         out, state = func(row, state)
         return state, out
 
-    return apply_keyed(df, keys, KeyedFold(step, initial, [p.split()[0] for p in schema.split(",")]), schema)
+    return apply_keyed(df, keys, KeyedFold(step, initial, T.StructType.fromDDL(schema).names), schema)
 
 
 def p_reduce(df: DataFrame, keys: list[str], func: Callable[[dict, dict], dict], initial: dict, schema: str) -> DataFrame:
@@ -160,7 +163,68 @@ def p_reduce(df: DataFrame, keys: list[str], func: Callable[[dict, dict], dict],
         state = func(row, state)
         return state, [{**{k: row[k] for k in keys}, **state}]
 
-    return apply_keyed(df, keys, KeyedFold(step, initial, [p.split()[0] for p in schema.split(",")]), schema)
+    return apply_keyed(df, keys, KeyedFold(step, initial, T.StructType.fromDDL(schema).names), schema)
+
+
+def _plain(v: object) -> object:
+    """A value that JSON keeps: times as microseconds, numbers of numpy as Python's, missing ones as None."""
+    if isinstance(v, pd.Timestamp):
+        return v.value // 1000
+    v = v.item() if hasattr(v, "item") else v
+    return None if v is None or v != v else v
+
+
+class _WindowStep:
+    """Open windows of one key, each with its rows or with a state that each row changes."""
+
+    def __init__(self, keys: list[str], window: Window, baseline: int, time: str | None, func, step, initial, lateness: int):
+        self.keys, self.window, self.baseline, self.time = keys, window, baseline, time
+        self.func, self.step, self.initial, self.lateness = func, step, initial, lateness
+
+    def __call__(self, row: dict, state: list) -> tuple[list, list[dict]]:
+        index, latest, held = state
+        row = {k: _plain(v) for k, v in row.items()}
+        size, slide = self.window.size, self.window.slide
+        by_time = self.window.kind is WindowType.TIME
+        at = max((row[self.time] or 0) - self.baseline, 0) if by_time else index
+        closed = latest - self.lateness if by_time else index
+        for k in range(max(0, (at - size) // slide + 1), at // slide + 1):
+            if by_time and k * slide + size <= closed:
+                continue  # too late: the window has been given
+            if self.func is not None:
+                held.setdefault(str(k), []).append(row)
+            else:
+                held[str(k)] = self.step(row, held.get(str(k), dict(self.initial)))
+        latest = max(latest, at)
+        done = latest - self.lateness if by_time else index + 1
+        out = []
+        for k in sorted(map(int, held)):
+            if k * slide + size <= done:
+                got = held.pop(str(k))
+                out.append({**{c: row[c] for c in self.keys}, "window_id": k, **(self.func(got) if self.func is not None else got)})
+        return [index + 1, latest, held], out
+
+
+def p_keyed_windows(
+    df: DataFrame, keys: list[str], window: Window, schema: str, *, func: Callable[[list[dict]], dict] | None = None,
+    step: Callable[[dict, dict], dict] | None = None, initial: dict | None = None, time_col: str | None = None, baseline: int = 0,
+    order: list[str] | None = None, lateness: Duration | None = None,
+) -> DataFrame:
+    """Windows of a stream's keys with logic of the user's, kept in the state store.
+
+    Either func(rows) -> fields on a window's rows, which the state keeps until
+    then, or step(row, state) -> state, of which it keeps one a window.  Rows
+    are dicts with times in microseconds.  `schema` has the keys, window_id
+    long, and the fields.  Count windows are given when they are full; time
+    windows when a row of the key is `lateness` past their end, rows for a
+    window that has been given are late and go.
+    """
+    if (func is None) == (step is None):
+        raise ValueError("give either func or step")
+    if window.kind is WindowType.TIME and time_col is None:
+        raise ValueError("time windows need a time column")
+    fold = _WindowStep(keys, window, baseline, time_col, func, step, initial or {}, lateness.us if lateness else 0)
+    return apply_keyed(df, keys, KeyedFold(fold, [0, 0, {}], T.StructType.fromDDL(schema).names, order), schema)
 
 
 def p_sink(df: DataFrame, keys: list[str], func: Callable[[dict, object], object], initial: object, checkpoint: str, name: str | None = None):

@@ -207,3 +207,103 @@ def test_kafka_options():
     assert KafkaSink("b:9092", "t").options() == {"kafka.bootstrap.servers": "b:9092", "topic": "t"}
     with pytest.raises(ValueError):
         KafkaSource("b", []).options()
+
+
+def test_output_times_are_utc_in_any_zone(spark, tmp_path):
+    """The sink writes UTC, also in a zone whose clocks jump."""
+    import glob
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    times = ["1970-01-01T00:00:00.000Z", "2024-03-31T01:30:00.250Z", "2024-10-27T00:30:00.001Z", "2024-10-27T01:30:00.999Z", "2024-07-01T12:00:00.000Z"]
+    (tmp_path / "t.csv").write_text("id,at\n" + "".join(f"{i},{t}\n" for i, t in enumerate(times)))
+    try:
+        for zone in ("UTC", "Europe/Rome", "America/St_Johns"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            env = TableEnvironment(spark, policy=TimePolicy.EVENT_TIME, time_baseline=("1970-01-01T00:00:00.000Z", TimeFormats.ISO8601))
+            schema = Schema({"id": DataTypes.INT, "at": TimeFormats.ISO8601})
+            t = env.table_from_file(InputFileConfiguration(str(tmp_path / "t.csv"), FileFormat.CSV, schema, order=True, time_col="at"))
+            q = t.select("id", "at")
+            out = tmp_path / zone.replace("/", "-")
+            env.execute(q, str(out), sync=True)
+            lines = [x for f in glob.glob(f"{out}/{q.table_id}_output/*.csv") for x in open(f).read().split()[1:]]
+            assert sorted(lines) == [f"{i},{t}" for i, t in enumerate(times)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_hot_key_of_an_interval_join_spreads(spark):
+    """One key with all rows: pairs meet by time, and no partition has most of them."""
+    from pyspark.sql import functions as F
+
+    from sluice.operators import EVENT_TIME, joins
+
+    left = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("a"), F.timestamp_micros(F.col("id") * 1_000_000).alias(EVENT_TIME))
+    right = left.withColumnRenamed("a", "b")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.interval_join(left, right, ["k"], Interval(Duration.seconds(0), Duration.seconds(2)))
+        assert "__right_bucket" in joined._jdf.queryExecution().optimizedPlan().toString()
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        total = sizes[0] + sizes[1] + sizes[2] + sizes[3] + sizes[4] + sizes[5] + sizes[6] + sizes[7]
+        assert total == 3 * 20_000 - 3 and len(sizes) == 8 and sorted(sizes)[-1] < 0.25 * total
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_graph_starts_without_waiting(spark):
+    import threading
+
+    from sluice.operators.rows import PipeGraph
+
+    gate, graph = threading.Event(), PipeGraph()
+    graph.add_source(spark.range(5)).add_sink(lambda df: (gate.wait(20), df.count())[1])
+    graph.start()
+    assert graph.is_running()
+    gate.set()
+    assert graph.wait_end() == [5] and not graph.is_running()
+    with pytest.raises(RuntimeError):
+        graph.start()
+    broken = PipeGraph()
+    broken.add_source(spark.range(1)).add_sink(lambda df: 1 / 0)
+    broken.start()
+    with pytest.raises(ZeroDivisionError):
+        broken.wait_end()
+
+
+def test_batches_of_kafka_begin_at_the_earliest():
+    from sluice.sources import KafkaSource
+
+    source = KafkaSource("b:9092", ["t"])
+    assert source.options()["startingOffsets"] == "latest" and source.options(streaming=False)["startingOffsets"] == "earliest"
+
+
+def test_distant_baselines_are_filled_in_blocks(spark):
+    """emit_empty makes every window, however many, also for a null key."""
+    from pyspark.sql import functions as F
+
+    env = TableEnvironment(spark, policy=TimePolicy.EVENT_TIME, time_baseline=("1970-01-01T00:00:00.000Z", TimeFormats.ISO8601), emit_empty=True)
+    df = spark.createDataFrame([("a", 25_000), (None, 10_000)], "k string, s long").select("k", F.timestamp_seconds("s").alias("at"))
+    t = env.table_from_dataframe(df, time_col="at")
+    got = t.group_by("k", window=Window.createTBWindow(Duration.seconds(1))).select("k", count().alias("n")).dataframe()
+    assert {(r["k"], r["count"], r["sum"]) for r in got.groupBy("k").agg(F.count("*").alias("count"), F.sum("n").alias("sum")).collect()} == {("a", 25_001, 1), (None, 10_001, 1)}
+
+
+def test_split_keeps_its_input_once(spark):
+    from pyspark.sql import functions as F
+
+    from sluice.operators import rows
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batch):
+        seen.add(len(batch))
+        return batch
+
+    df = rows.map_rows(spark.range(10), count, "id long")
+    a, b = rows.split(df, F.col("id") % 2, 2, keep=True)
+    assert a.count() + b.count() == 10 and seen.value == 10

@@ -269,3 +269,70 @@ def test_intersect_of_streaming_tables(spark, tmp_path):
 def test_distinct_within_a_time(spark, tmp_path):
     env, t = make(spark, csv(tmp_path / "in", [("a", 1, 1), ("a", 1, 1), ("b", 2, 2)]), True, Duration.seconds(5))
     assert len(run_available(t.distinct(within=Duration.seconds(5)).dataframe(), name()).collect()) == 2
+
+
+def test_windows_with_user_logic_on_the_state_store(spark, tmp_path):
+    """Count and time windows of a stream, by whole windows and by steps, against the batch forms."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from sluice.streaming import p_keyed_windows
+    from sluice.time import Duration, Window
+
+    data = [(i, i % 3 if i % 11 else None, i * 7 % 50, 1_000_000 * i) for i in range(120)]
+    df = spark.createDataFrame(data, "id long, k long, v long, us long").withColumn("at", F.timestamp_micros("us"))
+    df.repartition(1).sortWithinPartitions("id").write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    total = lambda rows: {"n": len(rows), "total": int(pd.Series([r["v"] for r in rows]).sum()), "first": rows[0]["id"]}
+    step = lambda r, s: {"n": s["n"] + 1, "total": s["total"] + r["v"], "first": s["first"] if s["n"] else r["id"]}
+    begin = {"n": 0, "total": 0, "first": -1}
+    schema = "k long, window_id long, n long, total long, first long"
+
+    def plain(window, by_time):
+        out, state = [], {}
+        for i, k, v, us in data:
+            state.setdefault(k, []).append((i, v, us))
+        for k, rows in state.items():
+            last = rows[-1][2] if by_time else len(rows)
+            for w in range(200):
+                lo, hi = w * window.slide, w * window.slide + window.size
+                inside = [r for n, r in enumerate(rows) if lo <= (r[2] if by_time else n) < hi]
+                if inside and hi <= last:
+                    out.append((k, w, len(inside), int(pd.Series([r[1] for r in inside]).sum()), inside[0][0]))
+        return sorted(out, key=str)
+
+    for n, (window, time) in enumerate([(Window.createCBWindow(5), None), (Window.createCBWindow(6, 2), None), (Window.createTBWindow(Duration.seconds(20), Duration.seconds(10)), "at")]):
+        for form in ({"func": total}, {"step": step, "initial": begin}):
+            found = p_keyed_windows(stream(), ["k"], window, schema, time_col=time, order=["id"], **form)
+            name = f"pkw_{n}_{'func' in form}"
+            query = found.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+            query.awaitTermination()
+            got = [(None if pd.isna(r["k"]) else r["k"], r["window_id"], r["n"], int(r["total"]), r["first"]) for r in spark.table(name).collect()]
+            assert sorted(got, key=str) == plain(window, time is not None)
+    with pytest.raises(ValueError):
+        p_keyed_windows(stream(), ["k"], Window.createCBWindow(5), schema)
+
+
+def test_streams_refuse_what_they_would_ignore(spark, tmp_path):
+    from sluice import DataTypes, Duration, FileFormat, InputFileConfiguration, Schema, TableEnvironment, TimeFormats, TimePolicy, Window, avg, count, sum
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k,v,at\n" + "".join(f"a,{v},2024-01-01T00:00:0{v}.000Z\n" for v in (1, 2, 4)) + "a,0,2024-01-02T00:00:00.000Z\n")
+    schema = Schema({"k": DataTypes.STRING, "v": DataTypes.INT, "at": TimeFormats.ISO8601})
+    config = InputFileConfiguration(str(tmp_path / "in"), FileFormat.CSV, schema, order=True, time_col="at")
+
+    def table(**options):
+        env = TableEnvironment(spark, policy=TimePolicy.EVENT_TIME, time_baseline=("2024-01-01T00:00:00.000Z", TimeFormats.ISO8601), streaming=True, **options)
+        return env.table_from_file(config)
+
+    minute = Window.createTBWindow(Duration.minutes(1))
+    with pytest.raises(TypeError):
+        table(aggregates="running").group_by("k").select("k", count().alias("n"))
+    with pytest.raises(TypeError):
+        table(emit_empty=True).group_by("k", window=minute).select("k", count().alias("n"))
+    for truncate, mean in ((True, 2), (False, 7 / 3)):
+        found = table(truncate_avg=truncate).group_by("k", window=minute).select("k", avg("v").alias("mean"), sum("v").alias("total"))
+        name = f"truncated_{truncate}"
+        found.dataframe().writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        assert [(r["k"], r["total"]) for r in spark.table(name).collect()] == [("a", 7)]
+        assert spark.table(name).first()["mean"] == pytest.approx(mean)
