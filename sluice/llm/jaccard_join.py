@@ -55,8 +55,11 @@ EDGE, RATIO = 8, 4
 SMALL_BUCKET = 24
 #: Members of a chunk of a large bucket; bytes of shingles in a chunk of a group.
 CHUNK_ROWS, CHUNK_BYTES = 2048, 4 << 20
-#: Large buckets in which each class is linked first; members from which a component is set apart in dealing.
-FIRST_BUCKETS, APART = 3, 256
+#: Large buckets in which a class is linked first, of about so many drawn ones; members from which
+#: a component is set apart in dealing.
+FIRST_BUCKETS, DRAWN_BUCKETS, APART = 2, 8, 256
+#: Low bits of a block key that tell its band.
+BAND_BITS = 5
 #: Bytes of a shingle hash; classes that a task remembers to skip copies of.
 HASH_BYTES, REMEMBERED = 8, 1 << 20
 
@@ -135,7 +138,8 @@ def block_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
     own, most = band_of(n), rule.largest_partner(n)
     if most <= n and rule.differences(n, n) == 0 and rule.differences(n, most) == 0:
         return np.zeros(0, dtype=np.int64)  # only equal sets can link, and those share a class
-    out = []
+    out: list[np.ndarray] = []
+    done = 0
     for band in range(own, band_of(most) + 1):
         top = band_top(band)
         d = rule.differences(n, min(most, top))
@@ -158,6 +162,8 @@ def block_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
                 break
         else:
             out.append(mix(np.array([band + 0x7F000000], dtype=np.uint64)))
+        out = [(k >> np.uint64(BAND_BITS)) << np.uint64(BAND_BITS) | np.uint64(band) if i >= done else k for i, k in enumerate(out)]
+        done = len(out)
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -521,18 +527,22 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
     large = found.where("b is null").select(F.col("key").alias("grp"), F.col("a").alias("class_id"))
     first = None
     if not large.isEmpty():
-        # some buckets of each class, the same ones for classes that share them
-        few = large.groupBy("class_id").agg(F.array_distinct(F.array(*(
-            F.min_by("grp", F.xxhash64("grp", F.lit(k))) for k in range(FIRST_BUCKETS)
-        ))).alias("few"))
-        some = few.select("class_id", F.explode("few").alias("grp")).join(one, "class_id")
+        # some buckets of each class, drawn by their keys, so that near copies are drawn together
+        rule, band = Rule(similarity), F.col("grp").bitwiseAND((1 << BAND_BITS) - 1)
+        one_in = [max(1, (rule.differences(band_top(b), band_top(b)) + 1) // DRAWN_BUCKETS) for b in range(24)]
+        drawn = F.pmod(F.xxhash64("grp"), F.element_at(F.array(*map(F.lit, one_in)), F.least(band, F.lit(23)).cast("int") + 1)) == 0
+        few = large.where(drawn).groupBy("class_id").agg(F.collect_set(F.struct(F.xxhash64("grp").alias("h"), "grp")).alias("all"))
+        few = few.select("class_id", F.explode(F.slice(F.array_sort("all"), 1, FIRST_BUCKETS)).alias("x")).select("class_id", "x.grp")
+        some = few.join(one, "class_id")
         load = some.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).select("grp", F.expr(_pieces("n", "w")).alias("pieces"))
         chunk = F.pmod(F.xxhash64("class_id", "grp"), F.col("pieces"))
         placed = some.join(load, "grp").select("grp", chunk.alias("i"), chunk.alias("j"), "class_id", F.col("class_id").alias("comp"), "n_shingles", "sketch", "doc_id", "text_code")
         first = cut(_dealt(shingled(placed)).transform(map_batches, _chunks(similarity, True), links))
         known = components(first).select(F.col("node").alias("class_id"), F.col("label").alias("comp"))
         comp = lambda rows: rows.join(known, "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
-        light = cut(comp(large.join(one.select("class_id", "n_shingles"), "class_id")))
+        # buckets of one component are done
+        mixed = comp(large).groupBy("grp").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("grp")
+        light = cut(comp(large.join(mixed, "grp").join(one.select("class_id", "n_shingles"), "class_id")))
         rest = light.join(cut(_loads(light, False)), "grp").join(one.select("class_id", "sketch"), "class_id")
         close = close.union(_deal(rest).transform(map_batches, _chunks(similarity, False), links)).union(first)
     coarse = components(cut(close))

@@ -29,55 +29,35 @@ from pyspark.sql import functions as F
 
 from .textcore import Words, cut, map_batches, mix, runs, split_code, word_slices
 
-#: Longest context; 8 is the most that a 64-bit key holds with the next symbol.
-DEPTH = 6
+#: Longest context, and the most that a 64-bit key holds with the next symbol.
+DEPTH, MOST_DEPTH = 6, 6
 #: Times that a context must have been seen, whatever the size of the corpus.
-MIN_COUNT = 16
+MIN_COUNT = 4
 #: Contexts up to CORE symbols go with every part; groups are named by GROUP symbols.
 CORE, GROUP = 2, 3
 #: Probabilities of one broadcast part (12 bytes each in a task).
 PART_ENTRIES = 1 << 22
 HEAD = 1 << 19
-#: Weight of the shorter context's distribution, in observations.
-PRIOR = 6.0
+#: Weight of the shorter context's distribution, in observations for each different next symbol.
+PRIOR = 1.0
 #: Distinct keys that a task counts before it hands them on.
 HELD = 1 << 21
-BITS = 7
+#: A symbol is a byte of UTF-8, but 0 is the end; the byte 0 is told as 0xFF, which UTF-8 doesn't know.
+BITS = 8
+SYMBOL = np.arange(256, dtype=np.int64)
+SYMBOL[0] = 255
 END_WORD = np.int64(-0x6A09E667F3BCC909)
 
 
-def _alphabet() -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each byte, log10 share of the byte within its symbol).
-
-    Symbol 0 is the end.  Digits share a symbol, as do rare ASCII bytes and
-    rare lead bytes; a symbol's probability is split evenly among its bytes.
-    """
-    symbol = np.zeros(256, dtype=np.int64)
-    group = np.full(256, -1)
-    group[48:58] = 1
-    rare = [*range(0, 32), 127, *range(65, 91), *b"{}~^`\\|"]
-    group[rare] = 2
-    group[[x for x in range(0xC0, 256) if x not in (0xC2, 0xC3)]] = 3
-    symbol[group > 0] = group[group > 0]
-    single = np.flatnonzero(group < 0)
-    symbol[single] = np.arange(4, 4 + len(single))
-    assert symbol.max() < 1 << BITS
-    return symbol, -np.log10(np.bincount(symbol, minlength=1 << BITS)[symbol])
-
-
-SYMBOL, SHARE = _alphabet()
-
-
-def symbol_stream(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, log10 shares, first position of each text plus the end).
+def symbol_stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, first position of each text plus the end).
 
     A text is its words with one space between them and the end symbol 0.
     """
-    keep = np.zeros(len(w.buf), dtype=bool)
     change = np.zeros(len(w.buf) + 1, dtype=np.int8)
     change[w.start] += 1
     change[w.end] -= 1
-    keep |= np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    keep = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
     last = np.zeros(len(w.start), dtype=bool)
     last[w.first[1:][w.first[1:] > w.first[:-1]] - 1] = True
     gap = w.end[~last]
@@ -86,11 +66,8 @@ def symbol_stream(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buf = buf.copy()
         buf[gap] = 32
         keep[gap] = True
-    kept = buf[keep]
     upto = np.r_[0, np.cumsum(keep)][w.offsets]
-    symbols = np.insert(SYMBOL[kept], upto[1:], 0)
-    shares = np.insert(SHARE[kept], upto[1:], 0.0)
-    return symbols, shares, upto + np.arange(len(upto))
+    return np.insert(SYMBOL[buf[keep]], upto[1:], 0), upto + np.arange(len(upto))
 
 
 def grams(symbols: np.ndarray, first: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -154,7 +131,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, _, w in word_slices(batch.column(0), lower=True):
-            symbols, _, first = symbol_stream(w)
+            symbols, first = symbol_stream(w)
             held[0].add(np.r_[_word_codes(w), np.full(len(first) - 1, END_WORD)])
             held[1].add(grams(symbols, first))
             for kind in (0, 1):
@@ -164,81 +141,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(kind)
 
 
-class Tree:
-    """The dense form of a small tree: child[node, older symbol] (0: none; the root is 1) and log10 p[node, symbol]."""
-
-    def __init__(self, child: np.ndarray, logp: np.ndarray):
-        self.child, self.logp = child.astype(np.int32), logp.astype(np.float32)
-
-    def states(self, symbols: np.ndarray, first: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """The longest suffix state before each position."""
-        at = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-        flat, wide = self.child.ravel(), 1 << BITS
-        best = np.ones(len(symbols), dtype=np.int32)
-        now = best.copy()
-        for k in range(1, depth + 1):
-            older = np.zeros(len(symbols), dtype=np.int32)
-            if k < len(symbols):
-                older[k:] = symbols[:-k]
-            older[at < k] = 0
-            now = flat[now * wide + older]
-            found = now > 0
-            if not found.any():
-                break
-            best = np.where(found, now, best)
-        return best
-
-    def score(self, symbols: np.ndarray, shares: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        p = self.logp.ravel()[self.states(symbols, first) * (1 << BITS) + symbols].astype(np.float64) + shares
-        return np.add.reduceat(p, first[:-1]) if len(first) > 1 else np.zeros(0)
-
-
-def build_tree(depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> Tree:
-    """Tree of (depth, context, next symbol, count) rows of all candidate contexts.
-
-    A context stays if n * KL(own || shorter) >= symbols seen * ln(n) / 2 (the
-    saving pays for its parameters), or if a longer one that it ends stays.
-    """
-    wide = 1 << BITS
-    name = (depths.astype(np.int64) << 58) | contexts
-    names, at = np.unique(np.r_[np.int64(0), name], return_inverse=True)
-    n_nodes = len(names)
-    seen = np.zeros((n_nodes, wide))
-    np.add.at(seen, (at[1:], symbols), counts)
-    level = names >> 58
-    context = names & ((1 << 58) - 1)
-    shorter = np.zeros(n_nodes, dtype=np.int64)
-    deep = level > 0
-    shorter[deep] = np.searchsorted(names, ((level[deep] - 1) << 58) | (context[deep] & ((1 << (BITS * np.maximum(level[deep] - 1, 0))) - 1)))
-    total = seen.sum(axis=1)
-    p = np.empty_like(seen)
-    p[0] = (seen[0] + 0.5) / (total[0] + 0.5 * wide)
-    stays = np.zeros(n_nodes, dtype=bool)
-    for d in range(1, depth + 1):
-        own = np.flatnonzero(level == d)
-        if not len(own):
-            continue
-        base = p[shorter[own]]
-        p[own] = (seen[own] + PRIOR * base) / (total[own, None] + PRIOR)
-        share = seen[own] / total[own, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = total[own] * np.where(share > 0, share * np.log(share / base), 0).sum(axis=1)
-        stays[own] = gain >= 0.5 * (seen[own] > 0).sum(axis=1) * np.log(np.maximum(total[own], 2))
-    for d in range(depth, 1, -1):
-        own = np.flatnonzero(stays & (level == d))
-        stays[shorter[own]] = True
-    stays[0] = True
-    number = np.zeros(n_nodes, dtype=np.int64)
-    number[stays] = np.arange(1, stays.sum() + 1)
-    child = np.zeros((stays.sum() + 1, wide), dtype=np.int32)
-    kept = np.flatnonzero(stays & deep)
-    child[number[shorter[kept]], context[kept] >> (BITS * (level[kept] - 1))] = number[kept]
-    logp = np.zeros((stays.sum() + 1, wide), dtype=np.float32)
-    logp[number[stays]] = np.log10(p[stays])
-    return Tree(child, logp)
-
-
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, key, n): counts of words (kind 0) and of symbol strings (kind 1) over all rows."""
     return docs.select(F.col(text).alias("text")).transform(map_batches, _count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -276,8 +178,8 @@ class Level:
         self.name = self.keys[self.first] >> BITS
         # a context seen often enough has all its suffixes, with the same next symbols
         base = shorter[1][np.searchsorted(shorter[0], ((self.keys >> (2 * BITS)) << BITS) | (self.keys & ((1 << BITS) - 1)))] if len(self.keys) else np.zeros(0)
-        all_of = np.repeat(self.total, self.size)
-        self.p = (n + PRIOR * base) / (all_of + PRIOR)
+        all_of, weight = np.repeat(self.total, self.size), np.repeat(PRIOR * self.size, self.size)
+        self.p = (n + weight * base) / (all_of + weight)
         gain = np.add.reduceat(n * np.log(n / all_of / base), self.first) if len(self.first) else np.zeros(0)
         self.stays = gain >= 0.5 * self.size * np.log(np.maximum(self.total, 2))
 
@@ -325,19 +227,21 @@ class Part:
         result[order] = out
         return result
 
-    def score(self, symbols: np.ndarray, shares: np.ndarray, first: np.ndarray, owner: np.ndarray | None, nth: int) -> np.ndarray:
+    def score(self, symbols: np.ndarray, first: np.ndarray, owner: tuple[np.ndarray, np.ndarray] | None, nth: int) -> np.ndarray:
         """Each text's sum of log10 probabilities over the positions that part nth owns."""
         if len(first) < 2:
             return np.zeros(0)
         keys, at = np.unique(grams(symbols, first, self.depth), return_inverse=True)
         if owner is None:
-            p = self.logs(keys)[at] + shares
+            p = self.logs(keys)
         else:
-            own = owner[(keys >> BITS) & ((1 << (BITS * GROUP)) - 1)] == nth
+            names, parts = owner
+            group = (keys >> BITS) & ((1 << (BITS * GROUP)) - 1)
+            spot = np.minimum(np.searchsorted(names, group), len(names) - 1)
+            own = np.where(names[spot] == group, parts[spot], 0) == nth
             p = np.zeros(len(keys))
             p[own] = self.logs(keys[own])
-            p = p[at] + np.where(own[at], shares, 0.0)
-        return np.add.reduceat(p, first[:-1])
+        return np.add.reduceat(p[at], first[:-1])
 
 
 def _rows_of(levels: list[tuple[int, Level, np.ndarray]], depth: int) -> tuple[np.ndarray, ...]:
@@ -346,7 +250,7 @@ def _rows_of(levels: list[tuple[int, Level, np.ndarray]], depth: int) -> tuple[n
     for d, level, mask in levels:
         inside = np.repeat(mask, level.size)
         for held, x in zip(out, (
-            _state(level.name[mask], d, depth), np.log10(PRIOR / (level.total[mask] + PRIOR)), level.size[mask],
+            _state(level.name[mask], d, depth), -np.log10(1 + level.total[mask] / (PRIOR * level.size[mask])), level.size[mask],
             level.keys[inside] & ((1 << BITS) - 1), np.log10(level.p[inside]),
         )):
             held.append(x)
@@ -397,13 +301,9 @@ class Forest:
             upto += n
         self.name, self.of, self.parts = name, part, nth + 1
 
-    def owner(self) -> np.ndarray | None:
-        """The part of every group, 0 for groups without states; None if there is one part."""
-        if self.parts == 1:
-            return None
-        out = np.zeros(1 << (BITS * GROUP), dtype=np.int32)
-        out[self.name] = self.of
-        return out
+    def owner(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(groups, the part of each); a group without states is with part 0.  None if there is one part."""
+        return None if self.parts == 1 else (self.name, self.of)
 
     def part(self, nth: int) -> Part:
         own = self.name[self.of == nth]
@@ -422,6 +322,8 @@ def learn_tree(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT
     Only strings of CORE + 1 symbols and the sizes of the groups reach the
     driver, both bounded by the alphabet, and then one part at a time.
     """
+    if not GROUP <= depth <= MOST_DEPTH:
+        raise ValueError(f"contexts have {GROUP} to {MOST_DEPTH} symbols")
     found = counts.where("kind = 1")
     short = found.groupBy(F.expr(f"key & {(1 << (BITS * (CORE + 1))) - 1}").alias("key")).agg(F.sum("n").alias("n")).toPandas()
     keys, n = short["key"].to_numpy(dtype=np.int64), short["n"].to_numpy(dtype=np.int64)
@@ -464,8 +366,7 @@ def _score(tree, owner, head, floor: float):
         for batch in batches:
             for lo, hi, w in word_slices(batch.column(2), lower=True):
                 n = hi - lo
-                symbols, shares, first = symbol_stream(w)
-                score = model.score(symbols, shares, first, owner.value, 0)
+                score = model.score(*symbol_stream(w), owner.value, 0)
                 code, text_of = _word_codes(w), w.text_of()
                 spot = np.searchsorted(known, code)
                 spot[spot == len(known)] = 0

@@ -217,3 +217,45 @@ def language_scores(text, words, emission, moves, languages):
         z = lse([x + y for x, y in zip(a, b)])
         total = [t + math.exp(x + y - z) for t, x, y in zip(total, a, b)]
     return [t / max(len(found), 1) for t in total]
+
+
+def suffix_tree_scores(train, asked, depth=6, core=2, least=4, prior=1.0):
+    """log10 probabilities by a tree of dictionaries: contexts seen `least` times, kept by a divergence
+    test (with their suffixes; up to `core` symbols in any case), smoothed by distinct followers."""
+    stream = lambda t: [255 if b == 0 else b for b in " ".join(SPACE_WORDS.findall(lowered(t))).encode()] + [0]
+    seen = {}
+    for t in train:
+        x = [0] * depth + stream(t)
+        for i in range(depth, len(x)):
+            for d in range(depth + 1):
+                seen.setdefault(tuple(x[i - d : i]), Counter())[x[i]] += 1
+    total = sum(seen.get((), Counter()).values())
+    root = {c: (seen.get((), Counter())[c] + 0.5) / (total + 128) for c in range(256)}
+    p, kept = {}, set()
+
+    def chance(context, symbol):
+        if not context:
+            return root[symbol]
+        n, below = seen[context], chance(context[1:], symbol)
+        weight = prior * len(n)
+        return (n[symbol] + weight * below) / (sum(n.values()) + weight)
+
+    for c, n in seen.items():
+        size = sum(n.values())
+        if not c or size < least:
+            continue
+        gain = sum(v * math.log(v / size / chance(c[1:], x)) for x, v in n.items())
+        if len(c) <= core or gain >= 0.5 * len(n) * math.log(max(size, 2)):
+            for k in range(len(c)):
+                kept.add(c[k:])
+    out = []
+    for t in asked:
+        x, score = [0] * depth + stream(t), 0.0
+        for i in range(depth, len(x)):
+            state = next((tuple(x[i - d : i]) for d in range(depth, 0, -1) if tuple(x[i - d : i]) in kept), ())
+            key = (state, x[i])
+            if key not in p:
+                p[key] = math.log10(chance(*key))
+            score += p[key]
+        out.append(score)
+    return out

@@ -586,34 +586,24 @@ def test_rare_words_meet_their_counts(spark, texts, monkeypatch):
         assert (r["n_tokens"], r["n_known"]) == expected[k][:2] and r["base_score"] == pytest.approx(expected[k][2], rel=1e-9)
 
 
-def test_tree_is_a_distribution_over_texts():
-    """Probabilities of all next symbols sum to 1 in every state."""
-    import numpy as np
+def test_scores_by_a_plain_tree(spark, texts):
+    """The query's score against dictionaries, on texts of several scripts and with the byte 0."""
+    rng = random.Random(9)
+    some = {k: texts[k] for k in list(texts)[:70]}
+    some |= {5000 + k: " ".join(rng.choices(["привет", "мир", "это", "東京", "a\x00b", "12-34", "Word,"], k=40)) for k in range(30)} | {6000: None, 6001: " "}
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    held = [k for k in some if brute.remainder(k, 10) == 0]
+    expected = brute.suffix_tree_scores([t for k, t in some.items() if k not in held], some.values())
+    got = rows(suffix_tree.lm_scores(df, suffix_tree.split_code() % 10 == 0))
+    for k, score in zip(some, expected):
+        assert got[k]["score"] == pytest.approx(score, rel=2e-5, abs=1e-4)
+
 
-    column = pa.array(["ab abab ba", "abc abc", "hello hello"] * 30, pa.string())
-    total: dict = {}
-    for _, _, w in suffix_tree.word_slices(column, lower=True):
-        symbols, _, first = suffix_tree.symbol_stream(w)
-        for g in suffix_tree.grams(symbols, first).tolist():
-            total[g] = total.get(g, 0) + 1
-    found = [(d, (g & ((1 << 7 * (d + 1)) - 1)) >> 7, g & 127, n) for g, n in total.items() for d in range(6)]
-    table: dict = {}
-    for d, c, s, n in found:
-        table[d, c, s] = table.get((d, c, s), 0) + n
-    tree = suffix_tree.build_tree(*(np.array(x) for x in zip(*((d, c, s, n) for (d, c, s), n in table.items()))))
-    assert len(tree.logp) > 3
-    assert np.allclose((10.0 ** tree.logp[1:]).sum(axis=1), 1, atol=1e-4)
-    # the longest suffix state by a plain walk
-    symbols, _, first = suffix_tree.symbol_stream(next(suffix_tree.word_slices(pa.array(["abab abc"], pa.string()), lower=True))[2])
-    states = tree.states(symbols, first)
-    for i in range(len(symbols)):
-        node, best = 1, 1
-        for k in range(1, suffix_tree.DEPTH + 1):
-            node = int(tree.child[node, symbols[i - k] if i >= k else 0])
-            if not node:
-                break
-            best = node
-        assert states[i] == best
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_tree_beats_unigrams_on_held_out_texts(spark, size):
+    found = QUERIES["op6_lm_scoring"](spark, f"/root/testdata/{size}").where("held_out")
+    tree, words = found.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert tree > words + 0.05
 
 
 def test_contexts_do_not_need_a_share_of_the_corpus(spark):
@@ -640,7 +630,7 @@ def test_parts_of_the_tree_give_the_same_scores(spark, texts, monkeypatch):
     part = tree.part(0)
     assert tree.parts == 1 and part.deepest == suffix_tree.DEPTH
     sample = [r[0] for r in counts.where("kind = 1").select("key").orderBy("key").limit(200).collect()]
-    keys = ((np.array(sample) >> 7) << 7)[:, None] | np.arange(128)
+    keys = ((np.array(sample) >> 8) << 8)[:, None] | np.arange(256)
     assert np.allclose((10.0 ** part.logs(keys.ravel())).reshape(keys.shape).sum(axis=1), 1, atol=1e-4)
     monkeypatch.setattr(suffix_tree, "PART_ENTRIES", len(part.entries) // 4)
     assert suffix_tree.learn_tree(counts).parts > 2
