@@ -23,7 +23,7 @@ class FileFormat(Enum):
 
 @dataclass(frozen=True)
 class SplitSize:
-    """Bytes of a file that one task reads; 0 leaves it to Spark."""
+    """Bytes of a file that one task reads, for this source alone; 0 leaves it to Spark."""
 
     bytes: int = 0
 
@@ -81,6 +81,14 @@ class InputFileConfiguration:
                 raise TypeError("a time column has type ISO8601")
 
 
+def _moved(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same plan as a DataFrame of another session."""
+    if df.sparkSession is spark:
+        return df
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.logicalPlan())
+    return DataFrame(rows, spark)
+
+
 def read_files(spark: SparkSession, config: InputFileConfiguration, streaming: bool = False) -> DataFrame:
     """The source's rows in its schema's types.
 
@@ -88,12 +96,15 @@ def read_files(spark: SparkSession, config: InputFileConfiguration, streaming: b
     skipped.  A time text that isn't `YYYY-MM-DDTHH:MM:SS.mmmZ`, or is before
     1970, reads as the epoch, a value that its type can't hold as null.
     """
+    own = spark
     if config.split_size.bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", config.split_size.bytes)
-    reader = spark.readStream if streaming else spark.read
+        # the size of splits is a setting of the session that reads: a source with one has a session of its own
+        own = spark.newSession()
+        own.conf.set("spark.sql.files.maxPartitionBytes", config.split_size.bytes)
+    reader = own.readStream if streaming else own.read
     path = str(config.path)
     if config.format is FileFormat.PARQUET:
-        return reader.schema(config.schema.spark).parquet(path)
+        return _moved(reader.schema(config.schema.spark).parquet(path), spark)
     text_types = T.StructType([
         T.StructField(n, T.StringType() if t is DataType.ISO8601 else t.spark) for n, t in config.schema.items()
     ])
@@ -103,6 +114,7 @@ def read_files(spark: SparkSession, config: InputFileConfiguration, streaming: b
         raw = reader.schema(text_types).option("header", config.has_header).option("quote", "").option("escape", "").option(
             "enforceSchema", True
         ).option("mode", "PERMISSIVE").option("emptyValue", "").csv(path)
+    raw = _moved(raw, spark)
     epoch = F.timestamp_micros(F.lit(0))
     columns = []
     for n, t in config.schema.items():

@@ -307,3 +307,18 @@ def test_split_keeps_its_input_once(spark):
     df = rows.map_rows(spark.range(10), count, "id long")
     a, b = rows.split(df, F.col("id") % 2, 2, keep=True)
     assert a.count() + b.count() == 10 and seen.value == 10
+
+
+def test_split_size_belongs_to_its_source(spark, tmp_path):
+    """Two sources with different splits in one query; the session's setting stays."""
+    (tmp_path / "a.csv").write_text("id\n" + "1\n" * 200_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    schema = Schema({"id": DataTypes.INT})
+    env = TableEnvironment(spark)
+    sizes = []
+    for split in (SplitSize.kilobytes(64), SplitSize.megabytes(8)):
+        t = env.table_from_file(InputFileConfiguration(str(tmp_path / "a.csv"), FileFormat.CSV, schema, order=True, split_size=split))
+        sizes.append((t, t.dataframe().rdd.getNumPartitions()))
+    assert sizes[0][1] >= 6 and sizes[1][1] == 1
+    assert sizes[0][0].union_all(sizes[1][0]).dataframe().count() == 400_000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
