@@ -800,3 +800,27 @@ def test_code_switched_words(spark, sf_dir):
     r = language_crf.label_words(mixed, model).first()
     n = len(r["word_lang"])
     assert r["word_lang"][: n // 3].count("en") > 0.9 * (n // 3) and r["word_lang"][-n // 3 :].count("de") > 0.9 * (n // 3)
+
+
+NULL_IDS = [(None, "some plain words that go on and on here"), (None, "some plain words that go on and on here"), (7, "some plain words that go on and on here"), (7, None), (7, "token=abcdef99 other text"), (None, None), (None, "")]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10"])
+def test_rows_without_ids_and_repeated_ids(spark, name):
+    """Every row has its result, whatever ids it shares; equal texts have equal values."""
+    from sluice.llm import audio_features, packing
+
+    df = spark.createDataFrame(NULL_IDS, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for extra in ("score", "n_words", "held_out", "class_id", "grp", "draw", "l", "t", "id", "y", "level"):
+        df = df.withColumn(extra, F.lit(1))
+    model = quality_classifier.train(["a b"], [1])
+    apply = {
+        "op1": secret_scan.with_secret_spans, "op2": license_scan.scan_licenses, "op3": lambda d: quality_rules.judge(d, counts=True),
+        "op4": lambda d: quality_classifier.score_quality(d, model), "op6": lambda d: suffix_tree.lm_scores(d, F.lit(False)), "op7": packing.pack_documents,
+        "op8": lambda d: language_crf.identify(d, language_crf.fit(d)), "op9": lambda d: audio_features.media_columns(d, audio_features.DIGEST), "op10": jaccard_join.jaccard_components,
+    }[name]
+    got = [r.asDict() for r in apply(df).collect()]
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(k) for k, _ in NULL_IDS)
+    column = {"op1": "secret_spans", "op2": "n_words", "op3": "n_words", "op4": "score", "op6": "score", "op7": "ids_crc32", "op8": "score", "op9": "payload_sha256", "op10": "n_shingles"}[name]
+    values = sorted(str(r[column]) for r in got)
+    assert len(set(values)) <= 3
