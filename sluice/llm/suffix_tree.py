@@ -8,10 +8,11 @@ shorter context (with their suffixes; contexts of up to CORE symbols all stay).
 Next-symbol distributions are smoothed towards the shorter context's.
 
 Contexts longer than CORE are built by tasks, group by group of the last GROUP
-symbols, and stay a distributed table of one row a group.  Scoring takes the
-groups in parts of at most PART_ENTRIES probabilities (a group is never cut),
-broadcasts one part after the other, and each position is scored in the pass
-that holds its group.  One pass is enough while the tree fits a part.
+symbols, and stay a distributed table of one row a group.  The groups used most,
+PART_ENTRIES probabilities at most, are broadcast, and most positions are scored
+by them in one pass over the texts.  Strings of other groups, once for each text,
+meet their groups in tasks and then their texts in a join by string, so the work
+does not grow with the number of parts that a large tree would have.
 
 Word counts cover the whole corpus and are never collected: words with a share
 of at least 1 / HEAD of all training tokens (at most HEAD of them) are sent to
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, cut, map_batches, mix, runs, split_code, word_slices
+from .textcore import Words, cut, map_batches, mix, runs, split_code, spread_join, word_slices
 
 #: Longest context, and the most that a 64-bit key holds with the next symbol.
 DEPTH, MOST_DEPTH = 6, 6
@@ -35,7 +36,7 @@ DEPTH, MOST_DEPTH = 6, 6
 MIN_COUNT = 4
 #: Contexts up to CORE symbols go with every part; groups are named by GROUP symbols.
 CORE, GROUP = 2, 3
-#: Probabilities of one broadcast part (12 bytes each in a task).
+#: Probabilities that are broadcast (12 bytes each in a task).
 PART_ENTRIES = 1 << 22
 HEAD = 1 << 19
 #: Weight of the shorter context's distribution, in observations for each different next symbol.
@@ -203,14 +204,12 @@ class Part:
         self.entries, self.logp = entries[by], logp[by]
         self.deepest = int((self.states & 15).max())
 
-    def logs(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each packed string."""
-        out = np.zeros(len(keys))
-        turned = _turned(keys, self.depth)
-        order = np.argsort(turned, kind="stable")
-        turned, symbol = turned[order], keys[order] & ((1 << BITS) - 1)
-        left, sought = np.arange(len(keys)), np.zeros(len(keys), dtype=bool)
-        for d in range(self.deepest, -1, -1):
+    def walk(self, turned: np.ndarray, symbol: np.ndarray, left: np.ndarray, out: np.ndarray, top: int, bottom: int) -> np.ndarray:
+        """Adds to `out` what contexts of top down to bottom symbols tell; the numbers still without a probability."""
+        sought = np.zeros(len(out), dtype=bool)
+        for d in range(min(top, self.deepest), bottom - 1, -1):
+            if not len(left):
+                break
             name = _state(turned[left] >> (BITS * (self.depth - d)), d, self.depth)
             at = np.minimum(np.searchsorted(self.states, name), len(self.states) - 1)
             is_state = self.states[at] == name
@@ -221,27 +220,42 @@ class Part:
             out[on] += np.where(seen, self.logp[spot], self.back[at])
             sought[on[seen]] = True
             left = left[~sought[left]]
-            if not len(left):
-                break
+        return left
+
+    def logs(self, keys: np.ndarray, longer: Part | None = None) -> np.ndarray:
+        """log10 probability of the last symbol of each packed string; `longer` has the contexts above CORE symbols."""
+        out = np.zeros(len(keys))
+        turned = _turned(keys, self.depth)
+        order = np.argsort(turned, kind="stable")
+        turned, symbol = turned[order], keys[order] & ((1 << BITS) - 1)
+        left = np.arange(len(keys))
+        if longer is not None:
+            left = longer.walk(turned, symbol, left, out, self.depth, GROUP)
+        self.walk(turned, symbol, left, out, self.depth if longer is None else CORE, 0)
         result = np.empty(len(keys))
         result[order] = out
         return result
 
-    def score(self, symbols: np.ndarray, first: np.ndarray, owner: tuple[np.ndarray, np.ndarray] | None, nth: int) -> np.ndarray:
-        """Each text's sum of log10 probabilities over the positions that part nth owns."""
-        if len(first) < 2:
-            return np.zeros(0)
+    def score(self, symbols: np.ndarray, first: np.ndarray, head: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(each text's sum of log10 probabilities, first of its further strings plus the end, these
+        strings, times of each): strings of groups that aren't in `head` (None: all are) are left over."""
+        n = len(first) - 1
+        if n < 1:
+            return np.zeros(0), np.zeros(1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
         keys, at = np.unique(grams(symbols, first, self.depth), return_inverse=True)
-        if owner is None:
-            p = self.logs(keys)
-        else:
-            names, parts = owner
-            group = (keys >> BITS) & ((1 << (BITS * GROUP)) - 1)
-            spot = np.minimum(np.searchsorted(names, group), len(names) - 1)
-            own = np.where(names[spot] == group, parts[spot], 0) == nth
-            p = np.zeros(len(keys))
-            p[own] = self.logs(keys[own])
-        return np.add.reduceat(p[at], first[:-1])
+        if head is None:
+            return np.add.reduceat(self.logs(keys)[at], first[:-1]), np.zeros(n + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        group = (keys >> BITS) & ((1 << (BITS * GROUP)) - 1)
+        own = np.zeros(len(keys), dtype=bool)
+        if len(head):
+            own = head[np.minimum(np.searchsorted(head, group), len(head) - 1)] == group
+        p = np.zeros(len(keys))
+        p[own] = self.logs(keys[own])
+        text = np.repeat(np.arange(n), np.diff(first))
+        rest = ~own[at]
+        pair, times = np.unique(text[rest] * np.int64(len(keys)) + at[rest], return_counts=True)
+        cuts = np.searchsorted(pair, np.arange(n + 1) * np.int64(len(keys)))
+        return np.add.reduceat(p[at], first[:-1]), cuts.astype(np.int32), keys[pair % len(keys)], times.astype(np.int32)
 
 
 def _rows_of(levels: list[tuple[int, Level, np.ndarray]], depth: int) -> tuple[np.ndarray, ...]:
@@ -280,47 +294,77 @@ def _grow(core, depth: int, min_count: int):
                     level.stays |= np.isin(level.name, longer.name[longer.stays] >> BITS)
                 found = _rows_of([(d, level, level.stays) for d, level in levels], depth)
                 if len(found[0]):
-                    row = [pa.array([int(of[lo])], pa.int64()), pa.array([len(found[3])], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in found)]
-                    yield pa.record_batch(row, names=["g", "n", "states", "back", "sizes", "symbols", "logp"])
+                    row = [pa.array([int(of[lo])], pa.int64()), pa.array([len(found[3])], pa.int64()), pa.array([int(n[lo:hi].sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in found)]
+                    yield pa.record_batch(row, names=["g", "n", "w", *KINDS])
 
     return run
 
 
+#: Binary columns of a group's row.
+KINDS = {"states": np.int64, "back": np.float32, "sizes": np.int32, "symbols": np.uint8, "logp": np.float32}
+
+
 class Forest:
-    """The whole tree: its core here, its groups in a distributed table, and the part of each group."""
+    """The whole tree: its core here, its groups in a distributed table, and which of them are broadcast."""
 
     def __init__(self, core: tuple[np.ndarray, ...], groups: DataFrame, depth: int):
         self.core, self.groups, self.depth = core, groups, depth
-        sizes = groups.select("g", "n").toPandas().sort_values("g")
-        name, upto = sizes["g"].to_numpy(dtype=np.int64), 0
-        part, nth = np.zeros(len(name), dtype=np.int32), 0
-        for i, n in enumerate(sizes["n"].tolist()):
-            if upto and upto + n > PART_ENTRIES:
-                nth, upto = nth + 1, 0
-            part[i] = nth
-            upto += n
-        self.name, self.of, self.parts = name, part, nth + 1
-
-    def owner(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """(groups, the part of each); a group without states is with part 0.  None if there is one part."""
-        return None if self.parts == 1 else (self.name, self.of)
-
-    def part(self, nth: int) -> Part:
-        own = self.name[self.of == nth]
-        rows = self.groups.where(F.col("g").between(int(own[0]), int(own[-1]))).drop("n").toPandas() if len(own) else None
-        kinds = {"states": np.int64, "back": np.float32, "sizes": np.int32, "symbols": np.uint8, "logp": np.float32}
-        found = [
+        sizes = groups.select("g", "n", "w").toPandas().sort_values(["w", "g"], ascending=[False, True])
+        taken = int((sizes["n"].cumsum() <= PART_ENTRIES).sum())
+        self.whole = taken == len(sizes)
+        self.head = np.sort(sizes["g"].to_numpy(dtype=np.int64)[:taken])
+        self.least = (int(sizes["w"].iloc[taken - 1]), int(sizes["g"].iloc[taken - 1])) if taken else None
+
+    def part(self) -> Part:
+        """The core with the groups that are broadcast."""
+        rows = None
+        if self.least is not None:
+            w, g = self.least
+            rows = self.groups.where((F.col("w") > w) | ((F.col("w") == w) & (F.col("g") <= g))).select(*KINDS).toPandas()
+        return Part(*(
             np.concatenate([mine, np.frombuffer(b"".join(rows[c]), dtype=k)]) if rows is not None else mine
-            for mine, (c, k) in zip(self.core, kinds.items())
-        ]
-        return Part(*found, depth=self.depth)
+            for mine, (c, k) in zip(self.core, KINDS.items())
+        ), depth=self.depth)
+
+    def resolved(self, keys: DataFrame) -> DataFrame:
+        """(key, logp) of a table of different packed strings: each meets its group's row in a task."""
+        core = self.groups.sparkSession.sparkContext.broadcast(Part(*self.core, depth=self.depth))
+        group = F.expr(f"(key >> {BITS}) & {(1 << (BITS * GROUP)) - 1}").alias("g")
+        none = [F.lit(None).cast("binary").alias(c) for c in KINDS]
+        both = self.groups.select("g", F.lit(None).cast("long").alias("key"), *KINDS).union(keys.select(group, "key", *none))
+        dealt = both.repartition("g").sortWithinPartitions("g", F.col("key").asc_nulls_first())
+        return dealt.transform(map_batches, _resolve(core, self.depth), "key long, logp double")
+
+
+def _resolve(core, depth: int):
+    """Rows sorted by group, a group's own row first, to (key, logp); one group is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, longer = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, is_key = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            keys = batch.column(1).fill_null(0).to_numpy()
+            logp = np.zeros(len(keys))
+            edges = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if of[lo] != group:
+                    group, longer = of[lo], None
+                if not is_key[lo]:
+                    longer = Part(*(np.frombuffer(batch.column(c)[lo].as_buffer(), dtype=k) for c, k in KINDS.items()), depth=depth)
+                    lo += 1
+                logp[lo:hi] = core.value.logs(keys[lo:hi], longer)
+            yield pa.record_batch([pa.array(keys[is_key]), pa.array(logp[is_key])], names=["key", "logp"])
+
+    return run
 
 
 def learn_tree(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT) -> Forest:
     """The tree of the symbol-string counts.
 
-    Only strings of CORE + 1 symbols and the sizes of the groups reach the
-    driver, both bounded by the alphabet, and then one part at a time.
+    Only strings of CORE + 1 symbols, the sizes of the groups, both bounded by
+    the alphabet, and the groups that are broadcast reach the driver.
     """
     if not GROUP <= depth <= MOST_DEPTH:
         raise ValueError(f"contexts have {GROUP} to {MOST_DEPTH} symbols")
@@ -342,31 +386,19 @@ def learn_tree(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT
     shared = counts.sparkSession.sparkContext.broadcast(shorter)
     group = F.expr(f"(key >> {BITS}) & {(1 << (BITS * GROUP)) - 1}").alias("g")
     dealt = found.select(group, "key", "n").repartition("g").sortWithinPartitions("g")
-    schema = "g long, n long, states binary, back binary, sizes binary, symbols binary, logp binary"
+    schema = "g long, n long, w long, states binary, back binary, sizes binary, symbols binary, logp binary"
     return Forest(core, cut(dealt.transform(map_batches, _grow(shared, depth, min_count), schema)), depth)
 
 
-def _score_part(tree, owner, nth: int):
-    """(text) to (name, part): what part nth adds to the scores of its texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, w in word_slices(batch.column(0), lower=True):
-                score = tree.value.score(*symbol_stream(w), owner.value, nth)
-                yield pa.record_batch([pa.array(text_names(w)), pa.array(score)], names=["name", "part"])
-
-    return run
-
-
-def _score(tree, owner, head, floor: float):
-    """(doc_id, held_out, text) to scores, and the words that head doesn't hold."""
+def _score(tree, groups, head, floor: float):
+    """(doc_id, held_out, text) to scores, and the words and strings that the broadcast tables don't hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (known, value, end_value) = tree.value, head.value
         for batch in batches:
             for lo, hi, w in word_slices(batch.column(2), lower=True):
                 n = hi - lo
-                score = model.score(*symbol_stream(w), owner.value, 0)
+                score, more, strings, string_times = model.score(*symbol_stream(w), groups.value)
                 code, text_of = _word_codes(w), w.text_of()
                 spot = np.searchsorted(known, code)
                 spot[spot == len(known)] = 0
@@ -385,8 +417,9 @@ def _score(tree, owner, head, floor: float):
                         pa.array(np.diff(w.first) + 1), pa.array(n_known), pa.array(base), pa.array(score), pa.array(name),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest[at])),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(times)),
+                        pa.ListArray.from_arrays(pa.array(more), pa.array(strings)), pa.ListArray.from_arrays(pa.array(more), pa.array(string_times)),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "name", "words", "times"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "name", "words", "times", "strings", "string_times"],
                 )
 
     return run
@@ -419,35 +452,37 @@ def lm_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str
     ends = words.where(F.col("word") == int(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
     context = docs.sparkSession.sparkContext
     tree = learn_tree(counts)
-    owner, part = context.broadcast(tree.owner()), context.broadcast(tree.part(0))
+    part, groups = context.broadcast(tree.part()), context.broadcast(None if tree.whole else tree.head)
     head = context.broadcast((known, np.log10((c + 0.1) / floor), float(np.log10((ends + 0.1) / floor))))
     scored = cut(rows.transform(
-        map_batches, _score(part, owner, head, floor),
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, name long, words array<long>, times array<int>",
+        map_batches, _score(part, groups, head, floor),
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, name long, words array<long>, times array<int>,"
+        " strings array<long>, string_times array<int>",
     ))
-    more = None
-    for nth in range(1, tree.parts):
-        part.unpersist()
-        part = context.broadcast(tree.part(nth))
-        added = cut(rows.select("text").transform(map_batches, _score_part(part, owner, nth), "name long, part double").groupBy("name").agg(F.max("part").alias("part")))
-        more = added if more is None else more.union(added)
-    if more is not None:
-        sums = more.groupBy("name").agg(F.sum("part").alias("part"))
-        scored = scored.join(sums, "name").withColumn("score", F.col("score") + F.col("part")).drop("part")
+    copies = scored.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     tail = scored.select("name", F.explode(F.arrays_zip("words", "times")).alias("w")).select("name", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    # a text's rare words come once for each of its copies, hence the division
-    tails = tail.join(words, "word", "left").groupBy("name").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / floor)).alias("sum"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"),
-    ).join(scored.groupBy("name").agg(F.count(F.lit(1)).alias("copies")), "name").select(
-        "name", (F.col("sum") / F.col("copies")).alias("sum"), F.expr("cast(round(seen / copies) as bigint)").alias("seen")
+    sums = tail.join(words, "word", "left").groupBy("name").agg(
+        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / floor)).alias("base"),
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"), F.lit(0.0).alias("tree"),
+    )
+    if not tree.whole:
+        strings = scored.select("name", F.explode(F.arrays_zip("strings", "string_times")).alias("s")).select("name", F.col("s.strings").alias("key"), F.col("s.string_times").alias("times"))
+        found = cut(tree.resolved(strings.select("key").distinct()))
+        more = strings.join(found, "key").groupBy("name").agg(F.sum(F.col("times") * F.col("logp")).alias("tree"))
+        sums = sums.unionByName(more.select("name", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("seen"), "tree")).groupBy("name").agg(
+            *(F.sum(x).alias(x) for x in ("base", "seen", "tree"))
+        )
+    # a text's rare words and strings come once for each of its copies, hence the division
+    tails = sums.join(copies, "name").select(
+        "name", (F.col("base") / F.col("n")).alias("base"), F.expr("cast(round(seen / n) as bigint)").alias("seen"), (F.col("tree") / F.col("n")).alias("tree")
     )
-    return scored.drop("words", "times").join(tails, "name", "left").select(
+    plain = scored.drop("words", "times", "strings", "string_times")
+    return spread_join(plain, tails, "name", copies).select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("seen", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("sum", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("tree", F.lit(0.0))).alias("score"),
     )
 
 

@@ -619,23 +619,29 @@ def test_contexts_do_not_need_a_share_of_the_corpus(spark):
 
 
 def test_parts_of_the_tree_give_the_same_scores(spark, texts, monkeypatch):
-    """Scores of a tree in many parts equal those of one part, and every state is a distribution."""
+    """Scores of a tree of which a part is broadcast equal those of a whole one, and every state is a distribution."""
     import numpy as np
 
-    df = spark.createDataFrame(list(texts.items())[:80], "doc_id long, text string")
+    some = list(texts.items())[:80]
+    df = spark.createDataFrame(some + [(9000 + i, some[5][1]) for i in range(40)], "doc_id long, text string")
     held = suffix_tree.split_code() % 10 == 0
     whole = rows(suffix_tree.lm_scores(df, held))
     counts = suffix_tree.cut(suffix_tree.corpus_counts(df))
     tree = suffix_tree.learn_tree(counts)
-    part = tree.part(0)
-    assert tree.parts == 1 and part.deepest == suffix_tree.DEPTH
+    part = tree.part()
+    assert tree.whole and part.deepest == suffix_tree.DEPTH
     sample = [r[0] for r in counts.where("kind = 1").select("key").orderBy("key").limit(200).collect()]
     keys = ((np.array(sample) >> 8) << 8)[:, None] | np.arange(256)
     assert np.allclose((10.0 ** part.logs(keys.ravel())).reshape(keys.shape).sum(axis=1), 1, atol=1e-4)
-    monkeypatch.setattr(suffix_tree, "PART_ENTRIES", len(part.entries) // 4)
-    assert suffix_tree.learn_tree(counts).parts > 2
-    for k, r in rows(suffix_tree.lm_scores(df, held)).items():
-        assert r["score"] == pytest.approx(whole[k]["score"], rel=1e-9)
+    asked = spark.createDataFrame([(int(k),) for k in keys[:9].ravel()], "key long").distinct().repartition(3)
+    for r in tree.resolved(asked).collect():
+        assert r["logp"] == pytest.approx(float(part.logs(np.array([r["key"]]))[0]), abs=1e-6)
+    for entries in (len(part.entries) // 4, len(part.entries) // 50, 0):
+        monkeypatch.setattr(suffix_tree, "PART_ENTRIES", entries)
+        cut_tree = suffix_tree.learn_tree(counts)
+        assert not cut_tree.whole and (len(cut_tree.head) > 0) == (entries > 0)
+        for k, r in rows(suffix_tree.lm_scores(df, held)).items():
+            assert r["score"] == pytest.approx(whole[k]["score"], rel=1e-6)
 
 
 def test_scores_on_edges(edge, empty):
