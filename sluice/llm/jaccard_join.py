@@ -450,7 +450,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _loads(rows: DataFrame, by_bytes: bool) -> DataFrame:
-    """(grp, main, pm, po) of the groups with more than one component: the largest component if it
+    """(grp, n, main, pm, po) of the groups with more than one component: the largest component if it
     is to be set apart (else null), its number of chunks and that of the others."""
     comps = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     loads = comps.groupBy("grp").agg(
@@ -458,11 +458,17 @@ def _loads(rows: DataFrame, by_bytes: bool) -> DataFrame:
     ).where("comps > 1").withColumn("apart", F.col("top.n") >= APART)
     w = lambda of, other: f"if(apart, {of}, {other})" if by_bytes else None
     return loads.select(
-        "grp", F.expr("if(apart, top.comp, null)").alias("main"),
+        "grp", "n", F.expr("if(apart, top.comp, null)").alias("main"),
         F.expr(_pieces("if(apart, top.n, 0)", w("top.w", "0"))).alias("pm"), F.expr(_pieces("if(apart, n - top.n, n)", w("w - top.w", "w"))).alias("po"),
     )
 
 
+def _loaded(rows: DataFrame, by_bytes: bool) -> DataFrame:
+    """The rows of groups with more than one component, each with its group's load."""
+    loads = cut(_loads(rows, by_bytes))
+    return spread_join(rows, loads.drop("n"), "grp", loads.select("grp", "n")).where("po IS NOT NULL")
+
+
 def _deal(rows: DataFrame) -> DataFrame:
     """Each row, with its group's load, to all chunk pairs that its chunk takes part in, dealt and sorted.
 
@@ -541,14 +547,17 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
         known = components(first).select(F.col("node").alias("class_id"), F.col("label").alias("comp"))
         comp = lambda rows: rows.join(known, "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
         # buckets of one component are done
-        mixed = comp(large).groupBy("grp").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("grp")
-        light = cut(comp(large.join(mixed, "grp").join(one.select("class_id", "n_shingles"), "class_id")))
-        rest = light.join(cut(_loads(light, False)), "grp").join(one.select("class_id", "sketch"), "class_id")
+        mixed = cut(comp(large).groupBy("grp").agg(
+            F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")
+        ).where("least <> most").select("grp", F.lit(True).alias("mixed"), "n"))
+        open_rows = spread_join(large, mixed.drop("n"), "grp", mixed.select("grp", "n")).where("mixed").drop("mixed")
+        light = cut(comp(open_rows.join(one.select("class_id", "n_shingles"), "class_id")))
+        rest = _loaded(light, False).join(one.select("class_id", "sketch"), "class_id")
         close = close.union(_deal(rest).transform(map_batches, _chunks(similarity, False), links)).union(first)
     coarse = components(cut(close))
     group = one.join(coarse.select(F.col("node").alias("class_id"), F.col("label").alias("grp")), "class_id")
     group = cut(comp(group) if first is not None else group.withColumn("comp", F.col("class_id")))
-    rows = shingled(group.join(cut(_loads(group, True)), "grp"))
+    rows = shingled(_loaded(group, True))
     exact = _deal(rows).transform(map_batches, _chunks(similarity, True), links)
     return exact if first is None else exact.union(first)
 

@@ -8,6 +8,7 @@ whole texts, at least one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -204,8 +205,27 @@ def split_code(doc_id: str | Column = "doc_id") -> Column:
 BATCH_BYTES, _BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def _give_back() -> None:
+    """Returns free memory to the system: workers are kept for later tasks, beside all others of their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _tidy(run):
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 def map_batches(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow with batches bounded by bytes.
+    """df.mapInArrow with batches bounded by bytes, in workers that give their memory back.
 
     Texts differ in length by orders of magnitude, so rows don't bound memory.
     The limit is a setting of the session: it is made where the session has
@@ -214,7 +234,7 @@ def map_batches(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     spark = df.sparkSession
     if not spark._jsparkSession.conf().contains(_BATCH_KEY) and not spark.sparkContext.getConf().contains(_BATCH_KEY):
         spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidy(run), schema)
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
