@@ -12,6 +12,7 @@ more than its own pieces, and the driver sees class counts and patterns only.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcore import Words, byte_view, cut, map_batches, same_spans, slices
+from .textcore import Words, byte_view, cut, give_back, map_batches, same_spans, slices
 
 CONTEXT = 4096
 UNIT = 8
@@ -28,7 +29,9 @@ END = 2
 GAP = 5e-4
 #: Distinct words whose ids a worker keeps in each of two generations, and their bytes together;
 #: words that wait to be sorted into a generation.
-CACHE, CACHE_BYTES, RECENT = 3 << 17, 12 << 20, 1 << 15
+CACHE, CACHE_BYTES, RECENT = 1 << 18, 8 << 20, 1 << 15
+#: Bytes of text whose ids are made together; words that are tokenized in one call.
+PIECE_BYTES, CALL_WORDS = 1 << 18, 1 << 13
 #: Rows (partition and class) up to which the ranks before each partition are sent to all tasks.
 BROADCAST_ROWS = 200_000
 #: New words that are tokenized as one text, with a special token between them.
@@ -91,7 +94,9 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads take more memory
         self.tokenizer = Tokenizer.from_file(path)
+        give_back()  # what reading the file took
         special = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.mark = min(special, default=None)
         self.between = special.get(self.mark, "")
@@ -113,8 +118,12 @@ class WordTokenizer:
         words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
         if not self.between or any(self.between in x for x in words):
             return self._each(words)
-        joined = [self.between.join(words[i : i + JOINED]) + self.between for i in range(0, len(words), JOINED)]
-        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        found = []
+        for lo in range(0, len(words), CALL_WORDS):
+            some = words[lo : lo + CALL_WORDS]
+            joined = [self.between.join(some[i : i + JOINED]) + self.between for i in range(0, len(some), JOINED)]
+            found += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(found)
         ends = np.flatnonzero(ids == self.mark)
         if len(ends) != len(words):
             raise ValueError("the tokenizer does not keep its special token apart")
@@ -197,7 +206,7 @@ def _pieces(path: str, context: int, unit: int, with_ids: bool):
         tokenizer = WordTokenizer.get(path)
         for batch in batches:
             buf, offsets = byte_view(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, PIECE_BYTES):
                 w = Words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ids, first = tokenizer.encode(w)
                 n = np.diff(first)

@@ -205,7 +205,7 @@ def split_code(doc_id: str | Column = "doc_id") -> Column:
 BATCH_BYTES, _BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns free memory to the system: workers are kept for later tasks, beside all others of their executor."""
     pa.default_memory_pool().release_unused()
     try:
@@ -219,7 +219,7 @@ def _tidy(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return tidied
 
