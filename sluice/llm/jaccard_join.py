@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textcore import cut, map_batches, mix, runs, spread_join, windows, word_slices
+from .textcore import cut, map_batches, mix, runs, spread_join, sweep, windows, word_slices
 
 EDGE, RATIO = 8, 4
 #: Buckets up to this size are compared at once, larger ones by chunks.
@@ -517,6 +517,8 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
     keys = docs.select(F.col(text).alias("text")).transform(map_batches, _keys(similarity, size), "key long, class_id long")
     dealt = keys.repartition("key").sortWithinPartitions("key", "class_id")
     found = cut(dealt.transform(map_batches, _buckets, "a long, b long, key long"))
+    del keys, dealt
+    sweep(found)
 
     links = "a long, b long"
     side = one.select("class_id", "n_shingles", "sketch")
@@ -544,6 +546,7 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
         chunk = F.pmod(F.xxhash64("class_id", "grp"), F.col("pieces"))
         placed = some.join(load, "grp").select("grp", chunk.alias("i"), chunk.alias("j"), "class_id", F.col("class_id").alias("comp"), "n_shingles", "sketch", "doc_id", "text_code")
         first = cut(_dealt(shingled(placed)).transform(map_batches, _chunks(similarity, True), links))
+        sweep(first)
         known = components(first).select(F.col("node").alias("class_id"), F.col("label").alias("comp"))
         comp = lambda rows: rows.join(known, "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
         # buckets of one component are done
@@ -554,7 +557,9 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
         light = cut(comp(open_rows.join(one.select("class_id", "n_shingles"), "class_id")))
         rest = _loaded(light, False).join(one.select("class_id", "sketch"), "class_id")
         close = close.union(_deal(rest).transform(map_batches, _chunks(similarity, False), links)).union(first)
-    coarse = components(cut(close))
+    close = cut(close)
+    sweep(close)
+    coarse = components(close)
     group = one.join(coarse.select(F.col("node").alias("class_id"), F.col("label").alias("grp")), "class_id")
     group = cut(comp(group) if first is not None else group.withColumn("comp", F.col("class_id")))
     rows = shingled(_loaded(group, True))

@@ -29,9 +29,9 @@ END = 2
 GAP = 5e-4
 #: Distinct words whose ids a worker keeps in each of two generations, and their bytes together;
 #: words that wait to be sorted into a generation.
-CACHE, CACHE_BYTES, RECENT = 1 << 18, 8 << 20, 1 << 15
+CACHE, CACHE_BYTES, RECENT = 3 << 17, 12 << 20, 1 << 16
 #: Bytes of text whose ids are made together; words that are tokenized in one call.
-PIECE_BYTES, CALL_WORDS = 1 << 18, 1 << 13
+PIECE_BYTES, CALL_WORDS = 1 << 19, 1 << 13
 #: Rows (partition and class) up to which the ranks before each partition are sent to all tasks.
 BROADCAST_ROWS = 200_000
 #: New words that are tokenized as one text, with a special token between them.

@@ -277,6 +277,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def sweep(df: DataFrame) -> None:
+    """Asks the driver's collector, so that Spark removes the shuffle files that no plan can reach any more.
+
+    They stay until a collection, however large they are; after a large step it is worth one.
+    """
+    df.sparkSession._jvm.System.gc()
+
+
 #: A key with at least 1 / HOT of all rows is joined apart from the others.
 HOT = 64
 
