@@ -175,6 +175,30 @@ def test_rows_of_a_group_grow_in_proportion(spark, monkeypatch):
     assert totals[1] < 5 * totals[0]
 
 
+def test_small_edge_tables_take_no_rounds(spark, monkeypatch):
+    """Components of a chain, of random edges and of none, in one task or by rounds; one task writes twice."""
+    from sluice.llm import graph
+
+    rng = random.Random(3)
+    chain = [(k, k + 1) for k in range(300)]
+    rng.shuffle(chain)
+    loose = [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)] + [(5000, 5000), (-7, 2000), (2000, -9)]
+    label = {n: n for e in chain + loose if e[0] != e[1] for n in e}
+    for _ in label:
+        for a, b in chain + loose:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+        if all(label[a] == label[b] for a, b in chain + loose if a != b):
+            break
+    written, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or plain(df))
+    edges = spark.createDataFrame(chain + loose, "a long, b long").repartition(5)
+    assert {r["node"]: r["label"] for r in graph.components(edges).collect()} == label
+    assert len(written) == 2
+    assert {r["node"]: r["label"] for r in graph.components(edges, at_once=20).collect()} == label
+    assert graph.components(edges.limit(0)).collect() == []
+
+
 def test_rows_without_an_id_link_like_others(spark):
     """A row with a null id bridges two texts, and names nothing."""
     w = [f"w{i}" for i in range(60)]
