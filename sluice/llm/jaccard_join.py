@@ -13,7 +13,10 @@ one class, named by a hash of the set, and all later work is on classes.
 3.  Pigeonhole.  With D <= d and e empty blocks at least k - d - e non-empty
     blocks agree; therefore, in any order that depends on a block's content
     only, the first d + 1 non-empty blocks of both sets have one in common.
-    The order puts the fullest blocks first, as those are the most selective.
+    The order puts keys that many sets have last, so that a common line brings
+    no sets together that have enough else, and then the fullest blocks first,
+    as those are the most selective.  How common a key is was counted in drawn
+    texts; whatever was drawn, no link is lost, as all sets use one order.
     A set with too few non-empty blocks (tiny sets) adds a key by a second
     hash, and at last one for its band.
 4.  Join.  Rows (block key, class) are dealt by key and sorted.  In small
@@ -55,9 +58,11 @@ EDGE, RATIO = 8, 4
 SMALL_BUCKET = 24
 #: Members of a chunk of a large bucket; bytes of shingles in a chunk of a group.
 CHUNK_ROWS, CHUNK_BYTES = 2048, 4 << 20
-#: Large buckets in which a class is linked first, of about so many drawn ones; members from which
-#: a component is set apart in dealing.
-FIRST_BUCKETS, DRAWN_BUCKETS, APART = 2, 8, 256
+#: Large buckets in which a class is linked first; members from which a component is set apart in dealing.
+FIRST_BUCKETS, APART = 2, 256
+#: Of the texts one in so many is drawn to count keys, though so many texts at least; a key is common that
+#: so many drawn sets have, and at most so many keys, the most frequent ones, count as common.
+DRAWN_ONE_IN, DRAWN_LEAST, COMMON, COMMON_KEYS = 32, 4096, 4, 1 << 17
 #: Low bits of a block key that tell its band.
 BAND_BITS = 5
 #: Bytes of a shingle hash; classes that a task remembers to skip copies of.
@@ -132,18 +137,30 @@ def fold(sketch: np.ndarray, width: int) -> np.ndarray:
     return sketch
 
 
-def block_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Bucket keys of one set: for each band it joins, its first d + 1 blocks."""
+def _level(key: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How common each key is; 0 for those not in the sorted keys of `common`."""
+    keys, level = common
+    if not len(keys):
+        return np.zeros(len(key), dtype=np.uint8)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, level[at], 0)
+
+
+def block_keys(s: np.ndarray, rule: Rule, common: tuple[np.ndarray, np.ndarray] | None = None, whole: bool = False) -> np.ndarray:
+    """Bucket keys of one set: for each band it joins, its first d + 1 blocks (whole: all of them).
+
+    `common` has keys, sorted as unsigned numbers, and how common each is.
+    """
     n = len(s)
     own, most = band_of(n), rule.largest_partner(n)
     if most <= n and rule.differences(n, n) == 0 and rule.differences(n, most) == 0:
         return np.zeros(0, dtype=np.int64)  # only equal sets can link, and those share a class
     out: list[np.ndarray] = []
-    done = 0
     for band in range(own, band_of(most) + 1):
         top = band_top(band)
         d = rule.differences(n, min(most, top))
         k = 2 * rule.differences(top, top) + 6
+        named = lambda key, band=band: (key >> np.uint64(BAND_BITS)) << np.uint64(BAND_BITS) | np.uint64(band)
         for salt in (0, 1):
             h = s if salt == 0 else mix(s ^ np.uint64(0xA0761D6478BD642F))
             block = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
@@ -152,18 +169,17 @@ def block_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
             at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             value = np.bitwise_xor.reduceat(mix(h), at)
             load = np.diff(np.r_[at, n])
-            key = mix(value ^ mix(block[at] + np.uint64((band * 4 + salt + 1) << 40)))
+            key = named(mix(value ^ mix(block[at] + np.uint64((band * 4 + salt + 1) << 40))))
             enough = k - d - (k - len(at)) >= 1
-            take = d + 1 if enough else len(at)
+            take = d + 1 if enough and not whole else len(at)
             if take < len(at):
-                key = key[np.lexsort((key, -load))[:take]]
+                by = (key, -load) if common is None else (key, -load, _level(key, common))
+                key = key[np.lexsort(by)[:take]]
             out.append(key)
             if enough:
                 break
         else:
-            out.append(mix(np.array([band + 0x7F000000], dtype=np.uint64)))
-        out = [(k >> np.uint64(BAND_BITS)) << np.uint64(BAND_BITS) | np.uint64(band) if i >= done else k for i, k in enumerate(out)]
-        done = len(out)
+            out.append(named(mix(np.array([band + 0x7F000000], dtype=np.uint64))))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -182,7 +198,7 @@ def _classes(similarity: float, size: int):
     return run
 
 
-def _keys(similarity: float, size: int):
+def _keys(similarity: float, size: int, common: tuple[np.ndarray, np.ndarray] | None = None, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, seen = Rule(similarity), set()
         for batch in batches:
@@ -193,7 +209,7 @@ def _keys(similarity: float, size: int):
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(name)
-                    found = block_keys(s, rule)
+                    found = block_keys(s, rule, common, whole)
                     keys.append(found)
                     names.append(np.full(len(found), name, dtype=np.int64))
             if keys:
@@ -506,6 +522,21 @@ def with_texts(docs: DataFrame, group: DataFrame, text: str, doc_id: str) -> Dat
     return named.unionByName(group.where("doc_id IS NULL").drop("doc_id").join(nameless, "text_code").drop("text_code"))
 
 
+def common_keys(docs: DataFrame, rows: int, size: int, similarity: float, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, levels) of the block keys that many sets have, counted in drawn texts of the about `rows` ones.
+
+    A level is the number of the count's binary digits.
+    """
+    one_in = max(1, min(DRAWN_ONE_IN, rows // DRAWN_LEAST))
+    drawn = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(F.col("text"), F.lit(one_in)), F.lit(one_in)) == 0)
+    keys = drawn.transform(map_batches, _keys(similarity, size, whole=True), "key long, class_id long").distinct()
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(COMMON, SMALL_BUCKET // one_in))
+    found = counts.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).toArrow()
+    key, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], np.ceil(np.log2(n[order] + 1)).astype(np.uint8)
+
+
 def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(a, b): true links between shingle classes, a spanning forest of them all.
 
@@ -514,7 +545,8 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
     one = cut(classes.where("class_id is not null").groupBy("class_id").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), F.min("text_code").alias("text_code")
     ))
-    keys = docs.select(F.col(text).alias("text")).transform(map_batches, _keys(similarity, size), "key long, class_id long")
+    common = common_keys(docs, classes.count(), size, similarity, text)
+    keys = docs.select(F.col(text).alias("text")).transform(map_batches, _keys(similarity, size, common), "key long, class_id long")
     dealt = keys.repartition("key").sortWithinPartitions("key", "class_id")
     found = cut(dealt.transform(map_batches, _buckets, "a long, b long, key long"))
     del keys, dealt
@@ -535,11 +567,8 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = 5, similarity:
     large = found.where("b is null").select(F.col("key").alias("grp"), F.col("a").alias("class_id"))
     first = None
     if not large.isEmpty():
-        # some buckets of each class, drawn by their keys, so that near copies are drawn together
-        rule, band = Rule(similarity), F.col("grp").bitwiseAND((1 << BAND_BITS) - 1)
-        one_in = [max(1, (rule.differences(band_top(b), band_top(b)) + 1) // DRAWN_BUCKETS) for b in range(24)]
-        drawn = F.pmod(F.xxhash64("grp"), F.element_at(F.array(*map(F.lit, one_in)), F.least(band, F.lit(23)).cast("int") + 1)) == 0
-        few = large.where(drawn).groupBy("class_id").agg(F.collect_set(F.struct(F.xxhash64("grp").alias("h"), "grp")).alias("all"))
+        # some buckets of each class, the first ones in one order of all keys, so that near copies have them in common
+        few = large.groupBy("class_id").agg(F.collect_set(F.struct(F.xxhash64("grp").alias("h"), "grp")).alias("all"))
         few = few.select("class_id", F.explode(F.slice(F.array_sort("all"), 1, FIRST_BUCKETS)).alias("x")).select("class_id", "x.grp")
         some = few.join(one, "class_id")
         load = some.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).select("grp", F.expr(_pieces("n", "w")).alias("pieces"))

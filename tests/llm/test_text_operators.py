@@ -175,6 +175,27 @@ def test_rows_of_a_group_grow_in_proportion(spark, monkeypatch):
     assert totals[1] < 5 * totals[0]
 
 
+def test_a_common_line_brings_no_strangers_together(spark, monkeypatch):
+    """Texts that share a line only fill no large bucket; families that have it are still found."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = [word() for _ in range(30)]
+    found = {k: " ".join([*(word() for _ in range(60)), *line]) for k in range(300)}
+    sent, plain = [], jaccard_join._dealt
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda rows: sent.append(rows.count()) or plain(rows))
+    got = rows(jaccard_join.jaccard_components(spark.createDataFrame(list(found.items()), "doc_id long, text string")))
+    assert all(r["component_id"] == k for k, r in got.items())
+    assert sum(sent) == 0
+    for k in range(300, 400):
+        text = found[k % 7].split(" ")
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(len(text))] = word()
+        found[k] = " ".join(text)
+    found |= {k: " ".join(line[rng.randrange(4) :] + [word()]) for k in range(400, 440)}
+    got = rows(jaccard_join.jaccard_components(spark.createDataFrame(list(found.items()), "doc_id long, text string")))
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(found)
+
+
 def test_small_edge_tables_take_no_rounds(spark, monkeypatch):
     """Components of a chain, of random edges and of none, in one task or by rounds; one task writes twice."""
     from sluice.llm import graph
