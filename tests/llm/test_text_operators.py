@@ -196,6 +196,21 @@ def test_a_common_line_brings_no_strangers_together(spark, monkeypatch):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.components(found)
 
 
+def test_the_pipelines_stage_deals_no_strangers(spark, monkeypatch):
+    """Stage 2 of the pipeline: a shared line sends no rows to chunks, and only copies go."""
+    import corpus_pipeline
+
+    line = " ".join(f"line{i}" for i in range(30))
+    found = [(k, " ".join(f"w{k}x{i}" for i in range(60)) + f" {line}") for k in range(200)]
+    found += [(k, found[k - 200][1].replace(f"w{k - 200}x0 ", "other ")) for k in range(200, 210)]
+    sent, plain = [], jaccard_join._dealt
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda rows: sent.append(rows.count()) or plain(rows))
+    df = spark.createDataFrame(found, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(200))
+    assert max(sent) <= 20  # the ten pairs
+
+
 def test_small_edge_tables_take_no_rounds(spark, monkeypatch):
     """Components of a chain, of random edges and of none, in one task or by rounds; one task writes twice."""
     from sluice.llm import graph
