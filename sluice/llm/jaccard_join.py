@@ -101,6 +101,12 @@ class Rule:
         return self.den * common >= self.num * (a + b - common)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which takes a fraction of the time of its hash table."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text that has a word."""
     for lo, _, words in word_slices(column, lower=True):
@@ -109,7 +115,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]
         for i in range(len(first) - 1):
             n = first[i + 1] - first[i]
             if n >= size:
-                yield lo + i, np.unique(grams[begin[i] : begin[i + 1]])
+                yield lo + i, distinct(grams[begin[i] : begin[i + 1]])
             elif n:
                 whole, _ = windows(code[first[i] : first[i + 1]], np.array([0, n]), int(n))
                 yield lo + i, mix(whole + np.uint64(n))
@@ -146,6 +152,12 @@ def _level(key: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return np.where(keys[at] == key, level[at], 0)
 
 
+def _place(key: np.ndarray, load: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Places of blocks in the one order, in a number each: rare before common, then full, then by key."""
+    place = key >> np.uint64(13) | (63 - np.minimum(load, 63)).astype(np.uint64) << np.uint64(51)
+    return place if common is None else place | _level(key, common).astype(np.uint64) << np.uint64(57)
+
+
 def block_keys(s: np.ndarray, rule: Rule, common: tuple[np.ndarray, np.ndarray] | None = None, whole: bool = False) -> np.ndarray:
     """Bucket keys of one set: for each band it joins, its first d + 1 blocks (whole: all of them).
 
@@ -162,25 +174,24 @@ def block_keys(s: np.ndarray, rule: Rule, common: tuple[np.ndarray, np.ndarray]
         k = 2 * rule.differences(top, top) + 6
         named = lambda key, band=band: (key >> np.uint64(BAND_BITS)) << np.uint64(BAND_BITS) | np.uint64(band)
         for salt in (0, 1):
-            h = s if salt == 0 else mix(s ^ np.uint64(0xA0761D6478BD642F))
-            block = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-            order = np.argsort(block, kind="stable")
-            block, h = block[order], h[order]
-            at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            h = s if salt == 0 else np.sort(mix(s ^ np.uint64(0xA0761D6478BD642F)))
+            block = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # rises with h
+            edge = np.flatnonzero(block[1:] != block[:-1]) + 1
+            at = np.concatenate(([0], edge))
             value = np.bitwise_xor.reduceat(mix(h), at)
-            load = np.diff(np.r_[at, n])
             key = named(mix(value ^ mix(block[at] + np.uint64((band * 4 + salt + 1) << 40))))
             enough = k - d - (k - len(at)) >= 1
             take = d + 1 if enough and not whole else len(at)
             if take < len(at):
-                by = (key, -load) if common is None else (key, -load, _level(key, common))
-                key = key[np.lexsort(by)[:take]]
+                load = np.concatenate((edge, [n])) - at
+                place = _place(key, load, common)
+                key = key[place <= np.partition(place, take - 1)[take - 1]]  # all that share the last place
             out.append(key)
             if enough:
                 break
         else:
             out.append(named(mix(np.array([band + 0x7F000000], dtype=np.uint64))))
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return distinct(np.concatenate(out)).view(np.int64)
 
 
 def _classes(similarity: float, size: int):

@@ -22,6 +22,39 @@ def shingles(text, size=5):
     return {tuple(w)} if w else set()
 
 
+def first_blocks(s, rule, common=None):
+    """Bucket keys of a set by dictionaries and a plain sort; rule, bands and hash are the operator's."""
+    import numpy as np
+
+    from sluice.llm.jaccard_join import BAND_BITS, band_of, band_top
+    from sluice.llm.textcore import mix
+
+    one = lambda x: int(mix(np.array([x], dtype=np.uint64))[0])
+    n, out = len(s), set()
+    level = dict(zip(*(x.tolist() for x in common))) if common else {}
+    most = rule.largest_partner(n)
+    if most <= n and rule.differences(n, n) == 0:
+        return np.zeros(0, dtype=np.int64)
+    for band in range(band_of(n), band_of(most) + 1):
+        top = band_top(band)
+        d, k = rule.differences(n, min(most, top)), 2 * rule.differences(top, top) + 6
+        for salt in (0, 1):
+            blocks = {}
+            for h in (mix(s ^ np.uint64(0xA0761D6478BD642F)) if salt else s).tolist():
+                value, load = blocks.get((h >> 32) * k >> 32, (0, 0))
+                blocks[(h >> 32) * k >> 32] = value ^ one(h), load + 1
+            found = []
+            for b, (value, load) in blocks.items():
+                key = one(value ^ one(b + ((band * 4 + salt + 1) << 40))) >> BAND_BITS << BAND_BITS | band
+                found.append((level.get(key, 0), -load, key))
+            out |= {key for _, _, key in sorted(found)[: d + 1 if len(found) > d else None]}
+            if len(found) > d:
+                break
+        else:
+            out.add(one(band + 0x7F000000) >> BAND_BITS << BAND_BITS | band)
+    return np.array(sorted(out), dtype=np.uint64).view(np.int64)
+
+
 def components(texts):
     """{id: (set size, smallest linked id)} by comparing all pairs that share a shingle."""
     sets = {k: shingles(t) for k, t in texts.items()}

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,26 @@ def test_the_pipelines_stage_deals_no_strangers(spark, monkeypatch):
     assert max(sent) <= 20  # the ten pairs
 
 
+def test_blocks_are_those_of_the_plain_order():
+    """Rare blocks before common ones, full before thin, then by key; blocks that share the last place all stay."""
+    draw = np.random.default_rng(3)
+    rule, texts = jaccard_join.Rule(0.8), []
+    line = draw.integers(0, 1 << 64, 60, dtype=np.uint64)
+    for n in (1, 5, 9, 30, 31, 32, 120, 127, 400, 511, 2000):
+        texts += [np.unique(np.concatenate((draw.integers(0, 1 << 64, n, dtype=np.uint64), line[: n // 2]))) for _ in range(6)]
+    every = np.concatenate([jaccard_join.block_keys(s, rule, whole=True) for s in texts]).view(np.uint64)
+    keys, n = np.unique(every, return_counts=True)
+    common = keys[n > 2], np.ceil(np.log2(n[n > 2] + 1)).astype(np.uint8)
+    assert len(common[0])
+    for s in texts:
+        assert np.array_equal(jaccard_join.distinct(np.r_[s, s[::2]]), s)
+        for counted in (None, common):
+            assert jaccard_join.block_keys(s, rule, counted).tolist() == brute.first_blocks(s, rule, counted).tolist()
+    key, load = np.array([1 << 40, 1 << 20, 1 << 60, 1 << 50, 5 << 40], dtype=np.uint64), np.array([1, 9, 70, 1, 1])
+    seen = np.array([5 << 40], dtype=np.uint64), np.array([3], dtype=np.uint8)
+    assert np.argsort(jaccard_join._place(key, load, seen)).tolist() == [2, 1, 0, 3, 4]
+
+
 def test_small_edge_tables_take_no_rounds(spark, monkeypatch):
     """Components of a chain, of random edges and of none, in one task or by rounds; one task writes twice."""
     from sluice.llm import graph
