@@ -10,7 +10,8 @@ Next-symbol distributions are smoothed towards the shorter context's.
 Contexts longer than CORE are built by tasks, group by group of the last GROUP
 symbols, and stay a distributed table of one row a group.  The groups used most,
 PART_ENTRIES probabilities at most, are broadcast, and most positions are scored
-by them in one pass over the texts.  Strings of other groups, once for each text,
+by them in one pass over the texts, each from its nearest symbol to older ones
+through bitmaps of children, without sorting.  Strings of other groups, once for each text,
 meet their groups in tasks and then their texts in a join by string, so the work
 does not grow with the number of parts that a large tree would have.
 
@@ -36,7 +37,7 @@ DEPTH, MOST_DEPTH = 6, 6
 MIN_COUNT = 4
 #: Contexts up to CORE symbols go with every part; groups are named by GROUP symbols.
 CORE, GROUP = 2, 3
-#: Probabilities that are broadcast (12 bytes each in a task).
+#: Probabilities that are broadcast (about 10 bytes each in a task, more where texts have above 128 different bytes).
 PART_ENTRIES = 1 << 22
 HEAD = 1 << 19
 #: Weight of the shorter context's distribution, in observations for each different next symbol.
@@ -45,9 +46,14 @@ PRIOR = 1.0
 HELD = 1 << 21
 #: A symbol is a byte of UTF-8, but 0 is the end; the byte 0 is told as 0xFF, which UTF-8 doesn't know.
 BITS = 8
-SYMBOL = np.arange(256, dtype=np.int64)
+SYMBOL = np.arange(256, dtype=np.uint8)
 SYMBOL[0] = 255
+#: Positions that are scored at once, so that what is made for them stays in a processor's cache.
+AT_ONCE = 1 << 16
+#: Places (as a power of 2) in which a task keeps probabilities that it has looked up, 16 bytes each.
+MEMO_BITS = 20
 END_WORD = np.int64(-0x6A09E667F3BCC909)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbol_stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +80,14 @@ def symbol_stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def grams(symbols: np.ndarray, first: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Each position's symbol with the `depth` before it, packed: the symbol in the
     lowest bits, older symbols above; before a text stands the end symbol."""
-    at = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-    out = symbols.copy()
-    for k in range(1, min(depth, len(symbols)) + 1):
-        older = np.zeros(len(symbols), dtype=np.int64)
-        older[k:] = symbols[:-k] if k < len(symbols) else 0
-        older[at < k] = 0
-        out |= older << (BITS * k)
+    n = len(symbols)
+    # read backwards, the 8 bytes from each symbol on are a number of this form
+    back = np.zeros(n + 8, dtype=np.uint8)
+    back[:n] = symbols[::-1]
+    out = np.ndarray((n,), dtype="<i8", buffer=back.data, strides=(1,))[::-1] & ((1 << (BITS * (depth + 1))) - 1)
+    size = np.diff(first)
+    for k in range(depth):
+        out[first[:-1][size > k] + k] &= (1 << (BITS * (k + 1))) - 1
     return out
 
 
@@ -236,26 +243,133 @@ class Part:
         result[order] = out
         return result
 
-    def score(self, symbols: np.ndarray, first: np.ndarray, head: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+class Memo:
+    """What a trie told of strings met before, the last one for each place."""
+
+    def __init__(self) -> None:
+        self.key, self.value = np.full(1 << MEMO_BITS, -1, dtype=np.int64), np.zeros(1 << MEMO_BITS)
+
+    def logs(self, trie: Trie, keys: np.ndarray, whole: bool) -> np.ndarray:
+        out = np.empty(len(keys))
+        for lo in range(0, len(keys), AT_ONCE):
+            some = keys[lo : lo + AT_ONCE]
+            place = ((some.view(np.uint64) * _SPREAD) >> np.uint64(64 - MEMO_BITS)).view(np.int64)
+            p, new = self.value.take(place), np.flatnonzero(self.key.take(place) != some)
+            if len(new):
+                place, some = place.take(new), some.take(new)
+                p[new] = found = trie.logs(some, whole)
+                self.key[place], self.value[place] = some, found
+            out[lo : lo + AT_ONCE] = p
+        return out
+
+
+class Trie:
+    """The states of a part (each with all its suffixes), numbered by depth and then by name.
+
+    A state's children are those with one older symbol.  Children and entries
+    stand one after the other in the order of their symbols; for each state
+    `wide` words of 64 bits tell which symbols there are, and the number of the
+    first one of each word.  So a position goes from state to state, and to its
+    probability, by looking up and counting bits.
+    """
+
+    def __init__(self, part: Part):
+        depth, self.deepest = part.depth, part.deepest
+        by = np.argsort(part.states & 15, kind="stable")
+        of, name = (part.states & 15)[by], part.states[by] >> 4
+        start = np.searchsorted(of, np.arange(depth + 2))
+        self.pairs = int(start[CORE])
+        edge = ((name >> (BITS * (depth - of))) & ((1 << BITS) - 1)).astype(np.uint8)
+        self.back, self.parent = part.back[by].astype(np.float64), np.zeros(len(of), dtype=np.int32)
+        for d in range(1, depth + 1):
+            here, above = slice(start[d], start[d + 1]), slice(start[d - 1], start[d])
+            self.parent[here] = start[d - 1] + np.searchsorted(name[above], name[here] >> (BITS * (depth - d + 1)) << (BITS * (depth - d + 1)))
+        self.near = np.zeros((1 << BITS, 1 << BITS), dtype=np.int32)
+        one, two = np.arange(start[1], start[2]), np.arange(start[2], start[3])
+        self.near[edge[one]] = one[:, None]
+        self.near[edge[self.parent[two]], edge[two]] = two
+        self.near = self.near.ravel()
+
+        number = np.empty(len(by), dtype=np.int32)
+        number[by] = np.arange(len(by), dtype=np.int32)
+        node = number[part.entries >> BITS]
+        order = np.argsort(node, kind="stable")
+        node, symbol, self.logp = node[order], (part.entries & ((1 << BITS) - 1)).astype(np.uint8)[order], part.logp[order]
+        at = int(np.searchsorted(node, 1))
+        self.root, node, symbol, self.logp = self.logp[:at].copy(), node[at:], symbol[at:], self.logp[at:].copy()
+
+        known = np.union1d(symbol, edge[1:]).astype(np.int64)
+        rank = np.arange(len(known), dtype=np.uint64)
+        self.wide = max(1, -(-len(known) // 64))
+        self.word, self.bit, self.below = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.uint64), np.zeros(1 << BITS, dtype=np.uint64)
+        self.word[known] = rank // np.uint64(64)
+        self.bit[known] = np.uint64(1) << rank % np.uint64(64)
+        self.below[known] = self.bit[known] - np.uint64(1)
+        self.entries = self._table(node, symbol, len(of), 0)
+        deep = int(start[CORE + 1])
+        self.children = self._table(self.parent[deep:] - self.pairs, edge[deep:], int(start[depth]) - self.pairs, deep)
+
+    def _table(self, row: np.ndarray, symbol: np.ndarray, rows: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols that there are, number of the first) of each word, from rows and symbols in order."""
+        spot = row * np.int64(self.wide) + self.word[symbol]
+        at = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]]) if len(spot) else np.zeros(0, np.int64)
+        has, first = np.zeros(rows * self.wide, dtype=np.uint64), np.zeros(rows * self.wide, dtype=np.int32)
+        if len(at):
+            has[spot[at]] = np.bitwise_or.reduceat(self.bit[symbol], at)
+            first[spot[at]] = at + number
+        return has, first
+
+    def _find(self, table: tuple[np.ndarray, np.ndarray], row: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the row has the symbol, its number if so)."""
+        symbol = symbol.astype(np.int64)
+        spot = row * self.wide + self.word.take(symbol)
+        has = table[0].take(spot)
+        return (has & self.bit.take(symbol)) != 0, table[1].take(spot) + np.bitwise_count(has & self.below.take(symbol))
+
+    def logs(self, keys: np.ndarray, whole: bool = True) -> np.ndarray:
+        """log10 probability of the last symbol of each packed string; where the tree isn't whole, NaN
+        for strings of groups that aren't here."""
+        older = [(keys >> (BITS * k)) & ((1 << BITS) - 1) for k in range(max(self.deepest, CORE) + 1)]
+        node = self.near.take(older[1] << BITS | older[2]).astype(np.int64)
+        live = np.flatnonzero(node >= self.pairs)
+        out = np.full(len(keys), 0.0 if whole else np.nan)
+        for d in range(GROUP, self.deepest + 1):
+            has, child = self._find(self.children, node.take(live) - self.pairs, older[d].take(live))
+            live = live[has]
+            node[live] = child[has]
+            if d == GROUP:
+                out[live] = 0.0
+        left = np.arange(len(keys)) if whole else np.flatnonzero(out == 0)
+        while len(left):
+            at = node.take(left)
+            ends = at == 0
+            if ends.any():
+                last, left, at = left[ends], left[~ends], at[~ends]
+                out[last] += self.root.take(older[0].take(last))
+            has, spot = self._find(self.entries, at, older[0].take(left))
+            out[left[has]] += self.logp.take(spot[has])
+            left, at = left[~has], at[~has]
+            out[left] += self.back.take(at)
+            node[left] = self.parent.take(at)
+        return out
+
+    def score(self, symbols: np.ndarray, first: np.ndarray, depth: int, whole: bool, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(each text's sum of log10 probabilities, first of its further strings plus the end, these
-        strings, times of each): strings of groups that aren't in `head` (None: all are) are left over."""
+        strings, times of each): strings of groups that aren't here are left over if the tree isn't whole."""
         n = len(first) - 1
         if n < 1:
             return np.zeros(0), np.zeros(1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        keys, at = np.unique(grams(symbols, first, self.depth), return_inverse=True)
-        if head is None:
-            return np.add.reduceat(self.logs(keys)[at], first[:-1]), np.zeros(n + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        group = (keys >> BITS) & ((1 << (BITS * GROUP)) - 1)
-        own = np.zeros(len(keys), dtype=bool)
-        if len(head):
-            own = head[np.minimum(np.searchsorted(head, group), len(head) - 1)] == group
-        p = np.zeros(len(keys))
-        p[own] = self.logs(keys[own])
-        text = np.repeat(np.arange(n), np.diff(first))
-        rest = ~own[at]
-        pair, times = np.unique(text[rest] * np.int64(len(keys)) + at[rest], return_counts=True)
-        cuts = np.searchsorted(pair, np.arange(n + 1) * np.int64(len(keys)))
-        return np.add.reduceat(p[at], first[:-1]), cuts.astype(np.int32), keys[pair % len(keys)], times.astype(np.int32)
+        keys = grams(symbols, first, depth)
+        p = memo.logs(self, keys, whole)
+        rest = np.flatnonzero(np.isnan(p))
+        p[rest] = 0.0
+        keys, at = np.unique(keys[rest], return_inverse=True)
+        text = np.searchsorted(first, rest, side="right") - 1
+        wide = np.int64(max(1, len(keys)))
+        pair, times = np.unique(text * wide + at, return_counts=True)
+        cuts = np.searchsorted(pair, np.arange(n + 1) * wide)
+        return np.add.reduceat(p, first[:-1]), cuts.astype(np.int32), keys[pair % wide], times.astype(np.int32)
 
 
 def _rows_of(levels: list[tuple[int, Level, np.ndarray]], depth: int) -> tuple[np.ndarray, ...]:
@@ -390,15 +504,15 @@ def learn_tree(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT
     return Forest(core, cut(dealt.transform(map_batches, _grow(shared, depth, min_count), schema)), depth)
 
 
-def _score(tree, groups, head, floor: float):
+def _score(tree, depth: int, whole: bool, head, floor: float):
     """(doc_id, held_out, text) to scores, and the words and strings that the broadcast tables don't hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (known, value, end_value) = tree.value, head.value
+        model, (known, value, end_value), memo = tree.value, head.value, Memo()
         for batch in batches:
             for lo, hi, w in word_slices(batch.column(2), lower=True):
                 n = hi - lo
-                score, more, strings, string_times = model.score(*symbol_stream(w), groups.value)
+                score, more, strings, string_times = model.score(*symbol_stream(w), depth, whole, memo)
                 code, text_of = _word_codes(w), w.text_of()
                 spot = np.searchsorted(known, code)
                 spot[spot == len(known)] = 0
@@ -452,10 +566,10 @@ def lm_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str
     ends = words.where(F.col("word") == int(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
     context = docs.sparkSession.sparkContext
     tree = learn_tree(counts)
-    part, groups = context.broadcast(tree.part()), context.broadcast(None if tree.whole else tree.head)
+    part = context.broadcast(Trie(tree.part()))
     head = context.broadcast((known, np.log10((c + 0.1) / floor), float(np.log10((ends + 0.1) / floor))))
     scored = cut(rows.transform(
-        map_batches, _score(part, groups, head, floor),
+        map_batches, _score(part, tree.depth, tree.whole, head, floor),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, name long, words array<long>, times array<int>,"
         " strings array<long>, string_times array<int>",
     ))
