@@ -12,6 +12,7 @@ more than its own pieces, and the driver sees class counts and patterns only.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,18 @@ PIECE_BYTES, CALL_WORDS = 1 << 19, 1 << 13
 BROADCAST_ROWS = 200_000
 #: New words that are tokenized as one text, with a special token between them.
 JOINED = 256
+#: Plain words have code points below PLAIN (alone under NFC, whatever stands beside them) and at most PLAIN_BYTES bytes;
+#: their runs go to the model PLAIN_CALL bytes at a time, PLAIN_JOINED as one text.
+PLAIN, PLAIN_BYTES, PLAIN_CALL, PLAIN_JOINED = 0x300, 1 << 12, 1 << 17, 64
+#: What a tokenizer does before its model, if plain words can do without it.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def default_tokenizer() -> str:
@@ -47,26 +60,22 @@ def default_tokenizer() -> str:
 class _Known:
     """Words, sorted by hash, with their bytes and their ids."""
 
-    def __init__(self, code, size, raw, count, ids):
-        order = np.argsort(code, kind="stable")
-        begin, at = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(count)]
-        self.code, self.size, self.begin = code[order], size[order], begin[:-1][order]
-        self.count, self.at, self.ids = count[order], at[:-1][order], ids
+    def __init__(self, code, size, begin, count, at, raw, ids):
+        order = np.argsort(code, kind="stable")  # sorted parts are merged, not sorted again
+        self.code, self.size, self.begin = code[order], size[order], begin[order]
+        self.count, self.at, self.ids = count[order], at[order], ids
         self.raw = Words(raw, np.array([0, len(raw)]))
 
     @classmethod
     def none(cls) -> _Known:
         nothing = np.zeros(0, np.int64)
-        return cls(np.zeros(0, np.uint64), nothing, np.zeros(0, np.uint8), nothing, np.zeros(0, np.uint32))
+        return cls(np.zeros(0, np.uint64), nothing, nothing, nothing, nothing, np.zeros(0, np.uint8), np.zeros(0, np.uint32))
 
     def with_more(self, o: _Known) -> _Known:
-        """Both together; what each keeps in the order of its bytes and ids goes on that way."""
-        parts = []
-        for x in (self, o):
-            by = np.argsort(x.begin, kind="stable")
-            parts.append((x.code[by], x.size[by], x.raw.buf, x.count[by], x.ids))
-        # words without bytes don't exist, so the order of bytes is the order in which words came
-        return _Known(*(np.concatenate(c) for c in zip(*parts)))
+        """Both together; the bytes and ids of o stand after those of self."""
+        begin, at = o.begin + len(self.raw.buf), o.at + len(self.ids)
+        parts = (self.code, o.code), (self.size, o.size), (self.begin, begin), (self.count, o.count), (self.at, at), (self.raw.buf, o.raw.buf), (self.ids, o.ids)
+        return _Known(*(np.concatenate(c) for c in parts))
 
     def find(self, w: Words, words: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The place of each word of w, -1 for a word that isn't known."""
@@ -81,6 +90,93 @@ class _Known:
         return out
 
 
+class _Plain:
+    """Ids of plain words from the tokenizer's model alone.
+
+    Normalizing and splitting take most of the time of a call.  For code points
+    below PLAIN without apostrophes they are a table: each is lower-cased on
+    its own, letters and other signs make runs, a digit is a run.  The table is
+    asked of the tokenizer's own steps; the model gets runs between spaces, and
+    its end-of-word suffix tells where a run's ids end.
+    """
+
+    SPACE, LETTER, OTHER, DIGIT = 1, 2, 3, 4
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model = Tokenizer(tokenizer.model)  # the same model, not a copy
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab, suffix = tokenizer.get_vocab(), tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # every added token has its greatest character, so no plain word holds one
+        barred = {"'"} | {max(t.content) for t in tokenizer.get_added_tokens_decoder().values()}
+        self.kind = np.zeros(PLAIN + 1, dtype=np.uint8)  # 0: not plain
+        self.signs = np.zeros((PLAIN + 1, 2), dtype=np.uint32)
+        self.kind[32], self.signs[32, 0] = self.SPACE, 32
+        split = tokenizer.pre_tokenizer.pre_tokenize_str
+        for c in range(PLAIN):
+            low = tokenizer.normalizer.normalize_str(chr(c))
+            signs = "".join(x for x, _ in split(low))
+            if chr(c) in barred or low.isspace() or len(low) != 1 or not 0 < len(signs) < 3 or not all(x in vocab and x + suffix in vocab for x in signs):
+                continue
+            self.kind[c] = self.LETTER if len(split("a" + low)) == 1 else self.OTHER if len(split("!" + low)) == 1 else self.DIGIT
+            self.signs[c, : len(signs)] = [ord(x) for x in signs]
+
+    @classmethod
+    def of(cls, tokenizer) -> _Plain | None:
+        """None for a tokenizer whose steps are others."""
+        normal, split, model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
+        if not (normal and split and json.loads(normal.__getstate__()) == _NORMAL and json.loads(split.__getstate__()) == _SPLIT):
+            return None
+        if type(model).__name__ != "BPE" or not model.end_of_word_suffix or model.dropout or tokenizer.truncation or tokenizer.padding:
+            return None
+        if tokenizer.post_processor or any(t.normalized for t in tokenizer.get_added_tokens_decoder().values()):
+            return None
+        return cls(tokenizer)
+
+    def tokenized(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each word is plain, number of ids of each that is, their ids)."""
+        short = end - start <= PLAIN_BYTES
+        a, size = start[short], (end - start)[short] + 1
+        upto = np.r_[0, np.cumsum(size)]
+        parts = [self._part(buf, a[lo:hi], size[lo:hi]) for lo, hi in slices(upto, PLAIN_CALL)]
+        plain, count, ids = (np.concatenate(x) for x in zip((np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint32)), *parts))
+        short[short] = plain
+        return short, count, ids
+
+    def _part(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        upto = np.cumsum(size)
+        raw = buf[np.minimum(np.repeat(start - upto + size, size) + np.arange(upto[-1]), len(buf) - 1)]
+        raw[upto - 1] = 32
+        point = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+        after = np.flatnonzero(point == 32) + 1
+        point = np.minimum(point, PLAIN)
+        kind = self.kind[point]
+        plain = np.add.reduceat(kind == 0, np.r_[0, after[:-1]], dtype=np.int64) == 0
+        if not plain.all():
+            kept = np.repeat(plain, np.diff(after, prepend=0))
+            point, kind = point[kept], kind[kept]
+        if not len(point):
+            return plain, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        cut_after = np.zeros(len(kind), dtype=bool)
+        cut_after[:-1] = ((kind[:-1] != kind[1:]) | (kind[:-1] == self.DIGIT)) & (kind[:-1] != self.SPACE) & (kind[1:] != self.SPACE)
+        signs = np.empty((len(point), 3), dtype="<u4")
+        signs[:, :2], signs[:, 2] = self.signs[point], cut_after * np.uint32(32)
+        signs = signs[signs != 0]
+        text = signs.tobytes().decode("utf-32-le")
+        at = [0, *(np.flatnonzero(signs == 32)[PLAIN_JOINED - 1 :: PLAIN_JOINED] + 1).tolist(), len(text)]
+        found = self.model.encode_batch_fast([text[i:j] for i, j in zip(at, at[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        space = kind == self.SPACE
+        run = np.cumsum(cut_after | space)
+        if len(ends) != run[-1] or ends[-1] != len(ids):
+            raise ValueError("the tokenizer's model does not end words by its suffix")
+        return plain, np.diff(ends[run[space] - 1], prepend=0), ids
+
+
 class WordTokenizer:
     """Ids of whole texts, each distinct white-space word tokenized once.
 
@@ -96,10 +192,11 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads take more memory
         self.tokenizer = Tokenizer.from_file(path)
-        give_back()  # what reading the file took
         special = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.mark = min(special, default=None)
         self.between = special.get(self.mark, "")
+        self.plain = _Plain.of(self.tokenizer)
+        give_back()  # what reading the file and the vocabulary took
         self.kept = [_Known.none()] * 3  # recent words, the present generation, the one before
 
     @classmethod
@@ -113,7 +210,20 @@ class WordTokenizer:
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return size, np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(size.sum()))
 
-    def _tokenized(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _tokenized(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, ids)."""
+        if self.plain is None:
+            return self._by_mark(buf.tobytes(), start, end)
+        plain, some, ids = self.plain.tokenized(buf, start, end)
+        if plain.all():
+            return some, ids
+        others, more = self._by_mark(buf.tobytes(), start[~plain], end[~plain])
+        count, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        count[plain], count[~plain] = some, others
+        at[plain], at[~plain] = np.cumsum(some) - some, np.cumsum(others) - others + len(ids)
+        return count, _gathered([ids, more], at, count)
+
+    def _by_mark(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, ids): many words at once, cut where the special token stands again."""
         words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
         if not self.between or any(self.between in x for x in words):
@@ -145,7 +255,11 @@ class WordTokenizer:
         two of them together, and unlike words of one hash are kept apart.
         """
         code = w.code
-        distinct, example, inverse = np.unique(code, return_index=True, return_inverse=True)
+        order = np.argsort(code)
+        ranged = code[order]
+        first = np.r_[True, ranged[1:] != ranged[:-1]][: len(code)]
+        distinct, example, inverse = ranged[first], order[first], np.empty(len(code), np.int64)
+        inverse[order] = np.cumsum(first) - 1
         unlike = np.flatnonzero(~w.same(np.arange(len(inverse)), example[inverse]))
         inverse[unlike] = len(example) + np.arange(len(unlike))
         example, distinct = np.r_[example, unlike], np.r_[distinct, code[unlike]]
@@ -161,15 +275,15 @@ class WordTokenizer:
             left = left[~hit]
         if len(left):
             start, end = w.start[example[left]], w.end[example[left]]
-            raw = w.buf.tobytes()
-            count, ids = self._tokenized(raw, start, end)
+            count, ids = self._tokenized(w.buf, start, end)
             at[left], size[left] = upto + np.r_[0, np.cumsum(count)][:-1], count
             pools.append(ids)
             once = np.flatnonzero(left < n - len(unlike))  # of the words of one hash the first is kept
             length = end - start
-            spread = np.repeat(start - np.r_[0, np.cumsum(length)][:-1], length) + np.arange(length.sum())
             if len(once) == len(left):
-                self._keep(_Known(distinct[left], length, w.buf[spread], count, ids))
+                begin = np.r_[0, np.cumsum(length)][:-1]
+                spread = np.repeat(start - begin, length) + np.arange(length.sum())
+                self._keep(_Known(distinct[left], length, begin, count, np.r_[0, np.cumsum(count)][:-1], w.buf[spread], ids))
         # the ids of this slice's words, in the order of `example`
         ids = _gathered(pools, at, size)
         at = np.r_[0, np.cumsum(size)][:-1][inverse]

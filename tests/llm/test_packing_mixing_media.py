@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import wave
 import zlib
 from collections import defaultdict
@@ -104,6 +105,61 @@ def test_packing_keeps_the_words_in_use(monkeypatch):
             assert ids[first[i - lo] : first[i - lo + 1]].tolist() == [*tokenizer.tokenizer.encode(texts[i], add_special_tokens=False).ids, 2]
 
 
+class Watched:
+    """A tokenizer that keeps what it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def wrong_texts(words, tokenizer, texts, size=1 << 14):
+    """The texts of which words makes other ids than tokenizer."""
+    from sluice.llm import textcore
+
+    buf, offsets = textcore.byte_view(pa.array(texts, pa.string()))
+    out = []
+    for lo, hi in textcore.slices(offsets, size):
+        ids, first = words.encode(textcore.Words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+        for i in range(lo, hi):
+            if ids[first[i - lo] : first[i - lo + 1]].tolist() != [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 2]:
+                out.append(texts[i])
+    return out
+
+
+def test_packing_spares_plain_words_the_whole_tokenizer():
+    """New words of simple signs go to the model alone, other words through all steps; the ids are those of all steps."""
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    whole = words.tokenizer
+    words.tokenizer = watched = Watched(whole)
+    plain = ["Straße ÉTÉ12³ x--y... <b>&amp; ª½µ ǅ ſ", "THE the The, (the) 2024-01-31", " ".join(f"W{i}é" for i in range(3000)), "", "a" * 4000]
+    assert wrong_texts(words, whole, plain) == [] and watched.seen == []
+    others = ["don't IT'S 'sa''t", "e\u0301 o\u0308x", "İx xİ", "a<|endoftext|>b <|startoftext|>", "日本 語a1", "a</w>b|c", "Ⱥ K Ω ȿ", "b" * 5000, "x\x1cy z\xa0w \x85"]
+    assert wrong_texts(words, whole, others + plain) == [] and watched.seen
+
+
+def test_packing_makes_the_ids_of_any_signs():
+    rng = np.random.default_rng(11)
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    ranges = [(0, 0x300), (0x21, 0x7F), (0x61, 0x67), (0xC0, 0x180), (0x2F0, 0x400)]
+    word = lambda: "".join(map(chr, rng.integers(*ranges[rng.integers(len(ranges))], rng.integers(1, 9)).tolist()))
+    texts = ["".join(word() + " " * int(rng.integers(2)) for _ in range(6)) for _ in range(3000)]
+    assert wrong_texts(words, words.tokenizer, texts) == []
+
+
+def test_packing_with_a_tokenizer_of_other_steps(tmp_path):
+    """A tokenizer that keeps capitals has no plain words."""
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        steps = json.load(file)
+    steps["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(steps))
+    words = packing.WordTokenizer(str(tmp_path / "other.json"))
+    assert wrong_texts(words, words.tokenizer, ["The THE the, Straße", "x 12 É"]) == []
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(0)
     counts = np.zeros(65, dtype=np.int64)
