@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import MIN_CHARS, MIN_DOCS
 from .mixing import BUDGET, DIMENSIONS, NONE, TEMPER
 
 #: The raking of the tables at hand has settled after so many sweeps, the budget after so many rounds.
@@ -88,4 +89,17 @@ def mixing() -> str:
       on coalesce(r.source, '{NONE}') = c.source and coalesce(r.lang, '{NONE}') = c.lang and r.topic = c.topic"""
 
 
-ORACLE_SQL = {"op3_quality_rules": quality_rules(), "op5_mixing_sources": mixing(), "op10_ngram_jaccard_join": jaccard_join()}
+def line_dedup() -> str:
+    blanks = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+    return f"""
+    with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+    l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from d),
+    k as (select *, translate(trim(line, {blanks}), '{_UPPER}', '{_LOWER}') as k from l),
+    f as (select k from k where length(k) >= {MIN_CHARS} group by k having count(distinct doc_id) >= {MIN_DOCS}),
+    j as (select k.*, f.k is not null as gone from k left join f on k.k = f.k)
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+    from j group by doc_id"""
+
+
+ORACLE_SQL = {"op3_quality_rules": quality_rules(), "op5_mixing_sources": mixing(), "op10_ngram_jaccard_join": jaccard_join(), "op11_line_dedup": line_dedup()}

@@ -6,6 +6,7 @@ from .audio_features import op9_media_columns
 from .jaccard_join import op10_ngram_jaccard_join
 from .language_crf import op8_language_id
 from .license_scan import op2_license_scans
+from .line_dedup import op11_line_dedup
 from .mixing import op5_mixing_sources
 from .oracles import ORACLE_SQL
 from .packing import op7_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
