@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .importance import BUCKETS, LEAST_WORDS, PERCENT, SEED
 from .line_dedup import MIN_CHARS, MIN_DOCS
 from .mixing import BUDGET, DIMENSIONS, NONE, TEMPER
 
@@ -102,4 +103,29 @@ def line_dedup() -> str:
     from j group by doc_id"""
 
 
-ORACLE_SQL = {"op3_quality_rules": quality_rules(), "op5_mixing_sources": mixing(), "op10_ngram_jaccard_join": jaccard_join(), "op11_line_dedup": line_dedup()}
+def importance_resampling() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    of = lambda table, key: f"select {key} as k, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{word}')) as w from {table}"
+    entry = "list_reduce(list_prepend(n, range(8)), lambda c, k: case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end)"
+    code = "list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i::int + 1, 2))::bigint)"
+    sums = lambda name: f"(select coalesce(sum(n), 0) from {name})"
+    return f"""
+    with crc as (select list_transform(range(256), lambda n: {entry}) as tab),
+    d as materialized ({of("documents", "doc_id")}), b as materialized ({of("benchmark", "item_id")}),
+    words as (select distinct w from (select w from d union all select w from b)),
+    coded as materialized (select w, xor(4294967295, list_reduce(list_prepend(4294967295, {code}), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]))) % {BUCKETS} as bucket from words, crc),
+    s as materialized (select bucket, count(*) as n from d join coded using (w) group by bucket),
+    t as materialized (select bucket, count(*) as n from b join coded using (w) group by bucket),
+    g as (select bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1) * ({sums("s")} + {BUCKETS})::double / ((s.n + 1) * ({sums("t")} + {BUCKETS})::double))) as bigint) as gain from s left join t using (bucket)),
+    f as (select k, count(*) as n, cast(sum(gain) as bigint) as weight from d join coded using (w) join g using (bucket) group by k),
+    h as (select doc_id, coalesce(n, 0) as n, coalesce(weight, 0) as weight, ('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::bigint as h from documents left join f on k = doc_id),
+    r as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from h),
+    o as (select doc_id, row_number() over (order by score desc, doc_id) as rank from r where n >= {LEAST_WORDS})
+    select r.doc_id, n as n_features, weight, score, case when rank <= {PERCENT} * (select count(*) from o) // 100 then rank end as rank
+    from r left join o using (doc_id)"""
+
+
+ORACLE_SQL = {
+    "op3_quality_rules": quality_rules(), "op5_mixing_sources": mixing(), "op10_ngram_jaccard_join": jaccard_join(), "op11_line_dedup": line_dedup(),
+    "op12_importance_resampling": importance_resampling(),
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .audio_features import op9_media_columns
+from .importance import op12_importance_resampling
 from .jaccard_join import op10_ngram_jaccard_join
 from .language_crf import op8_language_id
 from .license_scan import op2_license_scans
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_line_dedup": op11_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
