@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .importance import BUCKETS, LEAST_WORDS, PERCENT, SEED
+from .lexical_search import TOP
 from .line_dedup import MIN_CHARS, MIN_DOCS
 from .mixing import BUDGET, DIMENSIONS, NONE, TEMPER
 
@@ -125,7 +126,24 @@ def importance_resampling() -> str:
     from r left join o using (doc_id)"""
 
 
+def ranked_search() -> str:
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    terms = lambda table, key: f"select {key}, translate(unnest(regexp_extract_all(coalesce(text, ''), '{word}')), '{_UPPER}', '{_LOWER}') as w from {table}"
+    return f"""
+    with q as materialized (select distinct item_id, w from ({terms("benchmark", "item_id")})),
+    d as materialized ({terms("documents", "doc_id")}),
+    n as materialized (select doc_id, count(*) as n from d group by doc_id),
+    g as materialized (select count(*) as docs, cast(sum(n) as bigint) as all_terms from n),
+    p as materialized (select doc_id, w, count(*) as tf from d where w in (select w from q) group by all),
+    t as materialized (select w, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) as weight from p, g group by w, docs),
+    s as (select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // all_terms)))) as bigint) as score
+          from q join p using (w) join t using (w) join n using (doc_id), g group by all),
+    r as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank from s where score > 0)
+    select item_id, rank, doc_id, score from r where rank <= {TOP}"""
+
+
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules(), "op5_mixing_sources": mixing(), "op10_ngram_jaccard_join": jaccard_join(), "op11_line_dedup": line_dedup(),
     "op12_importance_resampling": importance_resampling(),
+    "op13_ranked_search": ranked_search(),
 }

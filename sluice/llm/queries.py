@@ -6,6 +6,7 @@ from .audio_features import op9_media_columns
 from .importance import op12_importance_resampling
 from .jaccard_join import op10_ngram_jaccard_join
 from .language_crf import op8_language_id
+from .lexical_search import op13_ranked_search
 from .license_scan import op2_license_scans
 from .line_dedup import op11_line_dedup
 from .mixing import op5_mixing_sources
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_line_dedup": op11_line_dedup,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
