@@ -18,11 +18,12 @@ from ..types import DataType
 
 @dataclass(frozen=True)
 class Part:
-    """A partial column: how rows and how parts make it."""
+    """A partial column: how rows and how parts make it, and its value for a single row."""
 
     name: str
     from_rows: Column
     combine: str  # "sum", "min" or "max"
+    row: Column | None = None
 
     def combined(self) -> Column:
         return getattr(F, self.combine)(F.col(f"`{self.name}`")).alias(self.name)
@@ -33,17 +34,17 @@ def parts_of(aggregates: list[Aggregate], schema: Schema) -> list[Part]:
     out: dict[str, Part] = {}
     for a in aggregates:
         if a.target is None:
-            out["__n"] = Part("__n", F.count(F.lit(1)), "sum")
+            out["__n"] = Part("__n", F.count(F.lit(1)), "sum", F.lit(1))
             continue
         a.type(schema)
         x = a.target.column(schema)
         key = a.target.name
         if a.func in ("SUM", "AVG"):
-            out[f"__sum_{key}"] = Part(f"__sum_{key}", F.sum(x), "sum")
+            out[f"__sum_{key}"] = Part(f"__sum_{key}", F.sum(x), "sum", x)
         if a.func == "AVG":
-            out[f"__cnt_{key}"] = Part(f"__cnt_{key}", F.count(x), "sum")
+            out[f"__cnt_{key}"] = Part(f"__cnt_{key}", F.count(x), "sum", F.when(x.isNotNull(), 1).otherwise(0))
         if a.func in ("MIN", "MAX"):
-            out[f"__{a.func.lower()}_{key}"] = Part(f"__{a.func.lower()}_{key}", getattr(F, a.func.lower())(x), a.func.lower())
+            out[f"__{a.func.lower()}_{key}"] = Part(f"__{a.func.lower()}_{key}", getattr(F, a.func.lower())(x), a.func.lower(), x)
     return list(out.values())
 
 

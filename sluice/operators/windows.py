@@ -142,8 +142,6 @@ def stream_window_aggregate(df: DataFrame, schema: Schema, keys: list[str], wind
     Spark keeps no watermark through a change of the time, so rows before the
     baseline can't be moved to it: windows that begin before it are left out.
     """
-    if window.kind is WindowType.COUNT:
-        raise TypeError("count windows on streams are made by streaming.CountWindows")
     if window.slide > window.size:
         # Spark has no gaps between windows: the rows in gaps go first, the rest tumbles by slide
         t = micros_since(baseline)

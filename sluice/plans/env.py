@@ -34,8 +34,8 @@ def instant(spark: SparkSession, name: str, kind: T.DataType) -> Column:
 class JobHandle:
     """A running query: a batch job in a thread, or a streaming query."""
 
-    def __init__(self, name: str, work=None, stream=None, context=None):
-        self.name, self._stream, self._context = name, stream, context
+    def __init__(self, name: str, work=None, stream=None, context=None, df=None):
+        self.name, self._stream, self._context, self._df = name, stream, context, df
         self._out: list[str] = []
         self._err: list[str] = []
         self.metrics: dict[str, float] = {}
@@ -73,6 +73,16 @@ class JobHandle:
         if self._stream is not None:
             self._stream.processAllAvailable()
 
+    def finish(self) -> None:
+        """Batches: wait for the end.  Streams: work off what has arrived, give what is open (bounded sources) and stop."""
+        if self._stream is None:
+            self.wait()
+            return
+        from ..streaming.run import finish
+
+        finish(self._stream, self._df)
+        self._stream.stop()
+
     def stop(self) -> None:
         if self._stream is not None:
             self._stream.stop()
@@ -104,12 +114,14 @@ class TableEnvironment:
     streaming          sources are read as streams
     allowed_lateness   streams: how much longer than a source's delay windows
                        and joins wait for late rows
+    bounded            streams end: run_available() and JobHandle.finish() give
+                       what is open then
     """
 
     def __init__(
         self, spark: SparkSession | None = None, par: int | None = None, policy: TimePolicy = TimePolicy.NO_POLICY,
         time_baseline: tuple[str, DataType] | None = None, *, aggregates: str = "final", emit_empty: bool = False,
-        truncate_avg: bool = False, streaming: bool = False, allowed_lateness: Duration | None = None, include_dir: object = None,
+        truncate_avg: bool = False, streaming: bool = False, allowed_lateness: Duration | None = None, bounded: bool = False, include_dir: object = None,
     ):
         if par is not None and par < 1:
             raise ValueError("par is positive")
@@ -119,7 +131,7 @@ class TableEnvironment:
             raise ValueError("event time needs a time_baseline")
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.policy, self.aggregates, self.emit_empty = policy, aggregates, emit_empty
-        self.truncate_avg, self.streaming = truncate_avg, streaming
+        self.truncate_avg, self.streaming, self.bounded = truncate_avg, streaming, bounded
         self.lateness = allowed_lateness or Duration(0)
         self.baseline = baseline_micros(time_baseline) if time_baseline else 0
         if par is not None:
@@ -158,7 +170,12 @@ class TableEnvironment:
             df = df.withColumn(EVENT_TIME, F.timestamp_micros(F.lit(0)))
         if not df.isStreaming or self.policy is TimePolicy.NO_POLICY:
             return df
-        return df.withWatermark(EVENT_TIME, f"{(delay.us if delay else 0) + self.lateness.us} microseconds")
+        wait = Duration((delay.us if delay else 0) + self.lateness.us)
+        if self.bounded:
+            from ..streaming.run import bounded
+
+            return bounded(df, EVENT_TIME, wait)
+        return df.withWatermark(EVENT_TIME, f"{wait.us} microseconds")
 
     def table_from_file(self, config: InputFileConfiguration, name: str | None = None) -> Table:
         table_id = name or self._new_id("source_stream_file")
@@ -214,7 +231,7 @@ class TableEnvironment:
                 stream = writer.foreachBatch(
                     lambda df, n: df.write.mode("overwrite").option("header", True).csv(f"{target}/batch={n}")
                 ).start()
-            handle = JobHandle(query.table_id, stream=stream)
+            handle = JobHandle(query.table_id, stream=stream, df=query.df)
         else:
             def work() -> int:
                 from pyspark.sql import Observation

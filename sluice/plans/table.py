@@ -244,8 +244,18 @@ class GroupedTable:
     def _grouped(self, keys: list[str], found: list[Aggregate]) -> DataFrame:
         t, env = self.table, self.table.env
         order = [n for n in t.schema.names if n not in keys]
-        if t.df.isStreaming and env.aggregates == "running":
-            raise TypeError("running aggregates on streams are made by streaming.p_reduce")
+        by_count = self.window is not None and self.window.kind is WindowType.COUNT
+        if t.df.isStreaming and (by_count or (env.aggregates == "running" and self.window is None)):
+            from ..streaming.aggregates import stream_count_windows, stream_running
+
+            # rows wait for their turn where they have a time, else they come as they come
+            time = EVENT_TIME if env.policy is TimePolicy.EVENT_TIME else None
+            parts = parts_of(found, t.schema)
+            if by_count:
+                totals = stream_count_windows(t.df, keys, self.window, parts, order, time)
+            else:
+                totals = stream_running(t.df, keys, parts, order, time)
+            return totals.select(*(f"`{k}`" for k in keys), *(result(a, t.schema, env.truncate_avg) for a in found), EVENT_TIME)
         if t.df.isStreaming and self.window is not None:
             if env.emit_empty:
                 raise TypeError("windows without rows are for batches: a stream does not know which ones are to come")

@@ -1,20 +1,84 @@
-"""Helpers to run streams to the end of what is there."""
+"""Streams with an end: what there is now is worked off, and all that is open is given.
+
+A stream that has been made `bounded` reads, beside its source, a folder of its
+own in the shared checkpoint folder.  finish() puts one row there whose time is
+past all others: it moves the watermark, closes windows, ends joins and lets
+waiting rows go, and is itself left out before any operator sees it.
+"""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..time import Duration
+from .ordered import END_MS, LAST_TIME
+
+_MARK = "sluice-end-"
+
+
+def _shared_folder(df: DataFrame) -> str:
+    """The folder that the cluster shares; one of this machine only where all runs in one process."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="sluice-")
+
+
+def bounded(df: DataFrame, time_col: str, delay: Duration | None = None) -> DataFrame:
+    """The stream with a watermark on `time_col`, `delay` behind its latest time, that finish() can bring to an end."""
+    folder = f"{_shared_folder(df)}/{_MARK}{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    # the folder's first file has no row and says which column is the time
+    none = spark.createDataFrame([], df.schema)
+    none.select(*(F.col(f"`{c}`").alias(c, metadata={_MARK: True}) if c == time_col else F.col(f"`{c}`") for c in df.columns)).write.parquet(folder)
+    ends = spark.readStream.schema(df.schema).parquet(folder)
+    marked = df.unionByName(ends).withWatermark(time_col, f"{delay.us if delay else 0} microseconds")
+    # the end itself is none of the rows; Spark keeps a condition on the time above the watermark
+    return marked.where(F.col(f"`{time_col}`").isNull() | (F.col(f"`{time_col}`") < F.timestamp_millis(F.lit(END_MS))))
+
+
+def finish(query, df: DataFrame) -> int:
+    """Works off what a started query of df has, and then its end; the number of sources that ended.
+
+    The query goes on until it is stopped, but later rows are all late.
+    """
+    query.processAllAvailable()
+    spark, n = df.sparkSession, 0
+    for folder in sorted(set(re.findall(rf"[^\s,\[\]()]*{_MARK}[0-9a-f]{{32}}", df._jdf.queryExecution().analyzed().toString()))):
+        n += 1
+        reader = spark.read.parquet(folder)
+        time = next(f.name for f in reader.schema.fields if f.metadata.get(_MARK))
+        last = spark.range(1).select(*(
+            F.lit(LAST_TIME).cast("timestamp").alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in reader.schema.fields
+        ))
+        last.write.mode("append").parquet(folder)
+    if n:
+        query.processAllAvailable()
+    return n
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """All that a stream yields from the data there is now, as an in-memory table.
 
-    Windows that the watermark has not passed stay open: add a late sentinel
-    row or run the query as a batch to flush them.
+    Streams that are `bounded` come to their end, so that nothing stays open;
+    of others, windows that the watermark has not passed do.
     """
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
+    query = writer.start()
+    try:
+        finish(query, df)
+    finally:
+        query.stop()
     return df.sparkSession.table(name)
 
 

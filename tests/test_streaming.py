@@ -326,8 +326,6 @@ def test_streams_refuse_what_they_would_ignore(spark, tmp_path):
         return env.table_from_file(config)
 
     minute = Window.createTBWindow(Duration.minutes(1))
-    with pytest.raises(TypeError):
-        table(aggregates="running").group_by("k").select("k", count().alias("n"))
     with pytest.raises(TypeError):
         table(emit_empty=True).group_by("k", window=minute).select("k", count().alias("n"))
     for truncate, mean in ((True, 2), (False, 7 / 3)):
