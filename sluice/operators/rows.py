@@ -21,7 +21,7 @@ from ..time import Window
 from . import EVENT_TIME
 from .aggregates import Part
 from .ranks import with_index
-from .windows import POSITION, WINDOW_ID, assign, window_ids, with_position
+from .windows import POSITION, WINDOW_ID, assign, window_ids, windows_from_panes, with_position
 
 Frame = pd.DataFrame
 
@@ -216,8 +216,7 @@ def paned_windows(df: DataFrame, keys: list[str], window: Window, baseline: int,
     pane = gcd(window.size, window.slide)
     placed = with_position(df, keys, window, baseline, order).withColumn("__pane", F.floor(F.col(POSITION) / F.lit(pane)).cast("long"))
     totals = placed.groupBy(*keys, "__pane").agg(*(p.from_rows.alias(p.name) for p in parts))
-    spread = totals.withColumn("window_id", F.explode(window_ids(F.col("__pane") * pane, window.size, window.slide)))
-    return spread.groupBy(*keys, "window_id").agg(*(p.combined() for p in parts))
+    return windows_from_panes(totals, keys, window, pane, parts, "window_id")
 
 
 def two_phase_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, parts: list[Part], pieces: int = 16, order: list[str] | None = None) -> DataFrame:

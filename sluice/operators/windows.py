@@ -10,6 +10,7 @@ from __future__ import annotations
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Frame
 from pyspark.sql import functions as F
 
 from ..expr import Aggregate
@@ -68,12 +69,58 @@ def _aggregated(df: DataFrame, by: list[str], parts: list[Part]) -> DataFrame:
     return df.groupBy(*by).agg(*(p.from_rows.alias(p.name) for p in parts))
 
 
+#: Windows that a pane's total is copied to; where more hold it, they are put together from two halves.
+COPIES = 16
+#: Windows that are made in one array.
+DENSE_BLOCK = 10_000
+
+
+def _each(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """One row for every whole number from first to last, in arrays of at most DENSE_BLOCK."""
+    blocks = df.withColumns({"__first": first.cast("long"), "__last": last.cast("long")}).where("__first <= __last")
+    blocks = blocks.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__last") - F.col("__first")) / DENSE_BLOCK))))
+    begin = F.col("__first") + F.col("__block") * DENSE_BLOCK
+    return blocks.withColumn(name, F.explode(F.sequence(begin, F.least(F.col("__last"), begin + (DENSE_BLOCK - 1))))).drop("__first", "__last", "__block")
+
+
+def windows_from_panes(totals: DataFrame, keys: list[str], window: Window, pane: int, parts: list[Part], name: str = WINDOW_ID) -> DataFrame:
+    """Windows from totals by key and `__pane`, the panes being `pane` wide, a divisor of size and slide.
+
+    A pane that few windows hold is copied to them.  Else the panes are dealt
+    in blocks as wide as a window, within which totals run from the block's
+    begin and from its end: a window reaches over the end of one block and the
+    begin of the next, so it is made from two values, however many panes it
+    has.  Only windows that hold a pane appear.
+    """
+    by = [f"`{k}`" for k in keys]
+    wide, step = window.size // pane, window.slide // pane
+    if wide <= COPIES * step:
+        spread = totals.withColumn(name, F.explode(window_ids(F.col("__pane") * pane, window.size, window.slide)))
+        return spread.groupBy(*by, name).agg(*(p.combined() for p in parts))
+    at, block = F.col("__pane"), F.floor(F.col("__pane") / wide)
+    group = Frame.partitionBy(*by, block)
+    up, down = group.orderBy(at), group.orderBy(at.desc())
+    so_far = lambda frame, p: getattr(F, p.combine)(F.col(f"`{p.name}`")).over(frame.rowsBetween(Frame.unboundedPreceding, 0))
+    scanned = totals.select(
+        *by, at.alias("__at"), (block * wide).alias("__begin"), F.lag(at).over(up).alias("__before"), F.lead(at).over(up).alias("__next"),
+        *(so_far(up, p).alias(f"{p.name}__head") for p in parts), *(so_far(down, p).alias(f"{p.name}__tail") for p in parts),
+    )
+    at, begin = F.col("__at"), F.col("__begin")
+    up_to = lambda x: F.floor(x / step)
+    at_least = lambda x: F.greatest(F.ceil(x / step), F.lit(0))
+    # windows whose first pane is this one, or an empty one before it
+    tails = _each(scanned, at_least(F.coalesce(F.col("__before") + 1, begin)), up_to(at), name)
+    # windows whose last pane is this one, or an empty one behind it; a window that is the whole block is a tail already
+    heads = _each(scanned, at_least(at - (wide - 1)), up_to(F.coalesce(F.col("__next") - 1, begin + (wide - 2)) - (wide - 1)), name)
+    halves = [df.select(*by, name, *(F.col(f"`{p.name}__{half}`").alias(p.name) for p in parts)) for df, half in ((tails, "tail"), (heads, "head"))]
+    return halves[0].union(halves[1]).groupBy(*by, name).agg(*(p.combined() for p in parts))
+
+
 def time_window_parts(df: DataFrame, keys: list[str], window: Window, baseline: int, parts: list[Part], panes: bool = True) -> DataFrame:
     """Parts by key and window.
 
     Sliding windows that overlap are put together from panes of gcd(size,
-    slide): each row is aggregated once, and only pane totals are copied to
-    the size / slide windows that they belong to.
+    slide): each row is aggregated once.
     """
     by = [f"`{k}`" for k in keys]
     if not panes or window.slide >= window.size:
@@ -82,32 +129,27 @@ def time_window_parts(df: DataFrame, keys: list[str], window: Window, baseline:
     totals = _aggregated(
         df.withColumn("__pane", F.floor(micros_since(baseline) / F.lit(pane)).cast("long")), [*by, "__pane"], parts
     )
-    spread = totals.withColumn(WINDOW_ID, F.explode(window_ids(F.col("__pane") * pane, window.size, window.slide)))
-    return spread.groupBy(*by, WINDOW_ID).agg(*(p.combined() for p in parts))
+    return windows_from_panes(totals, keys, window, pane, parts)
 
 
 def count_window_parts(df: DataFrame, keys: list[str], window: Window, order: list[str], parts: list[Part]) -> DataFrame:
     """Parts by key and count window, with the latest event time of each window."""
+    by = [f"`{k}`" for k in keys]
     indexed = with_index(df, keys, order, "__index")
+    timed = [*parts, Part(EVENT_TIME, F.max(EVENT_TIME), "max", F.col(EVENT_TIME))]
+    if window.size > COPIES * window.slide:
+        pane = gcd(window.size, window.slide)
+        totals = _aggregated(indexed.withColumn("__pane", F.floor(F.col("__index") / F.lit(pane)).cast("long")), [*by, "__pane"], timed)
+        return windows_from_panes(totals, keys, window, pane, timed)
     rows = indexed.withColumn(WINDOW_ID, F.explode(window_ids(F.col("__index"), window.size, window.slide)))
-    return rows.groupBy(*(f"`{k}`" for k in keys), WINDOW_ID).agg(
-        *(p.from_rows.alias(p.name) for p in parts), F.max(EVENT_TIME).alias(EVENT_TIME)
-    )
-
-
-#: Windows that densify makes in one array.
-DENSE_BLOCK = 10_000
+    return _aggregated(rows, [*by, WINDOW_ID], timed)
 
 
 def densify(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds a row for every window from 0 to a key's last that has none."""
     by = [f"`{k}`" for k in keys]
     span = df.groupBy(*by).agg(F.max(WINDOW_ID).alias("__last"))
-    # block by block, so that no array is longer than a block or the number of blocks
-    blocks = span.where("__last is not null").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__last") / DENSE_BLOCK))))
-    every = blocks.select(*by, F.explode(F.sequence(
-        F.col("__block") * DENSE_BLOCK, F.least(F.col("__last"), F.col("__block") * DENSE_BLOCK + (DENSE_BLOCK - 1))
-    )).alias(WINDOW_ID))
+    every = _each(span.where("__last is not null").withColumnRenamed("__last", "__until"), F.lit(0), F.col("__until"), WINDOW_ID).drop("__until")
     match = F.col(WINDOW_ID) == F.col("__own")
     for i, k in enumerate(keys):
         match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{i}"))

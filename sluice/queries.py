@@ -249,6 +249,24 @@ def slide_sum(spark, sf_dir):
     return with_time(events(timed(spark), sf_dir).group_by("event_type", window=w).select("event_type", sum("cents").alias("total"), min("cents").alias("lo"), max("cents").alias("hi")))
 
 
+#: Windows of a day that begin every second, over a grid of seconds; summed up by the hour they begin in.
+_WIDE_SQL = f"""with p as (select {US} // 1000000 as s, count(*) as n, sum(cents) as total, min(cents) as lo, max(cents) as hi from {EV} group by all),
+  g as (select unnest(range(greatest((select min(s) from p) - 86399, 0), (select max(s) from p) + 1)) as k),
+  w as (select k, sum(n) over o as n, sum(total) over o as total, min(lo) over o as lo, max(hi) over o as hi from g left join p on s = k
+        window o as (order by k range between current row and 86399 following))
+  select k // 3600 as hour, count(*) as windows, cast(sum(n) as bigint) as n, cast(sum(total) as bigint) as total, min(lo) as lo, max(lo) as top_lo, max(hi) as hi, min(hi) as low_hi
+  from w where n > 0 group by all"""
+
+
+@query(_WIDE_SQL)
+def wide_slide(spark, sf_dir):
+    window = Window.createTBWindow(Duration.hours(24), Duration.seconds(1))
+    w = events(timed(spark), sf_dir).group_by(window=window).select(count().alias("n"), sum("cents").alias("total"), min("cents").alias("lo"), max("cents").alias("hi"))
+    first = (F.unix_micros(EVENT_TIME) + 1 - 24 * H - 1_704_067_200_000_000) / 1_000_000
+    hours = w.dataframe(event_time=True).withColumn("hour", F.floor(first / 3600)).groupBy("hour")
+    return hours.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("lo").alias("top_lo"), F.max("hi").alias("hi"), F.min("hi").alias("low_hi"))
+
+
 @query(_slide_sql("", "count(*) as n", 10 * H, 4 * H))
 def slide_uneven(spark, sf_dir):
     return with_time(events(timed(spark), sf_dir).group_by(window=Window.createTBWindow(Duration.hours(10), Duration.hours(4))).select(count().alias("n")))

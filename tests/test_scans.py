@@ -73,3 +73,47 @@ def test_keys_of_ordinary_size_need_one_exchange(spark, hot):
 
 def test_an_empty_table(spark, hot):
     assert ranks.with_running(hot[1].limit(0), ["k"], ["id"], parts()).collect() == []
+
+
+@pytest.mark.parametrize("size, slide", [(86_400, 60), (100, 3), (999, 37), (64, 1), (50, 49)])
+def test_windows_from_halves_equal_those_from_copies(spark, monkeypatch, size, slide):
+    """Sparse and dense panes, gaps longer than a window, several keys, floats without cancellation."""
+    from sluice.operators import windows
+    from sluice.time import Duration, Window
+
+    rng = random.Random(size)
+    at = [rng.randrange(400_000) for _ in range(150)] + list(range(1000, 1300)) + [0, 86_399, 86_400]
+    df = spark.createDataFrame([(i % 3 if i % 11 else None, t, 1e16 if i % 7 == 0 else i / 8, f"s{i % 50}") for i, t in enumerate(at)], "k long, s long, x double, y string")
+    df = df.withColumn(EVENT_TIME, F.timestamp_micros(F.col("s") * 1_000_000))
+    x, y = F.col("x"), F.col("y")
+    of = [Part("n", F.count(F.lit(1)), "sum", F.lit(1)), Part("low", F.min(x), "min", x), Part("top", F.max(y), "max", y)]
+    ask = lambda: sorted((tuple(r) for r in windows.time_window_parts(df, ["k"], Window.createTBWindow(Duration.seconds(size), Duration.seconds(slide)), 0, of).collect()), key=str)
+    monkeypatch.setattr(windows, "COPIES", 0)
+    monkeypatch.setattr(windows, "DENSE_BLOCK", 100)
+    halves = ask()
+    monkeypatch.setattr(windows, "COPIES", 1 << 30)
+    assert halves == ask() and len(halves) > 100
+
+
+def test_a_wide_window_copies_no_pane(spark, sf_dir):
+    """A day by a second: two rows a window travel, not a pane's 86,400 copies of its total."""
+    from sluice.queries import QUERIES
+
+    df = QUERIES["wide_slide"](spark, sf_dir)
+    windows_made = sum(r["windows"] for r in df.collect())
+    plan = df._jdf.queryExecution().executedPlan()
+    rows = []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName() in ("Generate",):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+        if node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+
+    walk(plan)
+    assert rows and sum(rows) < 2.2 * windows_made
