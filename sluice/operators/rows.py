@@ -21,7 +21,7 @@ from ..time import Window
 from . import EVENT_TIME
 from .aggregates import Part
 from .ranks import with_index
-from .windows import POSITION, WINDOW_ID, assign, window_ids, windows_from_panes, with_position
+from .windows import POSITION, WINDOW_ID, assign, each, windows_from_panes, with_position
 
 Frame = pd.DataFrame
 
@@ -226,8 +226,8 @@ def two_phase_windows(df: DataFrame, keys: list[str], window: Window, baseline:
     return first.groupBy(*keys, WINDOW_ID).agg(*(p.combined() for p in parts)).withColumnRenamed(WINDOW_ID, "window_id")
 
 
-#: Rows or parts that tree_windows folds in one array.
-TREE_ROWS = 1024
+#: Rows or parts that tree_windows folds in one array, and nodes under one node of the tree over quanta.
+TREE_ROWS, FAN_IN = 1024, 8
 
 
 def tree_windows(
@@ -236,25 +236,48 @@ def tree_windows(
 ) -> DataFrame:
     """Windows of any associative `combine` over lifted rows, in order.
 
-    Rows of one quantum (by default gcd(size, slide)) are combined first, at most
-    TREE_ROWS at a time and then those results, and then quanta by window.
-    Result: keys, window_id, value.
+    Rows of one quantum (by default gcd(size, slide), else a divisor of both)
+    are folded TREE_ROWS at a time, then those results, and then what those
+    make: an array holds more than TREE_ROWS values only beyond TREE_ROWS ** 3
+    rows.  Over the quanta stands a tree of FAN_IN: a node goes to the windows
+    that hold it whole and its parent not, so a window is folded from at most
+    2 * FAN_IN nodes a level.  Result: keys, window_id, value.
     """
     q = quantum or gcd(window.size, window.slide)
+    if window.size % q or window.slide % q:
+        raise ValueError("a quantum divides size and slide")
     ties = [c for c in df.columns if c not in (*keys, EVENT_TIME)] if order is None else order
     placed = with_position(df, keys, window, baseline, order).withColumn("__q", F.floor(F.col(POSITION) / F.lit(q)).cast("long"))
     nth = with_index(placed, [*keys, "__q"], [POSITION, *ties], "__nth")
-    rows = nth.select(*keys, "__q", F.floor(F.col("__nth") / TREE_ROWS).alias("__part"), F.struct(F.col("__nth").alias("t"), lift.alias("v")).alias("x"))
 
     def fold(items: Column) -> Column:
         values = F.transform(F.array_sort(items), lambda x: x["v"])
         return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), combine)
 
-    some = rows.groupBy(*keys, "__q", "__part").agg(fold(F.collect_list("x")).alias("v"))
-    quanta = some.groupBy(*keys, "__q").agg(fold(F.collect_list(F.struct(F.col("__part").alias("t"), F.col("v")))).alias("v"))
-    spread = quanta.withColumn("window_id", F.explode(window_ids(F.col("__q") * q, window.size, window.slide)))
-    pieces = spread.groupBy(*keys, "window_id").agg(F.collect_list(F.struct(F.col("__q").alias("t"), F.col("v"))).alias("x"))
-    return pieces.select(*keys, "window_id", fold(F.col("x")).alias("value"))
+    def folded(rows: DataFrame, place: str, *by: str) -> DataFrame:
+        return rows.groupBy(*keys, *by).agg(fold(F.collect_list(F.struct(F.col(place).alias("t"), F.col("v")))).alias("v"))
+
+    part = lambda n: F.floor(F.col("__nth") / n).alias(f"__part_{n}")
+    few, many = f"__part_{TREE_ROWS}", f"__part_{TREE_ROWS * TREE_ROWS}"
+    rows = nth.select(*keys, "__q", part(TREE_ROWS), part(TREE_ROWS * TREE_ROWS), "__nth", lift.alias("v"))
+    rows = rows.repartition(*keys, "__q", many)  # the first two folds of a quantum's part stay in one task
+    nodes = folded(folded(folded(rows, "__nth", "__q", many, few), few, "__q", many), many, "__q").withColumnRenamed("__q", "__node")
+    wide, step, width, pieces = window.size // q, window.slide // q, 1, None
+
+    def windows_with(node: Column, width: int) -> tuple[Column, Column]:
+        """The first and last window that hold all of a node."""
+        return F.greatest(F.ceil(((node + 1) * width - wide) / step), F.lit(0)).cast("long"), F.floor(node * width / step).cast("long")
+
+    while width <= wide:
+        (first, last), (inner, outer) = windows_with(F.col("__node"), width), windows_with(F.floor(F.col("__node") / FAN_IN), width * FAN_IN)
+        span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        spans = F.when(inner > outer, F.array(span(first, last))).otherwise(F.array(span(first, inner - 1), span(outer + 1, last)))
+        used = nodes.select(*keys, (F.col("__node") * width).alias("t"), "v", F.explode(spans).alias("s"))
+        used = each(used, F.col("s.a"), F.col("s.b"), "window_id").drop("s")
+        pieces = used if pieces is None else pieces.union(used)
+        nodes = folded(nodes.withColumn("__up", F.floor(F.col("__node") / FAN_IN)), "__node", "__up").withColumnRenamed("__up", "__node")
+        width *= FAN_IN
+    return folded(pieces, "t", "window_id").withColumnRenamed("v", "value")
 
 
 # -- pipes -------------------------------------------------------------------

@@ -75,7 +75,7 @@ COPIES = 16
 DENSE_BLOCK = 10_000
 
 
-def _each(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+def each(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
     """One row for every whole number from first to last, in arrays of at most DENSE_BLOCK."""
     blocks = df.withColumns({"__first": first.cast("long"), "__last": last.cast("long")}).where("__first <= __last")
     blocks = blocks.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__last") - F.col("__first")) / DENSE_BLOCK))))
@@ -109,9 +109,9 @@ def windows_from_panes(totals: DataFrame, keys: list[str], window: Window, pane:
     up_to = lambda x: F.floor(x / step)
     at_least = lambda x: F.greatest(F.ceil(x / step), F.lit(0))
     # windows whose first pane is this one, or an empty one before it
-    tails = _each(scanned, at_least(F.coalesce(F.col("__before") + 1, begin)), up_to(at), name)
+    tails = each(scanned, at_least(F.coalesce(F.col("__before") + 1, begin)), up_to(at), name)
     # windows whose last pane is this one, or an empty one behind it; a window that is the whole block is a tail already
-    heads = _each(scanned, at_least(at - (wide - 1)), up_to(F.coalesce(F.col("__next") - 1, begin + (wide - 2)) - (wide - 1)), name)
+    heads = each(scanned, at_least(at - (wide - 1)), up_to(F.coalesce(F.col("__next") - 1, begin + (wide - 2)) - (wide - 1)), name)
     halves = [df.select(*by, name, *(F.col(f"`{p.name}__{half}`").alias(p.name) for p in parts)) for df, half in ((tails, "tail"), (heads, "head"))]
     return halves[0].union(halves[1]).groupBy(*by, name).agg(*(p.combined() for p in parts))
 
@@ -149,7 +149,7 @@ def densify(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds a row for every window from 0 to a key's last that has none."""
     by = [f"`{k}`" for k in keys]
     span = df.groupBy(*by).agg(F.max(WINDOW_ID).alias("__last"))
-    every = _each(span.where("__last is not null").withColumnRenamed("__last", "__until"), F.lit(0), F.col("__until"), WINDOW_ID).drop("__until")
+    every = each(span.where("__last is not null").withColumnRenamed("__last", "__until"), F.lit(0), F.col("__until"), WINDOW_ID).drop("__until")
     match = F.col(WINDOW_ID) == F.col("__own")
     for i, k in enumerate(keys):
         match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{i}"))

@@ -117,3 +117,37 @@ def test_a_wide_window_copies_no_pane(spark, sf_dir):
 
     walk(plan)
     assert rows and sum(rows) < 2.2 * windows_made
+
+
+def test_trees_fold_in_order_at_any_width(spark, monkeypatch):
+    """Strings joined in order: gaps, windows of one to hundreds of quanta, quanta of many rows."""
+    from sluice.operators import rows
+    from sluice.time import Duration, Window
+
+    rng = random.Random(9)
+    data = [(i, i % 2 if i % 7 else None, rng.randrange(3000)) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, k long, s long").withColumn(EVENT_TIME, F.timestamp_micros(F.col("s") * 1_000_000))
+    monkeypatch.setattr(rows, "TREE_ROWS", 4)
+    monkeypatch.setattr(rows, "FAN_IN", 3)
+    for size, slide in ((700, 10), (1000, 700), (50, 50), (30, 40), (2500, 100)):
+        got = rows.tree_windows(df, ["k"], Window.createTBWindow(Duration.seconds(size), Duration.seconds(slide)), 0, F.col("id").cast("string"), lambda a, b: F.concat(a, F.lit("-"), b), order=["id"])
+        expected = []
+        for k in (0, 1, None):
+            mine = sorted((s, i) for i, key, s in data if key == k)
+            for w in range(3000 // slide + 1):
+                inside = [str(i) for s, i in mine if w * slide <= s < w * slide + size]
+                if inside:
+                    expected.append((k, w, "-".join(inside)))
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_a_tree_of_a_million_rows_in_a_quantum(spark):
+    """And windows of 86,400 slides: arrays stay small, each node goes to the windows that need it."""
+    from sluice.operators import rows
+    from sluice.time import Duration, Window
+
+    df = spark.range(1_000_000).select("id", F.timestamp_micros(F.when(F.col("id") < 999_000, F.col("id") % 1000).otherwise(F.col("id") * 1000)).alias(EVENT_TIME))
+    window = Window.createTBWindow(Duration.seconds(86_400), Duration.seconds(1))
+    got = rows.tree_windows(df, [], window, 0, F.col("id"), lambda a, b: a + b, order=["id"])
+    found = got.agg(F.count(F.lit(1)), F.max("value"), F.min("window_id"), F.max("window_id")).head()
+    assert tuple(found) == (1000, sum(range(1_000_000)), 0, 999)
