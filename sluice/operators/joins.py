@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 
 from ..time import Interval, Window
 from . import EVENT_TIME
+from .ranks import BOUNDS, KEY, PART, bounds_below, fixed, key_struct, sampled_cuts
 from .windows import WINDOW_ID, assign, window_end
 
 _LEFT, _RIGHT = "__left_time", "__right_time"
 #: Widest interval for which keyed joins meet by time bucket too: a key's rows then spread over
-#: its times; a wider one would mostly copy rows.
+#: its times.  In wider ones only keys with many rows are cut, at quantiles of their own times.
 BUCKETED_US = 2 * 86_400_000_000
 
 
@@ -40,7 +41,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     two buckets that its interval touches.  Without keys that makes a hash or
     merge join; with keys (and an interval up to BUCKETED_US) it keeps the rows
     of a hot key apart by time, so that they are neither all in one task nor all
-    paired before their times are compared.
+    paired before their times are compared.  In a wider interval the keys that a
+    sample finds hot are cut at quantiles of their times (see cut_by_time).
     The result's event time is the later one.  On streams Spark keeps a
     watermark only for a column of one side, so time windows may follow an
     interval that lies wholly after or wholly before the left time.
@@ -50,8 +52,11 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     shift = lambda us: f"{_LEFT} + make_dt_interval(0, 0, 0, cast({us} / 1e6 as decimal(18, 6)))"
     within = F.expr(f"{_RIGHT} >= {shift(lo)} AND {_RIGHT} <= {shift(up)}")
     streaming = left.isStreaming or right.isStreaming
-    if streaming or (same is not None and up - lo > BUCKETED_US):
+    if streaming:
         joined = l.join(r, within if same is None else same & within)
+    elif same is not None and up - lo > BUCKETED_US:
+        l, r = cut_by_time(l, r, on, lo, up)  # noqa: E741
+        joined = l.join(r, same & (F.col(PART) == F.col("__right_part"))).where(within).drop(PART, "__right_part")
     else:
         width = max(up - lo, 1)
         bucket = lambda time, us: F.floor((F.unix_micros(time) + F.lit(us)) / F.lit(width)).cast("long")
@@ -68,6 +73,36 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     return joined.drop(_LEFT, _RIGHT, *(f"__right_{k}" for k in on))
 
 
+def cut_by_time(l: DataFrame, r: DataFrame, on: list[str], lo: int, up: int) -> tuple[DataFrame, DataFrame]:  # noqa: E741
+    """Both sides with the part in which they meet, PART and __right_part.
+
+    A key with more rows on the right than a task's share is cut at quantiles of
+    its right times, and a left row goes to the parts that its interval touches;
+    so does a key with many rows on the left only, the other way round.  A row
+    that goes to many parts meets a part's worth of rows in each but two, so the
+    copies are few beside the pairs.  All other keys are one part.
+    """
+    keys = [f"__right_{k}" for k in on]
+    right, left = sampled_cuts(r, keys, [_RIGHT]), sampled_cuts(l, on, [_LEFT])
+    both = right.withColumn("__left", F.lit(False)).union(left.withColumn("__left", F.lit(True)))
+    cuts = fixed(both.groupBy(KEY).agg(F.min_by(F.struct("__left", BOUNDS), "__left").alias("c")).select(
+        KEY, "c.__left", F.transform(f"c.{BOUNDS}", lambda b: b["c0"]).alias(BOUNDS)
+    ))
+    if cuts is None:
+        return l.withColumn(PART, F.lit(0)), r.withColumn("__right_part", F.lit(0))
+
+    def dealt(df: DataFrame, names: list[str], time: str, before: int, after: int, own: bool, part: str) -> DataFrame:
+        at = F.unix_micros(time)
+        alone = F.array(bounds_below(at))
+        touched = F.sequence(bounds_below(at + F.lit(before)), bounds_below(at + F.lit(after)))
+        parts = F.when(F.col(BOUNDS).isNull(), F.array(F.lit(0))).when(F.col("__left") == own, alone).otherwise(touched)
+        # a row without a time meets none
+        placed = df.where(F.col(time).isNotNull()).withColumn(KEY, key_struct(df, names)).join(F.broadcast(cuts), KEY, "left")
+        return placed.withColumn(part, F.explode(parts)).drop(KEY, BOUNDS, "__left")
+
+    return dealt(l, on, _LEFT, lo, up, True, PART), dealt(r, keys, _RIGHT, -up, -lo, False, "__right_part")
+
+
 def window_join(left: DataFrame, right: DataFrame, on: list[str], window: Window, baseline: int) -> DataFrame:
     """Pairs of equal keys that share a time window, one for each shared window.
 

@@ -32,26 +32,38 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return F.unix_micros(c) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else c
 
 
-def _struct(df: DataFrame, names: list[str]) -> Column:
+def key_struct(df: DataFrame, names: list[str]) -> Column:
     """The columns as one value, which orders them nulls first and knows null as a value."""
     return F.struct(F.lit(0).alias("c"), *(_comparable(df, n).alias(f"c{i}") for i, n in enumerate(names)))
 
 
-def _cuts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame | None:
-    """(KEY, BOUNDS) of the keys to be cut, at most one row a task; None if there is none."""
-    spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def sampled_cuts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(KEY, BOUNDS) of the keys to be cut, at most one row a task: a sample of the rows, on which they are decided."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = dict.fromkeys([*keys, *order])
     drawn = df.select(*(f"`{c}`" for c in columns), F.rand(SEED).alias("__draw")).orderBy("__draw").limit(PER_TASK * tasks)
-    groups = drawn.select(_struct(df, keys).alias(KEY), _struct(df, order).alias("place")).groupBy(KEY).agg(F.array_sort(F.collect_list("place")).alias("places")).where(F.size("places") > PER_TASK)
+    groups = drawn.select(key_struct(df, keys).alias(KEY), key_struct(df, order).alias("place")).groupBy(KEY).agg(F.array_sort(F.collect_list("place")).alias("places"))
     every = F.sequence(F.lit(PER_PART), F.size("places") - 1, F.lit(PER_PART))
-    cut = groups.select(KEY, F.transform(every, lambda i: F.element_at("places", i)).alias(BOUNDS))
-    found = cut.collect()
-    return spark.createDataFrame(found, cut.schema) if found else None
+    return groups.where(F.size("places") > PER_TASK).select(KEY, F.transform(every, lambda i: F.element_at("places", i)).alias(BOUNDS))
+
+
+def _cuts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame | None:
+    """The cuts, fixed: no later run draws others.  None if there is none."""
+    return fixed(sampled_cuts(df, keys, order))
+
+
+def fixed(few: DataFrame) -> DataFrame | None:
+    """A small table as it is now; None if it has no row."""
+    found = few.collect()
+    return few.sparkSession.createDataFrame(found, few.schema) if found else None
+
+
+def bounds_below(at: Column) -> Column:
+    """How many of the sorted BOUNDS lie below a place, by halving; the place is made once."""
+    return F.element_at(F.transform(F.array(at), _bounds_below), 1)
 
 
 def _bounds_below(at: Column) -> Column:
-    """How many of the sorted bounds lie below a place, by halving."""
     half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
     state = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
@@ -77,9 +89,9 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], parts: list[P
         inside = running(*(by or [F.lit(0)]))
         return df.select("*", *(p.from_rows.over(inside).alias(p.name) for p in parts))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    below = F.element_at(F.transform(F.array(_struct(df, place)), _bounds_below), 1)  # the row's place is made once
+    below = bounds_below(key_struct(df, place))
     if keys:
-        placed = df.withColumn(KEY, _struct(df, keys)).join(F.broadcast(cuts), KEY, "left")
+        placed = df.withColumn(KEY, key_struct(df, keys)).join(F.broadcast(cuts), KEY, "left")
     else:
         placed = df.join(F.broadcast(cuts.drop(KEY)), how="left")
     group = [KEY, PART] if keys else [PART]

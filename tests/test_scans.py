@@ -151,3 +151,34 @@ def test_a_tree_of_a_million_rows_in_a_quantum(spark):
     got = rows.tree_windows(df, [], window, 0, F.col("id"), lambda a, b: a + b, order=["id"])
     found = got.agg(F.count(F.lit(1)), F.max("value"), F.min("window_id"), F.max("window_id")).head()
     assert tuple(found) == (1000, sum(range(1_000_000)), 0, 999)
+
+
+def _sides(spark, n_left, n_right, hot_left, hot_right):
+    """Rows of keys over 200 days, of which one key has a share."""
+    rng = random.Random(n_left)
+    make = lambda n, hot, name: [(i if rng.random() > 0.02 else None, "hot" if rng.random() < hot else f"k{i % 40}", rng.randrange(200 * 86_400)) for i in range(n)]
+    out = []
+    for n, hot, name in ((n_left, hot_left, "a"), (n_right, hot_right, "b")):
+        rows = make(n, hot, name)
+        df = spark.createDataFrame(rows, f"{name} long, k string, s long").withColumn(EVENT_TIME, F.when(F.col(name) % 50 != 3, F.timestamp_micros(F.col("s") * 1_000_000)))
+        out.append((rows, df.drop("s")))
+    return out
+
+
+@pytest.mark.parametrize("n_left, n_right, hot_left, hot_right", [(900, 1500, 0.6, 0.6), (2500, 400, 0.8, 0.02), (400, 2500, 0.02, 0.8), (300, 300, 0.0, 0.0)])
+@pytest.mark.parametrize("lo, up", [(0, 62), (-100, -5), (-300, 300)])
+def test_wide_intervals_cut_hot_keys(spark, n_left, n_right, hot_left, hot_right, lo, up):
+    """Every pair once, whichever side is hot; a hot key's rows are spread."""
+    from sluice.operators import joins
+    from sluice.time import Duration, Interval
+
+    (ra, a), (rb, b) = _sides(spark, n_left, n_right, hot_left, hot_right)
+    got = joins.interval_join(a, b, ["k"], Interval(Duration.days(lo), Duration.days(up))).select("a", "b")
+    expected = sorted((x, y) for x, k, s in ra for y, j, t in rb if k == j and x is not None and y is not None and x % 50 != 3 and y % 50 != 3 and lo * 86_400 <= t - s <= up * 86_400)
+    assert sorted(tuple(r) for r in got.collect()) == expected
+    if max(hot_left, hot_right) > 0.5:
+        day = 86_400_000_000
+        left, right = joins.cut_by_time(*joins._sides(a, b, ["k"])[:2], ["k"], lo * day, up * day)
+        side, part = (right, "__right_part") if hot_right > 0.5 else (left, ranks.PART)
+        most = side.groupBy("__right_k" if hot_right > 0.5 else "k", part).count().agg(F.max("count")).head()[0]
+        assert most < 0.25 * max(n_left, n_right)
