@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..time import Interval, Window
 from . import EVENT_TIME
-from .ranks import BOUNDS, KEY, PART, bounds_below, fixed, key_struct, sampled_cuts
+from .ranks import BOUNDS, KEY, PART, bounds_below, fixed, key_struct, planned_bytes, sampled_cuts
 from .windows import WINDOW_ID, assign, window_end
 
 _LEFT, _RIGHT = "__left_time", "__right_time"
@@ -34,6 +34,11 @@ def _sides(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame,
     return l, r, same
 
 
+def broadcast_bytes(df: DataFrame) -> int:
+    """Up to which size the session lets Spark broadcast a side by itself; -1 where it may not."""
+    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: Interval) -> DataFrame:
     """Pairs of equal keys with right time in [left time + lower, left time + upper].
 
@@ -54,6 +59,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     streaming = left.isStreaming or right.isStreaming
     if streaming:
         joined = l.join(r, within if same is None else same & within)
+    elif same is not None and up - lo > BUCKETED_US and min(planned_bytes(l), planned_bytes(r)) <= broadcast_bytes(l):
+        joined = l.join(r, same & within)  # Spark sends one side to all tasks, so no key meets in one
     elif same is not None and up - lo > BUCKETED_US:
         l, r = cut_by_time(l, r, on, lo, up)  # noqa: E741
         joined = l.join(r, same & (F.col(PART) == F.col("__right_part"))).where(within).drop(PART, "__right_part")

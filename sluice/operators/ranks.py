@@ -21,9 +21,16 @@ from .aggregates import Part
 #: Sampled rows for each task of a shuffle; a key with more of them is cut, into parts of so many sampled rows.
 PER_TASK, PER_PART = 64, 16
 SEED = 20240101
+#: A table planned to have at most so many bytes is no more than one task's work, and isn't sampled.
+SMALL_BYTES = 32 << 20
 PART, KEY, BOUNDS = "__part", "__key", "__bounds"
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size, which is very large where it knows nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _comparable(df: DataFrame, name: str) -> Column:
     """A column as it can leave Spark and come back: times as microseconds."""
     c, kind = F.col(f"`{name}`"), df.schema[name].dataType
@@ -49,7 +56,7 @@ def sampled_cuts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def _cuts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame | None:
     """The cuts, fixed: no later run draws others.  None if there is none."""
-    return fixed(sampled_cuts(df, keys, order))
+    return None if planned_bytes(df) <= SMALL_BYTES else fixed(sampled_cuts(df, keys, order))
 
 
 def fixed(few: DataFrame) -> DataFrame | None:

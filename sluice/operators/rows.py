@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..time import Window
 from . import EVENT_TIME
 from .aggregates import Part
-from .ranks import with_index
+from .ranks import planned_bytes, with_index
 from .windows import POSITION, WINDOW_ID, assign, each, windows_from_panes, with_position
 
 Frame = pd.DataFrame
@@ -139,8 +139,7 @@ BROADCAST_BYTES = 32 << 20
 
 def route_broadcast(df: DataFrame, largest: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a side for all tasks if its planned size is at most `largest`, else leaves it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= largest else df
+    return F.broadcast(df) if planned_bytes(df) <= largest else df
 
 
 def with_storage(df: DataFrame, func: Callable[[Frame, dict, dict], Frame], schema: str) -> DataFrame:

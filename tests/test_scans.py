@@ -10,6 +10,12 @@ from sluice.operators import EVENT_TIME, ranks
 from sluice.operators.aggregates import Part
 
 
+@pytest.fixture(autouse=True)
+def sample_always(monkeypatch):
+    """Small tables are cut too."""
+    monkeypatch.setattr(ranks, "SMALL_BYTES", -1)
+
+
 def final_plan(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
@@ -71,6 +77,14 @@ def test_keys_of_ordinary_size_need_one_exchange(spark, hot):
     assert plan.count("Scan parquet") == 1 and plan.count("Exchange ") == 1
 
 
+def test_small_tables_are_not_sampled(spark, hot, monkeypatch):
+    rows, df = hot
+    monkeypatch.setattr(ranks, "SMALL_BYTES", 32 << 20)
+    assert ranks._cuts(df, ["k"], [EVENT_TIME, "id"]) is None
+    got = ranks.with_running(df, ["k"], ["id"], parts())
+    assert sorted(tuple(r) for r in got.select("id", "total", "n", "low", "high").collect()) == plain(rows, True)
+
+
 def test_an_empty_table(spark, hot):
     assert ranks.with_running(hot[1].limit(0), ["k"], ["id"], parts()).collect() == []
 
