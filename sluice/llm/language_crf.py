@@ -16,26 +16,27 @@ the result is that of the whole chain.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcore import Words, byte_view, map_batches, slices, split_code
+from .textcore import Words, byte_view, cut, map_batches, slices, split_code
 
 #: Training rows of each language at most, the first by a hash; of all languages
 #: together TRAIN_ROWS (but LEAST_ROWS of each), so that many languages have fewer
-#: rows each.  A row teaches by a passage of at most PASSAGE bytes, drawn from
-#: anywhere in its text, less where all passages would exceed TRAIN_BYTES.
+#: rows each.  A row teaches by its whole text, in passages of PASSAGE bytes, of
+#: which the driver has those of a partition, AT_ONCE or so, at a time.
 TRAIN_PER_LANGUAGE, TRAIN_ROWS, LEAST_ROWS = 250, 16_000, 8
-PASSAGE, TRAIN_BYTES = 20_000, 64 << 20
+PASSAGE, AT_ONCE = 20_000, 320
 BUCKETS = 1 << 16
-#: Buckets in which training counts trigrams, and the count from which one is familiar;
-#: in languages with fewer training rows than FULL, once is enough.
-TRIGRAMS, FAMILIAR, FULL = 1 << 20, 3, 100
+#: Buckets in which training counts trigrams; one is familiar that comes FAMILIAR
+#: times in the texts of TRAIN_PER_LANGUAGE rows, in fewer rows as much more rarely.
+TRIGRAMS, FAMILIAR = 1 << 20, 3
 PREFIXES, SUFFIXES, INNER = (2, 3), (2, 3, 4), 3
 EPOCHS, BATCH_TEXTS, RATE = 3, 40, 0.4
 FEATURE_BYTES, CHAIN_BYTES = 1 << 19, 2 << 20
@@ -205,33 +206,34 @@ class Crf:
             v = (through[at[b]] @ after[b][:, :, None])[:, :, 0]
             after[b - 1] = v / v.sum(axis=1, keepdims=True)
 
-    def learn(self, texts: list[str], labels: np.ndarray) -> None:
+    def learn(self, passages: Callable[[], Iterable[tuple[str, int]]], rows: np.ndarray) -> None:
         """Adaptive gradient steps on the log-likelihood of the word labels.
 
-        Every word of a training text bears the text's label; pieces of half of
-        the texts stand in chains of several languages (in_pieces).
+        passages() gives (text, label) in a fixed order that mixes labels, anew
+        for each epoch; rows are the training rows of each language.  Every
+        word of a passage bears its label; pieces of half of the passages stand
+        in chains of several languages (in_pieces).
         """
         squares = np.full(self.weights.shape, 1e-3, dtype=np.float32)
         move_squares = np.full(self.moves.shape, 1e-3)
         k = len(self.languages)
         rng = np.random.default_rng(7)
-        order = rng.permutation(len(texts))
         times = np.zeros(TRIGRAMS)
-        worth = np.where(np.bincount(labels, minlength=k) < FULL, FAMILIAR, 1)
+        worth = TRAIN_PER_LANGUAGE / np.maximum(rows, 1)
         for epoch in range(EPOCHS):
-            for lo in range(0, len(order), BATCH_TEXTS):
-                rows = order[lo : lo + BATCH_TEXTS]
-                buf, offsets = byte_view(pa.array([texts[i] for i in rows], pa.string()))
+            for some in batched(passages(), BATCH_TEXTS):
+                labels = np.array([y for _, y in some])
+                buf, offsets = byte_view(pa.array([t for t, _ in some], pa.string()))
                 w = Words(lowered(buf), offsets, IS_BREAK)
                 if not len(w.start):
                     continue
                 emission, (single, inner, trigram, word) = self.emissions(w, 0, len(w.start))
                 if epoch == 0:
-                    times += np.bincount(trigram, weights=worth[labels[rows][w.text_of()[word]]], minlength=TRIGRAMS)
-                place, first = in_pieces(w.text_of(), len(rows), rng)
+                    times += np.bincount(trigram, weights=worth[labels[w.text_of()[word]]], minlength=TRIGRAMS)
+                place, first = in_pieces(w.text_of(), len(some), rng)
                 p, expected = np.empty((len(place), k)), None
                 p[place], expected = self.marginals(emission[place], first, pairs=True)
-                truth = labels[rows][w.text_of()]
+                truth = labels[w.text_of()]
                 error = -p
                 error[np.arange(len(truth)), truth] += 1.0
                 error /= len(truth)
@@ -324,24 +326,29 @@ def _least_levels(counts: list, wanted: int) -> dict[str, int]:
     return out
 
 
-def passage(raw: bytes, draw: int, size: int) -> bytes:
-    """Whole words of some `size` bytes from a drawn place of a text; a shorter text as it is."""
-    if len(raw) <= size:
-        return raw
-    at = (draw * 0x9E3779B97F4A7C15 & (1 << 64) - 1) * (len(raw) - size) >> 64
-    part = raw[at : at + size]
-    spaces = [i for i in (part.find(b" "), part.rfind(b" ")) if i >= 0]
-    if at and len(spaces) == 2 and spaces[0] < spaces[1]:
-        part = part[spaces[0] + 1 : spaces[1]]
-    return part
+def passages_of(raw: bytes, size: int) -> list[bytes]:
+    """A whole text in passages of at most `size` bytes, cut behind a space if there is one, else between symbols."""
+    out, at = [], 0
+    while len(raw) - at > size:
+        end = raw.rfind(b" ", at, at + size) + 1
+        if end <= at:
+            end = at + size
+            while end > at + 1 and raw[end] & 0xC0 == 0x80:
+                end -= 1
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
 
 
 def _passages(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            draws = batch.column(1).to_pylist()
-            texts = [passage(t.as_buffer().to_pybytes(), d, size).decode("utf-8", "ignore") for t, d in zip(batch.column(3).cast(pa.binary()), draws)]
-            yield pa.record_batch([*batch.columns[:3], pa.array(texts, pa.string())], names=batch.schema.names)
+            for i in range(batch.num_rows):
+                texts = passages_of(batch.column(2)[i].cast(pa.binary()).as_buffer().to_pybytes(), size)
+                for lo in range(0, len(texts), AT_ONCE):
+                    some, nth = texts[lo : lo + AT_ONCE], np.arange(lo, min(lo + AT_ONCE, len(texts)))
+                    same = [pa.array([batch.column(k)[i].as_py()] * len(some), batch.column(k).type) for k in (0, 1)]
+                    yield pa.record_batch([*same, pa.array(nth, pa.int64()), pa.array(some, pa.binary()).cast(pa.string())], names=["l", "draw", "nth", "t"])
 
     return run
 
@@ -349,7 +356,7 @@ def _passages(size: int):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> Crf:
     """A model of every non-null language value that has a text, from at most per_language rows of each.
 
-    Texts of any length take part, each by a passage.  Equal rows teach once.
+    Whole texts of any length take part, in passages.  Equal rows teach once.
     """
     code = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text), F.lit(8))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
@@ -365,17 +372,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     chosen = F.lit(False)
     for level, values in sorted(alike.items()):
         chosen = chosen | ((F.col("level") >= level) & F.col("l").isin(values))
-    size = max(min(PASSAGE, TRAIN_BYTES // max(wanted * len(languages), 1)), 256)
-    drawn = rows.where(chosen).select("l", "draw", "id", "t").transform(map_batches, _passages(size), "l string, draw long, id string, t string").distinct()
-    taken, found = dict.fromkeys(languages, 0), []
-    for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["id"] or "", r["t"])):
-        if taken[r["l"]] < wanted:
-            taken[r["l"]] += 1
-            found.append(r)
-    texts, labels = [r["t"] for r in found], [languages.index(r["l"]) for r in found]
+    first = Window.partitionBy("l").orderBy("draw", "id", "t")
+    drawn = rows.where(chosen).select("l", "draw", "id", "t").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= wanted)
+    parts = cut(map_batches(drawn.select("l", "draw", "t"), _passages(PASSAGE), "l string, draw long, nth long, t string"))
+    taken = {r["l"]: (r["rows"], r["n"]) for r in parts.groupBy("l").agg(F.sum(F.when(F.col("nth") == 0, 1)).alias("rows"), F.count(F.lit(1)).alias("n")).collect()}
+    number = max(1, -(-sum(n for _, n in taken.values()) // AT_ONCE))
+    order = [F.xxhash64("draw", "nth", "l"), F.col("l"), F.col("nth")]
+    placed = cut(parts.repartitionByRange(number, *order).sortWithinPartitions(*order).select("l", "t"))
+    at = {value: i for i, value in enumerate(languages)}
     model = Crf(languages)
     if languages:
-        model.learn(texts, np.array(labels))
+        model.learn(lambda: ((r["t"], at[r["l"]]) for r in placed.toLocalIterator()), np.array([taken[value][0] for value in languages]))
     return model
 
 

@@ -868,13 +868,25 @@ def test_language_query_by_plain_forward_backward(spark, sf_dir, texts, tmp_path
         assert got[k]["held_out"] == (brute.remainder(k, 4) == 2)
 
 
-def test_passages_come_from_anywhere():
-    raw = " ".join(f"w{i}" for i in range(5000)).encode()
-    found = [language_crf.passage(raw, d * 0x1234567 + 11, 300) for d in range(300)]
-    assert all(len(p) <= 300 and set(p.split()) <= set(raw.split()) for p in found)
-    places = sorted(raw.index(p) for p in found)
-    assert places[10] < len(raw) / 5 and places[-10] > len(raw) * 4 / 5
-    assert language_crf.passage(b"short", 5, 300) == b"short" and len(language_crf.passage(b"x" * 999, -3, 300)) == 300
+def test_passages_hold_every_byte():
+    """Cut behind spaces where there are some, never within a symbol."""
+    for text in (" ".join(f"wé{i}" for i in range(5000)), "x" * 999, "日本" * 500, "", " ", "short", "a " * 400 + "é" * 700 + " b"):
+        for size in (7, 300, 10**6):
+            found = language_crf.passages_of(text.encode(), size)
+            assert b"".join(found) == text.encode() and all(len(p) <= size and p.decode() is not None for p in found)
+            assert all(p.endswith(b" ") or b" " not in p for p in found[:-1])
+
+
+def test_a_text_teaches_by_all_of_it(spark):
+    """Two languages whose texts begin alike for 60,000 bytes; what tells them apart stands behind."""
+    rng = random.Random(5)
+    same = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(10_000))
+    tail = {"xx": ["zorkim", "zultam", "zempor"], "yy": ["quivle", "quaste", "quolin"]}
+    data = [(i, same + " " + " ".join(rng.choice(tail[lang]) for _ in range(900)), lang) for i in range(12) for lang in ("xx", "yy")]
+    model = language_crf.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    ask = [(k, " ".join(words), lang) for k, (lang, words) in enumerate(tail.items())]
+    got = rows(language_crf.identify(spark.createDataFrame(ask, "doc_id long, text string, lang string"), model))
+    assert [got[k]["lang_pred"] for k in (0, 1)] == ["xx", "yy"]
 
 
 def test_language_on_edges(spark, edge, empty, sf_dir):
@@ -891,15 +903,15 @@ def test_language_on_edges(spark, edge, empty, sf_dir):
 
 
 def test_every_language_is_learned(spark):
-    """The 70th language, and one that has only long texts, have their training rows."""
+    """The 200th language, and one that has only long texts, have their training rows."""
     rng = random.Random(3)
     word = lambda i: "".join(chr(97 + (i * 7 + rng.randrange(3)) % 26) for _ in range(4)) + chr(97 + i % 26) + chr(97 + i // 26)
-    data = [(f"l{i:02}", " ".join(word(i) for _ in range(30))) for i in range(70) for _ in range(6 if i < 69 else 3)]
+    data = [(f"l{i:03}", " ".join(word(i) for _ in range(30))) for i in range(200) for _ in range(4 if i < 199 else 3)]
     data += [("long", "омнибус летит далеко " * 1100)] * 2
     df = spark.createDataFrame([(k, text, lang) for k, (lang, text) in enumerate(data)], "doc_id long, text string, lang string")
     model = language_crf.fit(df)
     assert model.languages == sorted({lang for lang, _ in data})
-    got = rows(language_crf.identify(df.where("lang IN ('l69', 'long')"), model))
+    got = rows(language_crf.identify(df.where("lang IN ('l199', 'long')"), model))
     assert all(r["lang_pred"] == data[k][0] for k, r in got.items())
     levels = language_crf._least_levels([("a", 0, 10**12), ("a", 9, 300), ("b", 0, 3), ("c", 1, 9), ("c", 0, 9)], 10)
     assert levels == {"a": 9, "b": 0, "c": 0}
