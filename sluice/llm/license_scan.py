@@ -63,6 +63,49 @@ NOTICE_PHRASES = {
     "open data commons open database license": "odbl",
     "released into the public domain": "public-domain",
     "dedicated to the public domain": "public-domain",
+    "apache license version 2 0": "apache-2.0",
+    "gnu general public license version 2": "gpl-2.0",
+    "gnu general public license version 3": "gpl-3.0",
+    "gnu general public license v2": "gpl-2.0",
+    "gnu general public license v3": "gpl-3.0",
+    "gnu lesser general public license version 2 1": "lgpl-2.1",
+    "gnu lesser general public license version 3": "lgpl-3.0",
+    "gnu affero general public license version 3": "agpl-3.0",
+    "version 2 of the license or at your option any later version": "gpl-2.0-or-later",
+    "version 3 of the license or at your option any later version": "gpl-3.0-or-later",
+    "version 2 1 of the license or at your option any later version": "lgpl-2.1-or-later",
+    "mozilla public license version 2 0": "mpl-2.0",
+    "mozilla public license v 2 0": "mpl-2.0",
+    "eclipse public license v1 0": "epl-1.0",
+    "eclipse public license v 1 0": "epl-1.0",
+    "eclipse public license v 2 0": "epl-2.0",
+    "european union public licence v 1 2": "eupl-1.2",
+    "boost software license version 1 0": "bsl-1.0",
+    "sil open font license version 1 1": "ofl-1.1",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "microsoft public license": "ms-pl",
+    "microsoft reciprocal license": "ms-rl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "elastic license": "elastic",
+    "commons clause": "commons-clause",
+    "universal permissive license": "upl",
+    "mulan permissive software license": "mulanpsl",
+    "educational community license": "ecl",
+    "blue oak model license": "blueoak",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3-clause",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "attribution noncommercial 4 0 international": "cc-by-nc-4.0",
+    "attribution noncommercial sharealike 4 0 international": "cc-by-nc-sa-4.0",
+    "attribution noncommercial noderivatives 4 0 international": "cc-by-nc-nd-4.0",
+    "attribution sharealike 4 0 international": "cc-by-sa-4.0",
+    "attribution noderivatives 4 0 international": "cc-by-nd-4.0",
+    "attribution 4 0 international": "cc-by-4.0",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
+    "open data commons attribution license": "odc-by",
+    "open data commons public domain dedication": "pddl",
     "all rights reserved": "all-rights-reserved",
     "proprietary and confidential": "proprietary",
 }
@@ -70,17 +113,33 @@ NOTICE_PHRASES = {
 TAG_PHRASE, TAG = "spdx license identifier", b"spdx-license-identifier"
 COLON = re.compile(rb"[ \t]*:[ \t]*")
 TOKEN = re.compile(rb"[ \t]*([()]|[A-Za-z0-9.+:-]+)")
-#: Labels by the start of a licence identifier; any other is OTHER.
-IDENTIFIERS = {
-    "mit": "mit", "apache-2": "apache-2", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl",
-    "mpl-2": "mpl-2", "epl": "epl", "eupl": "eupl", "cddl": "cddl", "bsl": "bsl", "zlib": "zlib", "artistic": "artistic", "psf": "psf", "ofl": "ofl",
-    "wtfpl": "wtfpl", "odbl": "odbl", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0": "cc0",
-    "unlicense": "public-domain",
-}
+#: The public licence identifiers without their versions; any other is OTHER.
+#: Those that ask for no more than notices and disclaimers come first.
+PERMISSIVE = frozenset("""
+    0bsd afl aladdin-free apache artistic-free blessing blueoak bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause
+    bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsl bzip2 cc-by cc0 cc-pddc cecill-b curl ecl efl ftl hpnd ibm-pibs icu ijg
+    imagemagick isc json libpng libtiff mit mit-0 mit-cmu mit-modern-variant ms-pl mulanpsl naist-2003 ncsa odc-by openssl php pddl
+    postgresql psf public-domain python ruby ssh-short tcl unicode-dfs unicode unlicense upl vim w3c wtfpl x11 xnet zlib
+    zlib-acknowledgement zpl
+""".split())
+RESTRICTIVE = frozenset("""
+    agpl apsl artistic bittorrent busl catosl cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd cc-by-sa cddl cdla-permissive cdla-sharing cecill
+    cecill-c commons-clause copyleft-next cpal cpl cua-opl elastic epl erlpl eupl gfdl gfdl-invariants gfdl-no-invariants gpl interbase
+    ipl lal lgpl lgpllr lppl ms-rl mpl nasa nosl npl nposl odbl ofl ogl-uk oldap openldap osl parity polyform-noncommercial
+    polyform-small-business qpl rpl rpsl rscpl simpl sissl sleepycat spl sspl sugarcrm watcom ypl zimbra
+""".split())
+KNOWN = PERMISSIVE | RESTRICTIVE
+#: An identifier's version, country and what it says of other versions.
+VERSIONED = re.compile(r"(?P<family>.+?)(?:-(?P<version>v?\d+(?:\.\d+)*))?(?:-(?:igo|uk|us|jp|de|fr|nl|at|au|eu))?(?P<later>-only|-or-later|\+)?$")
 #: Exceptions after "with", by the start of their identifier.
-EXCEPTIONS = ("classpath-exception", "gcc-exception", "llvm-exception", "autoconf-exception", "bison-exception", "font-exception", "linux-syscall-note")
+EXCEPTIONS = (
+    "389-exception", "asterisk-exception", "autoconf-exception", "bison-exception", "bootloader-exception", "classpath-exception", "clisp-exception",
+    "eclipse-exception", "ecos-exception", "fawkes-runtime-exception", "flt-exception", "font-exception", "freertos-exception", "gcc-exception",
+    "gnu-javamail-exception", "gpl-cc", "i2p-gpl-java-exception", "libtool-exception", "linux-syscall-note", "llvm-exception", "lzma-exception",
+    "mif-exception", "ocaml-lgpl-linking-exception", "openssl-exception", "qt-gpl-exception", "qt-lgpl-exception", "qwt-exception",
+    "swift-exception", "u-boot-exception", "universal-foss-exception", "wxwindows-exception",
+)
 OTHER = "other"
-PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "bsl", "zlib", "psf", "wtfpl", "cc-by", "cc0", "public-domain"}
 #: How sure one find makes us: a phrase, a parsed tag.
 PHRASE_WEIGHT, TAG_WEIGHT = 0.6, 0.9
 
@@ -153,8 +212,31 @@ def _known(identifier: str, names) -> str | None:
     return max((k for k in names if low == k or low.startswith(k + "-") or low.startswith(k + ".")), key=len, default=None)
 
 
+def family_of(label: str) -> str | None:
+    """The longest public identifier, without a version, that a label or identifier begins with."""
+    low = label.lower().rstrip(".")
+    whole = VERSIONED.match(low)
+    if whole and whole["family"] in KNOWN:
+        return whole["family"]
+    return _known(low, KNOWN)
+
+
 def label_of(identifier: str) -> str:
-    return IDENTIFIERS.get(_known(identifier, IDENTIFIERS), OTHER)
+    """The identifier in small letters: its family, version and whether later ones may be chosen (`+` is -or-later).
+
+    What a family's name is followed by otherwise (clauses, ports) is left out.
+    """
+    family = family_of(identifier)
+    if family is None:
+        return OTHER
+    rest = identifier.lower().rstrip(".")[len(family) :]
+    version = re.match(r"-v?(\d+(?:\.\d+)*)", rest)
+    later = "-only" if rest.endswith("-only") else "-or-later" if rest.endswith(("-or-later", "+")) else ""
+    return family + (f"-{version[1]}" if version else "") + later
+
+
+def is_permissive(label: str) -> bool:
+    return family_of(label) in PERMISSIVE
 
 
 def exception_of(identifier: str) -> str:
@@ -209,7 +291,7 @@ def evaluate(tokens: list[str]) -> Terms | None:
 
 def _licence(identifier: str) -> Terms:
     label = label_of(identifier)
-    return Terms(frozenset({label}), permissive=label in PERMISSIVE)
+    return Terms(frozenset({label}), permissive=is_permissive(label))
 
 
 def _automaton():

@@ -10,6 +10,7 @@ cell table only, however many documents there are.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Sweeps between two writes of the cell table and tests of the marginals; sweeps at most, for
 #: targets that the cells can't meet; the largest difference of a marginal share from its target.
 BETWEEN, SWEEPS, TOLERANCE = 4, 60, 1e-9
+#: Marginals that are named when some are off.
+TOLD = 5
 #: Cells up to this number are sent to all tasks for the last join; beyond it, the join shuffles.
 BROADCAST_CELLS = 50_000
 #: Share of all tokens to keep, and the exponent that tempers the present shares to default targets.
@@ -99,17 +102,20 @@ def missed(cells: DataFrame) -> DataFrame:
     return out
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, on_missed: str = "warn") -> DataFrame:
     """cells with t_<dimension> and `weight`, the raked share of tokens.
 
     Sweeps end when every marginal is within `tolerance` of its target, or when
     BETWEEN sweeps bring the worst one no nearer: then the cells can't serve all
-    targets together, and missed() tells by how much.  A target that no cell
-    can serve is spread over the others in proportion.  Cells without tokens, or
+    targets together.  Whatever ends them, marginals that are off are told: a
+    warning with the worst ones, or an error with on_missed="error", or nothing
+    with "ignore"; missed() has them all.  A target that no cell can serve is spread over the others in proportion.  Cells without tokens, or
     with a target of 0, get weight 0.
     """
+    if on_missed not in ("warn", "error", "ignore"):
+        raise ValueError("on_missed is warn, error or ignore")
     fitted = cut(_with_targets(cells, targets, temper).withColumn("weight", F.col("tokens").cast("double")))
-    last = float("inf")
+    last, worst = float("inf"), 0.0
     for done in range(0, sweeps, BETWEEN):
         for _ in range(min(BETWEEN, sweeps - done)):
             for d in DIMENSIONS:
@@ -120,6 +126,12 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         if worst <= tolerance or worst > last * (1 - 1e-6):
             break
         last = worst
+    if worst > tolerance and on_missed != "ignore":
+        off = missed(fitted).orderBy(F.desc("missed"), "dimension", "value").limit(TOLD).collect()
+        text = "targets that the cells don't meet: " + ", ".join(f"{r['dimension']} {r['value']} has {r['share']:.4g} of {r['target']:.4g}" for r in off if r["missed"] > tolerance)
+        if on_missed == "error":
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=2)
     return fitted
 
 
@@ -156,9 +168,9 @@ def draw(doc_id: Column, seed: int) -> Column:
 MIXED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept")
 
 
-def with_weights(rows: DataFrame, names: list[str], targets: Mapping[str, Mapping[str, float]] | None, budget: float, temper: float, seed: int, doc_id: str) -> DataFrame:
+def with_weights(rows: DataFrame, names: list[str], targets: Mapping[str, Mapping[str, float]] | None, budget: float, temper: float, seed: int, doc_id: str, on_missed: str = "warn") -> DataFrame:
     """rows, which have the columns `names` (see counted), with those of MIXED."""
-    cells = cut(calibrate(rake(cut(cell_table(rows, names)), targets, temper), budget))
+    cells = cut(calibrate(rake(cut(cell_table(rows, names)), targets, temper, on_missed=on_missed), budget))
     total = cells.agg(F.sum("tokens")).head()[0] or 0
     small = cells.count() <= BROADCAST_CELLS
     keys = fresh(rows, *(f"__cell_{d}" for d in DIMENSIONS))
@@ -176,7 +188,7 @@ def with_weights(rows: DataFrame, names: list[str], targets: Mapping[str, Mappin
 
 def mix_sources(
     docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, temper: float = TEMPER, seed: int = 5,
-    text: str = "text", doc_id: str = "doc_id", topic: Column | None = None,
+    text: str = "text", doc_id: str = "doc_id", topic: Column | None = None, on_missed: str = "warn",
 ) -> DataFrame:
     """docs with mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
 
@@ -185,12 +197,14 @@ def mix_sources(
     `topic` is an expression over docs that names a document's topic (default:
     its form, see topic_of).  mix_weight is the raked weight of a token of the
     cell (1 on average).  Equal ids, null ones too, share a draw; nulls are
-    values of their own; texts without a word have probability 0.  Existing
-    columns of MIXED are replaced, all others pass, whatever their names.
+    values of their own; texts without a word have probability 0; an empty table
+    stays empty.  Targets that the documents can't meet together are told as
+    rake() says.  Existing columns of MIXED are replaced, all others pass,
+    whatever their names.
     """
     rest = docs.drop(*MIXED)
     names = fresh(rest, "__source", "__lang", "__topic", "__tokens")
-    found = with_weights(counted(rest, names, text, topic), names, targets, budget, temper, seed, doc_id)
+    found = with_weights(counted(rest, names, text, topic), names, targets, budget, temper, seed, doc_id, on_missed)
     return found.select(*rest.columns, *MIXED)
 
 

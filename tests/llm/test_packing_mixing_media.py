@@ -236,7 +236,15 @@ def test_raking_ends_at_its_tolerance_or_tells(spark):
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}}
     assert mixing.missed(mixing.rake(df, targets)).agg(F.max("missed")).first()[0] <= mixing.TOLERANCE
     apart = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], df.schema)
-    off = {(r["dimension"], r["value"]): r["missed"] for r in mixing.missed(mixing.rake(apart, targets)).collect()}
+    with pytest.warns(UserWarning, match="source a has|lang x has"):
+        raked = mixing.rake(apart, targets)
+    off = {(r["dimension"], r["value"]): r["missed"] for r in mixing.missed(raked).collect()}
+    docs = apart.select("source", "lang", F.lit("some words here").alias("text"), F.monotonically_increasing_id().alias("doc_id"))
+    with pytest.raises(ValueError, match="don't meet"):
+        mixing.mix_sources(docs, targets, on_missed="error")
+    with pytest.warns(UserWarning, match="don't meet"):
+        mixing.rake(df, targets, sweeps=1)  # stopped before it has settled
+    assert mixing.mix_sources(docs, targets, on_missed="ignore").count() == 2
     assert max(off.values()) == pytest.approx(0.2, abs=1e-6)
     full = mixing.calibrate(mixing.rake(spark.createDataFrame([(f"s{i}", "x", "p", 2**i) for i in range(14)], df.schema), {"source": {f"s{i}": 1 for i in range(14)}}), 0.7)
     given = full.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]

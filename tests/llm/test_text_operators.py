@@ -438,6 +438,19 @@ def test_licenses(spark, sf_dir, texts):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+@pytest.mark.parametrize("identifier, label, free", [
+    ("GPL-2.0-only", "gpl-2.0-only", False), ("GPL-3.0-or-later", "gpl-3.0-or-later", False), ("GPL-2.0+", "gpl-2.0-or-later", False),
+    ("GPL-2.0", "gpl-2.0", False), ("LGPL-2.1-or-later", "lgpl-2.1-or-later", False), ("AGPL-3.0", "agpl-3.0", False),
+    ("Apache-2.0", "apache-2.0", True), ("Apache-2.0+", "apache-2.0-or-later", True), ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-4.0", False),
+    ("CC-BY-3.0-US", "cc-by-3.0", True), ("CC-BY-ND-4.0", "cc-by-nd-4.0", False), ("CC0-1.0", "cc0-1.0", True), ("SSPL-1.0", "sspl-1.0", False),
+    ("BUSL-1.1", "busl-1.1", False), ("BSD-3-Clause", "bsd-3-clause", True), ("BSD-3-Clause-Clear", "bsd-3-clause-clear", True), ("0BSD", "0bsd", True),
+    ("MIT-0", "mit-0", True), ("MIT.", "mit", True), ("MPL-2.0-no-copyleft-exception", "mpl-2.0", False), ("Unlicense", "unlicense", True),
+    ("PSF-2.0", "psf-2.0", True), ("Elastic-2.0", "elastic-2.0", False), ("LicenseRef-own", "other", False), ("mitigation", "other", False),
+])
+def test_identifiers_keep_versions_and_elements(identifier, label, free):
+    assert (license_scan.label_of(identifier), license_scan.is_permissive(label)) == (label, free)
+
+
 def licence_labels(expression):
     found = license_scan.evaluate(license_scan.tokens_of(expression.encode()))
     return found and found.labels()
@@ -446,11 +459,11 @@ def licence_labels(expression):
 def test_license_expressions():
     assert license_scan.to_postfix("A OR B AND C".split()) == ["A", "B", "C", "AND", "OR"]
     assert license_scan.to_postfix(["(", "A", "OR", "B", ")", "AND", "C", "WITH", "E"]) == ["A", "B", "OR", "C", "E", "WITH", "AND"]
-    assert licence_labels("(MIT OR GPL-2.0-only) AND Apache-2.0") == {"option:mit", "option:gpl", "apache-2", "choice:permissive"}
-    assert licence_labels("MIT AND GPL-3.0-or-later") == {"mit", "gpl", "choice:restricted"}
-    assert licence_labels("(MIT AND BSD-3-Clause) OR (MIT AND ISC)") == {"mit", "option:bsd", "option:isc", "choice:permissive"}
-    assert licence_labels("GPL-2.0+ WITH Classpath-exception-2.0 or MIT.") == {"option:gpl", "option:mit", "exception:classpath-exception", "choice:permissive"}
-    assert licence_labels("MIT OR Apache-2.0 and then") == {"option:mit", "option:apache-2", "choice:permissive"}
+    assert licence_labels("(MIT OR GPL-2.0-only) AND Apache-2.0") == {"option:mit", "option:gpl-2.0-only", "apache-2.0", "choice:permissive"}
+    assert licence_labels("MIT AND GPL-3.0-or-later") == {"mit", "gpl-3.0-or-later", "choice:restricted"}
+    assert licence_labels("(MIT AND BSD-3-Clause) OR (MIT AND ISC)") == {"mit", "option:bsd-3-clause", "option:isc", "choice:permissive"}
+    assert licence_labels("GPL-2.0+ WITH Classpath-exception-2.0 or MIT.") == {"option:gpl-2.0-or-later", "option:mit", "exception:classpath-exception", "choice:permissive"}
+    assert licence_labels("MIT OR Apache-2.0 and then") == {"option:mit", "option:apache-2.0", "choice:permissive"}
     assert licence_labels("MIT with all its words") == {"mit", "choice:permissive"}
     assert licence_labels("LicenseRef-Own") == {"other", "choice:restricted"}
     assert licence_labels("MIT OR (GPL-2.0") == {"mit", "choice:permissive"} and licence_labels("MIT GPL-2.0") == {"mit", "choice:permissive"}
@@ -465,7 +478,7 @@ def test_license_expressions_of_any_length():
     long = " AND ".join(["(MIT OR Apache-2.0)"] * 60) + " AND GPL-3.0-only"
     assert len(long) > 1200
     found = license_scan.scan_text(f"x\nSPDX-License-Identifier: {long}\nSPDX-License-Identifier: Zlib".encode(), license_scan._automaton())
-    assert found[3] == {"option:mit", "option:apache-2", "gpl", "choice:restricted", "zlib", "choice:permissive"}
+    assert found[3] == {"option:mit", "option:apache-2.0", "gpl-3.0-only", "choice:restricted", "zlib", "choice:permissive"}
     began = time.time()
     many = license_scan.scan_text(b"SPDX-License-Identifier: MIT AND " * 30_000 + b"ISC " + b"(" * 200_000, license_scan._automaton())
     assert many[3] == {"mit", "isc", "choice:permissive"} and time.time() - began < 10
@@ -488,7 +501,7 @@ def test_license_expressions_by_recursive_descent():
     for _ in range(300):
         tokens = make(4)
         assert license_scan.tokens_of(" ".join(tokens).encode()) == tokens
-        binding, options, exceptions, free = brute.licence_terms(tokens, license_scan.label_of, license_scan.exception_of, license_scan.PERMISSIVE)
+        binding, options, exceptions, free = brute.licence_terms(tokens, license_scan.label_of, license_scan.exception_of, {x for t in tokens if license_scan.is_permissive(x := license_scan.label_of(t))})
         t = license_scan.evaluate(tokens)
         assert (t.binding, t.options, t.exceptions, t.permissive) == (binding, options, exceptions, free)
 
