@@ -49,8 +49,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     paired before their times are compared.  In a wider interval the keys that a
     sample finds hot are cut at quantiles of their times (see cut_by_time).
     The result's event time is the later one.  On streams Spark keeps a
-    watermark only for a column of one side, so time windows may follow an
-    interval that lies wholly after or wholly before the left time.
+    watermark only for a column of one side; where the interval lies on both
+    sides of the left time, the later time gets one of its own (restamp.py).
     """
     l, r, same = _sides(left, right, on)
     lo, up = interval.lower.us, interval.upper.us
@@ -77,7 +77,12 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
         joined = joined.withColumn(EVENT_TIME, F.col(_LEFT))
     else:
         joined = joined.withColumn(EVENT_TIME, F.greatest(_LEFT, _RIGHT))
-    return joined.drop(_LEFT, _RIGHT, *(f"__right_{k}" for k in on))
+    out = joined.drop(_LEFT, _RIGHT, *(f"__right_{k}" for k in on))
+    if out.isStreaming and lo < 0 < up:
+        from ..streaming.restamp import restamped
+
+        out = restamped(out, EVENT_TIME, on)
+    return out
 
 
 def cut_by_time(l: DataFrame, r: DataFrame, on: list[str], lo: int, up: int) -> tuple[DataFrame, DataFrame]:  # noqa: E741

@@ -27,9 +27,10 @@ AT, LATE, ALL = "__at", "__late", "__all"
 OWN = (AT, LATE, ALL)
 #: Rows wait in slots of so many milliseconds.
 SLOT_MS = 1000
-#: A watermark that only the end of a stream reaches (year 9000), and the time of the row that moves it there.
+#: A watermark that only the end of a stream reaches (year 9000), and the times of the rows that move it there,
+#: two as an operator behind a join learns of the watermark a batch later.
 END_MS = 221_845_392_000_000
-LAST_TIME = "9900-01-01 00:00:00"
+LAST_TIMES = ("9900-01-01 00:00:00", "9901-01-01 00:00:00")
 #: Delay of the watermark where an adaptive slack decides: never passed but at the end.
 UNBOUNDED = Duration(0).us + 200 * 366 * 86_400_000_000
 
