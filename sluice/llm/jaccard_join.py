@@ -637,7 +637,8 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     """docs without near duplicates: of each component the smallest doc_id stays.
 
     All rows of an id stay or go together, and they go if one of them would;
-    rows with a null id stay, as nothing tells them apart.
+    rows with a null id stay, as nothing tells them apart.  Null and empty texts
+    are linked with nothing and stay; an empty table stays empty.
     """
     found = jaccard_components(docs, size, similarity)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()

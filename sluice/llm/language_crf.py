@@ -461,7 +461,12 @@ def _label_words(model):
 
 
 def label_words(docs: DataFrame, model: Crf, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Each text's words as byte spans with a language each, for code-switched text."""
+    """Each text's words as byte spans with a language each, for code-switched text.
+
+    A null or empty text has no words; repeated rows stay, other columns are
+    ignored, an empty table gives an empty table, and a model without languages
+    labels all words `und`.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -162,7 +162,8 @@ def with_secret_spans(docs: DataFrame, text: str = "text", name: str = "secret_s
     candidate run, with the marks next to them, and what is left of it is
     scanned, so an entropy span touches no base span, and a run's other secrets
     are still found.  A column of that name is replaced; all others pass
-    through, whatever their names.
+    through, whatever their names.  Repeated rows stay, an empty table stays
+    empty.
     """
     if name == text:
         raise ValueError("the spans need a column of their own")
@@ -197,7 +198,8 @@ def spans_text(spans: str, only_base: bool = False) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret span of `text` replaced by `mark`, overlapping spans by one.
 
-    The columns are those of docs, in their order; a null text stays null.
+    The columns are those of docs, in their order; a null text stays null, an
+    empty one empty; repeated rows stay, an empty table stays empty.
     """
     (spans,) = fresh(docs, "__spans")
     found = with_secret_spans(docs, text, spans)
