@@ -49,12 +49,20 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by probabilities calibrated to the target weights."""
+    """Documents drawn by probabilities calibrated to the target weights.
+
+    Texts without a word (null and empty ones too) have probability 0 and go;
+    equal ids share a draw; an empty table stays empty.
+    """
     return mix_sources(docs, budget=TOKEN_BUDGET).where("mix_kept").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in packed sequences, with their token ids."""
+    """Pieces of the documents in packed sequences, with their token ids.
+
+    A null or empty text is its end mark alone; repeated rows are packed each;
+    an empty table has no pieces.
+    """
     return pack_documents(docs, with_ids=True)
 
 
