@@ -57,8 +57,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     shift = lambda us: f"{_LEFT} + make_dt_interval(0, 0, 0, cast({us} / 1e6 as decimal(18, 6)))"
     within = F.expr(f"{_RIGHT} >= {shift(lo)} AND {_RIGHT} <= {shift(up)}")
     streaming = left.isStreaming or right.isStreaming
-    if streaming:
-        joined = l.join(r, within if same is None else same & within)
+    if streaming and same is not None:
+        joined = l.join(r, same & within)
     elif same is not None and up - lo > BUCKETED_US and min(planned_bytes(l), planned_bytes(r)) <= broadcast_bytes(l):
         joined = l.join(r, same & within)  # Spark sends one side to all tasks, so no key meets in one
     elif same is not None and up - lo > BUCKETED_US:
@@ -69,7 +69,9 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
         bucket = lambda time, us: F.floor((F.unix_micros(time) + F.lit(us)) / F.lit(width)).cast("long")
         l = l.withColumn("__bucket", F.explode(F.sequence(bucket(_LEFT, lo), bucket(_LEFT, up))))  # noqa: E741
         meet = F.col("__bucket") == F.col("__right_bucket")
-        joined = l.join(r.withColumn("__right_bucket", bucket(_RIGHT, 0)), meet if same is None else same & meet).where(within)
+        r = r.withColumn("__right_bucket", bucket(_RIGHT, 0))
+        # on streams the times stand in the join's condition, by which Spark lets its state go
+        joined = l.join(r, meet & within) if streaming else l.join(r, meet if same is None else same & meet).where(within)
         joined = joined.drop("__bucket", "__right_bucket")
     if joined.isStreaming and lo >= 0:  # the right time is the later one, and keeps its watermark
         joined = joined.withColumn(EVENT_TIME, F.col(_RIGHT))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce as _fold
 from math import gcd
 
@@ -16,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..time import Window
 from . import EVENT_TIME
@@ -312,13 +314,21 @@ class Pipe:
 
 
 class PipeGraph:
-    """Pipes that run together; run() works off their sinks and returns what they return."""
+    """Pipes that run together: their sinks work side by side, at most SINKS at a time.
+
+    A sink that starts a stream returns its query, and the graph runs until all
+    queries have ended; stop() ends them.  run() returns what the sinks return.
+    """
+
+    SINKS = 32
 
     def __init__(self) -> None:
         self.pipes: list[Pipe] = []
         self._results: list[object] | None = None
         self._thread: threading.Thread | None = None
         self._error: BaseException | None = None
+        self._queries: list[StreamingQuery] = []
+        self._stopped = False
 
     def add_source(self, df: DataFrame) -> Pipe:
         self.pipes.append(Pipe(df))
@@ -340,13 +350,33 @@ class PipeGraph:
 
         def work() -> None:
             try:
-                self._results = [sink(df) for p in self._all(self.pipes) for df, sink in p.sinks]
+                jobs = [(df, sink) for p in self._all(self.pipes) for df, sink in p.sinks]
+                with ThreadPoolExecutor(max(1, min(self.SINKS, len(jobs)))) as pool:
+                    begun = [pool.submit(self._begin, sink, df) for df, sink in jobs]
+                self._results = [b.result() for b in begun]
+                for query in self._queries:
+                    query.awaitTermination()
             except BaseException as e:  # noqa: BLE001  raised by wait_end()
                 self._error = e
+                self.stop()
 
         self._thread = threading.Thread(target=work, daemon=True)
         self._thread.start()
 
+    def _begin(self, sink: Callable[[DataFrame], object], df: DataFrame) -> object:
+        got = sink(df)
+        if isinstance(got, StreamingQuery):
+            self._queries.append(got)
+            if self._stopped:
+                got.stop()
+        return got
+
+    def stop(self) -> None:
+        """Ends the graph's streams, those too that are about to start."""
+        self._stopped = True
+        for query in self._queries:
+            query.stop()
+
     def is_running(self) -> bool:
         return self._thread is not None and self._thread.is_alive()
 

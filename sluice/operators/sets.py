@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import EVENT_TIME
+from .windows import each
 
 
 def _visible(df: DataFrame) -> list[str]:
@@ -50,4 +51,4 @@ def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
 def intersect_all(left: DataFrame, right: DataFrame) -> DataFrame:
     """As many copies of a row as the side that has fewer."""
     common = _counted(left, right).withColumn("__n", F.least("__l", "__r")).where("__n > 0")
-    return common.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__l", "__r", "__n")
+    return each(common.drop("__l", "__r"), F.lit(1), F.col("__n"), "__copy").drop("__n", "__copy")

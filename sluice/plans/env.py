@@ -15,6 +15,7 @@ from ..operators import EVENT_TIME
 from ..schema import Schema
 from ..sources.files import InputFileConfiguration, read_files
 from ..sources.kafka import KafkaSource
+from ..streaming.ordered import has_watermark
 from ..time import Duration, TimePolicy, baseline_micros
 from ..types import DataType
 from .table import Query, Table
@@ -116,12 +117,15 @@ class TableEnvironment:
                        and joins wait for late rows
     bounded            streams end: run_available() and JobHandle.finish() give
                        what is open then
+    state_ttl          streams: how long distinct, union and intersections
+                       remember a row (None: for ever)
     """
 
     def __init__(
         self, spark: SparkSession | None = None, par: int | None = None, policy: TimePolicy = TimePolicy.NO_POLICY,
         time_baseline: tuple[str, DataType] | None = None, *, aggregates: str = "final", emit_empty: bool = False,
-        truncate_avg: bool = False, streaming: bool = False, allowed_lateness: Duration | None = None, bounded: bool = False, include_dir: object = None,
+        truncate_avg: bool = False, streaming: bool = False, allowed_lateness: Duration | None = None, bounded: bool = False,
+        state_ttl: Duration | None = None, include_dir: object = None,
     ):
         if par is not None and par < 1:
             raise ValueError("par is positive")
@@ -132,7 +136,7 @@ class TableEnvironment:
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.policy, self.aggregates, self.emit_empty = policy, aggregates, emit_empty
         self.truncate_avg, self.streaming, self.bounded = truncate_avg, streaming, bounded
-        self.lateness = allowed_lateness or Duration(0)
+        self.lateness, self.state_ttl = allowed_lateness or Duration(0), state_ttl
         self.baseline = baseline_micros(time_baseline) if time_baseline else 0
         if par is not None:
             self.spark.conf.set("spark.sql.shuffle.partitions", par)
@@ -161,6 +165,11 @@ class TableEnvironment:
         if self.policy is TimePolicy.EVENT_TIME:
             if time_col is None:
                 raise ValueError("under event time a source names its time column")
+            if df.isStreaming and has_watermark(df, time_col):
+                # the source sets its watermark itself; the hidden time takes it over
+                if self.bounded or delay or self.lateness.us:
+                    raise ValueError("a source that sets its watermark says itself how long it waits and when it ends")
+                return df.withColumn(EVENT_TIME, F.col(f"`{time_col}`")).withMetadata(time_col, {"watermark": EVENT_TIME})
             df = df.withColumn(EVENT_TIME, F.col(f"`{time_col}`").cast("timestamp"))
         elif time_col is not None:
             raise ValueError("a time column is for event time only")

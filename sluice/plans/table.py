@@ -79,7 +79,7 @@ class Table:
             raise ValueError(f"two columns have one name: {names}")
         schema = Schema({c.name: c.type(self.schema) for c in chosen})
         df = self.df.select(*(aliased(c, self.schema) for c in chosen), EVENT_TIME)
-        return self._finished(sets.distinct(df) if distinct else df, schema, "select")
+        return self._finished(self._distinct(df, schema) if distinct else df, schema, "select")
 
     def add_columns(self, *columns: Expression) -> Query:
         if not columns:
@@ -118,13 +118,19 @@ class Table:
                 self.env.need_time("a time window")
         return GroupedTable(self, keys, window)
 
+    # On streams `within`, by default the environment's state_ttl, bounds the state of distinct, union and intersections:
+    # a row is forgotten so long after its state changed last, by the watermark or, without times, by the clock.
     def distinct(self, within: Duration | None = None) -> Table:
-        """Rows once each.  On streams `within` bounds the state: copies that
-        come later than that after the first may pass again."""
-        if within is not None and self.df.isStreaming:
-            self.env.need_time("distinct within a time")
-            return self._next(self.df.dropDuplicatesWithinWatermark(self.schema.names), self.schema)
-        return self._next(sets.distinct(self.df), self.schema)
+        """Rows once each; on streams, copies that come after a row was forgotten pass again."""
+        return self._next(self._distinct(self.df, self.schema, within), self.schema)
+
+    def _distinct(self, df: DataFrame, schema: Schema, within: Duration | None = None) -> DataFrame:
+        within = within or self.env.state_ttl
+        if within is None or not df.isStreaming:
+            return sets.distinct(df)
+        from ..streaming.forgetting import distinct_within
+
+        return distinct_within(df, schema.names, within, EVENT_TIME)
 
     # -- two inputs --------------------------------------------------------
     def join(self, other: Table, on: list[str], attachment: Interval | Window | None = None, where: Expression | None = None) -> Table:
@@ -176,12 +182,17 @@ class Table:
     def union_all(self, other: Table) -> Table:
         return self._next(sets.union_all(self.df, self._aligned(other).df), self.schema)
 
-    def union(self, other: Table) -> Table:
-        return self._next(sets.union(self.df, self._aligned(other).df), self.schema)
+    def union(self, other: Table, within: Duration | None = None) -> Table:
+        return self.union_all(other).distinct(within)
 
-    def _common(self, other: Table, all_copies: bool) -> Table:
+    def _common(self, other: Table, all_copies: bool, within: Duration | None) -> Table:
         left, right = self.df, self._aligned(other).df
-        if left.isStreaming or right.isStreaming:
+        within = within or self.env.state_ttl
+        if within is not None and (left.isStreaming or right.isStreaming):
+            from ..streaming.forgetting import intersect_within
+
+            df = intersect_within(left, right, self.schema.names, within, EVENT_TIME, all_copies)
+        elif left.isStreaming or right.isStreaming:
             from ..streaming.stateful import Intersect
 
             df = Intersect.of(left, right, all_copies, self.schema.names)
@@ -189,11 +200,11 @@ class Table:
             df = (sets.intersect_all if all_copies else sets.intersect)(left, right)
         return self._next(df, self.schema)
 
-    def intersect(self, other: Table) -> Table:
-        return self._common(other, False)
+    def intersect(self, other: Table, within: Duration | None = None) -> Table:
+        return self._common(other, False, within)
 
-    def intersect_all(self, other: Table) -> Table:
-        return self._common(other, True)
+    def intersect_all(self, other: Table, within: Duration | None = None) -> Table:
+        return self._common(other, True, within)
 
 
 class Query(Table):
@@ -239,7 +250,7 @@ class GroupedTable:
             raise ValueError(f"two columns have one name: {names}")
         schema = Schema({n: c.type(grouped) for n, c in zip(names, final)})
         out = df.select(*(c.column(grouped).alias(n) for n, c in zip(names, final)), EVENT_TIME)
-        return t._finished(sets.distinct(out) if distinct else out, schema, "group")
+        return t._finished(t._distinct(out, schema) if distinct else out, schema, "group")
 
     def _grouped(self, keys: list[str], found: list[Aggregate]) -> DataFrame:
         t, env = self.table, self.table.env

@@ -99,7 +99,11 @@ def read_files(spark: SparkSession, config: InputFileConfiguration, streaming: b
     own = spark
     if config.split_size.bytes:
         # the size of splits is a setting of the session that reads: a source with one has a session of its own
+        # that is otherwise like the caller's
         own = spark.newSession()
+        for k, v in spark.conf.getAll.items():
+            if own.conf.isModifiable(k):
+                own.conf.set(k, v)
         own.conf.set("spark.sql.files.maxPartitionBytes", config.split_size.bytes)
     reader = own.readStream if streaming else own.read
     path = str(config.path)

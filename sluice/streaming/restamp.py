@@ -19,11 +19,16 @@ from .ordered import ROCKSDB
 
 
 class _Through(StatefulProcessor):
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
     def init(self, handle) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        yield from rows
+        made = Row(*self.columns)
+        for row in rows:
+            yield made(*(row[c] for c in self.columns))
 
     def close(self) -> None:
         pass
@@ -35,6 +40,6 @@ def restamped(df: DataFrame, time_col: str, keys: list[str]) -> DataFrame:
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-    # without keys all of a row's values deal it
-    by = [F.col(f"`{k}`") for k in keys] or [F.pmod(F.hash(*(f"`{c}`" for c in df.columns)), F.lit(1024)).alias("__deal")]
-    return df.groupBy(*by).transformWithState(_Through(), schema, "append", "None", eventTimeColumnName=time_col)
+    if not keys:  # all of a row's values deal it
+        df, keys = df.withColumn("__deal", F.pmod(F.xxhash64(*(f"`{c}`" for c in df.columns)), F.lit(1024))), ["__deal"]
+    return df.groupBy(*(f"`{k}`" for k in keys)).transformWithState(_Through(schema.names), schema, "append", "None", eventTimeColumnName=time_col)
