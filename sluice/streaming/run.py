@@ -47,11 +47,18 @@ def bounded(df: DataFrame, time_col: str, delay: Duration | None = None) -> Data
     return marked.where((time.isNull() | (time < F.timestamp_millis(F.lit(END_MS)))) & (F.rand(0) * 2 < 3))
 
 
+def endless(df: DataFrame) -> None:
+    """Refuses streams whose state expires by the clock: Spark makes batches for it for ever."""
+    if re.search(r"TransformWithState[^\n]*\bProcessingTime\b", df._jdf.queryExecution().analyzed().toString()):
+        raise RuntimeError("state that expires by the clock has no last batch: stop the query yourself")
+
+
 def finish(query, df: DataFrame) -> int:
     """Works off what a started query of df has, and then its end; the number of sources that ended.
 
     The query goes on until it is stopped, but later rows are all late.
     """
+    endless(df)
     query.processAllAvailable()
     spark = df.sparkSession
     folders = sorted(set(re.findall(rf"[^\s,\[\]()]*{_MARK}[0-9a-f]{{32}}", df._jdf.queryExecution().analyzed().toString())))
@@ -71,6 +78,7 @@ def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: st
     Streams that are `bounded` come to their end, so that nothing stays open;
     of others, windows that the watermark has not passed do.
     """
+    endless(df)
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice import Duration, Interval, TableEnvironment, TimeFormats, TimePolicy, Window, count, sum
 from sluice.operators.rows import PipeGraph
 from sluice.sources import Watermark, generated, register
-from sluice.streaming import Monitor
+from sluice.streaming import Monitor, run_available
 
 BASE = ("1970-01-01T00:00:00.000Z", TimeFormats.ISO8601)
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -137,6 +137,8 @@ def test_without_times_the_clock_decides(spark, tmp_path):
         query.stop()
     with pytest.raises(ValueError):
         t.distinct(within=Duration(-1))
+    with pytest.raises(RuntimeError, match="clock"):
+        run_available(t.dataframe(), "never")
 
 
 def test_batches_keep_all(spark):
