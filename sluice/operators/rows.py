@@ -12,9 +12,11 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce as _fold
 from math import gcd
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -177,21 +179,74 @@ def _in_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, o
     return assign(with_position(df, keys, window, baseline, order), window, baseline, position=POSITION)
 
 
-def keyed_windows(df: DataFrame, keys: list[str], window: Window, baseline: int, func: Callable[[Frame], dict], schema: str, order: list[str] | None = None) -> DataFrame:
+_NTH, _NULLS = "__nth", "__nulls"
+_SORTED = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _column(values: list) -> pd.Series:
+    """Values as a column; beside a missing one whole numbers stay whole."""
+    missing = any(v is None or isinstance(v, float) and v != v for v in values)
+    return pd.Series(values, dtype=object if missing and any(isinstance(v, (int, np.integer)) for v in values) else None)
+
+
+def keyed_windows(
+    df: DataFrame, keys: list[str], window: Window, baseline: int, func: Callable[[Frame], dict] | Callable[[dict[str, np.ndarray]], dict], schema: str,
+    order: list[str] | None = None, arrays: bool = False,
+) -> DataFrame:
     """A function on each whole window of a key, which it gets as a pandas frame in order.
 
     `schema` has the keys, window_id long, and the function's fields.  One
     window's rows meet in one task; fold_windows takes them one by one, and
-    sums and the like belong into paned_windows or two_phase_windows.
+    sums and the like belong into paned_windows or two_phase_windows.  Rows go
+    to Python sorted and in batches of many windows, which are cut there.  With
+    `arrays` the function gets the columns as numpy arrays by name, which for
+    small windows costs far less than frames.
     """
     names = T.StructType.fromDDL(schema).names
+    placed = _in_windows(df, keys, window, baseline, order)
+    ties = [f.name for f in df.schema.fields if isinstance(f.dataType, _SORTED) and f.name not in (*keys, EVENT_TIME)] if order is None else order
+    inside = Over.partitionBy(*(f"`{k}`" for k in keys), WINDOW_ID).orderBy(POSITION, F.asc_nulls_last(EVENT_TIME), *(f"`{c}`" for c in ties))
+    # in pandas one null makes doubles of a batch's whole numbers, so they go filled; bits tell where, and only a window with nulls sees doubles
+    filled = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.BooleanType))}
+    if len(filled) > 63:
+        raise ValueError("windows take at most 63 columns of whole numbers and booleans")
+    null_bits = [F.when(F.isnull(f"`{c}`"), F.lit(1 << i)).otherwise(0).cast("long") for i, c in enumerate(filled)]
+    dealt = placed.withColumn(_NTH, F.row_number().over(inside)).withColumn(_NULLS, _fold(Column.bitwiseOR, null_bits, F.lit(0).cast("long")))
+    dealt = dealt.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0).cast(t)) for c, t in filled.items()})
+
+    def emptied(part: Frame | dict, bits: np.ndarray, whole: type) -> Frame | dict:
+        for i, c in enumerate(filled):
+            null = (bits >> i & 1).astype(bool)
+            if c in part and null.any():
+                values = np.array(part[c], dtype=object if filled[c] == T.BooleanType() else whole)
+                values[null] = None
+                part[c] = values
+        return part
+
+    def results(frame: Frame) -> Frame:
+        starts, bits = np.flatnonzero(frame[_NTH].to_numpy() == 1), frame[_NULLS].to_numpy()
+        groups = emptied(frame[[*keys, WINDOW_ID]].iloc[starts].reset_index(drop=True), bits[starts], object)
+        given = frame.drop(columns=[WINDOW_ID, POSITION, _NTH, _NULLS])
+        columns, found = {c: given[c].to_numpy() for c in given} if arrays else {}, []
+        bounds = zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], np.logical_or.reduceat(bits != 0, starts).tolist())
+        for (*values, k), (a, b, holed) in zip(groups.itertuples(index=False, name=None), bounds):
+            part = {c: v[a:b] for c, v in columns.items()} if arrays else given.iloc[a:b].reset_index(drop=True)
+            got = func(emptied(part, bits[a:b], float) if holed else part)
+            found.append(dict(zip(keys, values)) | {"window_id": k} | got)
+        return pd.DataFrame({n: _column([f[n] for f in found]) for n in names})
 
-    def run(group: tuple, frame: Frame) -> Frame:
-        *values, k = group
-        got = func(frame.sort_values([POSITION, EVENT_TIME], kind="stable").drop(columns=[WINDOW_ID, POSITION]))
-        return pd.DataFrame([dict(zip(keys, values)) | {"window_id": k} | got])[names]
-
-    return _in_windows(df, keys, window, baseline, order).groupBy(*keys, WINDOW_ID).applyInPandas(run, schema)
+    def run(batches: Iterator[Frame]) -> Iterator[Frame]:
+        held: list[Frame] = []  # the window that the next batch may go on with
+        for batch in batches:
+            starts = np.flatnonzero(batch[_NTH].to_numpy() == 1)
+            if len(starts) and (held or starts[-1]):
+                yield results(pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True))
+                held = []
+            held.append(batch.iloc[starts[-1] :] if len(starts) else batch)
+        if held:
+            yield results(pd.concat(held, ignore_index=True))
+
+    return dealt.mapInPandas(run, schema)
 
 
 #: The same windows of one key in parallel: Spark deals by (key, window) anyway.

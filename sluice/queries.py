@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -517,14 +518,17 @@ def fold_init(spark, sf_dir):
     return rows.reduce_rows(_event_rows(spark, sf_dir), ["user_id"], [EVENT_TIME, "event_id"], _fold_step, {"event_id": 0, "balance": 100}, "user_id long, event_id long, balance long")
 
 
-def _first_last(frame) -> dict:
-    return {"first_id": int(frame["event_id"].iloc[0]), "last_id": int(frame["event_id"].iloc[-1]), "median": float(frame["cents"].median())}
+def _first_last(of: dict[str, np.ndarray]) -> dict:
+    values = np.sort(of["cents"])  # nulls are NaN and the last
+    n = len(values) if values.dtype.kind == "i" else int((values == values).sum())
+    middle = (float(values[(n - 1) // 2]) + float(values[n // 2])) / 2 if n else None
+    return {"first_id": int(of["event_id"][0]), "last_id": int(of["event_id"][-1]), "median": middle}
 
 
 @query(f"""select user_id, {US} // {48 * H} as window_id, arg_min(event_id, ts) as first_id, arg_max(event_id, ts) as last_id, median(cents) as "median" from {EV} group by user_id, {US} // {48 * H}""")
 def window_iterable(spark, sf_dir):
     base = 1_704_067_200_000_000
-    return rows.keyed_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createTBWindow(Duration.hours(48)), base, _first_last, "user_id long, window_id long, first_id long, last_id long, median double")
+    return rows.keyed_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createTBWindow(Duration.hours(48)), base, _first_last, "user_id long, window_id long, first_id long, last_id long, median double", arrays=True)
 
 
 _PARTS = lambda: [Part("n", F.count(F.lit(1)), "sum"), Part("total", F.sum("cents"), "sum"), Part("hi", F.max("cents"), "max")]
@@ -558,7 +562,7 @@ def _cb_rows_sql(size: int, slide: int, values: str, source: str = EV, by: str =
 
 @query(_cb_rows_sql(10, 10, 'arg_min(event_id, i) as first_id, arg_max(event_id, i) as last_id, median(cents) as "median"'))
 def kw_cb(spark, sf_dir):
-    return rows.keyed_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createCBWindow(10), 0, _first_last, "user_id long, window_id long, first_id long, last_id long, median decimal(20,1)", ["event_id"]).withColumn("median", F.col("median").cast("double"))
+    return rows.keyed_windows(_event_rows(spark, sf_dir), ["user_id"], Window.createCBWindow(10), 0, _first_last, "user_id long, window_id long, first_id long, last_id long, median decimal(20,1)", ["event_id"], arrays=True).withColumn("median", F.col("median").cast("double"))
 
 
 def _sum_step(row: dict, state: dict) -> dict:
