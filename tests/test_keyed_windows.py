@@ -79,7 +79,7 @@ def test_windows_without_keys_and_without_rows(table):
     assert rows.keyed_windows(table.where("id < 0"), ["k"], window, 0, size, "k long, window_id long, n long", ["id"], arrays=True).collect() == []
 
 
-@pytest.mark.parametrize("name", ["kw_cb"])
+@pytest.mark.parametrize("name", ["kw_cb", "window_iterable"])
 def test_no_window_is_a_batch_of_its_own(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroups" not in plan
