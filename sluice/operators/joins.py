@@ -18,10 +18,13 @@ from . import EVENT_TIME
 from .ranks import BOUNDS, KEY, PART, bounds_below, fixed, key_struct, planned_bytes, sampled_cuts
 from .windows import WINDOW_ID, assign, window_end
 
-_LEFT, _RIGHT = "__left_time", "__right_time"
+_LEFT, _RIGHT, _FROM, _UNTIL = "__left_time", "__right_time", "__from", "__until"
 #: Widest interval for which keyed joins meet by time bucket too: a key's rows then spread over
 #: its times.  In wider ones only keys with many rows are cut, at quantiles of their own times.
 BUCKETED_US = 2 * 86_400_000_000
+#: Buckets to an interval in joins without keys: a left row is copied to one more than these, and
+#: is compared with so many buckets' right rows instead of two intervals' worth.
+PIECES = 4
 
 
 def _sides(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, Column | None]:
@@ -44,9 +47,10 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
 
     The times are bucketed by the interval's width: a left row meets the at most
     two buckets that its interval touches.  Without keys that makes a hash or
-    merge join; with keys (and an interval up to BUCKETED_US) it keeps the rows
-    of a hot key apart by time, so that they are neither all in one task nor all
-    paired before their times are compared.  In a wider interval the keys that a
+    merge join, by buckets of a PIECES-th of that width and in as many tasks as
+    a shuffle has, as pairs are many beside rows; with keys (and an interval up
+    to BUCKETED_US) it keeps the rows of a hot key apart by time, so that they
+    are neither all in one task nor all paired before their times are compared.  In a wider interval the keys that a
     sample finds hot are cut at quantiles of their times (see cut_by_time).
     The result's event time is the later one.  On streams Spark keeps a
     watermark only for a column of one side; where the interval lies on both
@@ -55,8 +59,12 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
     l, r, same = _sides(left, right, on)
     lo, up = interval.lower.us, interval.upper.us
     shift = lambda us: f"{_LEFT} + make_dt_interval(0, 0, 0, cast({us} / 1e6 as decimal(18, 6)))"
-    within = F.expr(f"{_RIGHT} >= {shift(lo)} AND {_RIGHT} <= {shift(up)}")
     streaming = left.isStreaming or right.isStreaming
+    if streaming:  # Spark finds in such a condition how long it keeps its state
+        within = F.expr(f"{_RIGHT} >= {shift(lo)} AND {_RIGHT} <= {shift(up)}")
+    else:  # sums of times and intervals go by the calendar and are slow: once a row, not once a pair
+        l = l.withColumns({_FROM: F.unix_micros(_LEFT) + F.lit(lo), _UNTIL: F.unix_micros(_LEFT) + F.lit(up)})  # noqa: E741
+        within = (F.unix_micros(_RIGHT) >= F.col(_FROM)) & (F.unix_micros(_RIGHT) <= F.col(_UNTIL))
     if streaming and same is not None:
         joined = l.join(r, same & within)
     elif same is not None and up - lo > BUCKETED_US and min(planned_bytes(l), planned_bytes(r)) <= broadcast_bytes(l):
@@ -65,11 +73,14 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
         l, r = cut_by_time(l, r, on, lo, up)  # noqa: E741
         joined = l.join(r, same & (F.col(PART) == F.col("__right_part"))).where(within).drop(PART, "__right_part")
     else:
-        width = max(up - lo, 1)
+        alone = same is None and not streaming
+        width = max(-((lo - up) // PIECES) if alone else up - lo, 1)
         bucket = lambda time, us: F.floor((F.unix_micros(time) + F.lit(us)) / F.lit(width)).cast("long")
         l = l.withColumn("__bucket", F.explode(F.sequence(bucket(_LEFT, lo), bucket(_LEFT, up))))  # noqa: E741
         meet = F.col("__bucket") == F.col("__right_bucket")
         r = r.withColumn("__right_bucket", bucket(_RIGHT, 0))
+        if alone:  # a fixed number: small sides would be put into few tasks, whatever they have to pair
+            r = r.repartition(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__right_bucket")
         # on streams the times stand in the join's condition, by which Spark lets its state go
         joined = l.join(r, meet & within) if streaming else l.join(r, meet if same is None else same & meet).where(within)
         joined = joined.drop("__bucket", "__right_bucket")
@@ -79,7 +90,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], interval: In
         joined = joined.withColumn(EVENT_TIME, F.col(_LEFT))
     else:
         joined = joined.withColumn(EVENT_TIME, F.greatest(_LEFT, _RIGHT))
-    out = joined.drop(_LEFT, _RIGHT, *(f"__right_{k}" for k in on))
+    out = joined.drop(_LEFT, _RIGHT, _FROM, _UNTIL, *(f"__right_{k}" for k in on))
     if out.isStreaming and lo < 0 < up:
         from ..streaming.restamp import restamped
 

@@ -196,3 +196,24 @@ def test_wide_intervals_cut_hot_keys(spark, n_left, n_right, hot_left, hot_right
         side, part = (right, "__right_part") if hot_right > 0.5 else (left, ranks.PART)
         most = side.groupBy("__right_k" if hot_right > 0.5 else "k", part).count().agg(F.max("count")).head()[0]
         assert most < 0.25 * max(n_left, n_right)
+
+
+@pytest.mark.parametrize("lo, up", [(0, 0), (-1, 0), (0, 3), (-5, 2), (2, 13), (-40, -7)])
+def test_band_joins_have_closed_bounds_at_any_width(spark, lo, up):
+    """Microseconds on both sides of the epoch, intervals of no width and of widths that four don't divide."""
+    from sluice.operators import joins
+    from sluice.time import Duration, Interval
+
+    times = lambda step, name: spark.range(-60, 60, step).select(F.col("id").alias(name), F.timestamp_micros("id").alias(EVENT_TIME))
+    found = joins.interval_join(times(3, "a"), times(2, "b"), [], Interval(Duration(lo), Duration(up)))
+    assert found.columns == ["a", "b", EVENT_TIME]
+    expected = [(a, b) for a in range(-60, 60, 3) for b in range(-60, 60, 2) if a + lo <= b <= a + up]
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(expected)
+
+
+def test_a_band_join_compares_whole_numbers_in_all_tasks(spark, sf_dir):
+    """No sum of a time and an interval for each pair, and no fewer tasks because the sides are small."""
+    from sluice.queries import QUERIES
+
+    plan = QUERIES["theta_only_band"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "INTERVAL '" not in plan and "REPARTITION_BY_NUM" in plan
